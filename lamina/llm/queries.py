@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from lamina.llm.kdtree import op9_sharding
+from lamina.llm.langid import op8_langid
 from lamina.llm.simhash import op2_simhash
 
 QUERIES = {
     "op2_simhash": op2_simhash,
+    "op8_langid": op8_langid,
+    "op9_sharding": op9_sharding,
 }
 
 ORACLES: dict[str, str] = {}
