@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from lamina.llm.kdtree import op9_sharding
 from lamina.llm.langid import op8_langid
+from lamina.llm.mixing import op3_mixing
+from lamina.llm.secrets import op10_secrets
 from lamina.llm.simhash import op2_simhash
 
 QUERIES = {
     "op2_simhash": op2_simhash,
+    "op3_mixing": op3_mixing,
     "op8_langid": op8_langid,
     "op9_sharding": op9_sharding,
+    "op10_secrets": op10_secrets,
 }
 
 ORACLES: dict[str, str] = {}
