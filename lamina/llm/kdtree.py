@@ -40,6 +40,15 @@ def metadata(docs: DataFrame) -> DataFrame:
     ).withColumn("h", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(BINS)).cast("int"))
 
 
+def _table(spark: SparkSession, rows: list[tuple], columns: str) -> DataFrame:
+    """A few rows of numbers as constants of the plan."""
+    text = lambda x: f"{x!r}D" if isinstance(x, float) else str(int(x))
+    if not rows:
+        names = columns.replace(",", "").split()
+        return spark.range(0).select(*[F.lit(0).cast(t).alias(n) for n, t in zip(names[::2], names[1::2], strict=True)])
+    return spark.sql(f"SELECT * FROM VALUES {', '.join(f'({", ".join(map(text, r))})' for r in rows)} AS t({', '.join(columns.replace(',', '').split()[::2])})")
+
+
 def _bin(value: Column, low: Column, high: Column) -> Column:
     return F.when(high > low, F.least(F.lit(BINS - 1), F.floor((value - low) / (high - low) * BINS))).otherwise(F.lit(0)).cast("int")
 
@@ -69,15 +78,15 @@ def assign(rows: DataFrame, shards: int, dims: tuple[str, ...] = ("d0", "d1", "d
             if leaves[n] > 1:
                 d = max(dims, key=lambda d: (box[f"z_{d}"] - box[f"a_{d}"]) / scale[d])
                 plan.append((n, dims.index(d) + 1, box[f"a_{d}"], box[f"z_{d}"], box["bytes"] * (leaves[n] // 2) // leaves[n]))
-        nodes = spark.createDataFrame(plan, "node int, dim int, low double, high double, want long")
+        nodes = _table(spark, plan, "node int, dim int, low double, high double, want long")
         binned = placed.join(F.broadcast(nodes), "node").select("node", "size", "h", "want", _bin(value, F.col("low"), F.col("high")).alias("bin"))
         at = _crossing(binned.groupBy("node", "bin").agg(F.sum("size").alias("bytes"), F.first("want").alias("want")), "bin")
-        medians = spark.createDataFrame([(n, b, rest) for n, (b, rest, _) in at.items()], "node int, bin int, rest long")
+        medians = _table(spark, [(n, b, rest) for n, (b, rest, _) in at.items()], "node int, bin int, rest long")
         inside = binned.drop("want").join(F.broadcast(medians), ["node", "bin"])
         fine = _crossing(inside.groupBy("node", "h").agg(F.sum("size").alias("bytes"), F.first("rest").alias("want")), "h")
         # the hash bin on the median goes to the side that comes nearer
         splits = [(n, dim, low, high, at[n][0], fine[n][0] + (2 * fine[n][1] > fine[n][2]), leaves[n] // 2) for n, dim, low, high, _ in plan]
-        table = spark.createDataFrame(splits, "node int, dim int, low double, high double, bin int, hash int, half int")
+        table = _table(spark, splits, "node int, dim int, low double, high double, bin int, hash int, half int")
         slot = _bin(value, F.col("low"), F.col("high"))
         right = (slot > F.col("bin")) | ((slot == F.col("bin")) & (F.col("h") >= F.col("hash")))
         moved = placed.join(F.broadcast(table), "node", "left").withColumn("node", F.col("node") + F.when(right, F.col("half")).otherwise(0))
