@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from lamina.llm.bpe import op5_bpe
+from lamina.llm.counts import op6_token_counts
 from lamina.llm.kdtree import op9_sharding
 from lamina.llm.langid import op8_langid
 from lamina.llm.mixing import op3_mixing
@@ -11,6 +13,8 @@ from lamina.llm.simhash import op2_simhash
 QUERIES = {
     "op2_simhash": op2_simhash,
     "op3_mixing": op3_mixing,
+    "op5_bpe": op5_bpe,
+    "op6_token_counts": op6_token_counts,
     "op8_langid": op8_langid,
     "op9_sharding": op9_sharding,
     "op10_secrets": op10_secrets,
