@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from lamina.llm.bpe import op5_bpe
 from lamina.llm.counts import op6_token_counts
+from lamina.llm.forest import op7_embedding_dedup
 from lamina.llm.kdtree import op9_sharding
 from lamina.llm.langid import op8_langid
 from lamina.llm.mixing import op3_mixing
@@ -15,6 +16,7 @@ QUERIES = {
     "op3_mixing": op3_mixing,
     "op5_bpe": op5_bpe,
     "op6_token_counts": op6_token_counts,
+    "op7_embedding_dedup": op7_embedding_dedup,
     "op8_langid": op8_langid,
     "op9_sharding": op9_sharding,
     "op10_secrets": op10_secrets,
