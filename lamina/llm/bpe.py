@@ -9,10 +9,11 @@ agree in this way is the one encoding of its text, so the result is exact.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import pyarrow as pa
 import regex
@@ -24,7 +25,7 @@ from lamina.llm.common import read, slices
 
 LEAF = 512
 #: Words that a worker remembers before it starts anew, and the longest of them.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 LONGEST = 64
 #: Characters whose classes, case and normal form all Unicode versions share: Latin, Cyrillic, and common punctuation.
 PLAIN = re.compile("[\t-\r -~\xa0-įı-ɏЀ-џ‐-‧‰-⁞€]*")
@@ -49,8 +50,7 @@ class Codec:
         self.leaf = leaf
         self.suffix = spec["model"].get("end_of_word_suffix") or ""
         bare = {k: None for k in ("normalizer", "pre_tokenizer", "post_processor", "decoder", "truncation", "padding")} | {"added_tokens": []}
-        self.last = Tokenizer.from_str(json.dumps(spec | bare))
-        self.inner = Tokenizer.from_str(json.dumps(spec | bare | {"model": spec["model"] | {"end_of_word_suffix": None}}))
+        self.bare = json.dumps(spec | bare)
         split, to_bytes = spec["pre_tokenizer"]["pretokenizers"]
         if (spec["normalizer"]["type"], split["type"], split["behavior"], split["invert"], to_bytes["type"]) != ("Sequence", "Split", "Removed", True, "ByteLevel"):
             raise ValueError(f"{path}: not a tokenizer of words as bytes")
@@ -61,7 +61,17 @@ class Codec:
         self.letters = byte_letters()
         self.known: dict[str, list[int]] = {}
 
-    # one unsplit part
+    # one unsplit part; the tokenizers for it are built when the first one comes
+
+    @cached_property
+    def last(self) -> Tokenizer:
+        return Tokenizer.from_str(self.bare)
+
+    @cached_property
+    def inner(self) -> Tokenizer:
+        spec = json.loads(self.bare)
+        spec["model"]["end_of_word_suffix"] = None
+        return Tokenizer.from_str(json.dumps(spec))
 
     def ids(self, part: str, at_end: bool) -> list[int]:
         return (self.last if at_end else self.inner).encode(part, add_special_tokens=False).ids
@@ -180,15 +190,27 @@ def decode(encoded: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), i
     return rows.mapInArrow(work, f"{kinds}, decoded string")
 
 
-def round_trip(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row's ids, and of the text they decode to."""
-    digest = lambda c: F.sha2(c.cast("binary"), 256)
-    return decode(encode(docs, path), path).select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        digest(F.array_join(F.transform("ids", lambda i: i.cast("string")), " ")).alias("ids_sha256"),
-        digest(F.col("decoded")).alias("decoded_sha256"),
-    )
+def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row's ids, and of the text they decode to; rows as for `encode`.
+
+    The ids of a text are decoded where they were encoded, so that one worker's vocabulary serves both.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(path)
+        sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
+        for whole in batches:
+            for b in slices(whole, "text"):
+                counts, ids_sha, text_sha = [], [], []
+                for text in b.column("text").to_pylist():
+                    ids = own.encode(text)
+                    counts.append(len(ids))
+                    ids_sha.append(sha(" ".join(map(str, ids))))
+                    text_sha.append(sha(own.decode(ids)))
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return rows.mapInArrow(work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
