@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from lamina.llm.bpe import op5_bpe
 from lamina.llm.counts import op6_token_counts
+from lamina.llm.flac import op1_flac
 from lamina.llm.forest import op7_embedding_dedup
 from lamina.llm.kdtree import op9_sharding
 from lamina.llm.langid import op8_langid
@@ -12,6 +13,7 @@ from lamina.llm.secrets import op10_secrets
 from lamina.llm.simhash import op2_simhash
 
 QUERIES = {
+    "op1_flac": op1_flac,
     "op2_simhash": op2_simhash,
     "op3_mixing": op3_mixing,
     "op5_bpe": op5_bpe,
