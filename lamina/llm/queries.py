@@ -11,11 +11,13 @@ from lamina.llm.langid import op8_langid
 from lamina.llm.mixing import op3_mixing
 from lamina.llm.secrets import op10_secrets
 from lamina.llm.simhash import op2_simhash
+from lamina.llm.substrings import op4_substring_dedup
 
 QUERIES = {
     "op1_flac": op1_flac,
     "op2_simhash": op2_simhash,
     "op3_mixing": op3_mixing,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_bpe": op5_bpe,
     "op6_token_counts": op6_token_counts,
     "op7_embedding_dedup": op7_embedding_dedup,
