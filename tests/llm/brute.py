@@ -28,3 +28,25 @@ def entropy(s: str) -> float:
 
 def top_entropy(s: str, window: int) -> float:
     return max([0.0, *(entropy(s[i : i + window]) for i in range(len(s) - window + 1))])
+
+
+def substring_dedup(docs: list[tuple[int | None, str | None]], window: int = 20) -> list[tuple[int | None, int, int, str]]:
+    """(doc_id, n_words, n_removed, kept_sha256) of each row."""
+    rows = [(i, (t or "").encode().split()) for i, t in docs]
+    rank = lambda i: (1 << 63) - 1 if i is None else i
+    least: dict[tuple, int] = {}
+    for i, words in rows:
+        for s in range(len(words) - window + 1):
+            w = tuple(words[s : s + window])
+            least[w] = min(least.get(w, rank(i)), rank(i))
+    out = []
+    for i, words in rows:
+        gone, seen = [False] * len(words), set()
+        for s in range(len(words) - window + 1):
+            w = tuple(words[s : s + window])
+            if least[w] < rank(i) or w in seen:
+                gone[s : s + window] = [True] * window
+            seen.add(w)
+        kept = b" ".join(w for w, g in zip(words, gone, strict=True) if not g)
+        out.append((i, len(words), sum(gone), hashlib.sha256(kept).hexdigest()))
+    return out
