@@ -15,6 +15,7 @@ import re
 from collections.abc import Iterator
 from functools import cached_property, lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -190,8 +191,8 @@ def decode(encoded: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), i
     return rows.mapInArrow(work, f"{kinds}, decoded string")
 
 
-def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row's ids, and of the text they decode to; rows as for `encode`.
+def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row's ids, and of the text they decode to; `with_ids`: and the ids. Rows as for `encode`.
 
     The ids of a text are decoded where they were encoded, so that one worker's vocabulary serves both.
     """
@@ -201,16 +202,20 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
         for whole in batches:
             for b in slices(whole, "text"):
-                counts, ids_sha, text_sha = [], [], []
+                counts, ids_sha, text_sha, all_ids = [], [], [], []
                 for text in b.column("text").to_pylist():
                     ids = own.encode(text)
                     counts.append(len(ids))
                     ids_sha.append(sha(" ".join(map(str, ids))))
                     text_sha.append(sha(own.decode(ids)))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                    all_ids.append(np.array(ids, np.int32))
+                columns = {"doc_id": b.column("doc_id"), "n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(text_sha, pa.string())}
+                if with_ids:
+                    columns["ids"] = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *counts]), pa.int32()), pa.array(np.concatenate(all_ids)))
+                yield pa.RecordBatch.from_pydict(columns)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInArrow(work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else ""))
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

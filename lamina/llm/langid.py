@@ -105,9 +105,9 @@ def predict(docs: DataFrame, langs: list[str], protos: np.ndarray, id_col: str =
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors = trigram_vectors(dimensions, seed)
         for whole in batches:
-            for b in slices(whole, "text"):
+            for b in slices(whole, "__text"):
                 names, scores = [], []
-                for text in b.column("text").to_pylist():
+                for text in b.column("__text").to_pylist():
                     counts = trigram_counts(text or "")
                     at = np.flatnonzero(counts)
                     best, score = UNKNOWN, 0.0
@@ -118,10 +118,10 @@ def predict(docs: DataFrame, langs: list[str], protos: np.ndarray, id_col: str =
                         best, score = langs[i], float(np.clip(cos[i], 0, 1))
                     names.append(best)
                     scores.append(score)
-                rest = [b.column(c) for c in b.schema.names if c != "text"]
-                yield pa.RecordBatch.from_arrays([*rest, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*[c for c in b.schema.names if c != "text"], "lang_pred", "score"])
+                rest = [b.column(c) for c in b.schema.names if c != "__text"]
+                yield pa.RecordBatch.from_arrays([*rest, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*[c for c in b.schema.names if c != "__text"], "lang_pred", "score"])
 
-    rows = docs.select(*[F.col(c) for c in keep], F.col(text_col).alias("text"))
+    rows = docs.select(*[F.col(c) for c in keep], F.col(text_col).alias("__text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1]) if keep else ""
     return rows.mapInArrow(work, f"{kinds}{', ' if kinds else ''}lang_pred string, score double")
 

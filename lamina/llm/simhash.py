@@ -38,9 +38,13 @@ def shingles(text: bytes, k: int) -> list[bytes]:
     return [joined[a:b] for a, b in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)]
 
 
-def fingerprint(text: bytes, k: int = 4, bits: int = 64) -> bytes:
-    """Big-endian SimHash of a text's shingles: XXH64 with seed 42 for 64 bits, else blocks of 128 bits of XXH3 with seeds from 42."""
+def fingerprint(text: bytes, k: int = 4, bits: int = 64, once: bool = False) -> bytes:
+    """Big-endian SimHash of a text's shingles, repeats included unless `once`.
+
+    A shingle's hash is its XXH64 with seed 42 for 64 bits, else blocks of 128 bits of XXH3 with seeds from 42.
+    """
     parts = shingles(text, k)
+    parts = list(dict.fromkeys(parts)) if once else parts
     if not parts:
         return bytes(bits // 8)
     ones = np.zeros(bits, np.int64)
@@ -54,7 +58,7 @@ def fingerprint(text: bytes, k: int = 4, bits: int = 64) -> bytes:
     return np.packbits(2 * ones > len(parts)).tobytes()
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, bits: int = 64) -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, bits: int = 64, once: bool = False) -> DataFrame:
     """(doc_id, fp binary, node long) for each row; a null text counts as empty, a null id stays null.
 
     `node` names the fingerprint in graphs: the 64 bits themselves, or for longer fingerprints their XXH64.
@@ -63,7 +67,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole, "text"):
-                fps = [fingerprint(t, k, bits) for t in b.column("text").to_pylist()]
+                fps = [fingerprint(t, k, bits, once) for t in b.column("text").to_pylist()]
                 nodes = np.frombuffer(b"".join(fps if bits == 64 else [xxhash.xxh64_digest(f) for f in fps]), ">i8").astype(np.int64)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps, pa.binary()), pa.array(nodes)], ["doc_id", "fp", "node"])
 
@@ -85,7 +89,7 @@ def pigeonhole(bits: int, radius: int, n: int) -> list[np.ndarray]:
 
 def sampled_keys(bits: int, agree: float, n: int, miss: float = 0.02, seed: int = 11) -> list[np.ndarray]:
     """Seeded random bit sets; fingerprints that agree in a share `agree` of their bits differ in every set with chance `miss` at most."""
-    size = max(12, math.ceil(math.log2(max(n, 1) / 4)))
+    size = max(12, math.ceil(math.log2(max(n, 1) / 32)))
     rng = np.random.default_rng(seed)
     return [rng.permutation(bits)[:size] for _ in range(math.ceil(math.log(miss) / math.log(1 - agree**size)))]
 
@@ -232,7 +236,7 @@ def links(fps: DataFrame, radius: int, keys: list[np.ndarray], bits: int, most:
 
 
 
-def near_duplicates(docs: DataFrame, k: int = 4, bits: int = 64, radius: int = 4, agree: float | None = None, most: int = 4096) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 4, bits: int = 64, radius: int = 4, agree: float | None = None, most: int = 4096, once: bool = False) -> DataFrame:
     """(doc_id, fp binary, component_id): documents whose fingerprints link, and through them, share a component.
 
     Two fingerprints link at `radius` differing bits or fewer. With `agree` unset the keys lose no such pair; with `agree`
@@ -243,7 +247,7 @@ def near_duplicates(docs: DataFrame, k: int = 4, bits: int = 64, radius: int = 4
     Rows with a null doc_id stay, take part and get their component's least id, null if it has none. An empty table gives
     an empty result; other columns are ignored.
     """
-    rows = cut(fingerprints(docs, k=k, bits=bits), "fingerprints")
+    rows = cut(fingerprints(docs, k=k, bits=bits, once=once), "fingerprints")
     fps = cut(rows.groupBy("fp", "node").agg(F.min("doc_id").alias("least")), "fps")
     n = fps.count()
     keys = pigeonhole(bits, radius, n) if agree is None else sampled_keys(bits, agree, n)
@@ -259,7 +263,7 @@ def near_duplicates(docs: DataFrame, k: int = 4, bits: int = 64, radius: int = 4
     linked = fps.join(label, fps["node"] == label["node"]).select("fp", "component", "least")
     least = linked.groupBy("component").agg(F.min("least").alias("first"))
     of = fps.select("fp", "least").join(linked.select("fp", "component").join(least, "component").select("fp", "first"), "fp", "left")
-    of = of.select("fp", F.coalesce("first", "least").alias("component_id"))
+    of = cut(of.select("fp", F.coalesce("first", "least").alias("component_id")), "of")
     return rows.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
