@@ -30,7 +30,7 @@ COVER = (0, 1, 3, 9)
 ANCHOR = WINDOW - PERIOD + 1
 BLOCK_BYTES = 1 << 20
 #: Text of the blocks that one task reads, about, and hashes that one bucket holds.
-TASK_BYTES = 24 << 20
+TASK_BYTES = 8 << 20
 BUCKET_BYTES = 8 << 20
 NO_ID = (1 << 63) - 1
 COPIES, ANCHORS, WINDOWS = 0, 1, 2
