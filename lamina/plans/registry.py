@@ -1,14 +1,623 @@
-"""Every query of the engine's own operators, by name, with the same query as DuckDB SQL."""
+"""Every query of the engine's own operators, by name, with the same query as DuckDB SQL.
+
+The vectors of `embeddings` play an image: point_id = vec_id on the grid of `lamina.sources.tables.grid`.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lamina.functions import aggregates, kernels, scalar, scaling
+from lamina.operators import components, embedding, graph, hierarchy, knn, similarity, sparse, walks
+from lamina.operators.paths import shortest_paths
+from lamina.plans.pipeline import build_hierarchy
+from lamina.scratch import cut
+from lamina.settings import HierarchySettings, KnnSettings, WalkSettings
+from lamina.sources import generators
+from lamina.sources.tables import grid, read_points
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+K = 11
+DIM = 64
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql.strip()
+        return f
+
+    return add
+
+
+def points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_points(spark, f"{sf_dir}/embeddings.parquet", "vec_id", "embedding")
+
+
+def shape(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
+    return grid(spark.read.parquet(f"{sf_dir}/embeddings.parquet").count())
+
+
+def edges(spark: SparkSession, sf_dir: str, k: int = K, metric: str = "L2") -> DataFrame:
+    return cut(knn.knn_exact(points(spark, sf_dir), k, metric), "edges")
+
+
+def r6(c: Column | str) -> Column:
+    return F.round(F.col(c) if isinstance(c, str) else c, 6)
+
+
+def linear_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deterministic row-stochastic rows that stand in for walks: the linear kernel of the neighbour graph."""
+    return cut(kernels.linear(edges(spark, sf_dir).toDF("row_id", "col_id", "rank", "dist")).withColumnRenamed("p", "value"), "rows")
+
+
+def level_one(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(membership of level 1, adjacency of pixels) after one merge by neighbourhood overlap."""
+    p, e = points(spark, sf_dir).select("point_id", "features"), edges(spark, sf_dir)
+    rows, cols = shape(spark, sf_dir)
+    adjacency = cut(scalar.pixel_neighbors(p, rows, cols), "adjacency")
+    members = p.select(F.col("point_id").alias("component_id"), "point_id")
+    parents = hierarchy.merge_level(members.select("component_id"), adjacency.toDF("component_id", "neighbor_id", "ord"), lambda pairs: similarity.overlap(pairs, members, e))
+    return cut(parents, "level1"), adjacency
+
+
+# SQL shared by the oracles
+
+G = """g AS (SELECT n, (SELECT min(d) FROM range(1, n + 1) t(d) WHERE d * d >= n AND n % d = 0) AS w FROM (SELECT count(*) AS n FROM embeddings)),
+pts AS (SELECT vec_id AS point_id, (vec_id // w)::BIGINT AS r, (vec_id % w)::BIGINT AS c, embedding::DOUBLE[] AS v FROM embeddings, g)"""
+
+
+def knn_sql(k: int = K, metric: str = "L2") -> str:
+    d = {"L2": "list_distance(a.v, b.v)", "COSINE": "1 - list_cosine_similarity(a.v, b.v)", "INNER_PRODUCT": "-list_inner_product(a.v, b.v)"}[metric]
+    own = f"CASE WHEN a.point_id = b.point_id THEN {'0' if metric != 'INNER_PRODUCT' else d} ELSE {d} END"
+    return f"""{G},
+edges AS (SELECT * FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY (src <> dst)::INT, dist, dst) - 1 AS rank, dist
+  FROM (SELECT a.point_id AS src, b.point_id AS dst, {own} AS dist FROM pts a, pts b)) WHERE rank < {k})"""
+
+
+STEPS = {"FOUR": scalar.FOUR, "EIGHT": scalar.EIGHT}
+
+
+def adjacency_sql(connection: str = "FOUR") -> str:
+    steps = ", ".join(f"({r}, {c}, {i})" for i, (r, c) in enumerate(STEPS[connection]))
+    return f"""adjacency AS (SELECT p.point_id, q.point_id AS neighbor_id, ord FROM pts p, (VALUES {steps}) s(dr, dc, ord), pts q WHERE q.r = p.r + dr AND q.c = p.c + dc)"""
+
+
+OVERLAP = f"""{knn_sql()}, {adjacency_sql()},
+counts AS (SELECT x.src AS a, y.src AS b, count(*) AS n FROM edges x JOIN edges y ON x.dst = y.dst GROUP BY ALL),
+measured AS (SELECT j.point_id, j.neighbor_id, ord, 1 - coalesce(n, 0) / {K}.0::DOUBLE AS dist FROM adjacency j LEFT JOIN counts ON a = j.point_id AND b = j.neighbor_id)"""
+
+LEVEL1 = f"""WITH RECURSIVE {OVERLAP},
+choice AS (SELECT point_id, neighbor_id FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY dist, ord) AS i FROM measured) WHERE i = 1),
+both_ways AS (SELECT point_id AS a, neighbor_id AS b FROM choice UNION SELECT neighbor_id, point_id FROM choice),
+reach AS (SELECT point_id AS a, point_id AS b FROM pts UNION SELECT reach.a, w.b FROM reach JOIN both_ways w ON reach.b = w.a),
+level1 AS (SELECT a AS point_id, dense_rank() OVER (ORDER BY min(b)) - 1 AS component_id FROM reach GROUP BY a)"""
+
+LINEAR = f"""{knn_sql()}, lin AS (SELECT src AS row_id, dst AS col_id, 1 / (1 + dist) / sum(1 / (1 + dist)) OVER (PARTITION BY src) AS p FROM edges WHERE src <> dst)"""
+PARENT = "// 4"
+
+
+# scans
+
+
+@query(f"WITH {G} SELECT point_id, i - 1 AS channel, round(v[i], 6) AS value FROM pts, range(1, {DIM + 1}) t(i)")
+def scan_points_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scaling.channels(points(spark, sf_dir)).select("point_id", F.col("channel").cast("long").alias("channel"), r6("value").alias("value"))
+
+
+@query(f"WITH {G} SELECT point_id, r AS row, c AS col FROM pts")
+def pixel_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return points(spark, sf_dir).select("point_id", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"))
+
+
+@query(f"WITH {G}, {adjacency_sql()} SELECT point_id, neighbor_id, ord::BIGINT AS ord FROM adjacency")
+def pixel_neighbors_4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scalar.pixel_neighbors(points(spark, sf_dir), *shape(spark, sf_dir), "FOUR").withColumn("ord", F.col("ord").cast("long"))
+
+
+@query(f"WITH {G}, {adjacency_sql('EIGHT')} SELECT point_id, neighbor_id, ord::BIGINT AS ord FROM adjacency")
+def pixel_neighbors_8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scalar.pixel_neighbors(points(spark, sf_dir), *shape(spark, sf_dir), "EIGHT").withColumn("ord", F.col("ord").cast("long"))
+
+
+# scaling
+
+LONG = f"WITH {G}, x AS (SELECT point_id, i - 1 AS channel, v[i] AS x FROM pts, range(1, {DIM + 1}) t(i))"
+
+
+def _long(df: DataFrame) -> DataFrame:
+    return scaling.channels(df).select("point_id", F.col("channel").cast("long").alias("channel"), r6("value").alias("value"))
+
+
+@query(f"{LONG} SELECT point_id, channel, round((x - avg(x) OVER (PARTITION BY channel)) / stddev_pop(x) OVER (PARTITION BY channel), 6) AS value FROM x")
+def scale_standard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _long(scaling.standard(points(spark, sf_dir)))
+
+
+@query(f"{LONG} SELECT point_id, channel, round(x / max(x) OVER (PARTITION BY channel), 6) AS value FROM x")
+def scale_uniform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _long(scaling.uniform(points(spark, sf_dir)))
+
+
+@query(f"{LONG}, q AS (SELECT quantile_cont(x, 0.95) AS q FROM x) SELECT point_id, channel, round(least(greatest(x, 0), q) / q, 6) AS value FROM x, q")
+def scale_robust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _long(scaling.robust(points(spark, sf_dir)))
+
+
+@query(f"{LONG} SELECT point_id, channel, round((x - min(x) OVER w) / (max(x) OVER w - min(x) OVER w), 6) AS value FROM x WINDOW w AS (PARTITION BY channel)")
+def scale_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _long(scaling.min_max(points(spark, sf_dir)))
+
+
+# neighbours
+
+
+def _knn(e: DataFrame) -> DataFrame:
+    return e.select("src", "dst", F.col("rank").cast("long").alias("rank"), r6("dist").alias("dist"))
+
+
+@query(f"WITH {knn_sql()} SELECT src, dst, rank, round(dist, 6) AS dist FROM edges")
+def knn_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _knn(knn.knn_exact(points(spark, sf_dir), K))
+
+
+@query(f"WITH {knn_sql(metric='COSINE')} SELECT src, dst, rank, round(dist, 6) AS dist FROM edges")
+def knn_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _knn(knn.knn_exact(points(spark, sf_dir), K, "COSINE"))
+
+
+@query(f"WITH {knn_sql(metric='INNER_PRODUCT')} SELECT src, dst, rank, round(dist, 6) AS dist FROM edges")
+def knn_inner_product(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _knn(knn.knn_exact(points(spark, sf_dir), K, "INNER_PRODUCT"))
+
+
+@query(f"""WITH {G} SELECT a.point_id AS src, b.point_id AS dst, round(list_distance(a.v, b.v), 6) AS dist FROM pts a, pts b WHERE a.point_id % 100 = 0 AND a.point_id <> b.point_id
+QUALIFY row_number() OVER (PARTITION BY a.point_id ORDER BY list_distance(a.v, b.v), b.point_id) <= 10""")
+def pairwise_l2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stated set of queries against all points, as generated code."""
+    p = points(spark, sf_dir).select("point_id", "features")
+    some = p.where("point_id % 100 = 0").select(F.col("point_id").alias("src"), F.col("features").alias("q"))
+    pairs = p.join(some, F.col("point_id") != F.col("src")).select("src", F.col("point_id").alias("dst"), scalar.l2(F.col("q"), F.col("features"), DIM).alias("dist"))
+    order = Window.partitionBy("src").orderBy("dist", "dst")
+    return pairs.withColumn("i", F.row_number().over(order)).where("i <= 10").select("src", "dst", r6("dist").alias("dist"))
+
+
+@query()
+def knn_ivf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _knn(knn.knn_cells(points(spark, sf_dir), K))
+
+
+# graphs
+
+
+@query(f"""WITH {knn_sql(5)}, m AS (SELECT src, dst, min(dist) AS dist FROM (SELECT src, dst, dist FROM edges UNION ALL SELECT dst, src, dist FROM edges) GROUP BY ALL)
+SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY (src <> dst)::INT, dist, dst) - 1 AS rank, round(dist, 6) AS dist FROM m""")
+def knn_symmetric_min(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _knn(graph.symmetric_min(edges(spark, sf_dir, 5)))
+
+
+@query(f"""WITH {knn_sql(5)}, m AS (SELECT src, dst, sum(dist) * 0.5 AS dist FROM (SELECT src, dst, dist FROM edges UNION ALL SELECT dst, src, dist FROM edges) GROUP BY src, dst)
+SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY (src <> dst)::INT, dist, dst) - 1 AS rank, round(dist, 6) AS dist FROM m""")
+def knn_symmetric_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _knn(graph.symmetric_mean(edges(spark, sf_dir, 5)))
+
+
+SYMMETRIC5 = f"{knn_sql(5)}, sym AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges)"
+
+
+@query(f"WITH {SYMMETRIC5} SELECT src, count(*) AS degree FROM sym GROUP BY src")
+def graph_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.degrees(graph.symmetric_min(edges(spark, sf_dir, 5)))
+
+
+@query(f"WITH {SYMMETRIC5}, d AS (SELECT src, count(*) AS degree FROM sym GROUP BY src) SELECT src, coalesce(sum(degree) OVER (ORDER BY src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS \"offset\" FROM d")
+def exclusive_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sparse.exclusive_offsets(graph.degrees(graph.symmetric_min(edges(spark, sf_dir, 5))))
+
+
+@query(f"WITH {knn_sql()}, x AS (SELECT dist FROM edges WHERE src <> dst), g2 AS (SELECT count(*) AS n FROM pts) SELECT count(*) AS nnz, count(*) FILTER (dist > 1.1) AS above, round(count(*) / any_value(n), 6) AS mean_row, round(1 - count(*) / (any_value(n)::DOUBLE * any_value(n)), 6) AS sparsity FROM x, g2")
+def graph_sparsity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, cols = shape(spark, sf_dir)
+    found = aggregates.sparsity(sparse.from_edges(edges(spark, sf_dir)), rows * cols, 1.1)
+    return found.select("nnz", "above", r6("mean_row").alias("mean_row"), r6("sparsity").alias("sparsity"))
+
+
+@query(f"""WITH RECURSIVE {knn_sql(2)}, w AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges),
+reach AS (SELECT a, b FROM w UNION SELECT reach.a, w.b FROM reach JOIN w ON reach.b = w.a)
+SELECT a AS node, dense_rank() OVER (ORDER BY min(b)) - 1 AS label FROM reach GROUP BY a""")
+def weak_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return components.weak_components(edges(spark, sf_dir, 2))
+
+
+@query(f"""WITH RECURSIVE {knn_sql(2)}, reach AS (SELECT src AS a, dst AS b FROM edges UNION SELECT reach.a, e.dst FROM reach JOIN edges e ON reach.b = e.src),
+mutual AS (SELECT x.a, x.b FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a)
+SELECT a AS node, dense_rank() OVER (ORDER BY min(b)) - 1 AS label FROM mutual GROUP BY a""")
+def strong_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return components.strong_components(edges(spark, sf_dir, 2))
+
+
+@query(f"WITH {G} SELECT label::BIGINT AS label, i - 1 AS dim, round(avg(embedding[i]::DOUBLE), 6) AS value FROM embeddings, range(1, {DIM + 1}) t(i) GROUP BY label, i")
+def component_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    labels = raw.select(F.col("vec_id").alias("node"), F.col("label").cast("long").alias("label"))
+    found = graph.centroids(points(spark, sf_dir), labels)
+    return found.select("label", F.posexplode("features").alias("dim", "value")).select("label", F.col("dim").cast("long").alias("dim"), r6("value").alias("value"))
+
+
+@query("""WITH p AS (SELECT vec_id, label::BIGINT AS label, embedding::DOUBLE[] AS v FROM embeddings WHERE label < 4)
+SELECT x.label AS a, y.label AS b, arg_min(x.vec_id, list_distance(x.v, y.v)) AS src, arg_min(y.vec_id, list_distance(x.v, y.v)) AS dst, round(min(list_distance(x.v, y.v)), 6) AS dist
+FROM p x JOIN p y ON x.label < y.label GROUP BY ALL""")
+def closest_pair_between_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("label < 4")
+    labels = raw.select(F.col("vec_id").alias("node"), F.col("label").cast("long").alias("label"))
+    pairs = scalar.pairs(labels.select("label").distinct(), "label")
+    return graph.closest_pairs(points(spark, sf_dir), labels, pairs).withColumn("dist", r6("dist"))
+
+
+@query()
+def connected_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _knn(graph.connected(points(spark, sf_dir), graph.symmetric_min(edges(spark, sf_dir, 2))))
+
+
+@query()
+def geodesic_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = cut(graph.symmetric_min(edges(spark, sf_dir)), "sym")
+    rows, cols = shape(spark, sf_dir)
+    near = scalar.pixel_neighbors(points(spark, sf_dir), rows, cols).where("point_id < neighbor_id")
+    return shortest_paths(e, near.select(F.col("point_id").alias("a"), F.col("neighbor_id").alias("b"))).withColumn("dist", r6("dist"))
+
+
+# distances between components
+
+
+@query(f"WITH {OVERLAP} SELECT point_id AS a, neighbor_id AS b, round(dist, 6) AS dist FROM measured WHERE point_id < neighbor_id")
+def overlap_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = points(spark, sf_dir)
+    pairs = scalar.pixel_neighbors(p, *shape(spark, sf_dir)).where("point_id < neighbor_id").select(F.col("point_id").alias("a"), F.col("neighbor_id").alias("b"))
+    return similarity.overlap(pairs, p.select(F.col("point_id").alias("component_id"), "point_id"), edges(spark, sf_dir)).withColumn("dist", r6("dist"))
+
+
+HALVES = f"""WITH {G}, m AS (SELECT point_id {PARENT} AS component_id, point_id, v FROM pts),
+d AS (SELECT x.component_id AS a, y.component_id AS b, x.point_id AS i, y.point_id AS j, list_distance(x.v, y.v) AS d FROM m x JOIN m y ON y.component_id = x.component_id + 1)"""
+
+
+@query(f"""{HALVES}, u AS (SELECT a, b, max(m) AS u FROM (SELECT a, b, i, min(d) AS m FROM d GROUP BY ALL) GROUP BY ALL),
+t AS (SELECT a, b, max(m) AS t FROM (SELECT a, b, j, min(d) AS m FROM d GROUP BY ALL) GROUP BY ALL)
+SELECT a, b, round(greatest(u, t), 6) AS dist FROM u JOIN t USING (a, b)""")
+def euclid_hausdorff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = points(spark, sf_dir)
+    members = p.select(F.floor(F.col("point_id") / 4).cast("long").alias("component_id"), "point_id")
+    ids = members.select("component_id").distinct()
+    pairs = ids.join(ids.select((F.col("component_id") - 1).alias("component_id"), F.lit(1).alias("x")), "component_id").select(F.col("component_id").alias("a"), (F.col("component_id") + 1).alias("b"))
+    return similarity.euclid(pairs, members, p).withColumn("dist", r6("dist"))
+
+
+PAIRS4 = f"{LINEAR}, {adjacency_sql()}, pairs AS (SELECT point_id AS a, neighbor_id AS b FROM adjacency WHERE point_id < neighbor_id)"
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = scalar.pixel_neighbors(points(spark, sf_dir), *shape(spark, sf_dir)).where("point_id < neighbor_id")
+    return near.select(F.col("point_id").alias("a"), F.col("neighbor_id").alias("b"))
+
+
+@query(f"WITH {PAIRS4} SELECT a, b, round(1 - coalesce(sum(sqrt(x.p * y.p)), 0), 6) AS dist FROM pairs LEFT JOIN lin x ON x.row_id = a LEFT JOIN lin y ON y.row_id = b AND y.col_id = x.col_id GROUP BY a, b")
+def bhattacharyya(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity.bhattacharyya(_pairs(spark, sf_dir), linear_walks(spark, sf_dir)).withColumn("dist", r6("dist"))
+
+
+@query(f"WITH {PAIRS4} SELECT a, b, round(1 - greatest(coalesce(x.p, 0), coalesce(y.p, 0)), 6) AS dist FROM pairs LEFT JOIN lin x ON x.row_id = a AND x.col_id = b LEFT JOIN lin y ON y.row_id = b AND y.col_id = a")
+def single_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity.single_overlap(_pairs(spark, sf_dir), linear_walks(spark, sf_dir)).withColumn("dist", r6("dist"))
+
+
+@query(f"""WITH {PAIRS4}, u AS (SELECT a, b, col_id, sum(p) AS p, sum(q) AS q FROM (
+  SELECT a, b, col_id, p, 0 AS q FROM pairs JOIN lin ON row_id = a UNION ALL SELECT a, b, col_id, 0, p FROM pairs JOIN lin ON row_id = b) GROUP BY ALL)
+SELECT a, b, round(sum(least(p, q)) / sum(greatest(p, q)), 6) AS value FROM u GROUP BY a, b""")
+def weighted_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity.weighted_jaccard(_pairs(spark, sf_dir), linear_walks(spark, sf_dir)).withColumn("value", r6("value"))
+
+
+# one level of the hierarchy
+
+
+def _distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, e = points(spark, sf_dir), edges(spark, sf_dir)
+    members = p.select(F.col("point_id").alias("component_id"), "point_id")
+    near = scalar.pixel_neighbors(p, *shape(spark, sf_dir)).toDF("component_id", "neighbor_id", "ord")
+    return cut(hierarchy.neighbor_distances(near, lambda pairs: similarity.overlap(pairs, members, e)), "distances")
+
+
+@query(f"WITH {OVERLAP} SELECT point_id AS component_id, neighbor_id FROM measured QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY dist, ord) = 1")
+def boruvka_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hierarchy.choose(_distances(spark, sf_dir), float("inf"))
+
+
+@query(f"WITH {OVERLAP} SELECT point_id AS component_id, neighbor_id FROM measured WHERE dist < 0.95")
+def merge_multiple_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hierarchy.choose(_distances(spark, sf_dir), 0.95, multiple=True)
+
+
+@query(f"""WITH {OVERLAP}, d AS (SELECT dist, row_number() OVER (ORDER BY dist) - 1 AS i, count(*) OVER () AS n FROM measured WHERE dist <> 0)
+SELECT round((min(dist) FILTER (i = floor(0.1 * (n - 1))) + min(dist) FILTER (i = ceil(0.1 * (n - 1)))) / 2, 6) AS quantile FROM d""")
+def merge_threshold_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregates.quantile(_distances(spark, sf_dir), "dist", 0.1, ignore=(0.0, -1.0)).select(r6("quantile").alias("quantile"))
+
+
+@query(f"{LEVEL1} SELECT point_id, component_id FROM level1")
+def level1_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return level_one(spark, sf_dir)[0].toDF("point_id", "component_id")
+
+
+@query(f"{LEVEL1} SELECT component_id, count(*) AS children, min(point_id) AS first_child FROM level1 GROUP BY component_id")
+def level1_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return level_one(spark, sf_dir)[0].groupBy(F.col("parent_id").alias("component_id")).agg(F.count("*").alias("children"), F.min("component_id").alias("first_child"))
+
+
+@query(f"{LEVEL1} SELECT DISTINCT x.component_id, y.component_id AS neighbor_id FROM adjacency j JOIN level1 x ON x.point_id = j.point_id JOIN level1 y ON y.point_id = j.neighbor_id WHERE x.component_id <> y.component_id")
+def level1_spatial_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parents, adjacency = level_one(spark, sf_dir)
+    return hierarchy.spatial_neighbors(adjacency, parents.toDF("point_id", "component_id")).select("component_id", "neighbor_id")
+
+
+@query(f"{LEVEL1} SELECT component_id FROM level1 GROUP BY component_id HAVING count(*) = 1")
+def not_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return level_one(spark, sf_dir)[0].groupBy(F.col("parent_id").alias("component_id")).agg(F.count("*").alias("n")).where("n = 1").select("component_id")
+
+
+@query(f"{LEVEL1} SELECT 0 AS level, count(*) AS num_components FROM level1 UNION ALL SELECT 1, count(DISTINCT component_id) FROM level1")
+def hierarchy_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, cols = shape(spark, sf_dir)
+    h, _ = build_hierarchy(points(spark, sf_dir), rows, cols, KnnSettings(k=K, index="BruteForce"), HierarchySettings(max_levels=1))
+    return hierarchy.level_stats(h).select("level", "num_components")
+
+
+@query()
+def hierarchy_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Membership on all levels."""
+    rows, cols = shape(spark, sf_dir)
+    h, _ = build_hierarchy(points(spark, sf_dir), rows, cols, KnnSettings(k=K, index="BruteForce"), HierarchySettings())
+    return h.table("membership")
+
+
+@query()
+def hierarchy_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, cols = shape(spark, sf_dir)
+    settings = HierarchySettings(similarity="NEIGH_WALKS", max_levels=3, walks=WalkSettings(num_walks=20, length=8, handling="MERGE_RW_NEW_WALKS"))
+    h, _ = build_hierarchy(points(spark, sf_dir), rows, cols, KnnSettings(k=K, index="BruteForce"), settings)
+    return h.table("walks").withColumn("value", r6("value"))
+
+
+# sparse matrices and kernels
+
+
+def _by_four(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return points(spark, sf_dir).select(F.col("point_id").alias("component_id"), F.floor(F.col("point_id") / 4).cast("long").alias("parent_id"))
+
+
+@query(f"WITH {LINEAR} SELECT row_id {PARENT} AS row_id, col_id {PARENT} AS col_id, round(sum(p), 6) AS value FROM lin GROUP BY 1, 2")
+def merge_walk_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sparse.merge_rows(linear_walks(spark, sf_dir), _by_four(spark, sf_dir)).withColumn("value", r6("value"))
+
+
+@query(f"""WITH {LINEAR}, w AS (SELECT row_id, count(*) AS w FROM lin GROUP BY 1), t AS (SELECT row_id {PARENT} AS row_id, sum(w) AS t FROM w GROUP BY 1)
+SELECT lin.row_id {PARENT} AS row_id, col_id {PARENT} AS col_id, round(sum(p * w) / any_value(t), 6) AS value FROM lin JOIN w USING (row_id) JOIN t ON t.row_id = lin.row_id {PARENT} GROUP BY 1, 2""")
+def merge_walk_rows_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sparse.merge_rows(linear_walks(spark, sf_dir), _by_four(spark, sf_dir), weight_by_row_nnz=True).withColumn("value", r6("value"))
+
+
+@query(f"""WITH {knn_sql()}, m AS (SELECT src {PARENT} AS src, dst {PARENT} AS dst, min(dist) AS dist FROM edges GROUP BY 1, 2 HAVING src {PARENT} <> dst {PARENT}
+UNION ALL SELECT DISTINCT point_id {PARENT}, point_id {PARENT}, 0 FROM pts)
+SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY (src <> dst)::INT, dist, dst) - 1 AS rank, round(dist, 6) AS dist FROM m""".replace(f"HAVING src {PARENT} <> dst {PARENT}", f"HAVING any_value(src) {PARENT} <> any_value(dst) {PARENT}"))
+def merge_graph_min(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _knn(sparse.merge_graph_min(edges(spark, sf_dir), _by_four(spark, sf_dir)))
+
+
+@query(f"WITH {LINEAR} SELECT row_id, col_id, round(p, 6) AS p FROM lin")
+def linear_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linear_walks(spark, sf_dir).select("row_id", "col_id", r6("value").alias("p"))
+
+
+@query()
+def gaussian_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kernels.gaussian(edges(spark, sf_dir).toDF("row_id", "col_id", "rank", "dist")).withColumn("p", r6("p"))
+
+
+@query()
+def exponential_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kernels.exponential(edges(spark, sf_dir).toDF("row_id", "col_id", "rank", "dist")).withColumn("p", r6("p"))
+
+
+@query(f"WITH {knn_sql()} SELECT src AS row_id, dst AS col_id, round(dist / sum(dist) OVER (PARTITION BY src), 6) AS value FROM edges WHERE src <> dst")
+def row_unit_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scaling.row_unit_sum(sparse.from_edges(edges(spark, sf_dir))).withColumn("value", r6("value"))
+
+
+@query(f"WITH {knn_sql()} SELECT src AS row_id, dst AS col_id, round(1000 * dist / sum(dist) OVER (), 6) AS value FROM edges WHERE src <> dst")
+def matrix_unit_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scaling.matrix_unit_sum(sparse.from_edges(edges(spark, sf_dir))).withColumn("value", r6(F.col("value") * 1000))
+
+
+@query(f"WITH {knn_sql()} SELECT src AS row_id, dst AS col_id, round((dist - min(dist) OVER w) / (max(dist) OVER w - min(dist) OVER w), 6) AS value FROM edges WHERE src <> dst WINDOW w AS (PARTITION BY src)")
+def row_min_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scaling.row_min_max(sparse.from_edges(edges(spark, sf_dir))).withColumn("value", r6("value"))
+
+
+BOTH = f"WITH {LINEAR}, u AS (SELECT row_id, col_id, sum(a) AS a, sum(b) AS b FROM (SELECT row_id, col_id, p AS a, 0 AS b FROM lin UNION ALL SELECT col_id, row_id, 0, p FROM lin) GROUP BY ALL)"
+
+
+@query(f"{BOTH} SELECT row_id, col_id, round((a + b) / 2, 6) AS p FROM u")
+def symmetrize_tsne(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kernels.symmetric_mean(linear_walks(spark, sf_dir).withColumnRenamed("value", "p")).withColumn("p", r6("p"))
+
+
+@query(f"{BOTH} SELECT row_id, col_id, round(a + b - a * b, 6) AS p FROM u")
+def symmetrize_umap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kernels.symmetric_union(linear_walks(spark, sf_dir).withColumnRenamed("value", "p")).withColumn("p", r6("p"))
+
+
+@query(f"WITH {LINEAR} SELECT row_id, col_id, round(p, 6) AS value FROM lin QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY p DESC, col_id) <= 3")
+def topk_sparse_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sparse.top_k(linear_walks(spark, sf_dir), 3).withColumn("value", r6("value"))
+
+
+@query(f"WITH {LINEAR} SELECT row_id, col_id, round(p, 6) AS value FROM lin QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY p, col_id) <= 3")
+def bottomk_sparse_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sparse.top_k(linear_walks(spark, sf_dir), 3, largest=False).withColumn("value", r6("value"))
+
+
+@query(f"WITH {knn_sql(2)}, m AS (SELECT src {PARENT} AS row_id, dst {PARENT} AS col_id, count(*) AS value FROM edges GROUP BY 1, 2), n AS (SELECT *, count(*) OVER (PARTITION BY row_id) AS n FROM m) SELECT row_id, col_id, value::DOUBLE AS value FROM n WHERE row_id <> col_id OR n = 1")
+def remove_diagonal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ones = edges(spark, sf_dir, 2).select(F.col("src").alias("row_id"), F.col("dst").alias("col_id"), F.lit(1.0).alias("value"))
+    return sparse.remove_diagonal(sparse.merge_rows(ones, _by_four(spark, sf_dir)))
+
+
+@query(f"WITH {LINEAR} SELECT col_id AS row_id, row_id AS col_id, round(p, 6) AS value FROM lin")
+def matrix_transpose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sparse.transpose(linear_walks(spark, sf_dir)).withColumn("value", r6("value"))
+
+
+@query(f"WITH {LINEAR} SELECT x.row_id, y.row_id AS col_id, round(greatest(-ln(sum(sqrt(x.p) * sqrt(y.p))), 0), 6) AS value FROM lin x JOIN lin y ON x.col_id = y.col_id AND x.row_id <> y.row_id GROUP BY ALL HAVING sum(sqrt(x.p) * sqrt(y.p)) > 1e-4")
+def pair_similarity_neglog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sparse.pair_similarity(linear_walks(spark, sf_dir)).withColumn("value", r6("value"))
+
+
+@query(f"""WITH {LINEAR}, own AS (SELECT row_id, col_id, p FROM lin WHERE row_id % 3 = 0 AND col_id % 3 = 0), t AS (SELECT sum(p) AS t, count(DISTINCT row_id) AS n FROM own)
+SELECT row_id, col_id, round(p * n / t, 6) AS value FROM own, t""")
+def sub_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = points(spark, sf_dir).where("point_id % 3 = 0").select(F.col("point_id").alias("row_id"))
+    return sparse.sub_matrix(linear_walks(spark, sf_dir), rows).withColumn("value", r6("value"))
+
+
+@query()
+def random_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    steps = linear_walks(spark, sf_dir).withColumnRenamed("value", "p")
+    return walks.random_walks(steps, WalkSettings(num_walks=50, length=10)).withColumn("value", r6("value"))
+
+
+# aggregates
+
+
+def lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+
+
+@query("SELECT CASE WHEN l_extendedprice < 5000 THEN -1 WHEN l_extendedprice > 50000 THEN 30 ELSE least(29, floor((l_extendedprice - 5000) / 45000 * 30)) END::BIGINT AS bin, count(*) AS count FROM lineitem GROUP BY 1")
+def histogram_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregates.histogram(lineitem(spark, sf_dir), "l_extendedprice", 30, 5000, 50000)
+
+
+@query("""WITH d AS (SELECT l_returnflag, l_quantity * 1.0 AS x, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY l_returnflag) AS n FROM lineitem WHERE l_quantity <> 50 WINDOW w AS (PARTITION BY l_returnflag ORDER BY l_quantity))
+SELECT l_returnflag, round((min(x) FILTER (i = floor(0.35 * (n - 1))) + min(x) FILTER (i = ceil(0.35 * (n - 1)))) / 2, 6)::DOUBLE AS quantile FROM d GROUP BY 1""")
+def quantile_midpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregates.quantile(lineitem(spark, sf_dir), "l_quantity", 0.35, ignore=(50.0,), by=("l_returnflag",)).withColumn("quantile", r6("quantile"))
+
+
+@query("SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.35), 4) AS quantile FROM lineitem GROUP BY 1")
+def quantile_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregates.quantile(lineitem(spark, sf_dir), "l_extendedprice", 0.35, "linear", by=("l_returnflag",)).withColumn("quantile", F.round("quantile", 4))
+
+
+@query("SELECT l_extendedprice FROM lineitem GROUP BY 1 HAVING count(*) = 1")
+def unique_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scalar.values_occurring_once(lineitem(spark, sf_dir), "l_extendedprice")
+
+
+@query("SELECT l_orderkey, l_linenumber, least(greatest(l_extendedprice, 10000.0), 40000.0)::DOUBLE AS price FROM lineitem")
+def value_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lineitem(spark, sf_dir).select("l_orderkey", "l_linenumber", scalar.clamp(F.col("l_extendedprice"), 10000.0, 40000.0).alias("price"))
+
+
+@query("SELECT l_orderkey, l_linenumber, round(1 / (1 + l_quantity), 6) AS invlin, round(1 / l_quantity, 6) AS inv, round(1 / (1 + exp(-l_discount)), 6) AS sigmoid, round(2 / (1 + exp(-3 * (l_discount - 0.05))), 6) AS logistic FROM lineitem")
+def scalar_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q, d = F.col("l_quantity"), F.col("l_discount")
+    return lineitem(spark, sf_dir).select("l_orderkey", "l_linenumber", r6(scalar.inverse_linear(q)).alias("invlin"), r6(scalar.inverse(q)).alias("inv"), r6(scalar.sigmoid(d)).alias("sigmoid"), r6(scalar.logistic(d, 2.0, 3.0, 0.05)).alias("logistic"))
+
+
+# layouts
+
+LAYOUT = "l AS (SELECT vec_id AS component_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings)"
+
+
+def _layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.col("features")
+    return points(spark, sf_dir).select(F.col("point_id").alias("component_id"), v[0].cast("double").alias("x"), v[1].cast("double").alias("y"))
+
+
+@query(f"WITH {LAYOUT} SELECT component_id {PARENT} AS component_id, round(avg(x), 6) AS x, round(avg(y), 6) AS y FROM l GROUP BY 1")
+def children_average_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding.children_average(_layout(spark, sf_dir), _by_four(spark, sf_dir)).select("component_id", r6("x").alias("x"), r6("y").alias("y"))
+
+
+@query(f"WITH {LAYOUT} SELECT round(least(min(x), 0), 6) AS x_min, round(greatest(max(x), 0), 6) AS x_max, round(least(min(y), 0), 6) AS y_min, round(greatest(max(y), 0), 6) AS y_max FROM l")
+def embedding_extents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding.extents(_layout(spark, sf_dir)).select(*[r6(c).alias(c) for c in ("x_min", "x_max", "y_min", "y_max")])
+
+
+@query(f"WITH {LAYOUT}, m AS (SELECT avg(x) AS m FROM l), d AS (SELECT component_id, x - m AS x, y - m AS y FROM l, m), t AS (SELECT max(greatest(abs(x), abs(y))) AS t FROM d) SELECT component_id, round(x / t, 6) AS x, round(y / t, 6) AS y FROM d, t")
+def embedding_scale_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding.scale_to_one(_layout(spark, sf_dir)).select("component_id", r6("x").alias("x"), r6("y").alias("y"))
+
+
+@query(f"WITH {LAYOUT}, s AS (SELECT stddev_pop(x) AS s FROM l) SELECT component_id, round(x / s, 6) AS x, round(y / s, 6) AS y FROM l, s")
+def embedding_scale_std(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding.scale_to_deviation(_layout(spark, sf_dir), 1.0).select("component_id", r6("x").alias("x"), r6("y").alias("y"))
+
+
+def _graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kernels.symmetric_mean(kernels.gaussian(edges(spark, sf_dir).toDF("row_id", "col_id", "rank", "dist")))
+
+
+@query()
+def pca_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding.pca(points(spark, sf_dir)).select("point_id", r6("x").alias("x"), r6("y").alias("y"))
+
+
+@query()
+def spectral_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding.spectral(_graph(spark, sf_dir))
+
+
+@query()
+def tsne_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding.tsne(_graph(spark, sf_dir), 100)
+
+
+@query()
+def umap_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fuzzy = kernels.symmetric_union(kernels.exponential(edges(spark, sf_dir).toDF("row_id", "col_id", "rank", "dist")))
+    return embedding.umap(fuzzy, 100)
+
+
+# generators
+
+
+@query()
+def generate_swiss_roll(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generators.swiss_roll(spark, 2000, 0.1)
+
+
+@query()
+def generate_s_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generators.s_curve(spark, 2000, 0.1)
+
+
+@query()
+def generate_gaussians(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generators.gaussians(spark, 2000, [(0, 0, 0), (9, 0, 0), (0, 9, 0)])
+
+
+@query()
+def generate_uniform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generators.uniform_points(spark, 2000, 8)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id")
+    """The regions that one merge by neighbourhood overlap makes of all points."""
+    return level1_membership(spark, sf_dir)
