@@ -22,11 +22,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lamina.llm.common import read, slices
+from lamina.llm.common import bound_batches, read, slices
 
 LEAF = 512
 #: Words that a worker remembers before it starts anew, and the longest of them.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 LONGEST = 64
 #: Characters whose classes, case and normal form all Unicode versions share: Latin, Cyrillic, and common punctuation.
 PLAIN = re.compile("[\t-\r -~\xa0-įı-ɏЀ-џ‐-‧‰-⁞€]*")
@@ -173,7 +173,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([encode(t) for t in b.column("text").to_pylist()], pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInArrow(work, "doc_id long, ids array<int>")
+    return bound_batches(rows).mapInArrow(work, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), ids_col: str = "ids") -> DataFrame:
@@ -215,7 +215,7 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                 yield pa.RecordBatch.from_pydict(columns)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInArrow(work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else ""))
+    return bound_batches(rows).mapInArrow(work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else ""))
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

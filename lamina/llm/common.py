@@ -2,55 +2,34 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-#: A word is a run of anything but ASCII white space; `bytes.split()` uses just this set.
-WORD = r"[^\x20\x09-\x0D]+"
+from lamina.scratch import clear_scratch, cut, shared_dir
 
-MASK64 = (1 << 64) - 1
+__all__ = ["WORD", "bound_batches", "clear_scratch", "cut", "read", "runs", "shared_dir", "slices"]
 
+#: A word is a run of anything but ASCII white space; `bytes.split()` uses just this set.
+WORD = r"[^\x20\x09-\x0D]+"
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="lamina-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` as a table in the shared folder and read it back: ends the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lamina-scratch/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def clear_scratch(spark: SparkSession) -> None:
-    """Delete every table that `cut` left; call it when all results have been written."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/lamina-scratch")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def narrow(df: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns, so that extra columns of any name can't clash with what an operator adds."""
-    return df.select(*[F.col(f"`{n}`") for n in names])
+#: Rows of an Arrow batch, at most: texts are long, and a batch of the default 10,000 lies in memory several times over.
+BATCH_ROWS = 1000
 
 
-def in_partitions(df: DataFrame, schema: str, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
-    return df.mapInArrow(work, schema)
+def bound_batches(df: DataFrame) -> DataFrame:
+    """Lower the session's Arrow batch size to BATCH_ROWS if it is larger; it stays so for later queries."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = int(df.sparkSession.conf.get(key))
+    if rows <= 0 or rows > BATCH_ROWS:
+        df.sparkSession.conf.set(key, str(BATCH_ROWS))
+    return df
 
 
 def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 8 << 20, most_rows: int = 4096) -> Iterator[pa.RecordBatch]:
@@ -58,7 +37,7 @@ def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 8 << 20, most_r
     col = batch.column(column)
     if batch.num_rows == 0:
         return
-    offsets = np.cumsum([0, *[len(x) if x is not None else 0 for x in (v.as_py() for v in col)]]) if not hasattr(col, "buffers") else _offsets(col)
+    offsets = _offsets(col)
     start = 0
     while start < batch.num_rows:
         end = int(np.searchsorted(offsets, offsets[start] + most_bytes, side="right")) - 1

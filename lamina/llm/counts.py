@@ -17,7 +17,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm.common import read, slices
+from lamina.llm.common import bound_batches, read, slices
 
 SPACE = "▁"
 #: Counts that a worker remembers before it starts anew.
@@ -103,7 +103,7 @@ def count_tokens(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
-    return rows.mapInArrow(work, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
+    return bound_batches(rows).mapInArrow(work, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

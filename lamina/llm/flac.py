@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm.common import read, slices
+from lamina.llm.common import bound_batches, read, slices
 
 BLOCK = 1024
 LONG_BLOCK = 32768
@@ -473,7 +473,7 @@ def write_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(map(len, texts), pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    return rows.mapInArrow(work, "doc_id long, n_bytes long, media binary")
+    return bound_batches(rows).mapInArrow(work, "doc_id long, n_bytes long, media binary")
 
 
 def read_blocks(media: DataFrame, first: int = 0, samples: int | None = None) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamina.llm.common import cut, read
-from lamina.llm.components import components
+from lamina.operators.components import components
 
 TREES = 8
 LEAF = 512

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm.common import read, slices
+from lamina.llm.common import bound_batches, read, slices
 
 #: Classes of characters: 0 for anything but a letter, a to z, and five for other letters, by code point.
 OTHERS = 5
@@ -84,7 +84,7 @@ def learn(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(counts[at])], ["lang", "trigram", "n"])
 
     rows = docs.where(train).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
-    counts = rows.mapInArrow(work, "lang string, trigram long, n long").groupBy("lang", "trigram").agg(F.sum("n").alias("n")).toPandas()
+    counts = bound_batches(rows).mapInArrow(work, "lang string, trigram long, n long").groupBy("lang", "trigram").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(counts["lang"].unique())
     vectors = trigram_vectors(dimensions, seed).astype(np.float64)
     protos = np.zeros((len(langs), dimensions))
@@ -101,13 +101,14 @@ def predict(docs: DataFrame, langs: list[str], protos: np.ndarray, id_col: str =
     Null text, text without letters, or nothing learned: `und` with score 0. Ties go to the language first by code point.
     """
     bundle = protos.astype(np.float32)
+    own = text_col if text_col in keep else "__text"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors = trigram_vectors(dimensions, seed)
         for whole in batches:
-            for b in slices(whole, "__text"):
+            for b in slices(whole, own):
                 names, scores = [], []
-                for text in b.column("__text").to_pylist():
+                for text in b.column(own).to_pylist():
                     counts = trigram_counts(text or "")
                     at = np.flatnonzero(counts)
                     best, score = UNKNOWN, 0.0
@@ -118,12 +119,11 @@ def predict(docs: DataFrame, langs: list[str], protos: np.ndarray, id_col: str =
                         best, score = langs[i], float(np.clip(cos[i], 0, 1))
                     names.append(best)
                     scores.append(score)
-                rest = [b.column(c) for c in b.schema.names if c != "__text"]
-                yield pa.RecordBatch.from_arrays([*rest, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*[c for c in b.schema.names if c != "__text"], "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*keep, "lang_pred", "score"])
 
-    rows = docs.select(*[F.col(c) for c in keep], F.col(text_col).alias("__text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1]) if keep else ""
-    return rows.mapInArrow(work, f"{kinds}{', ' if kinds else ''}lang_pred string, score double")
+    rows = docs.select(*keep, *([] if text_col in keep else [F.col(text_col).alias("__text")]))
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
+    return bound_batches(rows).mapInArrow(work, f"{kinds}{', ' if kinds else ''}lang_pred string, score double")
 
 
 def held_out(id_col: str = "doc_id") -> Column:

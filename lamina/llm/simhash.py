@@ -18,10 +18,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm.common import cut, read, runs, slices
-from lamina.llm.components import components
+from lamina.llm.common import bound_batches, cut, read, runs, slices
+from lamina.operators.components import components
 
-FRONTIER = 1 << 21  # (query, node) pairs that a search holds at once, about
+FRONTIER = 1 << 18  # (query, node) pairs that a search holds at once, about
 
 
 def shingles(text: bytes, k: int) -> list[bytes]:
@@ -72,7 +72,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps, pa.binary()), pa.array(nodes)], ["doc_id", "fp", "node"])
 
     some = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    return some.mapInArrow(work, "doc_id long, fp binary, node long")
+    return bound_batches(some).mapInArrow(work, "doc_id long, fp binary, node long")
 
 
 def pigeonhole(bits: int, radius: int, n: int) -> list[np.ndarray]:

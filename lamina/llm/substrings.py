@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm.common import cut, read, runs, shared_dir, slices
+from lamina.llm.common import bound_batches, cut, read, runs, shared_dir, slices
 
 WINDOW = 20
 PERIOD = 13
@@ -48,7 +48,7 @@ def pack(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -> DataF
                 block += 1
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    return rows.mapInArrow(work, "block long, ids array<long>, texts array<binary>")
+    return bound_batches(rows).mapInArrow(work, "block long, ids array<long>, texts array<binary>")
 
 
 class Words:
