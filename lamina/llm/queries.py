@@ -26,4 +26,56 @@ QUERIES = {
     "op10_secrets": op10_secrets,
 }
 
-ORACLES: dict[str, str] = {}
+# Oracles: SQL that knows nothing of anchors, trees or counts kept along a window.
+
+_SUBSTRINGS = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+starts AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS s FROM w WHERE len(ws) >= 20),
+win AS (SELECT doc_id, s, sha256(array_to_string(ws[s:s + 19], ' ')) AS h FROM starts),
+late AS (SELECT doc_id, s FROM win QUALIFY row_number() OVER (PARTITION BY h ORDER BY doc_id, s) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS i FROM late),
+words AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM w),
+kept AS (SELECT doc_id, count(gone.i) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (gone.i IS NULL) AS text FROM words LEFT JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT w.doc_id, len(ws) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
+"""
+
+_EMBEDDINGS = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id <> y.vec_id AND list_cosine_similarity(x.e, y.e) >= 0.95),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+c AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+n AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)
+"""
+
+
+def _spans_sql() -> str:
+    """Matches of every kind with their places, from the texts between them; entropies of windows from whole counts."""
+    from lamina.llm import secrets
+
+    quoted = lambda p: "'" + p.replace("'", "''") + "'"
+    patterns = [secrets.ASSIGN, secrets.ACCESS, secrets.HEX, *[p for p, _ in secrets.CLASSES.values()]]
+    bits = [None, None, None, *[b for _, b in secrets.CLASSES.values()]]
+    allowed = " OR ".join(f"regexp_matches(m, {quoted(p)})" for p in secrets.ALLOWED)
+    parts = []
+    for kind, (name, pattern, least) in enumerate(zip(secrets.KINDS, patterns, bits, strict=True)):
+        group = f"len(regexp_extract(m, {quoted(pattern)}, 2)) >= 6" if name == "assign" else "true"
+        if least is not None:
+            window = f"list_max(list_transform(range(1, len(m) - {secrets.WINDOW - 2}), lambda i: list_aggregate(string_split(substr(m, i, {secrets.WINDOW}), ''), 'entropy')))"
+            group = f"NOT ({allowed}) AND {window} >= {least}"
+        parts.append(f"""SELECT doc_id, {kind} AS kind, '{name}' AS name, s AS "start", s + len(m) AS "end" FROM (
+SELECT doc_id, m, sum(len(gap)) OVER w + coalesce(sum(len(m)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM (
+SELECT doc_id, unnest(range(len(ms))) AS i, unnest(ms) AS m, unnest(gaps[1:len(ms)]) AS gap FROM (
+SELECT doc_id, regexp_extract_all(t, {quoted(pattern)}) AS ms, string_split_regex(t, {quoted(pattern)}) AS gaps FROM d)) WINDOW w AS (PARTITION BY doc_id ORDER BY i)) WHERE {group}""")
+    line = lambda where: f"""string_agg(name || ':' || "start"::BIGINT || ':' || "end"::BIGINT, ',' ORDER BY "start", kind) FILTER ({where})"""
+    count = lambda k: f"coalesce(count(*) FILTER (kind = {k}), 0) AS n_{secrets.KINDS[k]}"
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), spans AS ({' UNION ALL '.join(parts)})
+SELECT d.doc_id, {count(0)}, {count(1)}, {count(2)}, sha256(coalesce({line('kind < 3')}, '')) AS base_sha256, coalesce({line('kind >= 0')}, '') AS spans
+FROM d LEFT JOIN spans USING (doc_id) GROUP BY d.doc_id"""
+
+
+ORACLES: dict[str, str] = {
+    "op4_substring_dedup": _SUBSTRINGS.strip(),
+    "op7_embedding_dedup": _EMBEDDINGS.strip(),
+    "op10_secrets": _spans_sql(),
+}

@@ -23,13 +23,12 @@ HEX = r"[0-9a-f]{24,}"
 WINDOW = 24
 #: Class of characters: candidate pattern, entropy in bits that some window must reach.
 CLASSES = {"entropy64": (r"[A-Za-z0-9+/_=-]{24,}", 3.9), "entropyhex": (r"[0-9A-Fa-f]{24,}", 3.0)}
-#: Forms that are no secrets: no digit; a UUID; words or numbers joined by dashes, underscores or slashes; a character repeated.
+#: Forms that are no secrets: no digit; a UUID; words or numbers joined by dashes, underscores or slashes.
 ALLOWED = (
     r"^[^0-9]*$",
     r"^[0-9]*$",
     r"^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$",
     r"^(?:[A-Za-z]+|[0-9]+)(?:[-_/=+](?:[A-Za-z]+|[0-9]+))+$",
-    r"(.)\1{7}",
 )
 
 #: start, the kind's place in KINDS, end: in code points, end exclusive. In this order they sort as wanted.
@@ -90,12 +89,16 @@ def base_spans(text: Column) -> Column:
     )
 
 
+def _high(hits: Column, least: float) -> Column:
+    """Of each candidate whether it counts as a secret."""
+    return F.transform(hits, lambda h: F.when(allowed(h), F.lit(False)).otherwise(top_entropy(h) >= least))
+
+
 def entropy_spans(text: Column) -> Column:
     none = F.array().cast(SPANS)
     parts = []
     for kind, (pattern, least) in CLASSES.items():
-        hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-        high = F.transform(hits, lambda h, least=least: F.when(allowed(h), F.lit(False)).otherwise(top_entropy(h) >= least))
+        high = _high(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), least)
         parts.append(F.when(text.rlike(pattern), places(text, pattern, kind, high)).otherwise(none))
     return F.concat(*parts)
 
