@@ -103,7 +103,7 @@ def uniform_integer(low: int, high: int, seed: int, *key: Column) -> Column:
 
 def uniform(seed: int, *key: Column) -> Column:
     """A seeded number from 0 to below 1 for each key."""
-    return F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    return F.pmod(F.xxhash64(F.lit(seed).cast("long"), *key), F.lit(1 << 52)) / F.lit(float(1 << 52))
 
 
 def in_disc(radius: float, seed: int, *key: Column) -> tuple[Column, Column]:

@@ -117,7 +117,7 @@ def _by_joins(steps: DataFrame, starts: DataFrame, s: WalkSettings) -> DataFrame
     """A table of walkers, one row each, joined with the rows they stand on, step by step."""
     upto = F.sum("p").over(Window.partitionBy("row_id").orderBy("col_id"))
     rows = cut(steps.withColumn("upto", upto).groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("col_id", "upto"))).alias("out")), "rows")
-    at = starts.select(F.col("row_id").alias("start"), F.explode(F.sequence(F.lit(0), F.lit(s.num_walks - 1))).cast("long").alias("walk")).withColumn("at", F.col("start"))
+    at = starts.select(F.col("row_id").alias("start"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(s.num_walks - 1).cast("long"))).alias("walk")).withColumn("at", F.col("start"))
     visits = None
     for step in range(s.length):
         u = uniform(s.seed, F.col("start"), F.col("walk"), F.lit(step).cast("long"))
