@@ -48,10 +48,12 @@ class Counter:
 
     def merged(self, part: str) -> int:
         """The count of a part that starts a word: `part` follows one space mark."""
+        if not part:
+            return 1  # the space mark alone
         pieces = [part] if self.alone is None else self.alone.split(part)
         if len(pieces) == 1:
             return len(self.model.encode(part))
-        total = self.of(self.first, pieces[0], lambda s: len(self.model.encode(s)) if s else 1)
+        total = self.of(self.first, pieces[0], self.merged)
         for s in pieces[1:]:
             if s:
                 total += self.of(self.inner, s, lambda s: len(self.model.encode(self.mark + s)) - self.behind)

@@ -50,3 +50,30 @@ def substring_dedup(docs: list[tuple[int | None, str | None]], window: int = 20)
         kept = b" ".join(w for w, g in zip(words, gone, strict=True) if not g)
         out.append((i, len(words), sum(gone), hashlib.sha256(kept).hexdigest()))
     return out
+
+
+def simhash(text: str | None, k: int = 4) -> int:
+    import xxhash
+
+    words = (text or "").encode().lower().split()
+    if not words:
+        return 0
+    hashes = [xxhash.xxh64_intdigest(b" ".join(words[i : i + k]), 42) for i in range(max(1, len(words) - k + 1))]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def linked(keys: list[int], near) -> list[int]:
+    """The least index that each key reaches over near pairs."""
+    up = list(range(len(keys)))
+
+    def find(i: int) -> int:
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in range(len(keys)):
+        for j in range(i):
+            if near(keys[i], keys[j]):
+                a, b = find(i), find(j)
+                up[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(keys))]

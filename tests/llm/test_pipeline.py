@@ -1,0 +1,65 @@
+"""The pipeline, stage by stage, and its queries."""
+
+import random
+
+import corpus_pipeline as pipeline
+import pytest
+from pyspark.sql import functions as F
+
+from lamina.llm import mixing
+from lamina.llm.queries import ORACLES, QUERIES
+
+
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    """A small corpus with planted copies, secrets, and texts in no language."""
+    rng = random.Random(11)
+    words = {"en": ["the", "and", "with", "house", "thing", "other"], "de": ["der", "und", "nicht", "haus", "straße", "ober"]}
+    rows = []
+    for i in range(120):
+        lang = ["en", "de"][i % 2]
+        rows.append((i, " ".join(rng.choice(words[lang]) + rng.choice(["", "s", "en"]) for _ in range(120)), lang, f"s{i % 4}"))
+    rows += [(200 + i, rows[i][1], "en", "s0") for i in range(5)]
+    rows += [(210 + i, rows[10 + i][1] + " tail", "en", "s1") for i in range(5)]
+    rows.append((300, rows[20][1] + " password=abcdef123456", "en", "s2"))
+    rows += [(310, "12345 67890 !!!", "en", "s2"), (311, None, "en", None), (312, "", None, "s3")]
+    path = tmp_path_factory.mktemp("corpus")
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("n_chars", F.length("text").cast("long"))
+    df.write.parquet(f"{path}/documents.parquet")
+    return str(path)
+
+
+def test_each_stage_does_its_part(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    names = [n for n, _ in pipeline.STAGES]
+    assert names == ["language", "near_duplicates", "secrets", "mixing", "tokens"]
+    seen = [docs]
+    for name, stage in pipeline.STAGES:
+        out = pipeline.cut(stage(spark, seen[-1], folder), name)
+        if name != "tokens":
+            assert out.dtypes == docs.dtypes
+        seen.append(out)
+    ids = [{r["doc_id"] for r in df.select("doc_id").collect()} for df in seen]
+    assert ids[0] - ids[1] == {310, 311, 312}
+    assert ids[1] - ids[2] == {200, 201, 202, 203, 204, 210, 211, 212, 213, 214, 300}
+    assert ids[3] == ids[2]
+    assert seen[3].join(seen[2], "doc_id").where(seen[3]["text"] != seen[2]["text"]).isEmpty()
+    words = lambda df: df.agg(F.sum(F.size(F.split("text", " ")))).first()[0]
+    copies = mixing.mix(seen[3]).agg(F.sum("mix_copies"), F.sum(F.col("mix_copies") * F.col("mix_size"))).first()
+    assert seen[4].count() == copies[0] and words(seen[4]) == copies[1]
+    assert seen[5].count() == seen[4].count() and set(seen[5].columns) == {"doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"}
+
+
+def test_secrets_are_masked_and_lengths_follow(spark):
+    rows = [(1, "my password=abcdef123456 here", "en", "s", 29), (2, "clean", "en", "s", 5), (3, None, None, None, None)]
+    out = pipeline.mask_secrets(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "")
+    assert sorted(map(tuple, out.select("doc_id", "text", "n_chars").collect()), key=lambda r: r[0]) == [(1, "my [SECRET] here", 16), (2, "clean", 5), (3, None, None)]
+
+
+def test_run_is_the_stages(spark, folder):
+    assert pipeline.run(spark, folder).count() > 0
+
+
+def test_queries_are_named_for_their_operators():
+    assert [int(n[2:].split("_")[0]) for n in QUERIES] == list(range(1, 11))
+    assert set(ORACLES) <= set(QUERIES)
