@@ -1,6 +1,6 @@
 """BPE encoding and decoding; long unsplit text is encoded by tree concatenation.
 
-A text is normalised and split as its tokenizer file says; the words' ids are remembered. A part without any split
+A text is normalised and split as its tokenizer file says; the pieces' ids are remembered. A part without any split
 that is longer than LEAF is cut into leaves, which are encoded together, in parallel. Neighbours are then joined, pair by pair, up
 a tree: around each join a growing window is encoded anew until its ends agree with both sides, that is until each token at
 the window's edge and its outer neighbour encode, joined, to just these two. A row of tokens in which all neighbours
@@ -25,8 +25,8 @@ from tokenizers import Tokenizer
 from lamina.llm.common import bound_batches, read, slices
 
 LEAF = 512
-#: Words that a worker remembers before it starts anew, and the longest of them.
-REMEMBERED = 100_000
+#: Pieces that a worker remembers before it forgets those not seen of late, and the longest of them.
+REMEMBERED = 200_000
 LONGEST = 64
 #: Characters whose classes, case and normal form all Unicode versions share: Latin, Cyrillic, and common punctuation.
 PLAIN = re.compile("[\t-\r -~\xa0-įı-ɏЀ-џ‐-‧‰-⁞€]*")
@@ -60,7 +60,13 @@ class Codec:
         self.specials = re.compile("|".join(map(re.escape, self.special)) or "(?!)")
         self.names = {i: t for t, i in self.whole.get_vocab(with_added_tokens=True).items()}
         self.letters = byte_letters()
-        self.known: dict[str, list[int]] = {}
+        size = max(self.names) + 1
+        self.kind = np.dtype(np.uint16 if size <= 1 << 16 else np.uint32)
+        self.tokens = [self.names.get(i, "") for i in range(size)]
+        self.digits = [str(i) for i in range(size)]
+        self.last_of_word = np.array([bool(self.suffix) and t.endswith(self.suffix) for t in self.tokens])
+        self.known: dict[str, bytes] = {}  # the ids of words, packed
+        self.older: dict[str, bytes] = {}
 
     # one unsplit part; the tokenizers for it are built when the first one comes
 
@@ -122,19 +128,31 @@ class Codec:
             out += self.part("".join([self.letters[x] for x in piece.encode()]))
         return out
 
-    def plain(self, text: str) -> list[int]:
-        out, known = [], self.known
-        for w in text.lower().split():
-            ids = known.get(w)
-            if ids is None:
-                ids = self.word(w)
-                if len(w) <= LONGEST:
-                    if len(known) > REMEMBERED:
-                        known.clear()
-                    known[w] = ids
-            out += ids
+    def learn(self, pieces: list[str]) -> dict[str, bytes]:
+        """The packed ids of pieces not remembered, encoded in one call, a space apart: each ends with a token that ends words."""
+        short = [p for p in pieces if len(p) <= LONGEST]
+        out = {p: np.array(self.word(p), self.kind).tobytes() for p in pieces if len(p) > LONGEST}
+        ids = np.array(self.whole.encode(" ".join(short), add_special_tokens=False).ids, self.kind)
+        ends = (np.flatnonzero(self.last_of_word[ids]) + 1).tolist()
+        if len(ends) != len(short):
+            return out | {p: np.array(self.word(p), self.kind).tobytes() for p in short}
+        packed, size = ids.tobytes(), self.kind.itemsize
+        out.update({p: packed[a * size : b * size] for p, a, b in zip(short, [0, *ends], ends, strict=False)})
         return out
 
+    def plain(self, text: str) -> list[int]:
+        pieces = self.split.findall(text.lower())
+        try:
+            packed = b"".join(map(self.known.__getitem__, pieces))
+        except KeyError:
+            own = {p: self.known.get(p) or self.older.get(p) for p in dict.fromkeys(pieces)}
+            own.update(self.learn([p for p, ids in own.items() if ids is None]))
+            if len(self.known) > REMEMBERED:  # the pieces of late stay for another turn
+                self.known, self.older = {}, self.known
+            self.known.update({p: ids for p, ids in own.items() if len(p) <= LONGEST})
+            packed = b"".join(map(own.__getitem__, pieces))
+        return np.frombuffer(packed, self.kind).tolist()
+
     def encode(self, text: str) -> list[int]:
         out, at = [], 0
         for m in [*self.specials.finditer(text), None]:
@@ -152,7 +170,7 @@ class Codec:
 
     def decode(self, ids: list[int]) -> str:
         """The tokens' strings, with a space between: the file names no decoder that would join them otherwise."""
-        return " ".join(map(self.names.__getitem__, ids)) if self.whole.decoder is None else self.whole.decode(ids, skip_special_tokens=False)
+        return " ".join(map(self.tokens.__getitem__, ids)) if self.whole.decoder is None else self.whole.decode(ids, skip_special_tokens=False)
 
 
 @lru_cache(4)
@@ -206,7 +224,7 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                 for text in b.column("text").to_pylist():
                     ids = own.encode(text)
                     counts.append(len(ids))
-                    ids_sha.append(sha(" ".join(map(str, ids))))
+                    ids_sha.append(sha(" ".join(map(own.digits.__getitem__, ids))))
                     text_sha.append(sha(own.decode(ids)))
                     all_ids.append(np.array(ids, np.int32))
                 columns = {"doc_id": b.column("doc_id"), "n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(text_sha, pa.string())}
