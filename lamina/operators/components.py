@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,8 +44,81 @@ def labelled(found: DataFrame) -> DataFrame:
     return found.join(names, "component").select("node", "label")
 
 
-def weak_components(edges: DataFrame) -> DataFrame:
+#: Graphs of so many edges at most (16 bytes each) are labelled in the driver, where a round costs no job; larger ones by joins.
+SMALL = 100_000
+
+
+def _small(edges: DataFrame, small: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """The ends of all edges if there are `small` at most."""
+    t = edges.select("src", "dst").where("src is not null and dst is not null").limit(small + 1).toArrow() if small else None
+    if t is None or t.num_rows > small:
+        return None
+    return t.column("src").to_numpy().astype(np.int64), t.column("dst").to_numpy().astype(np.int64)
+
+
+def _labels(edges: DataFrame, nodes: np.ndarray, least: np.ndarray) -> DataFrame:
+    """(node, label) from the least member of each node's component."""
+    table = pa.table({"node": pa.array(nodes, pa.int64()), "label": pa.array(np.unique(least, return_inverse=True)[1], pa.int64())})
+    return edges.sparkSession.createDataFrame(table)
+
+
+def _tarjan(n: int, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
+    """The least member of each node's strong component."""
+    order = np.argsort(src, kind="stable")
+    first = np.searchsorted(src[order], np.arange(n + 1)).tolist()
+    to = dst[order].tolist()
+    index, low, least = [-1] * n, [0] * n, np.zeros(n, np.int64)
+    held, inside, count = [], [False] * n, 0
+    for root in range(n):
+        if index[root] >= 0:
+            continue
+        index[root] = low[root] = count
+        count += 1
+        held.append(root)
+        inside[root] = True
+        path = [(root, first[root])]
+        while path:
+            v, at = path.pop()
+            if at < first[v + 1]:
+                path.append((v, at + 1))
+                w = to[at]
+                if index[w] < 0:
+                    index[w] = low[w] = count
+                    count += 1
+                    held.append(w)
+                    inside[w] = True
+                    path.append((w, first[w]))
+                elif inside[w]:
+                    low[v] = min(low[v], index[w])
+                continue
+            if path:
+                low[path[-1][0]] = min(low[path[-1][0]], low[v])
+            if low[v] == index[v]:
+                cut_at = len(held) - 1 - held[::-1].index(v)
+                own = held[cut_at:]
+                del held[cut_at:]
+                for w in own:
+                    inside[w] = False
+                least[own] = min(own)
+    return least
+
+
+def weak_components(edges: DataFrame, small: int = SMALL) -> DataFrame:
     """(node, label) of a graph (src, dst), directions ignored."""
+    ends = _small(edges, small)
+    if ends is not None:
+        nodes, at = np.unique(np.concatenate(ends), return_inverse=True)
+        a, b = at[: len(ends[0])], at[len(ends[0]) :]
+        label = np.arange(len(nodes))
+        while len(a):
+            before = label.copy()
+            low = np.minimum(label[a], label[b])
+            np.minimum.at(label, a, low)
+            np.minimum.at(label, b, low)
+            label = label[label]
+            if (label == before).all():
+                break
+        return _labels(edges, nodes, label)
     return labelled(components(edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))))
 
 
@@ -60,13 +135,17 @@ def _reach(edges: DataFrame, nodes: DataFrame, max_rounds: int) -> DataFrame:
     raise RuntimeError(f"reachability did not settle in {max_rounds} rounds")
 
 
-def strong_components(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def strong_components(edges: DataFrame, max_rounds: int = 10_000, small: int = SMALL) -> DataFrame:
     """(node, label) of a directed graph (src, dst): nodes that reach each other share a label, numbered by least node.
 
     Forward and backward: every node takes the least node that reaches it; of the nodes so coloured, those that reach
     the colour's own node form its component. They are taken out and the rest is done again. Each round settles a component in
     every colour.
     """
+    ends = _small(edges, small)
+    if ends is not None:
+        nodes, at = np.unique(np.concatenate(ends), return_inverse=True)
+        return _labels(edges, nodes, _tarjan(len(nodes), at[: len(ends[0])], at[len(ends[0]) :]))
     e = cut(edges.select("src", "dst").distinct(), "edges")
     left = cut(e.select(F.col("src").alias("node")).union(e.select("dst")).distinct(), "nodes")
     done = None

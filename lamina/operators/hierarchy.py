@@ -13,7 +13,7 @@ from lamina.functions.aggregates import quantile
 from lamina.functions.scalar import pixel_neighbors
 from lamina.functions.scaling import matrix_unit_sum, row_unit_sum
 from lamina.operators import similarity
-from lamina.operators.components import components, labelled
+from lamina.operators.components import weak_components
 from lamina.operators.sparse import merge_graph_min, merge_rows, remove_diagonal
 from lamina.operators.walks import random_walks
 from lamina.scratch import cut
@@ -102,8 +102,8 @@ def forced(distances: DataFrame, chosen: DataFrame, seed: int) -> DataFrame:
 
 def merged(ids: DataFrame, choices: DataFrame) -> DataFrame:
     """(component_id, parent_id): choices joined up; parents are numbered from 0 by their least member."""
-    loops = ids.select(F.col("component_id").alias("a"), F.col("component_id").alias("b"))
-    return labelled(components(choices.select(F.col("component_id").alias("a"), F.col("neighbor_id").alias("b")).union(loops))).select(F.col("node").alias("component_id"), F.col("label").alias("parent_id"))
+    loops = ids.select(F.col("component_id").alias("src"), F.col("component_id").alias("dst"))
+    return weak_components(choices.select(F.col("component_id").alias("src"), F.col("neighbor_id").alias("dst")).union(loops)).select(F.col("node").alias("component_id"), F.col("label").alias("parent_id"))
 
 
 def walk_length(s: WalkSettings, rate: float, current: int) -> int:

@@ -19,18 +19,22 @@ def labels(df):
     return {r["node"]: r["label"] for r in df.collect()}
 
 
-def test_weak_and_strong_components(spark):
+@pytest.mark.parametrize("small", [0, 100])
+def test_weak_and_strong_components(spark, small):
     e = table(spark, [(0, 1), (1, 2), (2, 0), (2, 3), (3, 4), (4, 3), (5, 6), (7, 7)])
-    assert labels(components.weak_components(e)) == {0: 0, 1: 0, 2: 0, 3: 0, 4: 0, 5: 1, 6: 1, 7: 2}
-    assert labels(components.strong_components(e)) == {0: 0, 1: 0, 2: 0, 3: 1, 4: 1, 5: 2, 6: 3, 7: 4}
+    assert labels(components.weak_components(e, small=small)) == {0: 0, 1: 0, 2: 0, 3: 0, 4: 0, 5: 1, 6: 1, 7: 2}
+    assert labels(components.strong_components(e, small=small)) == {0: 0, 1: 0, 2: 0, 3: 1, 4: 1, 5: 2, 6: 3, 7: 4}
 
 
 def test_components_of_long_paths_and_nothing(spark):
     ids = list(range(200))
     random.Random(1).shuffle(ids)
     e = table(spark, list(itertools.pairwise(ids)))
-    assert set(labels(components.weak_components(e)).values()) == {0}
-    assert labels(components.weak_components(table(spark, []))) == {}
+    for small in (0, 1000):
+        assert set(labels(components.weak_components(e, small=small)).values()) == {0}
+        assert labels(components.weak_components(table(spark, []), small=small)) == {}
+        assert labels(components.strong_components(table(spark, []), small=small)) == {}
+    assert len(set(labels(components.strong_components(e, small=1000)).values())) == 200
 
 
 def test_components_agree_with_a_search(spark):
@@ -124,8 +128,9 @@ def test_shortest_paths_both_ways_of_computing(spark, monkeypatch):
     both = [(a, b) for a in range(0, 30, 7) for b in range(0, 30, 5)]
     pairs = spark.createDataFrame(both, "a long, b long")
     want = {p: (0.0 if p[0] == p[1] else shortest(raw, *p)) for p in both}
-    for most in (paths.MOST_EDGES, 1):
+    for most, at_once in ((paths.MOST_EDGES, paths.ROUND_EDGES), (paths.MOST_EDGES, 0), (1, 0)):
         monkeypatch.setattr(paths, "MOST_EDGES", most)
+        monkeypatch.setattr(paths, "ROUND_EDGES", at_once)
         found = {(r["a"], r["b"]): r["dist"] for r in paths.shortest_paths(e, pairs).collect()}
         assert found.keys() == want.keys()
         for p, d in found.items():
