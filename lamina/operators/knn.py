@@ -97,7 +97,7 @@ def knn_exact(points: DataFrame, k: int, metric: str = "L2", block: int | None =
     """
     one_of("metric", metric, METRICS)
     n = points.count()
-    many = max(1, math.ceil(n / block)) if block else max(min(8, math.ceil(n / 64)), math.ceil(n / BLOCK))
+    many = max(1, math.ceil(n / block)) if block else max(min(8, math.ceil(n / 512)), math.ceil(n / BLOCK))
     blocks = cut(_blocks(points, many), "blocks")
     pairs = blocks.select(F.col("ids").alias("a_ids"), F.col("xs").alias("a_xs")).crossJoin(blocks.select(F.col("ids").alias("b_ids"), F.col("xs").alias("b_xs")))
 
