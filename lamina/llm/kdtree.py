@@ -1,7 +1,7 @@
 """Sharding by a k-d tree: nodes split at weighted medians of the widest metadata dimension until each leaf is one shard.
 
 Everything is DataFrame expressions. Each level takes three grouped sums over a narrow table, none with more
-groups than nodes x BINS: the spread of each dimension in each node, the bytes by bin of the widest one, and the bytes by hash bin of
+groups than nodes x CLASSES: the spread of each dimension in each node, the bytes by bin of the widest one, and the bytes by class of
 the rows in the bin where the median falls (so that rows alike in every dimension still part evenly). Only the splits,
 one row a node, reach the driver.
 """
@@ -13,7 +13,12 @@ from pyspark.sql import functions as F
 
 from lamina.llm.common import cut, read
 
-BINS = 4096
+#: Bins along a dimension, fewer for nodes of few rows. Rows of the bin with the median are ordered by class: large ones first, so that the split falls between
+#: small ones, and by hash among rows of like size.
+BINS = 64
+ROWS_A_BIN = 16
+HASHES = 128
+CLASSES = 32 * HASHES
 OVERHEAD = 16
 #: Rows of a shard are numbered within so many parts, each ranked alone.
 PARTS = 256
@@ -24,6 +29,10 @@ def _fraction(of: Column) -> Column:
     return F.pmod(F.xxhash64(of), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
+def _class() -> Column:
+    return ((31 - F.least(F.floor(F.log2("size")), F.lit(31))) * HASHES + F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(HASHES))).cast("int")
+
+
 def metadata(docs: DataFrame) -> DataFrame:
     """(doc_id, size, text_crc32, h, d0 to d3): log size, source and language (hashed), and id; nulls lie at -0.1 or, for the id, before all."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -37,7 +46,7 @@ def metadata(docs: DataFrame) -> DataFrame:
         label("source").alias("d1"),
         label("lang").alias("d2"),
         F.coalesce(F.col("doc_id").cast("double"), F.lit(-1.0)).alias("d3"),
-    ).withColumn("h", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(BINS)).cast("int"))
+    ).withColumn("h", _class())
 
 
 def _table(spark: SparkSession, rows: list[tuple], columns: str) -> DataFrame:
@@ -49,8 +58,8 @@ def _table(spark: SparkSession, rows: list[tuple], columns: str) -> DataFrame:
     return spark.sql(f"SELECT * FROM VALUES {', '.join(f'({", ".join(map(text, r))})' for r in rows)} AS t({', '.join(columns.replace(',', '').split()[::2])})")
 
 
-def _bin(value: Column, low: Column, high: Column) -> Column:
-    return F.when(high > low, F.least(F.lit(BINS - 1), F.floor((value - low) / (high - low) * BINS))).otherwise(F.lit(0)).cast("int")
+def _bin(value: Column, low: Column, high: Column, bins: Column) -> Column:
+    return F.when(high > low, F.least(bins - 1, F.floor((value - low) / (high - low) * bins))).otherwise(F.lit(0)).cast("int")
 
 
 def _crossing(sums: DataFrame, bin_col: str) -> dict[int, tuple[int, int, int]]:
@@ -71,23 +80,23 @@ def assign(rows: DataFrame, shards: int, dims: tuple[str, ...] = ("d0", "d1", "d
     value = F.element_at(F.array(*dims), F.col("dim"))
     leaves, placed = {0: shards}, rows.withColumn("node", F.lit(0))
     while any(k > 1 for k in leaves.values()):
-        boxes = placed.groupBy("node").agg(F.sum("size").alias("bytes"), *[F.min(d).alias(f"a_{d}") for d in dims], *[F.max(d).alias(f"z_{d}") for d in dims]).collect()
+        boxes = placed.groupBy("node").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"), *[F.min(d).alias(f"a_{d}") for d in dims], *[F.max(d).alias(f"z_{d}") for d in dims]).collect()
         plan = []
         for box in boxes:
             n = box["node"]
             if leaves[n] > 1:
                 d = max(dims, key=lambda d: (box[f"z_{d}"] - box[f"a_{d}"]) / scale[d])
-                plan.append((n, dims.index(d) + 1, box[f"a_{d}"], box[f"z_{d}"], box["bytes"] * (leaves[n] // 2) // leaves[n]))
-        nodes = _table(spark, plan, "node int, dim int, low double, high double, want long")
-        binned = placed.join(F.broadcast(nodes), "node").select("node", "size", "h", "want", _bin(value, F.col("low"), F.col("high")).alias("bin"))
+                plan.append((n, dims.index(d) + 1, box[f"a_{d}"], box[f"z_{d}"], max(1, min(BINS, box["rows"] // ROWS_A_BIN)), box["bytes"] * (leaves[n] // 2) // leaves[n]))
+        nodes = _table(spark, plan, "node int, dim int, low double, high double, bins int, want long")
+        binned = placed.join(F.broadcast(nodes), "node").select("node", "size", "h", "want", _bin(value, F.col("low"), F.col("high"), F.col("bins")).alias("bin"))
         at = _crossing(binned.groupBy("node", "bin").agg(F.sum("size").alias("bytes"), F.first("want").alias("want")), "bin")
         medians = _table(spark, [(n, b, rest) for n, (b, rest, _) in at.items()], "node int, bin int, rest long")
         inside = binned.drop("want").join(F.broadcast(medians), ["node", "bin"])
         fine = _crossing(inside.groupBy("node", "h").agg(F.sum("size").alias("bytes"), F.first("rest").alias("want")), "h")
-        # the hash bin on the median goes to the side that comes nearer
-        splits = [(n, dim, low, high, at[n][0], fine[n][0] + (2 * fine[n][1] > fine[n][2]), leaves[n] // 2) for n, dim, low, high, _ in plan]
-        table = _table(spark, splits, "node int, dim int, low double, high double, bin int, hash int, half int")
-        slot = _bin(value, F.col("low"), F.col("high"))
+        # the class on the median goes to the side that comes nearer
+        splits = [(n, dim, low, high, bins, at[n][0], fine[n][0] + (2 * fine[n][1] > fine[n][2]), leaves[n] // 2) for n, dim, low, high, bins, _ in plan]
+        table = _table(spark, splits, "node int, dim int, low double, high double, bins int, bin int, hash int, half int")
+        slot = _bin(value, F.col("low"), F.col("high"), F.col("bins"))
         right = (slot > F.col("bin")) | ((slot == F.col("bin")) & (F.col("h") >= F.col("hash")))
         moved = placed.join(F.broadcast(table), "node", "left").withColumn("node", F.col("node") + F.when(right, F.col("half")).otherwise(0))
         placed = moved.select(*rows.columns, "node")
@@ -110,8 +119,8 @@ def shard(docs: DataFrame, shards: int = 40) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) for each row; the law is `bytes`.
 
     Null texts count as empty; null ids, sources and languages have places of their own; repeated rows each get a slot. Rows
-    of an empty table: none. Extra columns are ignored. A shard's bytes differ from the mean by about the largest document
-    and a 4096th of its ancestors' bytes.
+    of an empty table: none. Extra columns are ignored. A shard's bytes differ from the mean by about a small document
+    and a small share of its ancestors' bytes.
     """
     rows = cut(metadata(docs), "metadata")
     placed = cut(assign(rows, shards).select("doc_id", "size", "text_crc32", "shard"), "shards")
