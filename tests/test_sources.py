@@ -125,3 +125,21 @@ def test_every_sql_names_a_query_and_entry_runs(spark):
     assert set(e.oracle_sql()) <= set(e.queries())
     assert set(registry.ORACLES) <= set(registry.QUERIES)
     assert e.entry(spark).agg(F.count("*")).first()[0] == 500
+
+
+def test_stages_are_loaded_only_if_nothing_before_them_changed(spark, tmp_path):
+    from lamina.plans.stages import Stages, fingerprint
+
+    calls = []
+
+    def build(n):
+        calls.append(n)
+        return spark.range(n)
+
+    df = spark.range(5)
+    assert fingerprint(df) == fingerprint(df.repartition(3)) != fingerprint(spark.range(6))
+    for k in (3, 3, 4):
+        s = Stages(spark, str(tmp_path), fingerprint(df))
+        assert s.table("knn", KnnSettings(k=k), lambda k=k: build(k)).count() == k
+        assert s.table("levels", LevelSettings(), lambda k=k: build(k + 1)).count() == k + 1
+    assert calls == [3, 4, 4, 5]
