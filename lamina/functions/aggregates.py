@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lamina.scratch import cut
+
 
 def quantile(df: DataFrame, column: str, q: float, interpolation: str = "midpoint", ignore: tuple[float, ...] = (), by: tuple[str, ...] = ()) -> DataFrame:
     """(by, quantile): exact, at place q * (n - 1). `linear` weighs the two values there, `midpoint` takes their mean if they are two.
@@ -22,11 +24,14 @@ def quantile(df: DataFrame, column: str, q: float, interpolation: str = "midpoin
     place = (F.col("_n") - 1) * F.lit(q)
     whole = F.abs(place - F.round(place)) < 1e-9
     ranks = n.select(*by, F.when(whole, F.round(place)).otherwise(F.floor(place)).cast("long").alias("_lo"), F.when(whole, F.round(place)).otherwise(F.ceil(place)).cast("long").alias("_hi"))
-    from pyspark.sql import Window
-
-    window = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    ranked = rows.where(value.isNotNull()).groupBy(*by, value.alias("_v")).agg(F.count("*").alias("_c"))
-    upto = ranked.withColumn("_end", F.sum("_c").over(window.orderBy("_v"))).withColumn("_start", F.col("_end") - F.col("_c"))
+    counted = rows.where(value.isNotNull()).groupBy(*by, value.alias("_v")).agg(F.count("*").alias("_c"))
+    if by:
+        upto = counted.withColumn("_end", F.sum("_c").over(Window.partitionBy(*by).orderBy("_v")))
+    else:  # ranges of values are summed up apart, so that no task sees all values
+        dealt = cut(counted.repartitionByRange("_v").withColumn("_range", F.spark_partition_id()), "quantile")
+        before = dealt.groupBy("_range").agg(F.sum("_c").alias("_own")).select("_range", (F.sum("_own").over(Window.orderBy("_range")) - F.col("_own")).alias("_before"))
+        upto = dealt.join(F.broadcast(before), "_range").withColumn("_end", F.col("_before") + F.sum("_c").over(Window.partitionBy("_range").orderBy("_v")))
+    upto = upto.withColumn("_start", F.col("_end") - F.col("_c"))
     both = upto.join(ranks, list(by)) if by else upto.crossJoin(F.broadcast(ranks))
     at = lambda r: F.max(F.when((F.col("_start") <= F.col(r)) & (F.col(r) < F.col("_end")), F.col("_v")))
     return both.groupBy(*by).agg(((at("_lo") + at("_hi")) / 2).alias("quantile"))
