@@ -378,6 +378,25 @@ def hierarchy_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy.level_stats(h).select("level", "num_components")
 
 
+LEVEL2 = f"""{LEVEL1},
+touch AS (SELECT DISTINCT x.component_id AS a, y.component_id AS b FROM adjacency j JOIN level1 x ON x.point_id = j.point_id JOIN level1 y ON y.point_id = j.neighbor_id WHERE x.component_id <> y.component_id),
+u AS (SELECT DISTINCT component_id, dst FROM level1 JOIN edges ON src = point_id),
+un AS (SELECT component_id, count(*) AS n FROM u GROUP BY 1),
+shared AS (SELECT x.component_id AS a, y.component_id AS b, count(*) AS n FROM u x JOIN u y USING (dst) GROUP BY ALL),
+measured2 AS (SELECT touch.a, touch.b, 1 - coalesce(shared.n, 0) / least(p.n, q.n)::DOUBLE AS dist FROM touch JOIN un p ON p.component_id = touch.a JOIN un q ON q.component_id = touch.b LEFT JOIN shared ON shared.a = touch.a AND shared.b = touch.b),
+choice2 AS (SELECT a, b FROM measured2 QUALIFY row_number() OVER (PARTITION BY a ORDER BY dist, b) = 1),
+ways2 AS (SELECT a, b FROM choice2 UNION SELECT b, a FROM choice2),
+reach2 AS (SELECT DISTINCT component_id AS a, component_id AS b FROM level1 UNION SELECT reach2.a, w.b FROM reach2 JOIN ways2 w ON reach2.b = w.a),
+level2 AS (SELECT a AS child_id, dense_rank() OVER (ORDER BY min(b)) - 1 AS component_id FROM reach2 GROUP BY a)"""
+
+
+@query(f"{LEVEL2} SELECT point_id, level2.component_id FROM level1 JOIN level2 ON child_id = level1.component_id")
+def level2_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, cols = shape(spark, sf_dir)
+    h, _ = build_hierarchy(points(spark, sf_dir), rows, cols, KnnSettings(k=K, index="BruteForce"), HierarchySettings(max_levels=2))
+    return h.membership[2].select("point_id", "component_id")
+
+
 @query()
 def hierarchy_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Membership on all levels."""

@@ -143,3 +143,20 @@ def test_stages_are_loaded_only_if_nothing_before_them_changed(spark, tmp_path):
         assert s.table("knn", KnnSettings(k=k), lambda k=k: build(k)).count() == k
         assert s.table("levels", LevelSettings(), lambda k=k: build(k + 1)).count() == k + 1
     assert calls == [3, 4, 4, 5]
+
+
+@pytest.mark.parametrize("similarity", ["NEIGH_OVERLAP", "EUCLID_CENTROID"])
+def test_large_levels_measure_likely_pairs_only(spark, monkeypatch, similarity):
+    points = generators.gaussians(spark, 120, [(0, 0, 0), (9, 0, 0), (0, 9, 0)]).select("point_id", "features")
+    settings = HierarchySettings(similarity=similarity, max_levels=1)
+    h, edges = pipeline.build_hierarchy(points, 10, 12, KnnSettings(k=6), settings)
+    whole = levels.candidates(h, 1, points, edges, similarity, 3)
+    assert whole.count() == h.sizes[1] * (h.sizes[1] - 1) // 2
+    monkeypatch.setattr(levels, "ALL_PAIRS", 1)
+    some = levels.candidates(h, 1, points, edges, similarity, 3)
+    assert 0 < some.count() < whole.count() and some.where("a >= b").isEmpty()
+    if similarity == "NEIGH_OVERLAP":
+        rest = whole.join(some, ["a", "b"], "left_anti")
+        from lamina.operators.similarity import overlap
+
+        assert overlap(rest, h.membership[1].select("component_id", "point_id"), edges).where("dist < 1").isEmpty()
