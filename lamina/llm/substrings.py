@@ -234,7 +234,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block
     name = f"lamina_blocks_{uuid.uuid4().hex}"
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    files = max(parts, -(-size // TASK_BYTES))
+    files = min(max(parts, -(-size // TASK_BYTES)), int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))
     pack(docs, id_col, text_col, block_bytes).write.bucketBy(files, "block").option("path", f"{shared_dir(spark)}/lamina-scratch/{name}").saveAsTable(name)
     blocks = spark.table(name)
     per_byte = 8 * len(COVER) / PERIOD / 6  # bytes of anchors a byte of text, about
