@@ -14,7 +14,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for each node of `edges` (a, b long): component is the least node reachable either way.
 
     Alternates large-star and small-star steps: each is one grouped minimum (combined before the shuffle) and one
-    join on the same key (which adaptive execution splits where a hub is hot). Rounds are logarithmic in the longest path;
+    join on the same key. The minima are tables, so that both sides of the join are plain exchanges, which adaptive execution splits where
+    a hub is hot. Rounds are logarithmic in the longest path;
     each ends in a table in the shared folder. Self loops make their node known. Empty edges give an empty table.
     """
     e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u is not null and v is not null").distinct(), "edges")
@@ -23,9 +24,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     before = None
     for _ in range(max_rounds):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+        least = cut(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "least")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = cut(large, "large")
+        least = cut(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         e = cut(small.where("u <> v").distinct(), "stars")
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003), F.count_distinct("u")).first()
