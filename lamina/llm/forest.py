@@ -4,6 +4,10 @@ Each tree splits at the median of a random projection, level by level; vectors w
 sides. Medians are fitted on a bounded sample, yet every vector is routed. Vectors that share a leaf of any tree are compared in
 double precision, and those at or over the threshold link. Equal vectors are routed once. A pair that meets in several leaves counts in the least of
 them, which both vectors' lists of leaves tell, so a leaf returns a count and a root for each vector and never its pairs.
+
+Groups that outgrow a leaf never meet the trees. The sample shows where they are: a pivot amid each, whose core are the vectors within
+the threshold's angle of it. What links with a vector of the core lies within twice that angle, in the shell. Core and shell are
+compared whole, in pairs of blocks that go to many tasks; the trees get the vectors outside all cores.
 """
 
 from __future__ import annotations
@@ -26,6 +30,12 @@ SPILL = 0.05
 #: Vectors that the medians are fitted on, at most; trees get no deeper than 16 sampled vectors a leaf allow.
 SAMPLE = 131_072
 BLOCK = 1024
+#: Sampled vectors that show a group, at least.
+SEEN = 32
+#: A core or shell is cut into about so many blocks, of so many vectors at least and at most.
+CUTS, LEAST, MOST = 8, 1024, 16_384
+#: For rounding, in radians.
+SLACK = 1e-6
 
 
 def packed(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -92,6 +102,141 @@ class Forest:
         return np.concatenate(rows), np.concatenate(names)
 
 
+def pivots(sample: np.ndarray, n: int, threshold: float, leaf: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors amid the groups of about 2 * `leaf` or more of the `n` vectors, and which of the sample are in no core.
+
+    A group that outgrows a leaf fills whole leaves of a tree, so each leaf offers its sampled vector with most links; the mean of what
+    that links with is the pivot, unless the vector's own core is larger.
+    """
+    least = max(SEEN, math.ceil(2 * leaf * len(sample) / max(n, 1)))
+    free = np.ones(len(sample), bool)
+    found: list[np.ndarray] = []
+    if len(sample) < least:
+        return np.zeros((0, sample.shape[1])), free
+    row, name = Forest(sample, n, sample.shape[1], 1, leaf, 0.0, seed).leaves(sample)
+    order = np.argsort(name, kind="stable")
+    nodes = np.split(row[order], np.flatnonzero(np.diff(name[order])) + 1)
+    radius = math.cos(min(math.acos(max(-1.0, min(1.0, threshold))) + SLACK, math.pi))
+    more = True
+    while more:
+        more = False
+        for node in nodes:
+            own = node[free[node]][: 2 * leaf]
+            if len(own) < SEEN // 4:
+                continue
+            x = sample[own]
+            links = (x @ x.T >= threshold).sum(1)
+            if links.max() < SEEN // 4:
+                continue
+            one = x[links.argmax()]
+            core = free & (sample @ one >= radius)
+            middle = sample[core].sum(0)
+            middle /= np.linalg.norm(middle)
+            wide = free & (sample @ middle >= radius)
+            pivot, core = (middle, wide) if wide.sum() >= core.sum() else (one, core)
+            if core.sum() >= least:
+                found.append(pivot)
+                free &= ~core
+                more = True
+    return np.array(found).reshape(len(found), sample.shape[1]), free
+
+
+def _cores(x: np.ndarray, centre: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first pivot whose core each unit vector is in (-1: none), and (row, pivot) of every shell that it is in."""
+    if not len(centre):
+        return np.full(len(x), -1), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    angle = math.acos(max(-1.0, min(1.0, threshold))) + SLACK
+    p = x @ centre.T
+    inside = p >= math.cos(min(angle, math.pi))
+    core = np.where(inside.any(1), inside.argmax(1), -1)
+    row, pivot = np.nonzero(p >= math.cos(min(2 * angle, math.pi)))
+    return core, row, pivot
+
+
+def _tile_links(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) links that join what the tile `near` joins."""
+    rows, cols = near.shape
+    big = rows + cols
+    left, right = np.where(near.any(1), np.arange(rows), big), np.full(cols, big)
+    while True:
+        right = np.minimum(right, np.where(near, left[:, None], big).min(0))
+        new = np.minimum(left, np.where(near, right[None], big).min(1))
+        if (new == left).all():
+            break
+        left = new
+    return left, right
+
+
+def _in_blocks(threshold: float, dim: int):
+    """Links of a block of a core with a block of its shell."""
+
+    def work(table: pa.Table) -> pa.Table:
+        ids, n = table.column("id").to_numpy(), table.column("n").to_numpy().astype(np.float64)
+        inner, mine = np.asarray(table.column("inner").to_pylist(), bool), np.asarray(table.column("mine").to_pylist(), bool)
+        x = _unit(table.column("vec").to_pylist(), dim)
+        a, b = np.flatnonzero(mine), np.flatnonzero(~mine)
+        count = np.zeros(len(ids))
+        ends: list[tuple[np.ndarray, np.ndarray]] = []
+        for s in range(0, len(a), BLOCK):
+            p = a[s : s + BLOCK]
+            for t in range(0, len(b), BLOCK):
+                q = b[t : t + BLOCK]
+                near = (x[p] @ x[q].T >= threshold) & (ids[p][:, None] != ids[q][None])
+                if not near.any():
+                    continue
+                whole = near.astype(np.float64)
+                count[p] += whole @ n[q]
+                count[q] += np.where(inner[q], 0, n[p] @ whole)  # those in a core count in their own core's blocks
+                left, right = _tile_links(near)
+                for own, at in ((p, left), (q, right)):
+                    linked = at < len(p) + len(q)
+                    ends.append((own[linked], p[at[linked]]))
+        if not ends:
+            return pa.table({"id": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "root": pa.array([], pa.int64())})
+        i, j = (np.concatenate(z) for z in zip(*ends, strict=True))
+        label = np.arange(len(ids))
+        while True:
+            old = label.copy()
+            low = np.minimum(label[i], label[j])
+            np.minimum.at(label, i, low)
+            np.minimum.at(label, j, low)
+            label = label[label]
+            if (old == label).all():
+                break
+        linked = np.zeros(len(ids), bool)
+        linked[i] = True
+        return pa.table({"id": ids[linked], "links": count[linked].astype(np.int64), "root": ids[label[linked]]})
+
+    return work
+
+
+def _core_links(distinct: DataFrame, centre: np.ndarray, threshold: float, dim: int) -> DataFrame:
+    """(id, links, root) of the pairs of which one at least is in a core."""
+    spark = distinct.sparkSession
+    held = spark.sparkContext.broadcast(centre)
+
+    def shells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 2048):
+                b = whole.slice(start, 2048)
+                core, row, pivot = _cores(_unit(b.column("vec").to_pylist(), dim), held.value, threshold)
+                at = pa.array(row)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(pivot, pa.int64()), pa.array(core[row] >= 0), pa.array(core[row] == pivot), *[b.column(c).take(at) for c in ("id", "n", "vec")]], ["pivot", "inner", "own", "id", "n", "vec"]
+                )
+
+    shell = cut(distinct.select("id", "n", "vec").mapInArrow(shells, "pivot long, inner boolean, own boolean, id long, n long, vec binary"), "shells")
+    blocks = lambda c: F.ceil(c / F.least(F.lit(MOST), F.greatest(F.lit(LEAST), F.ceil(c / CUTS)))).cast("int")
+    sizes = shell.groupBy("pivot").agg(blocks(F.sum(F.col("own").cast("long"))).alias("cores"), blocks(F.count("*")).alias("shells"))
+    dealt = shell.join(F.broadcast(sizes), "pivot")
+    of = lambda many: F.pmod(F.xxhash64("id"), F.col(many)).cast("int")
+    each = lambda many: F.explode(F.sequence(F.lit(0), F.col(many) - 1))
+    cols = ("pivot", "inner", "id", "n", "vec")
+    a = dealt.where("own").select(*cols, of("cores").alias("p"), each("shells").alias("q"), F.lit(True).alias("mine"))
+    b = dealt.where("cores > 0").select(*cols, of("shells").alias("q"), each("cores").alias("p"), F.lit(False).alias("mine"))
+    return a.unionByName(b).groupBy("pivot", "p", "q").applyInArrow(_in_blocks(threshold, dim), "id long, links long, root long")
+
+
 def _in_leaf(threshold: float, dim: int):
     def work(table: pa.Table) -> pa.Table:
         ids = table.column("id").to_numpy()
@@ -154,13 +299,20 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, trees: int = TR
     n = distinct.count()
     share = min(1.0, 0.95 * sample / max(n, 1))
     some = distinct.where(F.pmod(F.xxhash64(F.lit(seed), "key"), F.lit(1 << 30)) < int(share * (1 << 30))).select("vec").limit(sample).toArrow() if n else None
-    forest = spark.sparkContext.broadcast(Forest(_unit(some.column("vec").to_pylist(), dim) if n else np.zeros((0, 0)), n, dim, trees, leaf, spill, seed))
+    drawn = _unit(some.column("vec").to_pylist(), dim) if n else np.zeros((0, 0))
+    centre, free = pivots(drawn, n, threshold, leaf, seed)
+    rest = math.ceil(n * free.sum() / max(len(drawn), 1))
+    forest = spark.sparkContext.broadcast((Forest(drawn[free], rest, dim, trees, leaf, spill, seed), centre))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 2048):
                 b = whole.slice(start, 2048)
-                row, name = forest.value.leaves(_unit(b.column("vec").to_pylist(), dim))
+                trees_, middle = forest.value
+                x = _unit(b.column("vec").to_pylist(), dim)
+                outside = np.flatnonzero(_cores(x, middle, threshold)[0] < 0)
+                row, name = trees_.leaves(x[outside])
+                row = outside[row]
                 order = np.lexsort((name, row))
                 row, name = row[order], name[order]
                 cuts = np.searchsorted(row, np.arange(b.num_rows + 1))
@@ -169,7 +321,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, trees: int = TR
                 yield pa.RecordBatch.from_arrays([pa.array(name, pa.int64()), *[b.column(c).take(at) for c in ("id", "n", "vec")], lists.take(at)], ["leaf", "id", "n", "vec", "leaves"])
 
     routed = distinct.select("id", "n", "vec").mapInArrow(route, "leaf long, id long, n long, vec binary, leaves array<long>")
-    found = cut(routed.groupBy("leaf").applyInArrow(_in_leaf(threshold, dim), "id long, links long, root long"), "links")
+    found = routed.groupBy("leaf").applyInArrow(_in_leaf(threshold, dim), "id long, links long, root long")
+    if len(centre):
+        found = found.union(_core_links(distinct, centre, threshold, dim))
+    found = cut(found, "links")
     labels = cut(components(found.select(F.col("id").alias("a"), F.col("root").alias("b"))), "labels")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     named = distinct.select("key", "least", "n", "id").join(links, "id", "left").join(labels.withColumnRenamed("node", "id"), "id", "left")

@@ -181,6 +181,23 @@ def test_embeddings_against_all_pairs(spark):
     assert forest.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_a_group_of_a_third_of_all_vectors_keeps_its_links(spark):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((6000, 64))
+    x[:2000] = x[0] + 0.14 * rng.standard_normal((2000, 64))  # at about 0.98 of each other
+    x[2000:2100] = x[0] + 0.28 * rng.standard_normal((100, 64))  # around them, some beyond the threshold
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.95
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = {r["vec_id"]: r for r in forest.near_duplicates(df, leaf=64).collect()}
+    links = near.sum(1) - 1
+    assert all(found[i]["n_links"] <= links[i] for i in range(6000))
+    assert all(found[i]["n_links"] == links[i] for i in range(2000))
+    assert sum(r["n_links"] for r in found.values()) >= 0.999 * links.sum()
+    root = brute.linked(list(range(2100)), lambda a, b: bool(near[a, b]))
+    assert all(found[i]["component_id"] == root[i] for i in range(2000))
+
+
 # shards
 
 
