@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm import bpe, langid, mixing, secrets, simhash
+from lamina.llm import bpe, jaccard, langid, mixing, secrets
 from lamina.llm.common import cut, read
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -23,10 +23,7 @@ LETTERS = 200
 LEAST_COSINE = 0.2
 #: Near-duplicates: distinct runs of five words and a similarity of 0.8 or more.
 SHINGLE = 5
-BITS = 256
-#: Texts of similarity 0.8 differ in about 38.7 of 256 bits (arccos(2 * 0.8 / 1.8) / pi of them), with a deviation of 5.7.
-RADIUS = 44
-AGREE = 0.849
+SIMILARITY = 0.8
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +37,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the row with the least id of each component; rows with a null id stay. Of rows with equal ids all stay or go."""
-    found = simhash.near_duplicates(docs, k=SHINGLE, bits=BITS, radius=RADIUS, agree=AGREE, once=True)
+    found = jaccard.near_duplicates(docs, k=SHINGLE, threshold=SIMILARITY)
     gone = cut(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
     return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti").select(*COLUMNS)
 

@@ -2,11 +2,13 @@
 
 import random
 
+import brute
 import corpus_pipeline as pipeline
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lamina.llm import mixing
+from lamina.llm import jaccard, mixing
 from lamina.llm.queries import ORACLES, QUERIES
 
 
@@ -56,6 +58,44 @@ def test_secrets_are_masked_and_lengths_follow(spark):
     assert sorted(map(tuple, out.select("doc_id", "text", "n_chars").collect()), key=lambda r: r[0]) == [(1, "my [SECRET] here", 16), (2, "clean", 5), (3, None, None)]
 
 
+def _changed(rng, base, runs):
+    """`base` with `runs` words far from each other changed, each of which changes five shingles."""
+    words = list(base)
+    for at in rng.sample(range(1, len(base) // 6), runs):
+        words[6 * at - 1] = f"new{rng.randrange(10**9)}"
+    return words
+
+
+def test_near_duplicates_link_at_the_contracted_similarity(spark):
+    rng = random.Random(8)
+    rows, want = [], set()
+    for g in range(40):
+        base = [f"g{rng.randrange(10**9)}" for _ in range(304)]  # 300 shingles
+        # 6 to 12 changes: of 300 shingles, 5 each differ
+        for i, runs in enumerate((6, 7, 9, 12)):
+            rows.append((1000 * i + 2 * g, " ".join([f"x{i}", *base]), "en", "s", 0))
+            rows.append((1000 * i + 2 * g + 1, " ".join([f"x{i}", *_changed(rng, base, runs)]), "en", "s", 0))
+    # one text changed in steps: links through chains only
+    step = [f"c{rng.randrange(10**9)}" for _ in range(304)]
+    for i in range(30):
+        rows.append((9000 + i, " ".join(step), "en", "s", 0))
+        step = _changed(rng, step, 4)
+    sets = {r[0]: set(zip(*[r[1].split()[j:] for j in range(5)], strict=False)) for r in rows}
+    ids = sorted(sets)
+    root = brute.linked(ids, lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))
+    want = {i for i, r in zip(ids, root, strict=True) if ids[r] == i}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r["doc_id"] for r in pipeline.near_duplicates(spark, docs, "").collect()} == want
+    small = jaccard.near_duplicates(docs, block=8)
+    assert {r["doc_id"] for r in small.where("doc_id = component_id").collect()} == want
+
+
+def test_similar_links_all_pairs_of_exactly_the_threshold():
+    own = [np.arange(0, 90, dtype=np.uint64), np.arange(10, 100, dtype=np.uint64), np.arange(11, 101, dtype=np.uint64), np.arange(200, 210, dtype=np.uint64)]
+    assert sorted(map(tuple, np.sort(np.array(jaccard.similar(own, 0.8)).T, axis=1).tolist())) == [(0, 1), (1, 2)]
+    assert jaccard.similar(own[3:], 0.8)[0].size == 0
+
+
 def test_run_is_the_stages(spark, folder):
     assert pipeline.run(spark, folder).count() > 0
 
