@@ -91,7 +91,14 @@ def sampled_keys(bits: int, agree: float, n: int, miss: float = 0.02, seed: int
     """Seeded random bit sets; fingerprints that agree in a share `agree` of their bits differ in every set with chance `miss` at most."""
     size = max(12, math.ceil(math.log2(max(n, 1) / 32)))
     rng = np.random.default_rng(seed)
-    return [rng.permutation(bits)[:size] for _ in range(math.ceil(math.log(miss) / math.log(1 - agree**size)))]
+    same = math.floor(agree * bits)
+    hit = math.prod((same - i) / (bits - i) for i in range(size))  # a set's bits are distinct
+    return [rng.permutation(bits)[:size] for _ in range(math.ceil(math.log(miss) / math.log1p(-hit)))]
+
+
+def keys_for(bits: int, radius: int, agree: float | None, n: int) -> list[np.ndarray]:
+    """Bit sets for `n` fingerprints: lossless if `agree` is unset, else drawn for that agreement or the radius itself, if that is less."""
+    return pigeonhole(bits, radius, n) if agree is None else sampled_keys(bits, min(agree, 1 - radius / bits), n)
 
 
 def _keyed(fps: DataFrame, keys: list[np.ndarray]) -> DataFrame:
@@ -240,8 +247,8 @@ def near_duplicates(docs: DataFrame, k: int = 4, bits: int = 64, radius: int = 4
     """(doc_id, fp binary, component_id): documents whose fingerprints link, and through them, share a component.
 
     Two fingerprints link at `radius` differing bits or fewer. With `agree` unset the keys lose no such pair; with `agree`
-    (for a radius too wide for that) the keys are drawn at random, and a pair that agrees in that share of its bits
-    is missed with a chance of 2 % at most. component_id is the least doc_id of the component.
+    (for a radius too wide for that) the keys are drawn at random, and a pair that agrees in that share of its bits,
+    or lies at the radius, is missed with a chance of about 2 % at any number of fingerprints. component_id is the least doc_id of the component.
 
     Null text: empty. Texts without words have fingerprint 0 and link like any other. Repeated rows share a component.
     Rows with a null doc_id stay, take part and get their component's least id, null if it has none. An empty table gives
@@ -250,7 +257,7 @@ def near_duplicates(docs: DataFrame, k: int = 4, bits: int = 64, radius: int = 4
     rows = cut(fingerprints(docs, k=k, bits=bits, once=once), "fingerprints")
     fps = cut(rows.groupBy("fp", "node").agg(F.min("doc_id").alias("least")), "fps")
     n = fps.count()
-    keys = pigeonhole(bits, radius, n) if agree is None else sampled_keys(bits, agree, n)
+    keys = keys_for(bits, radius, agree, n)
     edges = links(fps, radius, keys, bits, most).distinct()
     named = fps.select(F.col("fp").alias("a"), F.col("node").alias("na"))
     other = fps.select(F.col("fp").alias("b"), F.col("node").alias("nb"))

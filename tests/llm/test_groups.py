@@ -86,6 +86,17 @@ def test_wide_fingerprints_catch_similar_texts(spark):
     assert all(r["component_id"] == r["doc_id"] // 10 * 10 for r in found.collect())
 
 
+@pytest.mark.parametrize("n", [10**4, 10**6, 10**9])
+def test_drawn_keys_miss_few_pairs_at_the_radius(n):
+    keys, rng = simhash.keys_for(256, 44, 0.849, n), np.random.default_rng(n)
+    missed = 0
+    for _ in range(2000):
+        flipped = np.zeros(256, bool)
+        flipped[rng.permutation(256)[:44]] = True
+        missed += all(flipped[k].any() for k in keys)
+    assert missed <= 60  # 40 are expected
+
+
 # mixing
 
 

@@ -96,6 +96,16 @@ def test_similar_links_all_pairs_of_exactly_the_threshold():
     assert jaccard.similar(own[3:], 0.8)[0].size == 0
 
 
+def test_keys_of_similar_sets_meet():
+    rng = np.random.default_rng(3)
+    a, b = jaccard._multipliers(7)
+    for n in (9, 90, 900):  # a similarity of 8 / 10
+        for _ in range(100):
+            x = rng.integers(0, 1 << 63, n + n // 9, dtype=np.uint64)
+            left, right = jaccard.band_keys(x[:n], a, b), jaccard.band_keys(x[n // 9 :], a, b)
+            assert (left == right).any()
+
+
 def test_run_is_the_stages(spark, folder):
     assert pipeline.run(spark, folder).count() > 0
 
