@@ -261,6 +261,15 @@ def closest_pair_between_components(spark: SparkSession, sf_dir: str) -> DataFra
     return graph.closest_pairs(points(spark, sf_dir), labels, pairs).withColumn("dist", r6("dist"))
 
 
+@query()
+def closest_pair_between_all_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every two labels, where closest_pair_between_components and its SQL take the first four only."""
+    raw = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("label is not null")
+    labels = raw.select(F.col("vec_id").alias("node"), F.col("label").cast("long").alias("label"))
+    pairs = scalar.pairs(labels.select("label").distinct(), "label")
+    return graph.closest_pairs(points(spark, sf_dir), labels, pairs).withColumn("dist", r6("dist"))
+
+
 @query()
 def connected_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _knn(graph.connected(points(spark, sf_dir), graph.symmetric_min(edges(spark, sf_dir, 2))))

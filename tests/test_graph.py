@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lamina.operators import components, graph, knn, paths
+from lamina.plans import registry
 from lamina.sources import generators
 
 
@@ -141,3 +142,17 @@ def test_shortest_paths_both_ways_of_computing(spark, monkeypatch):
 
 def test_fixture_rows_have_themselves_first():
     assert [r[0] for r in fixtures.rows(fixtures.GRID_6X4)] == list(range(24))
+
+
+def test_closest_pairs_of_all_labels_against_brute_force(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    x, label = rng.standard_normal((200, 64)), np.arange(200) % 10
+    rows = [(i, v.tolist(), int(c)) for i, (v, c) in enumerate(zip(x, label, strict=True))]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(r["a"], r["b"]): (r["src"], r["dst"], r["dist"]) for r in registry.QUERIES["closest_pair_between_all_components"](spark, str(tmp_path)).collect()}
+    assert len(got) == 45
+    for (a, b), (src, dst, dist) in got.items():
+        p, q = np.flatnonzero(label == a), np.flatnonzero(label == b)
+        d = np.sqrt(((x[p][:, None] - x[q][None]) ** 2).sum(2))
+        i, j = np.unravel_index(d.argmin(), d.shape)
+        assert (src, dst) == (p[i], q[j]) and abs(dist - d.min()) < 1e-5
