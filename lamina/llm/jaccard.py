@@ -25,7 +25,7 @@ from lamina.operators.components import components
 #: which is 5e-7 at 0.8 whatever the number of texts.
 BANDS, ROWS = 48, 6
 #: A cluster is cut into blocks of about so many texts or bytes of shingles, and into about CUTS at most while blocks stay within MOST texts.
-BLOCK, BLOCK_BYTES = 1024, 8 << 20
+BLOCK, BLOCK_BYTES = 256, 8 << 20
 CUTS, MOST = 32, 8192
 
 
