@@ -262,5 +262,5 @@ def test_allowed_forms_are_those_of_the_patterns(spark):
 def test_running_values_by_blocks(spark):
     rng = random.Random(14)
     rows = [([rng.randint(0, 99) for _ in range(n)],) for n in (0, 1, 127, 128, 129, 256, 1000)]
-    got = spark.createDataFrame(rows, "v array<bigint>").select("v", secrets.bind(F.col("v"), lambda v: secrets.running(v, lambda a, b: a + b)).alias("sums"), secrets.bind(F.col("v"), lambda v: secrets.running(v, F.greatest)).alias("most")).collect()
+    got = spark.createDataFrame(rows, "v array<bigint>").select("v", secrets.bind(F.col("v"), lambda v: secrets.running(v, lambda a, b: a + b)).alias("sums"), secrets.bind(F.col("v"), lambda v: secrets.running(v, lambda a, b: F.greatest(a, b))).alias("most")).collect()
     assert all(r["sums"] == [sum(r["v"][:i]) for i in range(len(r["v"]) + 1)] and r["most"] == [max([0, *r["v"][:i]]) for i in range(len(r["v"]) + 1)] for r in got)
