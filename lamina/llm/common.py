@@ -10,11 +10,26 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lamina.scratch import clear_scratch, cut, shared_dir
 
-__all__ = ["WORD", "bound_batches", "clear_scratch", "cut", "read", "runs", "shared_dir", "slices"]
+__all__ = ["WORD", "bound_batches", "clear_scratch", "cut", "read", "runs", "shared_dir", "shingles", "slices"]
 
 #: A word is a run of anything but ASCII white space; `bytes.split()` uses just this set.
 WORD = r"[^\x20\x09-\x0D]+"
 
+
+def shingles(text: bytes, k: int) -> list[bytes]:
+    """Runs of k words of a text whose A-Z are lower-cased, joined by one space; the whole sequence if there are fewer."""
+    words = text.lower().split()
+    if not words:
+        return []
+    joined = b" ".join(words)
+    if len(words) <= k:
+        return [joined]
+    lens = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(lens + 1) - 1
+    starts = ends - lens
+    return [joined[a:b] for a, b in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)]
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

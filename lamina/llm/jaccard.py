@@ -1,15 +1,13 @@
-"""Near-duplicates by the exact Jaccard similarity of distinct shingles.
+"""The exact check behind SimHash: Jaccard similarities of sets of distinct shingles within clusters that SimHash proposed.
 
-Keys of min-hashes only propose: texts that share a key, and through them others, form a cluster. Within a cluster a pair links if
-its shingle sets themselves (as 64-bit hashes) are similar enough, so nothing less similar ever links. Clusters beyond a block are compared
-in pairs of blocks that go to many tasks. In a task a search starts from each text not yet reached and compares it with those not yet
-reached, so what is known to be joined isn't compared again, and only spanning links leave.
+Clusters beyond a block are compared in pairs of blocks that go to many tasks. In a task a search starts from each text not yet reached and compares it
+with those not yet reached, so what is known to be joined isn't compared again, and only spanning links leave.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,13 +15,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import bound_batches, cut, slices
-from lamina.llm.simhash import shingles
-from lamina.operators.components import components
+from lamina.llm.common import bound_batches, cut, shingles, slices
 
-#: Each of BANDS keys is made of ROWS min-hashes: a pair of similarity s shares none with a chance of (1 - s ** ROWS) ** BANDS,
-#: which is 5e-7 at 0.8 whatever the number of texts.
-BANDS, ROWS = 48, 6
 #: A cluster is cut into blocks of about so many texts or bytes of shingles, and into about CUTS at most while blocks stay within MOST texts.
 BLOCK, BLOCK_BYTES = 256, 8 << 20
 CUTS, MOST = 32, 8192
@@ -34,39 +27,20 @@ def shingle_set(text: bytes, k: int) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, set(shingles(text, k))), np.uint64))
 
 
-def _multipliers(seed: int) -> tuple[np.ndarray, np.ndarray]:
-    draw = np.random.default_rng(seed).integers(0, 1 << 64, (2, BANDS * ROWS), dtype=np.uint64, endpoint=False)
-    return draw[0] | np.uint64(1), draw[1]
-
-
-def band_keys(own: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The BANDS keys of a set, none if it is empty."""
-    if not len(own):
-        return np.zeros(0, np.int64)
-    least = np.full(len(a), np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(own), 2048):
-        np.minimum(least, (own[at : at + 2048, None] * a + b).min(0), out=least)
-    raw = least.reshape(BANDS, ROWS)
-    return np.array([xxhash.xxh64_intdigest(raw[j].tobytes(), j) for j in range(BANDS)], np.uint64).view(np.int64)
-
-
-def sets(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text", seed: int = 7) -> DataFrame:
-    """(doc_id, digest, bytes, keys, shingles) of each row; a null text counts as empty."""
+def sets(docs: DataFrame, k: int, sketch: Callable[[np.ndarray], bytes], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, digest, bytes, fp, shingles) of each row, fp being the `sketch` of its set; a null text counts as empty."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = _multipliers(seed)
         for whole in batches:
             for batch in slices(whole, "text"):
                 own = [shingle_set(t, k) for t in batch.column("text").to_pylist()]
                 raw = [s.tobytes() for s in own]
-                keys = [band_keys(s, a, b) for s in own]
-                ends = pa.array(np.cumsum([0, *map(len, keys)]), pa.int32())
                 digest = [hashlib.blake2b(r, digest_size=16).digest() for r in raw]
-                lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(keys)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(digest, pa.binary()), pa.array(list(map(len, raw)), pa.int64()), lists, pa.array(raw, pa.binary())], ["doc_id", "digest", "bytes", "keys", "shingles"])
+                columns = [pa.array(digest, pa.binary()), pa.array(list(map(len, raw)), pa.int64()), pa.array(list(map(sketch, own)), pa.binary()), pa.array(raw, pa.binary())]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "digest", "bytes", "fp", "shingles"])
 
     some = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    return bound_batches(some).mapInArrow(work, "doc_id long, digest binary, bytes long, keys array<long>, shingles binary")
+    return bound_batches(some).mapInArrow(work, "doc_id long, digest binary, bytes long, fp binary, shingles binary")
 
 
 def similar(own: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -118,22 +92,10 @@ def _in_blocks(threshold: float):
     return work
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, component_id): texts whose sets of distinct shingles have a Jaccard similarity of `threshold` or more, and through
-    them others, share a component, named by its least doc_id.
-
-    Null text: empty. Texts without words link with each other. Rows with a null doc_id take part and get their component's least id,
-    null if it has none. An empty table gives an empty result; other columns are ignored.
-    """
-    rows = cut(sets(docs, k, id_col, text_col), "sets")
-    firsts = rows.groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("keys").alias("keys"), F.first("bytes").alias("bytes"))
-    nodes = cut(firsts.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    keyed = nodes.select("node", F.explode("keys").alias("key"))
-    first = cut(keyed.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first"), "first")
-    proposed = keyed.join(first, "key").where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
-    member = cut(nodes.select("node", "digest", "bytes").join(components(proposed).withColumnRenamed("component", "cluster"), "node"), "clusters")
+def in_clusters(rows: DataFrame, member: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) that join all pairs of a cluster that are similar enough; rows: as from `sets`; member: (node, digest, bytes, cluster)."""
     wide = F.least(F.lit(max(block, MOST)), F.greatest(F.lit(block), F.ceil(F.count("*") / CUTS)))
-    sizes = member.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / wide), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    sizes = member.groupBy("cluster").agg(F.count("*").alias("n"), F.greatest(F.ceil(F.count("*") / wide), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks")).where("n > 1")
     dealt = cut(member.join(sizes, "cluster").select("digest", "node", "cluster", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own")), "dealt")
     # 50 bytes a text: broadcast up to 200,000 texts, shuffle beyond
     few = dealt.count() <= 200_000
@@ -141,10 +103,4 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, block:
     other = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.array_except(F.sequence(F.lit(0), F.col("blocks") - 1), F.array("own"))))
     met = cut(held, "held").select("cluster", "node", "own", "shingles", other.alias("other"))
     met = met.select("cluster", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "node", "shingles")
-    edges = met.groupBy("cluster", "p", "q").applyInArrow(_in_blocks(threshold), "a long, b long")
-    label = cut(components(edges), "labels")
-    linked = nodes.select("node", "digest", "least").join(label, "node")
-    least = linked.groupBy("component").agg(F.min("least").alias("first"))
-    of = nodes.select("digest", "least").join(linked.join(least, "component").select("digest", "first"), "digest", "left")
-    of = cut(of.select("digest", F.coalesce("first", "least").alias("component_id")), "of")
-    return rows.select("doc_id", "digest").join(of, "digest").select("doc_id", "component_id")
+    return met.groupBy("cluster", "p", "q").applyInArrow(_in_blocks(threshold), "a long, b long")

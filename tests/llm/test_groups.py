@@ -55,13 +55,31 @@ def test_bk_trees_find_all_pairs_within_the_radius(radius):
     fps = np.unique(np.concatenate([s ^ (np.uint64(1) << rng.integers(0, 63, (60, 5)).astype(np.uint64)).sum(1, dtype=np.uint64) for s in seeds]))
     rng.shuffle(fps)
     group = np.sort(rng.integers(0, 4, len(fps)))
-    member = rng.random(len(fps)) < 0.7
-    order = np.lexsort((~member, group))
-    group, member = np.unique(group[order], return_inverse=True)[1], member[order]
-    a, b = simhash.bk_links(fps[:, None], group, member, radius)
-    found = {frozenset(p) for p in zip(a.tolist(), b.tolist(), strict=True)}
-    want = {frozenset((i, j)) for i in range(len(fps)) for j in range(i) if group[i] == group[j] and (member[i] or member[j]) and (int(fps[i]) ^ int(fps[j])).bit_count() <= radius}
-    assert found == want
+    asked = rng.integers(-1, 4, len(fps))
+    near = lambda a, b: (int(a) ^ int(b)).bit_count() <= radius
+    trees = simhash.Trees(fps[:, None], group)
+    found = sorted(p for a, b in trees.search(fps[:, None], asked, radius) for p in zip(a.tolist(), b.tolist(), strict=True))
+    assert found == [(i, j) for i in range(len(fps)) for j in range(len(fps)) if asked[i] == group[j] and near(fps[i], fps[j])]
+    inside = [(int(f), int(g)) for f, g in zip(fps, group, strict=True)]
+    assert trees.roots(group, radius).tolist() == brute.linked(inside, lambda a, b: a[1] == b[1] and near(a[0], b[0]))
+
+
+def test_crowded_groups_are_joined_as_all_pairs_would(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    centre = rng.integers(0, 1 << 63, 3, dtype=np.uint64)
+    flips = lambda n, most: np.array([sum(1 << int(b) for b in rng.choice(40, rng.integers(0, most + 1), replace=False)) for _ in range(n)], np.uint64)
+    fps = np.unique(np.concatenate([centre[0] ^ flips(900, 6), centre[1] ^ flips(300, 9), centre[2] ^ flips(40, 20)]))
+    table = spark.createDataFrame([(int(f).to_bytes(8, "big"),) for f in fps], "fp binary").repartition(4)
+    want = brute.linked([int(f) for f in fps], lambda a, b: (a ^ b).bit_count() <= 4)
+    place = {int(f).to_bytes(8, "big"): i for i, f in enumerate(fps)}
+    for broadcast, queries in ((1 << 18, 1 << 16), (0, 100)):
+        monkeypatch.setattr(simhash, "BROADCAST", broadcast)
+        monkeypatch.setattr(simhash, "QUERIES", queries)
+        monkeypatch.setattr(simhash, "PIVOTS", 8)
+        found = simhash.links(table, 4, simhash.pigeonhole(64, 4, 10), most=60).collect()
+        ends = np.array([(place[bytes(r["a"])], place[bytes(r["b"])]) for r in found]).T
+        assert simhash.joined(np.arange(len(fps)), *ends).tolist() == want
+    assert len(set(want)) > 3
 
 
 @pytest.mark.parametrize("n", [10, 10**5, 10**7, 10**10])
@@ -72,29 +90,26 @@ def test_pigeonhole_keys_lose_no_pair(n):
         assert any(not flipped & set(k.tolist()) for k in keys)
 
 
-def test_wide_fingerprints_catch_similar_texts(spark):
-    rng = random.Random(5)
-    rows = []
-    for g in range(12):
-        base = [f"g{rng.randrange(4000)}" for _ in range(300)]
-        for c in range(3):  # four of 300 words changed leave a similarity of 0.87
-            words = list(base)
-            for _ in range(2 * c):
-                words[rng.randrange(300)] = f"new{rng.randrange(10**6)}"
-            rows.append((g * 10 + c, " ".join(words)))
-    found = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=5, bits=256, radius=44, agree=0.849, once=True)
-    assert all(r["component_id"] == r["doc_id"] // 10 * 10 for r in found.collect())
-
-
-@pytest.mark.parametrize("n", [10**4, 10**6, 10**9])
-def test_drawn_keys_miss_few_pairs_at_the_radius(n):
-    keys, rng = simhash.keys_for(256, 44, 0.849, n), np.random.default_rng(n)
-    missed = 0
-    for _ in range(2000):
-        flipped = np.zeros(256, bool)
-        flipped[rng.permutation(256)[:44]] = True
-        missed += all(flipped[k].any() for k in keys)
-    assert missed <= 60  # 40 are expected
+@pytest.mark.parametrize("n", [10**4, 10**6, 10**8])
+def test_drawn_keys_lose_few_pairs_of_the_similarity_wanted(n):
+    agree = simhash.agreement(0.8)
+    keys, rng = simhash.sampled_keys(256, agree, 64, n), np.random.default_rng(n)
+    differs = rng.random((4000, 256)) > agree
+    met = np.zeros(4000, bool)
+    for k in keys:
+        met |= ~differs[:, k].any(1)
+    assert (met & (differs.sum(1) <= 64)).sum() >= 4000 - 20  # 8 are expected to be lost
+
+
+def test_fingerprints_of_similar_sets_agree_as_expected():
+    rng = np.random.default_rng(4)
+    for n in (9, 90, 900):  # a similarity of 8 / 10
+        apart = []
+        for _ in range(200):
+            x = rng.integers(0, 1 << 63, n + n // 9, dtype=np.uint64)
+            a, b = (np.frombuffer(simhash.wide(s, 256), np.uint8) for s in (x[:n], x[n // 9 :]))
+            apart.append(np.bitwise_count(a ^ b).sum())
+        assert np.mean(apart) <= 256 * (1 - simhash.agreement(0.8)) + 2 and np.max(apart) <= 64
 
 
 # mixing

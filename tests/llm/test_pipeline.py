@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lamina.llm import jaccard, mixing
+from lamina.llm import jaccard, mixing, simhash
 from lamina.llm.queries import ORACLES, QUERIES
 
 
@@ -86,7 +86,7 @@ def test_near_duplicates_link_at_the_contracted_similarity(spark):
     want = {i for i, r in zip(ids, root, strict=True) if ids[r] == i}
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert {r["doc_id"] for r in pipeline.near_duplicates(spark, docs, "").collect()} == want
-    small = jaccard.near_duplicates(docs, block=8)
+    small = simhash.similar_texts(docs, block=8, most=30)
     assert {r["doc_id"] for r in small.where("doc_id = component_id").collect()} == want
 
 
@@ -96,16 +96,6 @@ def test_similar_links_all_pairs_of_exactly_the_threshold():
     assert jaccard.similar(own[3:], 0.8)[0].size == 0
 
 
-def test_keys_of_similar_sets_meet():
-    rng = np.random.default_rng(3)
-    a, b = jaccard._multipliers(7)
-    for n in (9, 90, 900):  # a similarity of 8 / 10
-        for _ in range(100):
-            x = rng.integers(0, 1 << 63, n + n // 9, dtype=np.uint64)
-            left, right = jaccard.band_keys(x[:n], a, b), jaccard.band_keys(x[n // 9 :], a, b)
-            assert (left == right).any()
-
-
 def test_run_is_the_stages(spark, folder):
     assert pipeline.run(spark, folder).count() > 0
 
