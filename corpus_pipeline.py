@@ -1,7 +1,7 @@
 """From raw documents to token ids, in five stages that each keep the columns of documents but the last.
 
 language: documents in which no language is recognised go.
-near_duplicates: of each group of near-duplicates the one with the least id stays.
+near_duplicates: of each group of near-duplicates, proposed by SimHash and checked exactly, the one with the least id stays.
 secrets: found secrets are masked in the texts.
 mixing: sources are brought to their target weights; documents are dropped or repeated.
 tokens: each document's ids, and the text they decode to.
@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm import bpe, jaccard, langid, mixing, secrets
+from lamina.llm import bpe, langid, mixing, secrets, simhash
 from lamina.llm.common import cut, read
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -37,7 +37,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the row with the least id of each component; rows with a null id stay. Of rows with equal ids all stay or go."""
-    found = jaccard.near_duplicates(docs, k=SHINGLE, threshold=SIMILARITY)
+    found = simhash.similar_texts(docs, k=SHINGLE, threshold=SIMILARITY)
     gone = cut(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
     return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti").select(*COLUMNS)
 
