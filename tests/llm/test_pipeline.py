@@ -49,7 +49,7 @@ def test_each_stage_does_its_part(spark, folder):
     words = lambda df: df.agg(F.sum(F.size(F.split("text", " ")))).first()[0]
     copies = mixing.mix(seen[3]).agg(F.sum("mix_copies"), F.sum(F.col("mix_copies") * F.col("mix_size"))).first()
     assert seen[4].count() == copies[0] and words(seen[4]) == copies[1]
-    assert seen[5].count() == seen[4].count() and set(seen[5].columns) == {"doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"}
+    assert seen[5].count() == seen[4].count() and set(seen[5].columns) == {"doc_id", "n_tokens", "n_joins", "ids", "ids_sha256", "decoded_sha256"}
 
 
 def test_secrets_are_masked_and_lengths_follow(spark):

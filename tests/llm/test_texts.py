@@ -136,6 +136,28 @@ def test_bpe_of_random_strings():
         assert codec.encode(text) == own.encode(text, add_special_tokens=False).ids, text
 
 
+def test_bpe_of_long_texts_joins_halves_exactly():
+    own, codec, rng = Tokenizer.from_file(BPE), bpe.Codec(BPE, halve=24), random.Random(5)
+    parts = ["a", "The", "don't", "''ll", " ", " ", "  ", "\n", "é", "e\u0301", "\u0301", "É", "23", "<|endoftext|>", "<|endof", "text|>", "　", "漢字", "\U0001f600", "\0", "Σ", "İ", "...", "unbelievable", "words"]
+    took = 0
+    for i in range(1500):
+        text = "".join(rng.choices(parts[: 10 + i % 16], k=rng.randint(10, 80)))
+        assert codec.encode(text) == own.encode(text, add_special_tokens=False).ids, text
+        took += codec.joins > 0
+    assert took > 1000
+
+
+def test_long_rows_go_through_the_tree(spark):
+    rng = random.Random(6)
+    words = ["alpha", "beta's", "gamma,", "delta", "23", "<|endoftext|>", "naïve", "x" * 40]
+    texts = [" ".join(rng.choices(words, k=n)) for n in (10, 300, 3000, 20_000)] + ["y" * 20_000, "z " * 4000]
+    rows = bpe.round_trip(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), BPE, with_ids=True).orderBy("doc_id").collect()
+    own = Tokenizer.from_file(BPE)
+    assert all(r["ids"] == own.encode(t, add_special_tokens=False).ids for r, t in zip(rows, texts, strict=True))
+    joins = [r["n_joins"] for r in rows]
+    assert joins[0] == joins[4] == 0 and min(joins[2], joins[5]) >= 1 and joins[3] >= 20
+
+
 def test_counts_of_every_row(docs):
     own = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     assert keyed(docs, counts.count_tokens(docs, PIECES), "n_bytes", "n_tokens", "over_limit") == want(docs, lambda t: (len((t or "").encode()), n := len(own.encode(t or "")), n > 4096))
