@@ -1,6 +1,7 @@
 """Operators that compare or deal rows, against plain restatements, on awkward rows."""
 
 import random
+import zlib
 
 import brute
 import numpy as np
@@ -245,6 +246,55 @@ def test_shards_have_near_equal_bytes_though_rows_are_alike(spark):
     assert len(sizes) == 12 and max(abs(b - mean) for b in sizes) < 0.1 * mean
 
 
+def plain_medians(rows, plan):
+    """What lies before each node's bounds, and within, from the rows in order of (value, tie)."""
+    for node, dim, found, at, low, high, rest in plan:
+        own = [r for r in rows if r["node"] == node]
+        value = lambda r, dim=dim: r[("d_source", "d_id")[dim - 1]]
+        key = (lambda r: (value(r), r["tie"])) if found else (lambda r: (value(r), 0))
+        bounds = ((at, low), (at, high)) if found else ((low, 0), (high, 0))
+        yield node, sum(r["size"] for r in own if key(r) < bounds[0]), [r for r in own if bounds[0] <= key(r) <= bounds[1]], rest
+
+
+def test_medians_are_found_whatever_the_spread(spark):
+    rng = random.Random(5)
+    ids = [*range(3000), 10**15, (1 << 62) + 1, (1 << 62) + 2, -(1 << 63), (1 << 63) - 1]
+    rows = [{"node": i % 3, "size": rng.randint(16, 900), "tie": rng.randrange(1 << 60), "d_source": rng.choice([-1, 7, 7, 7, 1 << 39]), "d_id": x} for i, x in enumerate(ids)]
+    rows += [{"node": 1, "size": 40, "tie": 12345, "d_source": 7, "d_id": 5} for _ in range(800)]  # rows alike
+    df = spark.createDataFrame([tuple(r.values()) for r in rows], "node int, size long, tie long, d_source long, d_id long")
+    total = [sum(r["size"] for r in rows if r["node"] == n) for n in range(3)]
+    for dim, name in ((1, "d_source"), (2, "d_id")):
+        for share in (0.02, 0.5, 0.9):
+            own = [[r[name] for r in rows if r["node"] == n] for n in range(3)]
+            plan = [(n, dim, min(own[n]), max(own[n]), len(own[n]), int(total[n] * share)) for n in range(3)]
+            for node, before, inside, rest in plain_medians(rows, kdtree.medians(df, plan, ("d_source", "d_id"))):
+                assert before + rest == plan[node][5] and 0 <= rest < sum(r["size"] for r in inside)
+                assert len(inside) <= 2 * kdtree.NEAR or len({(r[name], r["tie"]) for r in inside}) == 1
+
+
+def test_a_split_parts_ids_but_for_a_few_around_the_median(spark):
+    rng = random.Random(6)
+    ids = [*range(4000), 10**15, (1 << 53) + 1, (1 << 53) + 2]
+    df = spark.createDataFrame([(i, rng.randint(16, 400), rng.randrange(1 << 60)) for i in ids], "d_id long, size long, tie long")
+    rows = kdtree.assign(df, 4, ("d_id",)).collect()
+    shards = [sorted(r["d_id"] for r in rows if r["shard"] == s) for s in range(4)]
+    for left, right in zip(shards, shards[1:], strict=False):
+        apart = [x for x in left if x > right[0]] + [x for x in right if x < left[-1]]
+        assert len(apart) <= 2 * 2 * kdtree.NEAR
+    sizes = [sum(r["size"] for r in rows if r["shard"] == s) for s in range(4)]
+    assert max(sizes) - min(sizes) <= 100
+
+
+def test_shards_stay_equal_beside_a_source_of_a_third_and_odd_ids(spark):
+    rng = random.Random(7)
+    texts = [(i if i % 50 else None, "y" * rng.randint(0, 500), rng.choice(["en", "de", None]), "hot" if i % 3 else f"s{i % 20}") for i in range(3000)] + [((1 << 62) + i, "end", "en", "s1") for i in range(3)]
+    df = spark.createDataFrame(texts, "doc_id long, text string, lang string, source string")
+    rows = kdtree.shard(df, 7).collect()
+    sizes = [sum(r["size"] for r in rows if r["shard"] == s) for s in range(7)]
+    assert max(sizes) - min(sizes) <= 0.02 * sum(sizes) / 7
+    assert sorted((str(r["doc_id"]), r["text_crc32"]) for r in rows) == sorted((str(t[0]), zlib.crc32(t[1].encode())) for t in texts)
+
+
 def test_nothing_in_nothing_out(nothing):
     import public_tokenizers
 
