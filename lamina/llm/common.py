@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lamina.scratch import clear_scratch, cut, shared_dir
 
-__all__ = ["WORD", "bound_batches", "clear_scratch", "cut", "read", "runs", "shared_dir", "shingles", "slices"]
+__all__ = ["WORD", "bound_batches", "clear_scratch", "cut", "read", "runs", "shared_dir", "shingles", "slices", "unused"]
 
 #: A word is a run of anything but ASCII white space; `bytes.split()` uses just this set.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -66,6 +66,15 @@ def _offsets(col: pa.Array) -> np.ndarray:
     return np.frombuffer(col.buffers()[1], dtype=kind)[col.offset : col.offset + len(col) + 1].astype(np.int64)
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, led by as many underscores as it takes for none to be a column's, whatever its case."""
+    taken = {c.lower() for c in columns}
+    lead = "_"
+    while any((lead + n).lower() in taken for n in names):
+        lead += "_"
+    return [lead + n for n in names]
+
+
 def runs(keys: np.ndarray) -> np.ndarray:
     """Starts of the runs of equal neighbours, and the length at the end."""
     if len(keys) == 0:

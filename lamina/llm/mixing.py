@@ -1,9 +1,8 @@
 """Mixing sources to target weights by subset-sum budget fitting.
 
 Documents are counted by (source, exact size, hash cell). Of each source the whole repeats come first; what remains of its
-budget is met by some documents once more. Every size gives its proportional share, rounded down; the rest is a bounded
-knapsack over the counts left of each size: the largest sizes that still fit until the rest is small, then dynamic programming over
-the reachable sums. Only histograms reach the knapsack, one row a distinct size. Which documents of a size are taken is
+budget is met by some documents once more. Small budgets, and the last words of large ones (of which every size first gives its proportional share), are a bounded
+knapsack over the counts of each size: dynamic programming over the reachable sums. Only histograms reach the knapsack, one row a distinct size. Which documents of a size are taken is
 decided by a seeded hash: cells in order, and within the cell where the count ends, by rank.
 """
 
@@ -14,41 +13,42 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lamina.llm.common import WORD, cut, read
+from lamina.llm.common import WORD, cut, read, unused
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_REPEATS = 3
-#: The dynamic program covers what remains up to this many words or four times the largest size, whichever is less.
+#: Words that the dynamic program covers, at most.
 TABLE = 1 << 18
 
 
-def fit(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
+def fit(sizes: np.ndarray, counts: np.ndarray, budget: int, most: int = TABLE) -> np.ndarray:
     """How many documents of each size (positive, distinct) to take, at most `counts`, so that the sizes sum up close to `budget`.
 
-    The sum never exceeds the budget, and no sum that the dynamic program can reach from its start lies nearer.
+    The sum never exceeds the budget. Budgets of `most` words at most are met as closely as any choice could. Of larger ones all but the last words go in proportion
+    to the counts, and the last ones, half of `most` or what rounding left, as closely as the documents not yet taken allow; only where that is more than `most` words
+    are the largest sizes that fit taken first.
     """
     take = np.zeros(len(sizes), np.int64)
-    total = int((sizes * counts).sum())
+    total = sum(int(s) * int(c) for s, c in zip(sizes.tolist(), counts.tolist(), strict=True))
     if budget <= 0 or total == 0:
         return take
     if budget >= total:
         return counts.copy()
-    take = counts * budget // total if total < 2**31 else np.array([int(c) * budget // total for c in counts.tolist()])
-    rest = budget - int((sizes * take).sum())
-    limit = min(TABLE, 4 * int(sizes.max()))
+    if budget > most:
+        take = np.array([int(c) * (budget - most // 2) // total for c in counts.tolist()], np.int64)
+    rest = budget - sum(int(s) * int(t) for s, t in zip(sizes.tolist(), take.tolist(), strict=True))
+    limit = most
     order = np.argsort(-sizes)
-    if rest > limit:  # the largest that fit, one of each size in turn, until the table covers the rest
-        while rest > limit:
-            moved = False
-            for i in order:
-                if rest <= limit:
-                    break
-                if take[i] < counts[i] and sizes[i] <= rest:
-                    take[i] += 1
-                    rest -= int(sizes[i])
-                    moved = True
-            if not moved:
+    moved = True
+    while rest > limit and moved:  # one of each size in turn
+        moved = False
+        for i in order:
+            if rest <= limit:
                 break
+            if take[i] < counts[i] and sizes[i] <= rest:
+                take[i] += 1
+                rest -= int(sizes[i])
+                moved = True
     # bounded knapsack: by[s] is the item that first reached the sum s, in binary multiples of each size's count
     rest_table = min(rest, limit)
     reach = np.zeros(rest_table + 1, bool)
@@ -111,7 +111,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     Sizes are numbers of words; a null or empty text has 0 and is taken 0 times. A null source is a source of its own, last
     in the order. Of the rows of one source and size, those with the least seeded hash of id and text get the additional copy, so
     reruns agree; rows alike in both get it all or none of them. An empty table gives an empty result. Other columns pass
-    through; those named like the new ones are replaced.
+    through, whatever their names; those named like the four new ones are replaced.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     added = {"mix_size": F.regexp_count(text, F.lit(WORD)).cast("long"), "mix_hash": F.xxhash64(F.lit(seed), F.col(id_col), text)}
@@ -133,19 +133,22 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     ranked = rows.join(renamed(ends), same("source", "size", "cell")).withColumn("at", F.row_number().over(Window.partitionBy("source", "size", "cell").orderBy("hash")))
     last = ranked.where("at = _rank").select("source", "size", F.col("hash").alias("last"))
     rule = plan.join(renamed(last), same("source", "size"), "left").select("source", "size", "repeats", F.col("_last").alias("last"))
-    rule = cut(rule, "rule").toDF("_source", "_size", "_repeats", "_last")
+    rule = cut(rule, "rule")
 
     # one row a distinct size of a source: broadcast while that is a few MB, shuffled beyond
+    new = ("mix_size", "mix_source_size", "mix_target", "mix_copies")
+    kept = [c for c in docs.columns if c.lower() not in new]
+    row, own, at, key, size_, repeats, last_ = unused(docs.columns, "row", "own", "at", "source", "size", "repeats", "last")
     small = lambda df, most: F.broadcast(df) if df.count() <= most else df
-    named = docs.withColumns(added).withColumn("mix_source", F.col(source_col))
-    out = named.join(small(goal.toDF("_s", "mix_source_size", "mix_target"), 50_000), F.col("mix_source").eqNullSafe(F.col("_s")), "left")
-    out = out.join(small(rule, 200_000), F.col("mix_source").eqNullSafe(F.col("_source")) & (F.col("mix_size") == F.col("_size")), "left")
-    more = (F.col("mix_hash") <= F.col("_last")).cast("long")
-    out = out.withColumn("mix_copies", F.coalesce("_repeats", F.lit(0).cast("long")) + F.coalesce(more, F.lit(0).cast("long")))
-    return out.drop("_s", "_source", "_size", "_repeats", "_last", "mix_hash", "mix_source")
+    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias(row), F.col(source_col).alias(own), added["mix_size"].alias("mix_size"), added["mix_hash"].alias(at))
+    out = named.join(small(goal.toDF(key, "mix_source_size", "mix_target"), 50_000), F.col(own).eqNullSafe(F.col(key)), "left").drop(key)
+    out = out.join(small(rule.toDF(key, size_, repeats, last_), 200_000), F.col(own).eqNullSafe(F.col(key)) & (F.col("mix_size") == F.col(size_)), "left")
+    copies = F.coalesce(F.col(repeats), F.lit(0).cast("long")) + F.coalesce((F.col(at) <= F.col(last_)).cast("long"), F.lit(0).cast("long"))
+    return out.select(*[F.col(f"{row}.`{c}`").alias(c) for c in kept], "mix_size", "mix_source_size", "mix_target", copies.alias("mix_copies"))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document the mix takes. Rows as for `mix`."""
     docs = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source")
     size = F.col("mix_size")
     return mix(docs).select("doc_id", size.alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (size * F.col("mix_copies")).alias("taken"))

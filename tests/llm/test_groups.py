@@ -123,20 +123,38 @@ def reached(sizes, counts, budget):
     return max(sums)
 
 
-def test_fit_takes_what_there_is_and_comes_near():
+def test_fit_takes_the_best_sum_there_is():
     rng = random.Random(1)
-    for _ in range(200):
-        sizes = sorted(rng.sample(range(1, 40), rng.randint(1, 6)))
+    for i in range(300):
+        sizes = sorted(rng.sample(range(1, 40) if i % 2 else [7, 14, 21, 35, 49, 100, 300], rng.randint(1, 6)))
         counts_ = [rng.randint(1, 4) for _ in sizes]
         total = sum(s * n for s, n in zip(sizes, counts_, strict=True))
         budget = rng.randint(0, total + 3)
         take = mixing.fit(np.array(sizes), np.array(counts_), budget)
         assert all(0 <= t <= n for t, n in zip(take, counts_, strict=True))
-        got_ = int((take * np.array(sizes)).sum())
-        assert got_ <= max(budget, 0) and reached(sizes, counts_, budget) - got_ <= max(sizes)
+        assert int((take * np.array(sizes)).sum()) == reached(sizes, counts_, budget)
     assert mixing.fit(np.array([3, 5]), np.array([0, 0]), 7).sum() == 0
 
 
+def test_fit_of_large_budgets_misses_little():
+    rng = random.Random(2)
+    for _ in range(40):
+        sizes = np.array(sorted(rng.sample(range(20, 4000), 60)))
+        counts_ = np.array([rng.randint(1, 400) for _ in sizes])
+        budget = int((sizes * counts_).sum() * rng.uniform(0.05, 0.95))
+        take = mixing.fit(sizes, counts_, budget, most=20_000)
+        assert (take <= counts_).all() and 0 <= budget - int((take * sizes).sum()) <= 1
+
+
+def test_mix_keeps_columns_whatever_their_names(spark):
+    rows = [(i, "w " * (1 + i % 5), f"s{i % 3}", *range(i, i + 7)) for i in range(40)]
+    names = ["doc_id", "text", "source", "_size", "mix_source", "_source", "row", "_row", "MIX_HASH", "mix_copies"]
+    docs = spark.createDataFrame(rows, ", ".join(f"`{n}` {'string' if n in ('text', 'source') else 'long'}" for n in names))
+    found = mixing.mix(docs)
+    assert found.columns == [*names[:-1], "mix_size", "mix_source_size", "mix_target", "mix_copies"]
+    assert sorted(tuple(r)[:9] for r in found.collect()) == sorted(r[:9] for r in rows)
+
+
 def plain_targets(sizes):
     names = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
     weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}

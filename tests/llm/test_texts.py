@@ -2,7 +2,9 @@
 
 import hashlib
 import random
+import unicodedata
 import zlib
+from collections import Counter
 
 import brute
 import numpy as np
@@ -207,12 +209,58 @@ def test_a_language_does_not_see_labels_of_the_fold(spark):
     assert get(rows) == get(wrong)
 
 
+def plain_trigrams(text):
+    letters = "".join(c.lower()[0] if c.isalpha() and unicodedata.category(c)[0] == "L" else " " for c in text)
+    words = " ".join(letters.split())
+    return Counter(t for t in zip(" " + words, words, words[1:] + " ", strict=False)) if words else Counter()
+
+
+def plain_bundle(own, text):
+    total = np.zeros(own.dimensions, np.int64)
+    for t, n in plain_trigrams(text).items():
+        a, b, c = (own.letter(np.array([0 if x == " " else ord(x)]))[0].astype(np.int64) for x in t)
+        total += n * np.roll(a, 2) * np.roll(b, 1) * c
+    return total
+
+
+def test_languages_are_those_of_a_plain_restatement(spark):
+    rng = random.Random(21)
+    words = {"el": ["και", "το", "λόγος", "είναι"], "ru": ["это", "слово", "и", "дом"], "zh": ["这是", "一个", "词", "房子"], "en": ["the", "and", "word", "house"], "fr": ["les", "déjà", "où", "maison"]}
+    rows = [(i, " ".join(rng.choices(words[lang], k=rng.randint(1, 12))) + rng.choice(["", " 123", "!"]), lang) for i in range(120) for lang in [sorted(words)[i % 5]]]
+    rows += [(500, None, "en"), (501, "", "fr"), (502, "12 34 !!", "en"), (503, "the and λόγος", None), (None, "les les", "fr"), (3, "le\ud7ffé", "fr")]
+    found = {(r["doc_id"], r["lang_pred"], round(r["score"], 9)) for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)).collect()}
+    own = langid.Vectors(langid.DIMENSIONS, 7)
+    learned = {}
+    for i, text, lang in rows:
+        if i is not None and zlib.crc32(str(i).encode()) % 4 != 2 and text is not None and lang is not None:
+            learned[lang] = learned.get(lang, 0) + plain_bundle(own, text)
+    want = set()
+    for i, text, _ in rows:
+        v = plain_bundle(own, text or "")
+        cos = {lang: float(v @ p) / np.linalg.norm(v) / np.linalg.norm(p) for lang, p in learned.items()} if v.any() else {}
+        best = min(cos, key=lambda lang: (-cos[lang], lang)) if cos else "und"
+        want.add((i, best, round(min(1.0, max(0.0, cos.get(best, 0.0))), 9)))
+    assert found == want
+
+
 def test_trigrams_do_not_depend_on_chunks(monkeypatch):
-    text = "Some läng, text with  gaps – and ñ " * 9
-    whole = langid.trigram_counts(text)
+    text = "Some läng, text with  gaps – and ñ Ω漢字 " * 9
+    whole = langid.trigrams(text)
+    assert sum(plain_trigrams(text).values()) == whole[1].sum()
     for size in (1, 2, 7, 64):
         monkeypatch.setattr(langid, "CHUNK", size)
-        assert np.array_equal(whole, langid.trigram_counts(text))
+        assert all(np.array_equal(a, b) for a, b in zip(whole, langid.trigrams(text), strict=True))
+
+
+def test_bundles_do_not_depend_on_batches(monkeypatch):
+    rng = random.Random(22)
+    texts = [langid.trigrams("".join(rng.choices("abcdeé漢λ ", k=rng.randint(0, 400)))) for _ in range(40)]
+    whole = langid.Vectors(256, 3).bundles(texts)
+    monkeypatch.setattr(langid, "HELD", 50)
+    monkeypatch.setattr(langid, "CELLS", 300)
+    monkeypatch.setattr(langid, "EXACT", 100)
+    small = langid.Vectors(256, 3)
+    assert np.array_equal(whole, np.concatenate([small.bundles([t]) for t in texts])) and np.array_equal(whole, small.bundles(texts))
 
 
 # secrets
