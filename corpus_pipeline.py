@@ -18,21 +18,21 @@ from lamina.llm import bpe, langid, mixing, secrets, simhash
 from lamina.llm.common import cut, read
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: A text of so many letters or more whose best cosine is lower than this is in no known language.
-LETTERS = 200
-LEAST_COSINE = 0.2
+#: A long text whose best cosine is lower than this is in no known language. Of a text of n trigrams sqrt(n / (n + FEW)) times that is asked: few trigrams
+#: are less like any prototype.
+LEAST_COSINE = 0.12
+FEW = 50
 #: Near-duplicates: distinct runs of five words and a similarity of 0.8 or more.
 SHINGLE = 5
 SIMILARITY = 0.8
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts without letters and long texts unlike every language learned; the rest is unchanged."""
+    """Rejects texts without letters and texts unlike every language learned; the rest is unchanged."""
     langs, protos = langid.learn(docs, F.lit(True))
-    found = langid.predict(docs, langs, protos, keep=COLUMNS)
-    letters = F.length(F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\p{L}]+", ""))
-    known = (F.col("lang_pred") != langid.UNKNOWN) & ((F.col("score") >= LEAST_COSINE) | (letters < LETTERS))
-    return found.where(known).select(*COLUMNS)
+    found = langid.predict(docs, langs, protos, keep=COLUMNS, counts=True)
+    n = F.col("n_trigrams")
+    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_COSINE * F.sqrt(n / (n + FEW)))).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
