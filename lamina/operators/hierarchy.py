@@ -17,7 +17,7 @@ from lamina.operators.components import weak_components
 from lamina.operators.sparse import merge_graph_min, merge_rows, remove_diagonal
 from lamina.operators.walks import random_walks
 from lamina.scratch import cut
-from lamina.settings import HierarchySettings, WalkSettings
+from lamina.settings import ADDED_SIMS, HierarchySettings, WalkSettings
 
 Metric = Callable[[DataFrame], DataFrame]
 WALKING = ("NEIGH_WALKS", "NEIGH_WALKS_SINGLE_OVERLAP", "GEO_WALKS")
@@ -46,6 +46,10 @@ class Hierarchy:
             out = out.unionByName(p)
         return out
 
+    def members(self, level: int) -> DataFrame:
+        """(component_id, point_id)."""
+        return self.membership[level].select("component_id", "point_id")
+
     def pixels(self, level: int, component: int) -> DataFrame:
         """(point_id) of one component."""
         return self.membership[level].where(F.col("component_id") == component).select("point_id")
@@ -132,18 +136,25 @@ def new_walks(h: Hierarchy, level: int, parents: DataFrame, settings: HierarchyS
     h.walks[level + 1] = cut(random_walks(steps, replace(w, length=length)), "walks")
 
 
+#: Distances between components by name: (hierarchy, level, points, edges, settings) -> pairs (a, b) -> (a, b, dist).
+METRICS: dict[str, Callable[[Hierarchy, int, DataFrame, DataFrame, HierarchySettings], Metric]] = {
+    "NEIGH_OVERLAP": lambda h, level, points, edges, s: lambda pairs: similarity.overlap(pairs, h.members(level), edges),
+    "EUCLID_CENTROID": lambda h, level, points, edges, s: lambda pairs: similarity.euclid(pairs, h.members(level), points, s.samples, s.seed),
+    "GEO_CENTROID": lambda h, level, points, edges, s: lambda pairs: similarity.geodesic(pairs, h.members(level), edges, s.samples, s.seed),
+    "GEO_WALKS": lambda h, level, points, edges, s: lambda pairs: similarity.geodesic(pairs, h.members(level), edges, s.samples, s.seed),
+    "NEIGH_WALKS": lambda h, level, points, edges, s: lambda pairs: similarity.bhattacharyya(pairs, h.walks[level]),
+    "NEIGH_WALKS_SINGLE_OVERLAP": lambda h, level, points, edges, s: lambda pairs: similarity.single_overlap(pairs, h.walks[level]),
+}
+
+
+def add_metric(name: str, make: Callable[[Hierarchy, int, DataFrame, DataFrame, HierarchySettings], Metric]) -> None:
+    """Let settings name a distance of your own."""
+    METRICS[name] = make
+    ADDED_SIMS.add(name)
+
+
 def metric_of(h: Hierarchy, level: int, points: DataFrame, edges: DataFrame, settings: HierarchySettings) -> Metric:
-    members = h.membership[level].select("component_id", "point_id")
-    kind = settings.similarity
-    if kind == "NEIGH_OVERLAP":
-        return lambda pairs: similarity.overlap(pairs, members, edges)
-    if kind == "EUCLID_CENTROID":
-        return lambda pairs: similarity.euclid(pairs, members, points, settings.samples, settings.seed)
-    if kind in ("GEO_CENTROID", "GEO_WALKS"):
-        return lambda pairs: similarity.geodesic(pairs, members, edges, settings.samples, settings.seed)
-    if kind == "NEIGH_WALKS":
-        return lambda pairs: similarity.bhattacharyya(pairs, h.walks[level])
-    return lambda pairs: similarity.single_overlap(pairs, h.walks[level])
+    return METRICS[settings.similarity](h, level, points, edges, settings)
 
 
 def build(points: DataFrame, edges: DataFrame, rows: int, cols: int, settings: HierarchySettings) -> Hierarchy:

@@ -43,21 +43,42 @@ def _exact(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     return -(a * b).sum(1)
 
 
+#: Pairs whose exact distance is taken at once.
+PAIRS = 1 << 17
+
+
+def _first_of_equals(others: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """Rows of `b` but those of which `most` equal ones with lesser ids are there: no query takes more of them."""
+    name = np.unique(b, axis=0, return_inverse=True)[1].ravel()
+    order = np.lexsort((others, name))
+    place = np.arange(len(order)) - np.searchsorted(name[order], name[order])
+    return np.sort(order[place < most])
+
+
 def nearest(ids: np.ndarray, a: np.ndarray, others: np.ndarray, b: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(src, dst, dist) of the k of `others` nearest to each of `ids`, self apart; ties by id."""
+    """(src, dst, dist) of the k of `others` nearest to each of `ids`, self apart; ties by id.
+
+    The matrix product tells all that lie at or within the k-th distance, but for rounding; their distances are then taken exactly.
+    """
+    if not len(a) or not len(b) or k < 1:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    keep = _first_of_equals(others, b, k + 1)
+    others, b = others[keep], b[keep]
     d = _dist(a, b, metric)
+    slack = 1e-9 * (1.0 if metric == "COSINE" else (a * a).sum(1)[:, None] + (b * b).sum(1).max() + 1e-300)
     d[ids[:, None] == others[None]] = np.inf
-    take = min(k + 8, d.shape[1])
-    near = np.argpartition(d, take - 1, axis=1)[:, :take] if take < d.shape[1] else np.tile(np.arange(d.shape[1]), (len(a), 1))
-    rows = np.repeat(np.arange(len(a)), near.shape[1])
-    flat = near.ravel()
-    true = _exact(a[rows], b[flat], metric)
-    true[~np.isfinite(d[rows, flat])] = np.inf
-    order = np.lexsort((others[flat], true, rows))
-    rows, flat, true = rows[order], flat[order], true[order]
-    place = np.arange(len(rows)) - np.searchsorted(rows, rows)
-    keep = (place < k) & np.isfinite(true)
-    return ids[rows[keep]], others[flat[keep]], true[keep]
+    limit = np.partition(d, k - 1, axis=1)[:, k - 1 : k] if k < d.shape[1] else np.full((len(a), 1), np.inf)
+    rows, cols = np.nonzero((d <= limit + slack) & np.isfinite(d))
+    out = []
+    cuts = np.searchsorted(rows, np.unique(rows[np.searchsorted(rows, rows[::PAIRS])])) if len(rows) else []
+    for s, e in zip(cuts, [*cuts[1:], len(rows)], strict=True):
+        r, c = rows[s:e], cols[s:e]
+        true = np.concatenate([_exact(a[r[i : i + PAIRS]], b[c[i : i + PAIRS]], metric) for i in range(0, len(r), PAIRS)])
+        order = np.lexsort((others[c], true, r))
+        r, c, true = r[order], c[order], true[order]
+        best = np.arange(len(r)) - np.searchsorted(r, r) < k
+        out.append((ids[r[best]], others[c[best]], true[best]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
 
 def _vectors(lists: pa.Array) -> np.ndarray:

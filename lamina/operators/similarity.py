@@ -16,6 +16,10 @@ from lamina.operators.paths import shortest_paths
 from lamina.scratch import cut
 
 
+#: Points of a component that one task takes at once.
+BLOCK = 1024
+
+
 def represented(members: DataFrame, edges: DataFrame) -> DataFrame:
     """(component_id, dst): the distinct neighbours, self included, of all points of a component."""
     return members.join(edges.select(F.col("src").alias("point_id"), "dst"), "point_id").select("component_id", "dst").distinct()
@@ -46,8 +50,11 @@ def _drawn(members: DataFrame, samples: int, seed: int) -> tuple[DataFrame, Data
     return sizes, whole, some
 
 
-def chosen_members(pairs: DataFrame, members: DataFrame, samples: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    """(a, b, point_id) of either side: all members, or `samples` drawn ones where |A| * |B| exceeds samples^2 and the side has more."""
+def chosen_members(pairs: DataFrame, members: DataFrame, samples: int | None, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(a, b, point_id) of either side: all members, or, if `samples` is given, so many drawn ones where |A| * |B| exceeds samples^2 and the side has more."""
+    if samples is None:
+        both = pairs.select("a", "b")
+        return both.join(members.toDF("a", "point_id"), "a").select("a", "b", "point_id"), both.join(members.toDF("b", "point_id"), "b").select("a", "b", "point_id")
     sizes, whole, some = _drawn(members, samples, seed)
     sized = cut(pairs.select("a", "b").join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b"), "sized")
     large = F.col("na") * F.col("nb") > samples * samples
@@ -62,29 +69,36 @@ def chosen_members(pairs: DataFrame, members: DataFrame, samples: int, seed: int
     return side("a", "na"), side("b", "nb")
 
 
-def euclid(pairs: DataFrame, members: DataFrame, points: DataFrame, samples: int = 100, seed: int = 1) -> DataFrame:
+def euclid(pairs: DataFrame, members: DataFrame, points: DataFrame, samples: int | None = None, seed: int = 1) -> DataFrame:
     """Symmetric Hausdorff distance over the points' L2 distances; for single points their distance.
 
-    A pair's points, samples^2 products at most, are one matrix product.
+    The members of each side meet in blocks of BLOCK points, so a pair of large components is many tasks; a block of points returns its least distances, one a point.
     """
     members = members.select("component_id", "point_id")
     left, right = chosen_members(pairs, members, samples, seed)
-    pack = lambda df, name: df.join(points.select("point_id", "features"), "point_id").groupBy("a", "b").agg(F.collect_list("features").alias(name))
+    vectors = points.select("point_id", F.col("features").cast("array<double>").alias("features"))
+
+    def pack(df: DataFrame, name: str) -> DataFrame:
+        sizes = df.groupBy("a", "b").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_n"))
+        cut_ = df.join(sizes, ["a", "b"]).withColumn(f"{name}_block", F.pmod(F.xxhash64("point_id"), F.col("_n")).cast("int"))
+        return cut_.join(vectors, "point_id").groupBy("a", "b", f"{name}_block").agg(F.collect_list(F.struct("point_id", "features")).alias(name))
+
     both = pack(left, "x").join(pack(right, "y"), ["a", "b"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                x, y = np.array(x, np.float64), np.array(y, np.float64)
+            for row in batch.to_pylist():
+                (i, x), (j, y) = ((np.array([r["point_id"] for r in row[s]], np.int64), np.array([r["features"] for r in row[s]], np.float64)) for s in ("x", "y"))
                 d = np.stack([((y - p) ** 2).sum(1) for p in x])
-                out.append(float(np.sqrt(max(d.min(1).max(), d.min(0).max()))))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out, pa.float64())], ["a", "b", "dist"])
+                n = len(i) + len(j)
+                least = np.sqrt(np.concatenate((d.min(1), d.min(0))))
+                yield pa.RecordBatch.from_arrays([pa.array([row["a"]] * n, pa.int64()), pa.array([row["b"]] * n, pa.int64()), pa.array(np.arange(n) < len(i)), pa.array(np.concatenate((i, j))), pa.array(least)], ["a", "b", "left", "point_id", "d"])
 
-    return both.mapInArrow(work, "a long, b long, dist double")
+    least = both.mapInArrow(work, "a long, b long, left boolean, point_id long, d double").groupBy("a", "b", "left", "point_id").agg(F.min("d").alias("d"))
+    return least.groupBy("a", "b").agg(F.max("d").alias("dist"))
 
 
-def geodesic(pairs: DataFrame, members: DataFrame, edges: DataFrame, samples: int = 100, seed: int = 1) -> DataFrame:
+def geodesic(pairs: DataFrame, members: DataFrame, edges: DataFrame, samples: int | None = None, seed: int = 1) -> DataFrame:
     """Symmetric Hausdorff distance over shortest paths along the graph; null where no path leads across."""
     left, right = chosen_members(pairs, members.select("component_id", "point_id"), samples, seed)
     met = cut(left.toDF("a", "b", "x").join(right.toDF("a", "b", "y"), ["a", "b"]), "met")

@@ -62,6 +62,11 @@ def prune_limit(settings: WalkSettings) -> float:
     return min(0.5, step_weight(left, settings.length, settings.weighting)) if settings.weighting in ("LINEAR", "NORMAL") else settings.prune_value
 
 
+def cumulative(steps: DataFrame) -> DataFrame:
+    """`steps` with upto: the running sum of p in each row, by ascending column."""
+    return steps.withColumn("upto", F.sum("p").over(Window.partitionBy("row_id").orderBy("col_id")))
+
+
 def _by_kernel(steps: DataFrame, starts: DataFrame, s: WalkSettings) -> DataFrame:
     t = steps.select("row_id", "col_id", "p").orderBy("row_id", "col_id").toArrow()
     row, col, p = (t.column(c).to_numpy() for c in ("row_id", "col_id", "p"))
@@ -115,8 +120,7 @@ def _by_kernel(steps: DataFrame, starts: DataFrame, s: WalkSettings) -> DataFram
 
 def _by_joins(steps: DataFrame, starts: DataFrame, s: WalkSettings) -> DataFrame:
     """A table of walkers, one row each, joined with the rows they stand on, step by step."""
-    upto = F.sum("p").over(Window.partitionBy("row_id").orderBy("col_id"))
-    rows = cut(steps.withColumn("upto", upto).groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("col_id", "upto"))).alias("out")), "rows")
+    rows = cut(cumulative(steps).groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("col_id", "upto"))).alias("out")), "rows")
     at = starts.select(F.col("row_id").alias("start"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(s.num_walks - 1).cast("long"))).alias("walk")).withColumn("at", F.col("start"))
     visits = None
     for step in range(s.length):

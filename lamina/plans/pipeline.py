@@ -1,29 +1,17 @@
-"""The whole way from points to layouts, stage by stage, and a registry of metrics."""
+"""The whole way from points to layouts, stage by stage."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamina.functions.scaling import scale
-from lamina.operators import embedding, graph, hierarchy, levels, similarity
+from lamina.operators import embedding, graph, hierarchy, levels
 from lamina.operators.components import strong_components, weak_components
 from lamina.operators.knn import knn
 from lamina.scratch import cut
 from lamina.settings import HierarchySettings, KnnSettings, LevelSettings
 
-#: Distances between components by name: (pairs, tables...) -> (a, b, dist). Add your own here.
-METRICS: dict[str, Callable[..., DataFrame]] = {
-    "NEIGH_OVERLAP": similarity.overlap,
-    "EUCLID_CENTROID": similarity.euclid,
-    "GEO_CENTROID": similarity.geodesic,
-    "NEIGH_WALKS": similarity.bhattacharyya,
-    "NEIGH_WALKS_SINGLE_OVERLAP": similarity.single_overlap,
-}
-
-
 def neighbor_graph(points: DataFrame, settings: KnnSettings) -> DataFrame:
     """Neighbours, completed where an index missed some, with the node itself first; symmetric and connected if asked for."""
     edges = cut(graph.with_self(knn(points, settings.k, settings.metric, settings.index), settings.k), "knn")
@@ -37,11 +25,15 @@ def component_labels(edges: DataFrame, symmetric: bool) -> DataFrame:
     return weak_components(edges) if symmetric else strong_components(edges)
 
 
+def scaled_points(points: DataFrame, scaler: str) -> DataFrame:
+    return cut(scale(points.select("point_id", "features"), scaler), "scaled")
+
+
 def build_hierarchy(points: DataFrame, rows: int, cols: int, k: KnnSettings, settings: HierarchySettings, scaler: str = "NONE") -> tuple[hierarchy.Hierarchy, DataFrame]:
-    """The hierarchy and the neighbour graph it stands on. Geodesic measures connect the graph first; else it keeps a component each at least."""
+    """The hierarchy and the neighbour graph it stands on, over scaled points. Geodesic measures connect the graph first; else it keeps a component each at least."""
     if points.count() != rows * cols:
         raise ValueError("the grid has another number of points")
-    scaled = cut(scale(points.select("point_id", "features"), scaler), "scaled")
+    scaled = scaled_points(points, scaler)
     if settings.similarity.startswith("GEO") and not k.connect:
         k = KnnSettings(**{**k.__dict__, "connect": True})
     edges = cut(neighbor_graph(scaled, k), "graph")
@@ -49,9 +41,10 @@ def build_hierarchy(points: DataFrame, rows: int, cols: int, k: KnnSettings, set
 
 
 def compute(points: DataFrame, rows: int, cols: int, k: KnnSettings, settings: HierarchySettings, level_settings: LevelSettings, scaler: str = "NONE") -> tuple[hierarchy.Hierarchy, dict[int, DataFrame]]:
-    """Neighbours, hierarchy, and the symmetric distribution of each level."""
-    h, edges = build_hierarchy(points, rows, cols, k, settings, scaler)
-    return h, levels.level_similarities(h, points.select("point_id", "features"), edges, settings, level_settings, k.k)
+    """Neighbours, hierarchy, and the symmetric distribution of each level, all over the scaled points."""
+    scaled = scaled_points(points, scaler)
+    h, edges = build_hierarchy(scaled, rows, cols, k, settings)
+    return h, levels.level_similarities(h, scaled, edges, settings, level_settings, k.k)
 
 
 def layouts(h: hierarchy.Hierarchy, distributions: dict[int, DataFrame], kind: str = "TSNE", **options) -> dict[int, DataFrame]:

@@ -5,18 +5,19 @@ The vectors of `embeddings` play an image: point_id = vec_id on the grid of `lam
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lamina.functions import aggregates, kernels, scalar, scaling
-from lamina.operators import components, embedding, graph, hierarchy, knn, similarity, sparse, walks
+from lamina.operators import components, embedding, graph, hierarchy, knn, levels, similarity, sparse, walks
 from lamina.operators.paths import shortest_paths
 from lamina.plans.pipeline import build_hierarchy
-from lamina.scratch import cut
+from lamina.scratch import cut, shared_dir
 from lamina.settings import HierarchySettings, KnnSettings, WalkSettings
-from lamina.sources import generators
+from lamina.sources import generators, tables
 from lamina.sources.tables import grid, read_points
 
 K = 11
@@ -189,6 +190,18 @@ def pairwise_l2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.withColumn("i", F.row_number().over(order)).where("i <= 10").select("src", "dst", r6("dist").alias("dist"))
 
 
+TIES = f"""{G}, q AS (SELECT point_id, [floor(v[1] * 8), floor(v[2] * 8)]::DOUBLE[] AS v FROM pts),
+edges AS (SELECT * FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY (src <> dst)::INT, dist, dst) - 1 AS rank, dist
+  FROM (SELECT a.point_id AS src, b.point_id AS dst, list_distance(a.v, b.v) AS dist FROM q a, q b)) WHERE rank < {K})"""
+
+
+@query(f"WITH {TIES} SELECT src, dst, rank, round(dist, 6) AS dist FROM edges")
+def knn_of_equal_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points rounded to a coarse grid, so that most distances tie."""
+    coarse = F.transform(F.slice("features", 1, 2), lambda x: F.floor(x.cast("double") * 8).cast("double"))
+    return _knn(knn.knn_exact(points(spark, sf_dir).select("point_id", coarse.alias("features")), K, block=64))
+
+
 @query()
 def knn_ivf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _knn(knn.knn_cells(points(spark, sf_dir), K))
@@ -251,38 +264,85 @@ def component_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("label", F.posexplode("features").alias("dim", "value")).select("label", F.col("dim").cast("long").alias("dim"), r6("value").alias("value"))
 
 
-@query("""WITH p AS (SELECT vec_id, label::BIGINT AS label, embedding::DOUBLE[] AS v FROM embeddings WHERE label < 4)
+@query("""WITH p AS (SELECT vec_id, label::BIGINT AS label, embedding::DOUBLE[] AS v FROM embeddings WHERE label IS NOT NULL)
 SELECT x.label AS a, y.label AS b, arg_min(x.vec_id, list_distance(x.v, y.v)) AS src, arg_min(y.vec_id, list_distance(x.v, y.v)) AS dst, round(min(list_distance(x.v, y.v)), 6) AS dist
 FROM p x JOIN p y ON x.label < y.label GROUP BY ALL""")
 def closest_pair_between_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("label < 4")
+    raw = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("label is not null")
     labels = raw.select(F.col("vec_id").alias("node"), F.col("label").cast("long").alias("label"))
     pairs = scalar.pairs(labels.select("label").distinct(), "label")
     return graph.closest_pairs(points(spark, sf_dir), labels, pairs).withColumn("dist", r6("dist"))
 
 
-@query()
-def closest_pair_between_all_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of every two labels, where closest_pair_between_components and its SQL take the first four only."""
-    raw = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("label is not null")
-    labels = raw.select(F.col("vec_id").alias("node"), F.col("label").cast("long").alias("label"))
-    pairs = scalar.pairs(labels.select("label").distinct(), "label")
-    return graph.closest_pairs(points(spark, sf_dir), labels, pairs).withColumn("dist", r6("dist"))
+BROKEN = f"""{knn_sql(6)}, bad AS (SELECT src, CASE WHEN src % 7 = 0 AND rank = 3 THEN NULL WHEN src % 5 = 0 AND rank = 4 THEN (src + 1) % (SELECT n FROM g) ELSE dst END AS dst, rank, CASE WHEN src % 11 = 0 AND rank = 5 THEN dist / 2 ELSE dist END AS dist
+FROM edges WHERE NOT (src % 3 = 0 AND rank = 0))"""
 
 
-@query()
-def connected_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _knn(graph.connected(points(spark, sf_dir), graph.symmetric_min(edges(spark, sf_dir, 2))))
+def _broken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours as an index may return them: some are missing, repeated or out of order, some rows lack the node itself."""
+    n = points(spark, sf_dir).count()
+    e = edges(spark, sf_dir, 6)
+    dst = F.when((F.col("src") % 7 == 0) & (F.col("rank") == 3), F.lit(None)).when((F.col("src") % 5 == 0) & (F.col("rank") == 4), (F.col("src") + 1) % n).otherwise(F.col("dst"))
+    dist = F.when((F.col("src") % 11 == 0) & (F.col("rank") == 5), F.col("dist") / 2).otherwise(F.col("dist"))
+    return e.where("not (src % 3 = 0 and rank = 0)").select("src", dst.alias("dst"), "rank", dist.alias("dist"))
 
 
-@query()
+@query(f"WITH {BROKEN} SELECT src FROM bad GROUP BY src HAVING count(dst) < 6")
+def incomplete_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.incomplete(_broken(spark, sf_dir), 6)
+
+
+@query(f"WITH {BROKEN} SELECT DISTINCT src FROM (SELECT src, dist < lag(dist) OVER (PARTITION BY src ORDER BY rank) AS down FROM bad) WHERE down")
+def decreasing_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.decreasing(_broken(spark, sf_dir))
+
+
+@query(f"WITH {knn_sql(3)}, twice AS (SELECT src // 2 AS src, dst // 2 AS dst FROM edges) SELECT src, dst FROM twice GROUP BY ALL HAVING count(*) > 1")
+def repeated_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = edges(spark, sf_dir, 3)
+    half = lambda c: F.floor(F.col(c) / 2).cast("long").alias(c)
+    return graph.repeated(e.select(half("src"), half("dst")))
+
+
+@query(f"""WITH {BROKEN}, whole AS (SELECT DISTINCT src, src AS dst, 0 AS dist FROM bad UNION ALL SELECT src, dst, dist FROM bad WHERE src <> dst AND dst IS NOT NULL)
+SELECT * REPLACE (round(dist, 6) AS dist) FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY (src <> dst)::INT, dist, dst) - 1 AS rank, dist FROM whole) WHERE rank < 6""")
+def rows_with_self_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _knn(graph.with_self(_broken(spark, sf_dir), 6))
+
+
+@query(f"WITH {knn_sql()}, {adjacency_sql()} SELECT point_id AS a, neighbor_id AS b, round(dist, 6) AS dist FROM adjacency LEFT JOIN edges ON src = point_id AND dst = neighbor_id")
+def direct_neighbor_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = scalar.pixel_neighbors(points(spark, sf_dir), *shape(spark, sf_dir)).select(F.col("point_id").alias("a"), F.col("neighbor_id").alias("b"))
+    return graph.edge_distance(edges(spark, sf_dir), near).select("a", "b", r6("dist").alias("dist"))
+
+
+@query(f"""WITH {knn_sql(5)}, s AS (SELECT src, dst, min(dist) AS dist FROM (SELECT src, dst, dist FROM edges UNION ALL SELECT dst, src, dist FROM edges) GROUP BY ALL)
+SELECT 'symmetric' AS name, (SELECT count(*) FROM s) = (SELECT count(*) FROM s x JOIN s y ON x.src = y.dst AND x.dst = y.src AND x.dist = y.dist) AS same
+UNION ALL SELECT 'directed', (SELECT count(*) FROM edges) = (SELECT count(*) FROM edges x JOIN edges y ON x.src = y.dst AND x.dst = y.src)""")
+def symmetric_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = edges(spark, sf_dir, 5)
+    found = [("symmetric", sparse.is_symmetric(sparse.from_edges(graph.symmetric_min(e)))), ("directed", sparse.is_symmetric(sparse.from_edges(e)))]
+    return spark.createDataFrame(found, "name string, same boolean")
+
+
+@query(f"""WITH RECURSIVE {knn_sql()}, sym AS (SELECT src, dst, min(dist) AS dist FROM (SELECT src, dst, dist FROM edges UNION ALL SELECT dst, src, dist FROM edges) WHERE src <> dst GROUP BY ALL), {adjacency_sql()},
+pairs AS (SELECT point_id AS a, neighbor_id AS b FROM adjacency WHERE point_id < neighbor_id),
+hop AS (SELECT DISTINCT a AS source, a AS node, 0::DOUBLE AS dist, 0 AS hops FROM pairs UNION ALL SELECT source, dst, min(hop.dist + sym.dist), any_value(hops) + 1 FROM hop JOIN sym ON node = src WHERE hops < 14 GROUP BY source, dst)
+SELECT a, b, round(min(dist), 6) AS dist FROM pairs LEFT JOIN hop ON source = a AND node = b GROUP BY a, b""")
 def geodesic_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The SQL follows paths of 14 edges at most, more than any shortest path of the tables it is run on has."""
     e = cut(graph.symmetric_min(edges(spark, sf_dir)), "sym")
     rows, cols = shape(spark, sf_dir)
     near = scalar.pixel_neighbors(points(spark, sf_dir), rows, cols).where("point_id < neighbor_id")
     return shortest_paths(e, near.select(F.col("point_id").alias("a"), F.col("neighbor_id").alias("b"))).withColumn("dist", r6("dist"))
 
 
+@query()
+def connected_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _knn(graph.connected(points(spark, sf_dir), graph.symmetric_min(edges(spark, sf_dir, 2))))
+
+
+
 # distances between components
 
 
@@ -293,6 +353,14 @@ def overlap_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.overlap(pairs, p.select(F.col("point_id").alias("component_id"), "point_id"), edges(spark, sf_dir)).withColumn("dist", r6("dist"))
 
 
+def _fours(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Components of four points each, and the pairs of neighbouring ones."""
+    members = points(spark, sf_dir).select(F.floor(F.col("point_id") / 4).cast("long").alias("component_id"), "point_id")
+    ids = members.select("component_id").distinct()
+    pairs = ids.join(ids.select((F.col("component_id") - 1).alias("component_id"), F.lit(1).alias("x")), "component_id")
+    return members, pairs.select(F.col("component_id").alias("a"), (F.col("component_id") + 1).alias("b"))
+
+
 HALVES = f"""WITH {G}, m AS (SELECT point_id {PARENT} AS component_id, point_id, v FROM pts),
 d AS (SELECT x.component_id AS a, y.component_id AS b, x.point_id AS i, y.point_id AS j, list_distance(x.v, y.v) AS d FROM m x JOIN m y ON y.component_id = x.component_id + 1)"""
 
@@ -301,11 +369,20 @@ d AS (SELECT x.component_id AS a, y.component_id AS b, x.point_id AS i, y.point_
 t AS (SELECT a, b, max(m) AS t FROM (SELECT a, b, j, min(d) AS m FROM d GROUP BY ALL) GROUP BY ALL)
 SELECT a, b, round(greatest(u, t), 6) AS dist FROM u JOIN t USING (a, b)""")
 def euclid_hausdorff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = points(spark, sf_dir)
-    members = p.select(F.floor(F.col("point_id") / 4).cast("long").alias("component_id"), "point_id")
-    ids = members.select("component_id").distinct()
-    pairs = ids.join(ids.select((F.col("component_id") - 1).alias("component_id"), F.lit(1).alias("x")), "component_id").select(F.col("component_id").alias("a"), (F.col("component_id") + 1).alias("b"))
-    return similarity.euclid(pairs, members, p).withColumn("dist", r6("dist"))
+    members, pairs = _fours(spark, sf_dir)
+    return similarity.euclid(pairs, members, points(spark, sf_dir)).withColumn("dist", r6("dist"))
+
+
+@query(f"""WITH RECURSIVE {knn_sql()}, sym AS (SELECT src, dst, min(dist) AS dist FROM (SELECT src, dst, dist FROM edges UNION ALL SELECT dst, src, dist FROM edges) WHERE src <> dst GROUP BY ALL),
+hop AS (SELECT point_id AS source, point_id AS node, 0::DOUBLE AS dist, 0 AS hops FROM pts UNION ALL SELECT source, dst, min(hop.dist + sym.dist), any_value(hops) + 1 FROM hop JOIN sym ON node = src WHERE hops < 14 GROUP BY source, dst),
+d AS (SELECT source {PARENT} AS a, node {PARENT} AS b, source AS i, node AS j, min(dist) AS d FROM hop WHERE node {PARENT} = source {PARENT} + 1 GROUP BY ALL),
+u AS (SELECT a, b, max(m) AS u FROM (SELECT a, b, i, min(d) AS m FROM d GROUP BY ALL) GROUP BY ALL),
+t AS (SELECT a, b, max(m) AS t FROM (SELECT a, b, j, min(d) AS m FROM d GROUP BY ALL) GROUP BY ALL)
+SELECT a, b, round(greatest(u, t), 6) AS dist FROM u JOIN t USING (a, b)""")
+def geodesic_hausdorff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members, pairs = _fours(spark, sf_dir)
+    e = cut(graph.symmetric_min(edges(spark, sf_dir)), "sym")
+    return similarity.geodesic(pairs, members, e).withColumn("dist", r6("dist"))
 
 
 PAIRS4 = f"{LINEAR}, {adjacency_sql()}, pairs AS (SELECT point_id AS a, neighbor_id AS b FROM adjacency WHERE point_id < neighbor_id)"
@@ -375,16 +452,36 @@ def level1_spatial_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy.spatial_neighbors(adjacency, parents.toDF("point_id", "component_id")).select("component_id", "neighbor_id")
 
 
-@query(f"{LEVEL1} SELECT component_id FROM level1 GROUP BY component_id HAVING count(*) = 1")
+NEAR1 = f"""WITH RECURSIVE {OVERLAP},
+choice AS (SELECT point_id, neighbor_id FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY dist, ord) AS i FROM measured WHERE dist < 0.85) WHERE i = 1),
+both_ways AS (SELECT point_id AS a, neighbor_id AS b FROM choice UNION SELECT neighbor_id, point_id FROM choice),
+reach AS (SELECT point_id AS a, point_id AS b FROM pts UNION SELECT reach.a, w.b FROM reach JOIN both_ways w ON reach.b = w.a),
+level1 AS (SELECT a AS point_id, dense_rank() OVER (ORDER BY min(b)) - 1 AS component_id FROM reach GROUP BY a)"""
+
+
+def _near_level(spark: SparkSession, sf_dir: str) -> hierarchy.Hierarchy:
+    """A first level where only neighbours nearer than 0.85 merge."""
+    d = _distances(spark, sf_dir)
+    ids = points(spark, sf_dir).select(F.col("point_id").alias("component_id"))
+    h = hierarchy.Hierarchy()
+    h.parents[0] = cut(hierarchy.merged(ids, hierarchy.choose(d, 0.85)), "parents")
+    h.membership[1] = h.parents[0].select(F.col("component_id").alias("point_id"), F.col("parent_id").alias("component_id"))
+    return h
+
+
+@query(f"{NEAR1} SELECT component_id FROM level1 GROUP BY component_id HAVING count(*) = 1")
 def not_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return level_one(spark, sf_dir)[0].groupBy(F.col("parent_id").alias("component_id")).agg(F.count("*").alias("n")).where("n = 1").select("component_id")
+    return _near_level(spark, sf_dir).not_merged(1)
 
 
-@query(f"{LEVEL1} SELECT 0 AS level, count(*) AS num_components FROM level1 UNION ALL SELECT 1, count(DISTINCT component_id) FROM level1")
-def hierarchy_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, cols = shape(spark, sf_dir)
-    h, _ = build_hierarchy(points(spark, sf_dir), rows, cols, KnnSettings(k=K, index="BruteForce"), HierarchySettings(max_levels=1))
-    return hierarchy.level_stats(h).select("level", "num_components")
+@query(f"{NEAR1} SELECT component_id, point_id AS child_id FROM level1")
+def component_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _near_level(spark, sf_dir).children(1)
+
+
+@query(f"{NEAR1} SELECT point_id FROM level1 WHERE component_id = 1")
+def component_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _near_level(spark, sf_dir).pixels(1, 1)
 
 
 LEVEL2 = f"""{LEVEL1},
@@ -406,18 +503,57 @@ def level2_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.membership[2].select("point_id", "component_id")
 
 
-@query()
+#: Levels that the SQL follows; it is as far as levels of more than one component go on the tables it is run on, and a level of one component repeats itself.
+SQL_LEVELS = 8
+
+
+def levels_sql() -> str:
+    """LEVEL1 and the levels above it, m1 to m8 (point_id, component_id), each merged from the one below."""
+    parts = [LEVEL1, "m1 AS MATERIALIZED (SELECT point_id, component_id FROM level1)"]
+    for k in range(1, SQL_LEVELS):
+        parts.append(f"""t{k} AS MATERIALIZED (SELECT DISTINCT x.component_id AS a, y.component_id AS b FROM adjacency j JOIN m{k} x ON x.point_id = j.point_id JOIN m{k} y ON y.point_id = j.neighbor_id WHERE x.component_id <> y.component_id),
+u{k} AS MATERIALIZED (SELECT DISTINCT component_id, dst FROM m{k} JOIN edges ON src = point_id),
+n{k} AS (SELECT component_id, count(*) AS n FROM u{k} GROUP BY 1),
+s{k} AS MATERIALIZED (SELECT x.component_id AS a, y.component_id AS b, count(*) AS n FROM u{k} x JOIN u{k} y USING (dst) GROUP BY ALL),
+d{k} AS (SELECT t{k}.a, t{k}.b, 1 - coalesce(s{k}.n, 0) / least(p.n, q.n)::DOUBLE AS dist FROM t{k} JOIN n{k} p ON p.component_id = t{k}.a JOIN n{k} q ON q.component_id = t{k}.b LEFT JOIN s{k} ON s{k}.a = t{k}.a AND s{k}.b = t{k}.b),
+c{k} AS MATERIALIZED (SELECT a, b FROM d{k} QUALIFY row_number() OVER (PARTITION BY a ORDER BY dist, b) = 1),
+w{k} AS MATERIALIZED (SELECT a, b FROM c{k} UNION SELECT b, a FROM c{k}),
+r{k} AS (SELECT DISTINCT component_id AS a, component_id AS b FROM m{k} UNION SELECT r{k}.a, w.b FROM r{k} JOIN w{k} w ON r{k}.b = w.a),
+f{k} AS (SELECT a AS child_id, dense_rank() OVER (ORDER BY min(b)) - 1 AS component_id FROM r{k} GROUP BY a),
+m{k + 1} AS MATERIALIZED (SELECT point_id, f{k}.component_id FROM m{k} JOIN f{k} ON child_id = m{k}.component_id)""")
+    every = " UNION ALL ".join(["SELECT 0 AS level, point_id, point_id AS component_id FROM pts", *[f"SELECT {k}, point_id, component_id FROM m{k}" for k in range(1, SQL_LEVELS + 1)]])
+    return f"""{", ".join(parts)}, every AS ({every}), sizes AS (SELECT level, count(DISTINCT component_id) AS n FROM every GROUP BY level),
+real AS (SELECT level, n FROM sizes WHERE level = 0 OR n < (SELECT s.n FROM sizes s WHERE s.level = sizes.level - 1))"""
+
+
+LEVELS = levels_sql()
+
+
+def all_levels(spark: SparkSession, sf_dir: str) -> hierarchy.Hierarchy:
+    rows, cols = shape(spark, sf_dir)
+    return build_hierarchy(points(spark, sf_dir), rows, cols, KnnSettings(k=K, index="BruteForce"), HierarchySettings())[0]
+
+
+@query(f"{LEVELS} SELECT level, n AS num_components FROM real")
+def hierarchy_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hierarchy.level_stats(all_levels(spark, sf_dir)).select("level", "num_components")
+
+
+@query(f"{LEVELS} SELECT level, point_id, component_id FROM every WHERE level IN (SELECT level FROM real)")
 def hierarchy_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Membership on all levels."""
-    rows, cols = shape(spark, sf_dir)
-    h, _ = build_hierarchy(points(spark, sf_dir), rows, cols, KnnSettings(k=K, index="BruteForce"), HierarchySettings())
-    return h.table("membership")
+    return all_levels(spark, sf_dir).table("membership").select("level", "point_id", "component_id")
+
+
+@query(f"{LEVELS} SELECT DISTINCT x.level, x.component_id, y.component_id AS parent_id FROM every x JOIN every y ON y.level = x.level + 1 AND y.point_id = x.point_id WHERE y.level IN (SELECT level FROM real)")
+def hierarchy_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return all_levels(spark, sf_dir).table("parents").select("level", "component_id", "parent_id")
 
 
 @query()
 def hierarchy_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, cols = shape(spark, sf_dir)
-    settings = HierarchySettings(similarity="NEIGH_WALKS", max_levels=3, walks=WalkSettings(num_walks=20, length=8, handling="MERGE_RW_NEW_WALKS"))
+    settings = HierarchySettings(similarity="NEIGH_WALKS", walks=WalkSettings(num_walks=20, length=8, handling="MERGE_RW_NEW_WALKS"))
     h, _ = build_hierarchy(points(spark, sf_dir), rows, cols, KnnSettings(k=K, index="BruteForce"), settings)
     return h.table("walks").withColumn("value", r6("value"))
 
@@ -452,12 +588,34 @@ def linear_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linear_walks(spark, sf_dir).select("row_id", "col_id", r6("value").alias("p"))
 
 
-@query()
+ROWS = f"{knn_sql()}, r AS (SELECT src, list(dst ORDER BY dist, dst) AS cols, list(dist ORDER BY dist, dst) AS d FROM edges WHERE src <> dst GROUP BY src)"
+#: Bisection of the precision of each row, step by step; `e` is the entropy at a precision.
+GAUSSIAN = f"""WITH RECURSIVE {ROWS},
+b AS (SELECT src, d, 1::DOUBLE AS beta, 0::DOUBLE AS low, NULL::DOUBLE AS high, ln(greatest(len(d) / 3::DOUBLE, 1)) AS goal, 0 AS i, false AS done FROM r
+UNION ALL SELECT src, d, CASE WHEN abs(e - goal) < 1e-6 THEN beta WHEN e > goal THEN CASE WHEN high IS NULL THEN beta * 2 ELSE (beta + high) / 2 END ELSE (beta + low) / 2 END,
+  CASE WHEN e > goal THEN beta ELSE low END, CASE WHEN e > goal THEN high ELSE beta END, goal, i + 1, abs(e - goal) < 1e-6
+  FROM (SELECT *, ln(s) + beta * list_sum(list_transform(d, lambda x: (x - d[1]) * exp(-beta * (x - d[1])))) / s AS e FROM (SELECT *, list_sum(list_transform(d, lambda x: exp(-beta * (x - d[1])))) AS s FROM b WHERE NOT done AND i < 200))),
+f AS (SELECT src, d, beta FROM b WHERE done)
+SELECT src AS row_id, unnest(cols) AS col_id, round(unnest(list_transform(f.d, lambda x: exp(-beta * (x - f.d[1])) / list_sum(list_transform(f.d, lambda y: exp(-beta * (y - f.d[1])))))), 6) AS p FROM f JOIN r USING (src)"""
+
+
+@query(GAUSSIAN)
 def gaussian_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kernels.gaussian(edges(spark, sf_dir).toDF("row_id", "col_id", "rank", "dist")).withColumn("p", r6("p"))
 
 
-@query()
+#: Bisection of the bandwidth of each row.
+EXPONENTIAL = f"""WITH RECURSIVE {ROWS},
+o AS (SELECT src, cols, list_avg(d) AS mean, list_transform(d, lambda x: greatest(x - list_min(list_filter(d, lambda y: y > 0)), 0)) AS d FROM r),
+b AS (SELECT src, d, 1::DOUBLE AS sigma, 0::DOUBLE AS low, NULL::DOUBLE AS high, log2(greatest(len(d), 2)) AS goal, 0 AS i, false AS done FROM o
+UNION ALL SELECT src, d, CASE WHEN abs(s - goal) < 1e-5 THEN sigma WHEN s > goal THEN (low + sigma) / 2 WHEN high IS NULL THEN sigma * 2 ELSE (sigma + high) / 2 END,
+  CASE WHEN s > goal THEN low ELSE sigma END, CASE WHEN s > goal THEN sigma ELSE high END, goal, i + 1, abs(s - goal) < 1e-5
+  FROM (SELECT *, list_sum(list_transform(d, lambda x: exp(-x / sigma))) AS s FROM b WHERE NOT done AND i < 64)),
+f AS (SELECT src, arg_max(sigma, i) AS sigma FROM b GROUP BY src)
+SELECT src AS row_id, unnest(cols) AS col_id, round(unnest(list_transform(o.d, lambda x: exp(-x / greatest(sigma, 1e-3 * mean)))), 6) AS p FROM f JOIN o USING (src)"""
+
+
+@query(EXPONENTIAL)
 def exponential_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kernels.exponential(edges(spark, sf_dir).toDF("row_id", "col_id", "rank", "dist")).withColumn("p", r6("p"))
 
@@ -523,6 +681,65 @@ def sub_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sparse.sub_matrix(linear_walks(spark, sf_dir), rows).withColumn("value", r6("value"))
 
 
+@query(f"WITH {LINEAR} SELECT row_id, col_id, round(p, 6) AS value FROM lin WHERE p > 0.1")
+def prune_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sparse.prune(linear_walks(spark, sf_dir), 0.1).withColumn("value", r6("value"))
+
+
+@query(f"WITH {LINEAR} SELECT row_id, col_id, round(sum(p) OVER (PARTITION BY row_id ORDER BY col_id), 6) AS upto FROM lin")
+def cumulative_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return walks.cumulative(linear_walks(spark, sf_dir).withColumnRenamed("value", "p")).select("row_id", "col_id", r6("upto").alias("upto"))
+
+
+@query(f"""WITH {LINEAR}, t AS (SELECT row_id, col_id, p FROM lin QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY p DESC, col_id) <= 4)
+SELECT row_id, col_id, round(p / sum(p) OVER (PARTITION BY row_id), 6) AS value FROM t""")
+def topk_unit_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scaling.row_unit_sum(sparse.top_k(linear_walks(spark, sf_dir), 4)).withColumn("value", r6("value"))
+
+
+@query(f"WITH {LINEAR} SELECT row_id, col_id, row_number() OVER (PARTITION BY row_id ORDER BY 1 - p, col_id) AS rank, round(1 - p, 6) AS dist FROM lin QUALIFY rank <= 5")
+def walks_as_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return levels.walk_distances(linear_walks(spark, sf_dir), 5).select("row_id", "col_id", F.col("rank").cast("long").alias("rank"), r6("dist").alias("dist"))
+
+
+@query(f"""WITH {LINEAR}, {adjacency_sql('EIGHT')}, m AS (SELECT point_id AS a, neighbor_id AS b, 1 - coalesce(sum(sqrt(x.p * y.p)), 0) AS dist FROM adjacency LEFT JOIN lin x ON x.row_id = point_id LEFT JOIN lin y ON y.row_id = neighbor_id AND y.col_id = x.col_id GROUP BY ALL),
+s AS (SELECT a, a AS b, 0 AS dist FROM m GROUP BY a UNION ALL SELECT a, b, dist FROM m)
+SELECT a AS row_id, b AS col_id, row_number() OVER (PARTITION BY a ORDER BY (a <> b)::INT, round(dist, 9), b) - 1 AS rank, round(dist, 6) AS dist FROM s QUALIFY rank < 4""")
+def nearest_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest of the components that were measured: here every pair of pixels that touch."""
+    near = scalar.pixel_neighbors(points(spark, sf_dir), *shape(spark, sf_dir), "EIGHT").where("point_id < neighbor_id").select(F.col("point_id").alias("a"), F.col("neighbor_id").alias("b"))
+    found = similarity.bhattacharyya(near, linear_walks(spark, sf_dir)).withColumn("dist", F.round("dist", 9))
+    return levels.nearest_components(found, 4).select("row_id", "col_id", F.col("rank").cast("long").alias("rank"), r6("dist").alias("dist"))
+
+
+SIZES = (2000, 450, 90, 12, 1)
+
+
+@query(f"""WITH s AS (SELECT * FROM (VALUES {', '.join(f'({i}, {n})' for i, n in enumerate(SIZES))}) t(level, n)), p AS (SELECT level, n, CASE WHEN level = 0 THEN least(greatest(89 / 3::DOUBLE, 10), 100) ELSE least(89 / 3::DOUBLE, least(greatest(n / 100::DOUBLE, 10), 100)) END AS perplexity FROM s)
+SELECT level, least(floor(perplexity) * 3 + 1, n)::BIGINT AS k, round(perplexity, 6) AS perplexity FROM p""")
+def level_neighbor_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours and perplexity of levels of these sizes, 90 neighbours on the first."""
+    rows = [(i, k, round(p, 6)) for i, (k, p) in enumerate(levels.neighbor_counts(list(SIZES), 90))]
+    return spark.createDataFrame(rows, "level int, k long, perplexity double")
+
+
+REDUCTIONS = {"NONE": "1", "PROPORTIONAL_COMPONENT_REDUCTION": "rate", "PROPORTIONAL_HALF": "rate / 2", "PROPORTIONAL_DOUBLE": "rate * 2", "CONSTANT": "0.5", "CONSTANT_LOW": "0.75", "CONSTANT_HIGH": "0.25"}
+
+
+@query(" UNION ALL ".join(f"SELECT '{name}' AS reduction, i AS percent, greatest(5, least(50, floor(least(1, {x}) * 40)))::BIGINT AS length FROM (SELECT i, i / 100::DOUBLE AS rate FROM range(1, 100, 7) t(i))" for name, x in REDUCTIONS.items()))
+def walk_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps of the next level's walks after 40 steps, by the share of components that stays."""
+    rows = [(name, i, hierarchy.walk_length(WalkSettings(length=50, min_length=5, reduction=name), i / 100, 40)) for name in REDUCTIONS for i in range(1, 100, 7)]
+    return spark.createDataFrame(rows, "reduction string, percent long, length long")
+
+
+@query("""WITH s AS (SELECT unnest(range(20)) AS step) SELECT 'CONSTANT' AS weighting, step, 1::DOUBLE AS weight FROM s UNION ALL SELECT 'LINEAR', step, round(1 - step / 20::DOUBLE, 6) FROM s
+UNION ALL SELECT 'NORMAL', step, round(exp(-0.5 * (3 * step / 20::DOUBLE) * (3 * step / 20::DOUBLE)), 6) FROM s UNION ALL SELECT 'ONLYLAST', step, (step = 19)::INT::DOUBLE FROM s""")
+def step_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(w, i, round(scalar.step_weight(i, 20, w), 6)) for w in ("CONSTANT", "LINEAR", "NORMAL", "ONLYLAST") for i in range(20)]
+    return spark.createDataFrame(rows, "weighting string, step long, weight double")
+
+
 @query()
 def random_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
     steps = linear_walks(spark, sf_dir).withColumnRenamed("value", "p")
@@ -568,6 +785,36 @@ def scalar_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lineitem(spark, sf_dir).select("l_orderkey", "l_linenumber", r6(scalar.inverse_linear(q)).alias("invlin"), r6(scalar.inverse(q)).alias("inv"), r6(scalar.sigmoid(d)).alias("sigmoid"), r6(scalar.logistic(d, 2.0, 3.0, 0.05)).alias("logistic"))
 
 
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_discount - 0.05 <= 1e-6 THEN 0 ELSE l_discount - 0.05 END::DOUBLE AS floored, abs(l_discount - 0.05) < 1e-6 AS near, abs(l_tax) < 1e-6 AS zero,
+CASE WHEN l_discount <= 1e-6 THEN 0 ELSE sqrt(l_discount) END::DOUBLE AS root FROM lineitem""")
+def near_zero_and_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("l_discount")
+    more = scalar.floor_to_zero(d - 0.05).alias("floored"), scalar.about_equal(d, F.lit(0.05)).alias("near"), scalar.about_zero(F.col("l_tax")).alias("zero"), F.sqrt(scalar.floor_to_zero(d)).alias("root")
+    return lineitem(spark, sf_dir).select("l_orderkey", "l_linenumber", *more)
+
+
+@query("SELECT p_partkey, contains(lower(p_type), lower('BrAsS')) AS brass, contains(lower(p_name), lower(p_brand)) AS named FROM part")
+def contains_ignoring_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return part.select("p_partkey", scalar.contains_ignoring_case(F.col("p_type"), F.lit("BrAsS")).alias("brass"), scalar.contains_ignoring_case(F.col("p_name"), F.col("p_brand")).alias("named"))
+
+
+@query("SELECT vec_id AS point_id, i AS place, embedding[i]::DOUBLE AS value FROM embeddings, range(1, 65) t(i)")
+def vectors_written_and_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested vectors through a compressed table and back."""
+    path = f"{shared_dir(spark)}/lamina-scratch/vectors-{uuid.uuid4().hex}"
+    tables.write_rows(points(spark, sf_dir).select(F.col("point_id").alias("row_id"), F.col("features").alias("values")), path)
+    back = spark.read.parquet(path)
+    return back.select(F.col("row_id").alias("point_id"), F.posexplode("values").alias("place", "value")).select("point_id", (F.col("place") + 1).cast("long").alias("place"), F.col("value").cast("double").alias("value"))
+
+
+@query(f"WITH {knn_sql()} SELECT src, dst, rank, round(dist, 6) AS dist FROM edges")
+def graph_written_and_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/lamina-scratch/graph-{uuid.uuid4().hex}"
+    tables.write(edges(spark, sf_dir), path)
+    return _knn(tables.read(spark, path, "KNN_EDGES"))
+
+
 # layouts
 
 LAYOUT = "l AS (SELECT vec_id AS component_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings)"

@@ -21,6 +21,8 @@ CONNECTIONS = ("FOUR", "EIGHT")
 EMBEDDING_INITS = ("RANDOM", "PCA", "SPECTRAL")
 NORM_TYPES = ("ONEDIM", "TWODIM")
 EMBEDDINGS = ("TSNE", "UMAP")
+#: Names of distances between components that were added to `lamina.operators.hierarchy.METRICS`.
+ADDED_SIMS: set[str] = set()
 
 
 def one_of(name: str, value: str, allowed: tuple[str, ...]) -> str:
@@ -80,12 +82,13 @@ class HierarchySettings:
     min_reduction: float = 99.99
     max_levels: int = -1
     normalization: str = "TSNE"
-    samples: int = 100
+    #: Members drawn of either side of a pair of which more products are to be measured; None: all members.
+    samples: int | None = None
     seed: int = 1
     walks: WalkSettings = field(default_factory=WalkSettings)
 
     def __post_init__(self) -> None:
-        one_of("similarity", self.similarity, COMPONENT_SIMS)
+        one_of("similarity", self.similarity, (*COMPONENT_SIMS, *sorted(ADDED_SIMS)))
         one_of("connection", self.connection, CONNECTIONS)
         one_of("normalization", self.normalization, NORMALIZATIONS)
         if self.min_components < 1:

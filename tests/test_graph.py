@@ -149,10 +149,29 @@ def test_closest_pairs_of_all_labels_against_brute_force(spark, tmp_path):
     x, label = rng.standard_normal((200, 64)), np.arange(200) % 10
     rows = [(i, v.tolist(), int(c)) for i, (v, c) in enumerate(zip(x, label, strict=True))]
     spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
-    got = {(r["a"], r["b"]): (r["src"], r["dst"], r["dist"]) for r in registry.QUERIES["closest_pair_between_all_components"](spark, str(tmp_path)).collect()}
+    got = {(r["a"], r["b"]): (r["src"], r["dst"], r["dist"]) for r in registry.QUERIES["closest_pair_between_components"](spark, str(tmp_path)).collect()}
     assert len(got) == 45
     for (a, b), (src, dst, dist) in got.items():
         p, q = np.flatnonzero(label == a), np.flatnonzero(label == b)
         d = np.sqrt(((x[p][:, None] - x[q][None]) ** 2).sum(2))
         i, j = np.unravel_index(d.argmin(), d.shape)
         assert (src, dst) == (p[i], q[j]) and abs(dist - d.min()) < 1e-5
+
+
+@pytest.mark.parametrize("metric", ["L2", "COSINE", "INNER_PRODUCT"])
+def test_equal_points_and_distances_go_by_id(spark, metric):
+    rng = np.random.default_rng(9)
+    x = rng.integers(1, 4, (900, 3)).astype(float)
+    x[::3] = [2, 2, 2]
+    ids = rng.permutation(900)
+    points = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "point_id long, features array<double>")
+    own = np.empty_like(x)
+    own[ids] = x
+    d = {"L2": np.sqrt(((own[:, None] - own[None]) ** 2).sum(2)), "COSINE": 1 - own @ own.T / np.linalg.norm(own, axis=1)[:, None] / np.linalg.norm(own, axis=1)[None], "INNER_PRODUCT": -own @ own.T}[metric]
+    d = np.round(d, 9)
+    want = {(s, int(t)) for s in range(900) for t in sorted(set(range(900)) - {s}, key=lambda t: (d[s, t], t))[:5]}
+    found = {(r["src"], r["dst"]) for r in knn.knn_exact(points, 6, metric, block=128).where("src <> dst").collect()}
+    if metric == "COSINE":  # rounding tells equal directions apart
+        assert sum(d[s, t] for s, t in found) == pytest.approx(sum(d[s, t] for s, t in want), abs=1e-6)
+    else:
+        assert found == want

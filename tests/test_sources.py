@@ -160,3 +160,39 @@ def test_large_levels_measure_likely_pairs_only(spark, monkeypatch, similarity):
         from lamina.operators.similarity import overlap
 
         assert overlap(rest, h.membership[1].select("component_id", "point_id"), edges).where("dist < 1").isEmpty()
+
+
+def test_exact_levels_measure_every_pair_and_likely_ones_lose_little(spark, monkeypatch):
+    points = generators.gaussians(spark, 480, [(0, 0, 0), (9, 0, 0), (0, 9, 0), (9, 9, 9)]).select("point_id", "features")
+    settings = HierarchySettings(similarity="EUCLID_CENTROID", max_levels=1)
+    h, edges = pipeline.build_hierarchy(points, 20, 24, KnnSettings(k=6), settings)
+    n, k = h.sizes[1], 8
+    monkeypatch.setattr(levels, "ALL_PAIRS", 1)
+    assert levels.candidates(h, 1, points, edges, "EUCLID_CENTROID", k, exact=True).count() == n * (n - 1) // 2
+    measure = levels.metric_of(h, 1, points, edges, settings)
+    near = lambda exact: {(r["row_id"], r["col_id"]) for r in levels.nearest_components(measure(levels.candidates(h, 1, points, edges, "EUCLID_CENTROID", k, exact)), k + 1).collect()}
+    whole, likely = near(True), near(False)
+    assert len(whole & likely) >= 0.9 * len(whole)
+
+
+def test_a_distance_of_ones_own_can_be_named(spark):
+    from lamina.operators import hierarchy
+
+    hierarchy.add_metric("LEAST_ID", lambda h, level, points, edges, s: lambda pairs: pairs.select("a", "b", (F.col("a") + F.col("b")).cast("double").alias("dist")))
+    points = generators.gaussians(spark, 12, [(0, 0, 0)]).select("point_id", "features")
+    h, _ = pipeline.build_hierarchy(points, 3, 4, KnnSettings(k=3), HierarchySettings(similarity="LEAST_ID", max_levels=1))
+    assert h.sizes[1] < 12
+    with pytest.raises(ValueError):
+        HierarchySettings(similarity="UNHEARD_OF")
+
+
+def test_levels_are_measured_on_scaled_points(spark):
+    # the second dimension is large but says nothing; unscaled it would rule the distances
+    points = spark.createDataFrame([(i, [float(i // 8), 1000.0 * (i * 5 % 16)]) for i in range(16)], "point_id long, features array<double>")
+    settings = HierarchySettings(similarity="EUCLID_CENTROID", max_levels=1)
+    _, scaled = pipeline.compute(points, 4, 4, KnnSettings(k=5), settings, LevelSettings(level=1), "STANDARD")
+    by_hand = pipeline.scaled_points(points, "STANDARD")
+    _, want = pipeline.compute(by_hand, 4, 4, KnnSettings(k=5), settings, LevelSettings(level=1))
+    _, plain = pipeline.compute(points, 4, 4, KnnSettings(k=5), settings, LevelSettings(level=1))
+    rows = lambda d: sorted((r["row_id"], r["col_id"], round(r["p"], 9)) for r in d[1].collect()) if 1 in d else []
+    assert rows(scaled) == rows(want) != rows(plain)
