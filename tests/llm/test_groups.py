@@ -243,6 +243,31 @@ def test_a_group_of_a_third_of_all_vectors_keeps_its_links(spark):
     assert all(found[i]["component_id"] == root[i] for i in range(2000))
 
 
+def test_vectors_link_with_those_of_their_own_length(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.standard_normal(3).tolist()) for i in range(60)] + [(100 + i, [1.0, 0.01 * i]) for i in range(5)] + [(200, [5.0, 0.0]), (300, [2.0]), (301, [3.0]), (302, [-1.0])]
+    found = {r["vec_id"]: r for r in forest.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert [found[i]["n_links"] for i in (100, 104, 200)] == [5, 5, 5] and found[200]["component_id"] == 100
+    assert [(found[i]["n_links"], found[i]["component_id"]) for i in (300, 301, 302)] == [(1, 300), (1, 300), (0, 302)]
+
+
+def test_leaves_are_cut_into_blocks_where_the_sample_is_small(spark):
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((1500, 16))
+    x[700:1400] = x[:700] + 0.1 * rng.standard_normal((700, 16))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = (unit @ unit.T >= 0.95).sum(1) - 1
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    for sample in (forest.SAMPLE, 16 * 4 * 100):  # the latter allows 3 levels and leaves of some 200
+        found = {r["vec_id"]: r["n_links"] for r in forest.near_duplicates(df, leaf=16, sample=sample).collect()}
+        assert all(found[i] <= links[i] for i in range(1500)) and sum(found.values()) >= 0.9 * links.sum()
+
+
+def test_each_node_has_a_direction_of_its_own():
+    d = forest.directions(np.arange(1, 9), 100, 5)
+    assert d.shape == (8, 100) and set(np.unique(d)) == {-1.0, 1.0} and np.abs(np.corrcoef(d) - np.eye(8)).max() < 0.5
+
+
 # shards
 
 
