@@ -9,10 +9,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: What the names of tables in the catalog start with whose files lie in the scratch folder.
+TABLES = "lamina_scratch_"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a local folder of our own where that is unset (tests)."""
+    """spark.checkpoint.dir, or, in a local session, a folder of our own where that is unset. On a cluster it must be set: no executor sees another's folders."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="lamina-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -26,7 +32,9 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
 
 def clear_scratch(spark: SparkSession) -> None:
-    """Delete every table that `cut` left; call it when all results have been written."""
+    """Delete every table in the scratch folder, and its entry in the catalog if it has one; call it when all results have been written."""
+    for table in spark.catalog.listTables(pattern=f"{TABLES}*"):
+        spark.sql(f"DROP TABLE IF EXISTS {table.name}")
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/lamina-scratch")
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
