@@ -8,9 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from lamina.scratch import clear_scratch, cut, shared_dir
+from lamina.scratch import TABLES, clear_scratch, cut, shared_dir
 
-__all__ = ["WORD", "bound_batches", "clear_scratch", "cut", "read", "runs", "shared_dir", "shingles", "slices", "unused"]
+__all__ = ["TABLES", "WORD", "bound_batches", "clear_scratch", "cut", "read", "runs", "shared_dir", "shingles", "slices", "unused"]
 
 #: A word is a run of anything but ASCII white space; `bytes.split()` uses just this set.
 WORD = r"[^\x20\x09-\x0D]+"

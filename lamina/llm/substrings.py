@@ -7,7 +7,11 @@ starts earlier elsewhere marks its words.
 
 Texts are packed into blocks, a table in the shared folder bucketed by block, and never move again. Blocks send sorted hashes, cut by
 range into buckets, each hash once a block, so that a passage that a third of the documents hold is as many entries as there are blocks. A
-bucket answers with one bit an entry.
+bucket answers with one bit an entry. Each phase has as many buckets as what it sends asks for; blocks and buckets both grow with the input up to a bound, as
+messages are blocks times buckets.
+
+Runs of words are held equal if their 128-bit XXH3 hashes are: the words themselves aren't compared again. Among n runs two different ones
+share a hash with a chance of about n*n/2**129 (1e-13 for 1e13 runs).
 """
 
 from __future__ import annotations
@@ -22,16 +26,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm.common import bound_batches, cut, read, runs, shared_dir, slices
+from lamina.llm.common import TABLES, bound_batches, cut, read, runs, shared_dir, slices
 
 WINDOW = 20
 PERIOD = 13
 COVER = (0, 1, 3, 9)
 ANCHOR = WINDOW - PERIOD + 1
-BLOCK_BYTES = 1 << 20
-#: Text of the blocks that one task reads, about, and hashes that one bucket holds.
+#: Bytes of a block's text and of a bucket's hashes, at least and at most, and about how many blocks and buckets there are in between.
+BLOCK_BYTES = 1 << 20, 8 << 20
+BUCKET_BYTES = 8 << 20, 64 << 20
+MANY_BLOCKS, MANY_BUCKETS = 8192, 2048
+#: Text of the blocks that one task reads, about.
 TASK_BYTES = 8 << 20
-BUCKET_BYTES = 8 << 20
 NO_ID = (1 << 63) - 1
 COPIES, ANCHORS, WINDOWS = 0, 1, 2
 
@@ -89,14 +95,14 @@ def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
 class Block:
     """One block's documents, and what it asks in each phase; everything follows from the texts and the answers so far."""
 
-    def __init__(self, ids: list[int | None], texts: list[bytes], replies: list[dict] | None, buckets: int) -> None:
+    def __init__(self, ids: list[int | None], texts: list[bytes], replies: list[dict] | None, buckets: dict[int, int]) -> None:
         self.texts, self.replies, self.buckets = texts, replies, buckets
         self.order = np.array([NO_ID if i is None else i for i in ids], np.int64)
         raw = b"".join(map(xxhash.xxh3_128_digest, texts))
-        self.copies = self._unique(np.frombuffer(raw, ">u8").astype(np.uint64).reshape(-1, 2), np.arange(len(texts)), np.zeros(len(texts), np.int64))
+        self.copies = self._unique(np.frombuffer(raw, ">u8").astype(np.uint64).reshape(-1, 2), np.arange(len(texts)), np.zeros(len(texts), np.int64), COPIES)
         self.words: list[Words | None] = [None] * len(texts)
 
-    def _unique(self, h: np.ndarray, doc: np.ndarray, start: np.ndarray) -> dict:
+    def _unique(self, h: np.ndarray, doc: np.ndarray, start: np.ndarray, phase: int) -> dict:
         """Entries (hash, least id) in order of hash; which rows start after an equal one of the block; the entry of each row."""
         row = np.lexsort((start, doc, self.order[doc], h[:, 1], h[:, 0]))
         hh, d = h[row], doc[row]
@@ -107,7 +113,7 @@ class Block:
         same_doc = ~head
         same_doc[1:] &= d[1:] == d[:-1]
         late = (self.order[d] > least[entry]) | same_doc
-        counts = np.bincount(_bucket(hh[head][:, 0], self.buckets), minlength=self.buckets)
+        counts = np.bincount(_bucket(hh[head][:, 0], self.buckets[phase]), minlength=self.buckets[phase])
         return {"hash": hh[head], "least": least, "counts": counts, "row": row, "entry": entry, "late": late}
 
     def copied(self) -> np.ndarray:
@@ -124,7 +130,7 @@ class Block:
         raw = b"".join([w.hashes(at, ANCHOR, xxhash.xxh64_digest) for w, at in zip(self.words, self.at, strict=True) if w])
         all_ = np.frombuffer(raw, ">u8").astype(np.uint64)
         self.anchor, self.of, self.times = np.unique(all_, return_inverse=True, return_counts=True)
-        self.anchor_counts = np.bincount(_bucket(self.anchor, self.buckets), minlength=self.buckets)
+        self.anchor_counts = np.bincount(_bucket(self.anchor, self.buckets[ANCHORS]), minlength=self.buckets[ANCHORS])
 
     def windows(self) -> dict:
         """The runs of words around anchors that occur more than once."""
@@ -142,7 +148,7 @@ class Block:
                 starts.append(s)
                 raw.append(w.hashes(s, WINDOW, xxhash.xxh3_128_digest))
         self.doc, self.start = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (docs, starts))
-        return self._unique(np.frombuffer(b"".join(raw), ">u8").astype(np.uint64).reshape(-1, 2), self.doc, self.start)
+        return self._unique(np.frombuffer(b"".join(raw), ">u8").astype(np.uint64).reshape(-1, 2), self.doc, self.start, WINDOWS)
 
     def kept(self) -> Iterator[tuple[int, int, bytes]]:
         """(words, words removed, kept words joined) of each document."""
@@ -170,7 +176,7 @@ class Block:
             yield w.n, int((~stay).sum()), b" ".join(parts)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[tuple[int, list, Block]]:
+def _blocks(batches: Iterator[pa.RecordBatch], buckets: dict[int, int]) -> Iterator[tuple[int, list, Block]]:
     for b in batches:
         for i in range(b.num_rows):
             one = b.slice(i, 1)
@@ -178,7 +184,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[tuple[i
             yield one.column("block")[0].as_py(), ids, Block(ids, one.column("texts")[0].as_py(), one.column("replies")[0].as_py(), buckets)
 
 
-def _asking(phase: int, buckets: int):
+def _asking(phase: int, buckets: dict[int, int]):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, _, block in _blocks(batches, buckets):
             if phase == ANCHORS:
@@ -218,12 +224,17 @@ def _answering(phase: int):
             out[order] = ids > first[np.cumsum(head) - 1]
         masks = [np.packbits(out[a:b]).tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
         n = len(masks)
-        return pa.table({"block": table.column("block"), "phase": pa.array([phase] * n, pa.int32()), "bucket": table.column("bucket"), "mask": pa.array(masks, pa.binary())})
+        hits = [int(out[a:b].sum()) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        return pa.table({"hits": pa.array(hits, pa.int64()), "block": table.column("block"), "phase": pa.array([phase] * n, pa.int32()), "bucket": table.column("bucket"), "mask": pa.array(masks, pa.binary())})
 
     return work
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def _between(size: float, many: int, bounds: tuple[int, int]) -> int:
+    return int(min(max(size / many, bounds[0]), bounds[1]))
+
+
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int | None = None) -> DataFrame:
     """(doc_id, n_words, n_removed, kept) for each row: kept are the words no repeated window covers, joined by one space.
 
     A window of WINDOW words is repeated if the same words also start earlier: in a row with a smaller id, or earlier in the same row. Null texts have
@@ -231,14 +242,17 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block
     table gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
-    name = f"lamina_blocks_{uuid.uuid4().hex}"
+    name = f"{TABLES}blocks_{uuid.uuid4().hex}"
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    total = docs.agg(F.sum(F.octet_length(text_col)).alias("bytes"), F.count("*").alias("n")).first()
+    size = total["bytes"] or 0
     files = min(max(parts, -(-size // TASK_BYTES)), int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))
-    pack(docs, id_col, text_col, block_bytes).write.bucketBy(files, "block").option("path", f"{shared_dir(spark)}/lamina-scratch/{name}").saveAsTable(name)
+    packed = pack(docs, id_col, text_col, block_bytes or _between(size, MANY_BLOCKS, BLOCK_BYTES))
+    packed.write.bucketBy(files, "block").option("path", f"{shared_dir(spark)}/lamina-scratch/{name}").saveAsTable(name)
     blocks = spark.table(name)
-    per_byte = 8 * len(COVER) / PERIOD / 6  # bytes of anchors a byte of text, about
-    buckets = max(2 * parts, int(size * per_byte) // BUCKET_BYTES)
+    buckets_for = lambda sent: max(2 * parts, int(sent / _between(sent, MANY_BUCKETS, BUCKET_BYTES)))
+    # copies: 24 bytes a text; anchors: 8 bytes each, a word being some 6 bytes
+    buckets = {COPIES: buckets_for(24 * total["n"]), ANCHORS: buckets_for(8 * len(COVER) / PERIOD / 6 * size)}
     replies = None
 
     def with_replies() -> DataFrame:
@@ -248,8 +262,11 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block
         return blocks.join(own.hint("shuffle_hash"), "block", "left")
 
     for phase in (COPIES, ANCHORS, WINDOWS):
-        asked = with_replies().mapInArrow(_asking(phase, buckets), "bucket int, block long, data binary")
-        answer = cut(asked.groupBy("bucket").applyInArrow(_answering(phase), "block long, phase int, bucket int, mask binary"), f"replies-{phase}")
+        if phase == WINDOWS:  # each anchor met again stands for PERIOD windows of 24 bytes at most
+            hits = replies.where(F.col("phase") == ANCHORS).agg(F.sum("hits")).first()[0] or 0
+            buckets[WINDOWS] = buckets_for(24 * PERIOD * hits)
+        asked = with_replies().mapInArrow(_asking(phase, dict(buckets)), "bucket int, block long, data binary")
+        answer = cut(asked.groupBy("bucket").applyInArrow(_answering(phase), "hits long, block long, phase int, bucket int, mask binary"), f"replies-{phase}")
         replies = answer if replies is None else replies.union(answer)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,5 +278,6 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and removed words of every document, and the digest of the rest. Rows as for `dedup`."""
     found = dedup(read(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
