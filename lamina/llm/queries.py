@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lamina.llm import langid
 from lamina.llm.bpe import op5_bpe
 from lamina.llm.counts import op6_token_counts
 from lamina.llm.flac import op1_flac
@@ -26,6 +32,40 @@ QUERIES = {
     "op10_secrets": op10_secrets,
 }
 
+
+# Parts of results that SQL can express where the whole can't be, each through its operator over the whole table.
+
+
+def flac_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is read back from the media, without the media."""
+    return op1_flac(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32")
+
+
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes and targets of the mix, and whether what it takes of a document is a whole number of copies, three at most."""
+    copies = F.col("taken") / F.greatest("size", F.lit(1))
+    return op3_mixing(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 4).alias("target"), ((copies == F.floor(copies)) & (copies <= 3)).alias("whole"))
+
+
+def language_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fold of each document, and whether its text has no letters."""
+    return op8_langid(spark, sf_dir).select("doc_id", "held_out", (F.col("lang_pred") == langid.UNKNOWN).alias("unknown"))
+
+
+def shard_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the law is applied to."""
+    return op9_sharding(spark, sf_dir).select("doc_id", "size", "text_crc32", "law", "grown_shard")
+
+
+def shard_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards, rows, and slots that are not as they would be if each shard numbered its rows from 0 without a gap."""
+    rows = op9_sharding(spark, sf_dir).groupBy("shard").agg(F.count("*").alias("n"), F.count_distinct("slot").alias("slots"), F.max("slot").alias("last"), F.min("slot").alias("first"))
+    wrong = (F.col("slots") != F.col("n")) | (F.col("last") != F.col("n") - 1) | (F.col("first") != 0)
+    return rows.agg(F.count("*").alias("shards"), F.sum("n").alias("rows"), F.count_if(wrong).alias("wrong"))
+
+
+VIEWS: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (flac_payloads, mix_targets, language_folds, shard_rows, shard_numbers)}
+
 # Oracles: SQL that knows nothing of anchors, trees or counts kept along a window.
 
 _SUBSTRINGS = r"""
@@ -74,8 +114,96 @@ SELECT d.doc_id, {count(0)}, {count(1)}, {count(2)}, sha256(coalesce({line('kind
 FROM d LEFT JOIN spans USING (doc_id) GROUP BY d.doc_id"""
 
 
+#: The table of the CRC-32, from its polynomial, and the bytes of a text.
+_CRC_TABLE = """crc_steps(i, c, k) AS (SELECT i::UBIGINT, i::UBIGINT, 0 FROM range(256) t(i) UNION ALL SELECT i, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384::UBIGINT) ELSE c // 2 END, k + 1 FROM crc_steps WHERE k < 8),
+crc_table AS (SELECT list(c ORDER BY i) AS tab FROM crc_steps WHERE k = 8)"""
+
+
+def _bytes(hexed: str) -> str:
+    digit = lambda at: f"(instr('0123456789ABCDEF', substr({hexed}, {at}, 1)) - 1)"
+    return f"list_transform(range(1, length({hexed}), 2), lambda i: (16 * {digit('i')} + {digit('i + 1')})::UBIGINT)"
+
+
+def _crc(data: str) -> str:
+    return f"xor(list_reduce({data}, lambda c, b: xor(c // 256, tab[(xor(c, b) % 256)::BIGINT + 1]), 4294967295::UBIGINT), 4294967295::UBIGINT)"
+
+
+_PAYLOADS = f"""WITH RECURSIVE {_CRC_TABLE}, t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT doc_id, h, h || repeat('00', CASE WHEN h = '' THEN 64 ELSE ((64 - (length(h) // 2) % 64) % 64)::INT END) AS padded FROM t),
+q AS (SELECT doc_id, h, padded, right(padded, 128) AS tail FROM p)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, (length(padded) // 2)::BIGINT AS payload_bytes, sha256(unhex(padded)) AS payload_sha256, {_crc(_bytes('tail'))}::BIGINT AS tail_crc32 FROM q, crc_table"""
+
+#: Level by level: sources whose share passes their cap get the cap, and the others share what is left anew.
+_TARGETS = r"""WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+s AS (SELECT source, sum(size)::DOUBLE AS n, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3) + 1] AS w FROM d GROUP BY source),
+step(k, capped) AS (SELECT 0, [false]::BOOL[] || list_transform(range((SELECT count(*) FROM s) - 1), lambda i: false)
+  UNION ALL SELECT k + 1, (SELECT list(c[i] OR w * ((SELECT sum(n) FROM s) - coalesce(below, 0)) / open > 3 * n ORDER BY i) FROM (
+    SELECT *, sum(CASE WHEN c[i] THEN 3 * n END) OVER () AS below, sum(CASE WHEN NOT c[i] THEN w END) OVER () AS open FROM (SELECT n, w, row_number() OVER (ORDER BY source NULLS LAST) AS i, capped AS c FROM s)))
+  FROM step WHERE k < (SELECT count(*) FROM s)),
+last AS (SELECT capped FROM step ORDER BY k DESC LIMIT 1),
+r AS (SELECT source, n, w, capped[row_number() OVER (ORDER BY source NULLS LAST)] AS c FROM s, last),
+t AS (SELECT source, n, CASE WHEN c THEN 3 * n ELSE w * (sum(n) OVER () - coalesce(sum(CASE WHEN c THEN 3 * n END) OVER (), 0)) / sum(CASE WHEN NOT c THEN w END) OVER () END AS target FROM r)
+SELECT doc_id, size::BIGINT AS size, n::BIGINT AS source_size, round(target, 4) AS target, true AS whole FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source"""
+
+_FOLDS = f"""WITH RECURSIVE {_CRC_TABLE}, d AS (SELECT doc_id, text, hex(encode(doc_id::VARCHAR)) AS h FROM documents)
+SELECT doc_id, coalesce({_crc(_bytes('h'))} % 4 = 2, false) AS held_out, NOT regexp_matches(coalesce(text, ''), '\\p{{L}}') AS unknown FROM d, crc_table"""
+
+_SHARD_ROWS = f"""WITH RECURSIVE {_CRC_TABLE}, d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents)
+SELECT doc_id, (length(h) // 2 + 16)::BIGINT AS size, coalesce({_crc(_bytes('h'))}, 0)::BIGINT AS text_crc32, 'bytes' AS law, NULL::INT AS grown_shard FROM d, crc_table"""
+
+
+def _simhash_sql(k: int = 4, radius: int = 4) -> str:
+    """XXH64 with seed 42 of every shingle, in 64-bit arithmetic on numbers of 128; bits by majority; components by reachability."""
+    # The primes of XXH64.
+    p1, p2, p3, p4, p5 = 11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261
+    two64 = 1 << 64
+    mul = lambda a, b: f"(({a})::UHUGEINT * {b}::UHUGEINT % {two64}::UHUGEINT)"
+    add = lambda *xs: f"(({' + '.join(f'({x})::UHUGEINT' for x in xs)}) % {two64}::UHUGEINT)"
+    rotl = lambda x, r: f"((({x})::UHUGEINT * {1 << r}::UHUGEINT) % {two64}::UHUGEINT + ({x})::UHUGEINT // {1 << 64 - r}::UHUGEINT)"
+    lane = lambda pos, n: "(" + " + ".join(f"b[{pos} + {i + 1}]::UHUGEINT * {1 << 8 * i}::UHUGEINT" for i in range(n)) + ")"
+    word = "'[^\\x20\\x09-\\x0D]+'"
+    start = [add(42, p1, p2), add(42, p2), "42::UHUGEINT", add(42, two64 - p1)]
+    v = ", ".join(f"{mul(rotl(f't{i}', 31), p1)} AS v{i}" for i in range(4))
+    t = ", ".join(f"{add(f'v{i}', mul(lane(f'pos + {8 * i}', 8), p2))} AS t{i}" for i in range(4))
+    merged = f"SELECT id, b, n, 32 * (n // 32) AS pos, CASE WHEN n < 32 THEN {add(42, p5)} ELSE {add(*[rotl(f'v{i}', r) for i, r in enumerate((1, 7, 12, 18))])} END AS h, v0, v1, v2, v3 FROM stripes WHERE pos = 32 * (n // 32)"
+    for i in range(4):
+        merged = f"SELECT id, b, n, pos, CASE WHEN n < 32 THEN h ELSE {add(mul(f'xor(h, {mul(rotl(mul(f"v{i}", p2), 31), p1)})', p1), p4)} END AS h, v0, v1, v2, v3 FROM ({merged})"
+    eight = add(mul(rotl("x", 27), p1), p4)
+    four = add(mul(rotl("x", 23), p2), p3)
+    one = mul(rotl("x", 11), p1)
+    x = f"CASE WHEN n - pos >= 8 THEN xor(h, {mul(rotl(mul(lane('pos', 8), p2), 31), p1)}) WHEN n - pos >= 4 THEN xor(h, {mul(lane('pos', 4), p1)}) ELSE xor(h, {mul('b[pos + 1]', p5)}) END"
+    tail = f"SELECT id, b, n, pos + CASE WHEN n - pos >= 8 THEN 8 WHEN n - pos >= 4 THEN 4 ELSE 1 END AS pos, CASE WHEN n - pos >= 8 THEN {eight} WHEN n - pos >= 4 THEN {four} ELSE {one} END AS h FROM (SELECT *, {x} AS x FROM tails WHERE pos < n)"
+    done = f"SELECT id, {mul(f'xor(h, h // {1 << 33}::UHUGEINT)', p2)} AS h FROM tails WHERE pos = n"
+    done = f"SELECT id, {mul(f'xor(h, h // {1 << 29}::UHUGEINT)', p3)} AS h FROM ({done})"
+    done = f"SELECT id, xor(h, h // {1 << 32}::UHUGEINT)::UBIGINT AS h FROM ({done})"
+    bit = ", ".join(f"sum(h // {1 << i}::UBIGINT % 2) * 2 > count(*) AS b{i}" for i in range(64))
+    digits = " || ".join(f"substr('0123456789abcdef', 1 + {' + '.join(f'{1 << j} * b{4 * d + j}::INT' for j in range(4))}, 1)" for d in range(15, -1, -1))
+    value = " + ".join(f"{1 << i}::UHUGEINT * b{i}::INT::UHUGEINT" for i in range(64))
+    return f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {word}) AS ws FROM documents),
+sh AS MATERIALIZED (SELECT doc_id, array_to_string(ws[i:i + {k - 1}], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - {k - 2}, 2))) AS i FROM w WHERE len(ws) > 0)),
+ids AS MATERIALIZED (SELECT s, row_number() OVER () AS id, hex(encode(s)) AS x FROM (SELECT DISTINCT s FROM sh)),
+raw AS (SELECT id, {_bytes('x')} AS b, (length(x) // 2)::BIGINT AS n FROM ids),
+stripes AS (SELECT id, b, n, 0::BIGINT AS pos, {', '.join(f'{s}::UHUGEINT AS v{i}' for i, s in enumerate(start))} FROM raw
+  UNION ALL SELECT id, b, n, pos + 32, {v} FROM (SELECT id, b, n, pos, {t} FROM stripes WHERE pos + 32 <= n)),
+tails AS (SELECT id, b, n, pos, {add('h', 'n')} AS h FROM ({merged}) UNION ALL {tail}),
+hashes AS MATERIALIZED ({done}),
+bits AS MATERIALIZED (SELECT doc_id, {bit} FROM sh JOIN ids USING (s) JOIN hashes USING (id) GROUP BY doc_id),
+f AS MATERIALIZED (SELECT w.doc_id, coalesce({digits}, '0000000000000000') AS fingerprint, coalesce({value}, 0)::UBIGINT AS f FROM w LEFT JOIN bits USING (doc_id)),
+u AS MATERIALIZED (SELECT f, min(doc_id) AS least FROM f GROUP BY f),
+near AS MATERIALIZED (SELECT x.f AS a, y.f AS b FROM u x JOIN u y ON bit_count(xor(x.f, y.f)) <= {radius} AND x.f <> y.f),
+reach AS (SELECT f AS a, f AS b FROM u UNION SELECT reach.a, near.b FROM reach JOIN near ON reach.b = near.a),
+c AS (SELECT a, min(least) AS component_id FROM reach JOIN u ON u.f = reach.b GROUP BY a)
+SELECT doc_id, fingerprint, component_id FROM f JOIN c ON f.f = c.a"""
+
+
 ORACLES: dict[str, str] = {
+    "op2_simhash": _simhash_sql(),
     "op4_substring_dedup": _SUBSTRINGS.strip(),
     "op7_embedding_dedup": _EMBEDDINGS.strip(),
     "op10_secrets": _spans_sql(),
+    "flac_payloads": _PAYLOADS,
+    "mix_targets": _TARGETS,
+    "language_folds": _FOLDS,
+    "shard_rows": _SHARD_ROWS,
+    "shard_numbers": "SELECT least(40, count(*)) AS shards, count(*) AS rows, 0 AS wrong FROM documents",
 }
