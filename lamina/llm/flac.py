@@ -519,4 +519,5 @@ def read_features(media: DataFrame) -> DataFrame:
 
 
 def op1_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's bytes through FLAC and back. Rows as for `write_media`."""
     return read_features(write_media(read(spark, sf_dir, "documents")))
