@@ -1,11 +1,13 @@
 """Two-dimensional layouts of a level, and what scales and starts them.
 
 Layout tables are (component_id, x, y). Gradient descent and eigenvectors couple all components, so they run on arrays in the driver
-for levels of MOST components at most; larger levels are laid out by PCA or from the level above.
+for levels of MOST components and MOST_ENTRIES entries at most; larger levels are laid out by PCA or from the levels around them. Beyond EXACT components the repulsion of t-SNE is
+interpolated on a grid (by FFT), and the spectral start is found by iteration over the sparse matrix.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,9 +16,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamina.functions.scalar import uniform
+from lamina.settings import EMBEDDING_INITS, EMBEDDINGS, one_of
 
-MOST = 20_000
-MOST_ENTRIES = 4_000_000
+MOST = 1_000_000
+MOST_ENTRIES = 40_000_000
+EXACT = 4000
+#: Cells of the grid along the longer side, at least and at most, and the interpolation nodes of a cell along a side.
+GRID = 24, 160
+NODES = 3
 
 
 # starts
@@ -115,23 +122,85 @@ def _table(spark: SparkSession, ids: np.ndarray, y: np.ndarray) -> DataFrame:
     return spark.createDataFrame([(int(i), float(a), float(b)) for i, (a, b) in zip(ids, y, strict=True)], "component_id long, x double, y double")
 
 
-def spectral(p: DataFrame) -> DataFrame:
-    """The two eigenvectors of the normalised Laplacian after the trivial one."""
+def spectral(p: DataFrame, rounds: int = 300, tolerance: float = 1e-6) -> DataFrame:
+    """The two eigenvectors of the normalised Laplacian after the trivial one; over EXACT components by iteration on a block of vectors."""
     ids, row, col, v = _arrays(p)
     n = len(ids)
-    if n > 4000:
-        raise ValueError(f"{n} components are too many for a dense Laplacian")
-    a = np.zeros((n, n))
-    np.add.at(a, (row, col), v)
-    a = (a + a.T) / 2
-    d = 1 / np.sqrt(np.maximum(a.sum(1), 1e-12))
-    vec = np.linalg.eigh(np.eye(n) - d[:, None] * a * d[None])[1][:, 1:3]
-    vec = vec * np.sign(vec[np.abs(vec).argmax(0), np.arange(vec.shape[1])])
+    d = 1 / np.sqrt(np.maximum((np.bincount(row, v, n) + np.bincount(col, v, n)) / 2, 1e-12))
+    w = v * d[row] * d[col] / 2
+    if n <= EXACT:
+        a = np.zeros((n, n))
+        np.add.at(a, (row, col), w)
+        vec = np.linalg.eigh(np.eye(n) - (a + a.T))[1][:, 1:3]
+    else:
+        first = (1 / d) / np.linalg.norm(1 / d)
+        x = np.random.default_rng(0).standard_normal((n, 6))
+        times = lambda y: np.stack([np.bincount(row, w * y[col, j], n) + np.bincount(col, w * y[row, j], n) for j in range(y.shape[1])], axis=1)
+        before = np.zeros(2)
+        for _ in range(rounds):
+            for _ in range(4):
+                x = (x + times(x)) / 2  # eigenvalues from 0 to 1, the wanted ones next to 1
+            x -= np.outer(first, first @ x)
+            x = np.linalg.qr(x)[0]
+            values, turn = np.linalg.eigh(x.T @ times(x))
+            x = x @ turn[:, ::-1]
+            if np.abs(values[::-1][:2] - before).max() < tolerance:
+                break
+            before = values[::-1][:2]
+        vec = x[:, :2]
+    vec = vec * np.sign(vec[np.abs(vec).argmax(0), np.arange(vec.shape[1])]) if n else vec
     return _table(p.sparkSession, ids, vec if vec.shape[1] == 2 else np.zeros((n, 2)))
 
 
+def _repulsion(y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Of each place the sum of q^2 times the difference to every other, and the sum of all q = 1 / (1 + d^2), d being distances."""
+    n = len(y)
+    z, push = 0.0, np.zeros_like(y)
+    for a in range(0, n, 2048):
+        q = 1 / (1 + (y[a : a + 2048, None, 0] - y[None, :, 0]) ** 2 + (y[a : a + 2048, None, 1] - y[None, :, 1]) ** 2)
+        q[np.arange(len(q)), np.arange(a, a + len(q))] = 0
+        z += q.sum()
+        q *= q
+        push[a : a + 2048] = q.sum(1)[:, None] * y[a : a + 2048] - q @ y
+    return push, float(z)
+
+
+def _interpolated(y: np.ndarray) -> tuple[np.ndarray, float]:
+    """As `_repulsion`, with the kernels interpolated between the nodes of a grid, whose mutual sums are a convolution."""
+    low = y.min(0)
+    side = float((y.max(0) - low).max()) + 1e-9
+    cells = int(min(max(GRID[0], math.ceil(side)), GRID[1]))
+    step = side / cells
+    many = cells * NODES
+    at = np.minimum(((y - low) / step).astype(np.int64), cells - 1)
+    inner = (np.arange(NODES) + 0.5) / NODES
+    rest = (y - low) / step - at
+    # Lagrange weights of a place on the nodes of its cell, along each side
+    weights = np.ones((2, len(y), NODES))
+    for i in range(NODES):
+        for j in range(NODES):
+            if i != j:
+                weights[:, :, i] *= ((rest - inner[j]) / (inner[i] - inner[j])).T
+    cell = (at[:, 0, None, None] * NODES + np.arange(NODES)[:, None]) * many + at[:, 1, None, None] * NODES + np.arange(NODES)
+    both = weights[0][:, :, None] * weights[1][:, None, :]
+    gap = np.concatenate((np.arange(many), np.arange(-many, 0))) * (step / NODES)
+    square = gap[:, None] ** 2 + gap[None] ** 2
+    kernels = [np.fft.rfft2(1 / (1 + square)), np.fft.rfft2(1 / (1 + square) ** 2)]
+
+    def summed(kernel: np.ndarray, charge: np.ndarray) -> np.ndarray:
+        grid = np.zeros((2 * many, 2 * many))
+        grid[:many, :many] = np.bincount(cell.ravel(), (both * charge[:, None, None]).ravel(), many * many).reshape(many, many)
+        field_ = np.fft.irfft2(np.fft.rfft2(grid) * kernel, grid.shape)[:many, :many].ravel()
+        return (field_[cell] * both).sum((1, 2))
+
+    one = np.ones(len(y))
+    z = float(summed(kernels[0], one).sum() - len(y))
+    q = summed(kernels[1], one)
+    return q[:, None] * y - np.stack([summed(kernels[1], y[:, i]) for i in range(2)], axis=1), z
+
+
 def tsne(p: DataFrame, iterations: int | None = None, layout: DataFrame | None = None, seed: int = 1, on_step=None) -> DataFrame:
-    """Stochastic neighbour embedding of a symmetric distribution (row_id, col_id, p), with exact repulsion.
+    """Stochastic neighbour embedding of a symmetric distribution (row_id, col_id, p), with repulsion that is exact up to EXACT components.
 
     Attraction is exaggerated in the first quarter. A single component lies at the origin. `on_step(iteration, ids, places)` may return True to stop.
     """
@@ -149,15 +218,8 @@ def tsne(p: DataFrame, iterations: int | None = None, layout: DataFrame | None =
         k = more if i < iterations // 4 else 1.0
         d = y[row] - y[col]
         pull = (v * k / (1 + (d * d).sum(1)))[:, None] * d
-        grad = np.zeros_like(y)
-        np.add.at(grad, row, pull)
-        z, push = 0.0, np.zeros_like(y)
-        for a in range(0, n, 2048):
-            q = 1 / (1 + (y[a : a + 2048, None, 0] - y[None, :, 0]) ** 2 + (y[a : a + 2048, None, 1] - y[None, :, 1]) ** 2)
-            q[np.arange(len(q)), np.arange(a, a + len(q))] = 0
-            z += q.sum()
-            q *= q
-            push[a : a + 2048] = q.sum(1)[:, None] * y[a : a + 2048] - q @ y
+        grad = np.stack([np.bincount(row, pull[:, j], n) for j in range(2)], axis=1)
+        push, z = (_repulsion if n <= EXACT else _interpolated)(y)
         grad = 4 * (grad - push / max(z, 1e-12))
         gain = np.maximum(np.where(np.sign(grad) != np.sign(speed), gain + 0.2, gain * 0.8), 0.01)
         speed = (0.5 if i < iterations // 4 else 0.8) * speed - rate * gain * grad
@@ -202,22 +264,30 @@ def umap(p: DataFrame, epochs: int | None = None, layout: DataFrame | None = Non
         d = y[i] - y[j]
         s = (d * d).sum(1)
         pull = np.clip((-2 * a * b * s ** np.maximum(b - 1, 0) / (1 + a * s**b) if b >= 1 else -2 * a * b * np.where(s > 0, s, 1) ** (b - 1) / (1 + a * s**b))[:, None] * d, -4, 4) * (s > 0)[:, None]
-        move = np.zeros_like(y)
-        np.add.at(move, i, pull)
-        np.add.at(move, j, -pull)
+        move = np.stack([np.bincount(i, pull[:, c], n) - np.bincount(j, pull[:, c], n) for c in range(2)], axis=1)
         for _ in range(negatives):
             k = rng.integers(0, n, len(i))
             d = y[i] - y[k]
             s = (d * d).sum(1)
             push = np.clip((2 * b / ((0.001 + s) * (1 + a * s**b)))[:, None] * d, -4, 4) * (i != k)[:, None]
-            np.add.at(move, i, push)
+            move += np.stack([np.bincount(i, push[:, c], n) for c in range(2)], axis=1)
         y = y + rate * np.clip(move, -4, 4)
         if on_step is not None and on_step(epoch, ids, y):
             break
     return _table(p.sparkSession, ids, y)
 
 
+def start(kind: str, p: DataFrame, points: DataFrame | None = None, seed: int = 1, deviation: float = 1e-4) -> DataFrame:
+    """A first layout of a distribution's components: RANDOM, SPECTRAL, or PCA of their `points` (component_id, features); scaled to a deviation."""
+    one_of("init", kind, EMBEDDING_INITS)
+    if kind == "SPECTRAL":
+        return scale_to_deviation(spectral(p), deviation)
+    if kind == "PCA":
+        if points is None:
+            raise ValueError("PCA needs the components' features")
+        return scale_to_deviation(pca(points, id_col="component_id"), deviation)
+    return random_layout(p.select(F.col("row_id").alias("component_id")).union(p.select("col_id")).distinct(), seed, deviation)
+
+
 def embed(p: DataFrame, kind: str = "TSNE", layout: DataFrame | None = None, **options) -> DataFrame:
-    if kind not in ("TSNE", "UMAP"):
-        raise ValueError(f"embedding: {kind!r}")
-    return (tsne if kind == "TSNE" else umap)(p, layout=layout, **options)
+    return {"TSNE": tsne, "UMAP": umap}[one_of("embedding", kind, EMBEDDINGS)](p, layout=layout, **options)

@@ -121,28 +121,47 @@ def closest_pairs(points: DataFrame, labels: DataFrame, pairs: DataFrame) -> Dat
     return found.groupBy("a", "b").agg(least.alias("m")).select("a", "b", "m.src", "m.dst", "m.dist")
 
 
+def spanning_pairs(centres: DataFrame) -> DataFrame:
+    """(a, b): the edges of the least spanning tree of all centres (point_id, features), found by tables: in each round every tree so far takes its shortest edge to another."""
+    from lamina.operators.knn import knn_exact
+
+    n = centres.count()
+    tree = centres.sparkSession.createDataFrame([], "a long, b long")
+    group, k = cut(centres.select("point_id", F.col("point_id").alias("group")), "groups"), 2
+    while n and group.select("group").distinct().count() > 1:
+        near = cut(knn_exact(centres, min(k, n)).where("src <> dst").join(group.toDF("src", "ga"), "src").join(group.toDF("dst", "gb"), "dst"), "near")
+        edge = F.struct("dist", F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
+        own = near.groupBy("src", "ga").agg(F.min(F.when(F.col("ga") != F.col("gb"), edge)).alias("e"), F.max("dist").alias("reach"))
+        best = cut(own.groupBy("ga").agg(F.min("e").alias("best")), "best")
+        # a point that saw only its own tree may still have a shorter edge out of it
+        unseen = own.join(best, "ga").where("e is null and (best is null or reach <= best.dist)")
+        if k < n and not unseen.isEmpty():
+            k *= 4
+            continue
+        tree = cut(tree.union(best.select("best.a", "best.b")).distinct(), "tree")
+        loops = centres.select(F.col("point_id").alias("src"), F.col("point_id").alias("dst"))
+        group = cut(weak_components(tree.toDF("src", "dst").union(loops)).toDF("point_id", "group"), "groups")
+    return tree
+
+
 def connected(points: DataFrame, edges: DataFrame) -> DataFrame:
     """The graph with edges added both ways until it is one component.
 
-    Components are spanned by a least tree of their centroids; along each of its edges the closest two points are joined, at their true distance.
+    Components are spanned by a least tree of their centroids (grown in the driver up to MOST_COMPONENTS, by tables beyond); along each of its edges the closest two points are joined, at their
+    true distance.
     """
-    e = edges
-    while True:
-        labels = cut(weak_components(e), "labels")
-        n = labels.agg(F.max("label")).first()[0]
-        if not n:
-            return e
-        if n + 1 <= MOST_COMPONENTS:
-            rows = centroids(points, labels).orderBy("label").collect()
-            tree = spanning_tree(np.array([r["features"] for r in rows]))
-            pairs = points.sparkSession.createDataFrame([(rows[a]["label"], rows[b]["label"]) for a, b in tree], "a long, b long")
-        else:  # join each component to the one of the nearest centroid and look again
-            from lamina.operators.knn import knn
-
-            centre = cut(centroids(points, labels).withColumnRenamed("label", "point_id"), "centres")
-            near = knn(centre, 2).where("src <> dst")
-            pairs = near.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
-        new = cut(closest_pairs(points, labels, pairs), "joins")
-        both = new.select("src", "dst", "dist").union(new.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "dist"))
-        fresh = both.join(e.select("src", "dst"), ["src", "dst"], "left_anti").where("src <> dst")
-        e = cut(ranked(e.select("src", "dst", "dist").union(fresh)), "connected")
+    labels = cut(weak_components(edges), "labels")
+    n = labels.agg(F.max("label")).first()[0]
+    if not n:
+        return edges
+    centre = cut(centroids(points, labels).withColumnRenamed("label", "point_id"), "centres")
+    if n + 1 <= MOST_COMPONENTS:
+        rows = centre.orderBy("point_id").collect()
+        tree = spanning_tree(np.array([r["features"] for r in rows]))
+        pairs = points.sparkSession.createDataFrame([(rows[a]["point_id"], rows[b]["point_id"]) for a, b in tree], "a long, b long")
+    else:
+        pairs = spanning_pairs(centre)
+    new = cut(closest_pairs(points, labels, pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))), "joins")
+    both = new.select("src", "dst", "dist").union(new.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "dist"))
+    fresh = both.join(edges.select("src", "dst"), ["src", "dst"], "left_anti").where("src <> dst")
+    return cut(ranked(edges.select("src", "dst", "dist").union(fresh)), "connected")

@@ -208,6 +208,22 @@ def level_stats(h: Hierarchy) -> DataFrame:
     return spark.createDataFrame([tuple(s.values()) for s in h.stats], "level int, num_components long, reduction_rate double, zero_sim long, forced_merge long, not_merged long")
 
 
+def tables_of(h: Hierarchy) -> dict[str, DataFrame]:
+    """All tables of a hierarchy, by name."""
+    return {"stats": level_stats(h), **{name: h.table(name) for name in ("membership", "parents", "neighbors", "walks") if getattr(h, name)}}
+
+
+def load(tables: dict[str, DataFrame]) -> Hierarchy:
+    """The hierarchy whose tables these are."""
+    stats = [r.asDict() for r in tables["stats"].orderBy("level").collect()]
+    h = Hierarchy(stats=stats)
+    for name, df in tables.items():
+        if name != "stats":
+            last = 1 if name == "parents" else 0
+            setattr(h, name, {s["level"]: df.where(F.col("level") == s["level"]).drop("level") for s in stats[: len(stats) - last]})
+    return h
+
+
 def merge_level(ids: DataFrame, neighbors: DataFrame, metric: Metric) -> DataFrame:
     """One merge: (component_id, parent_id) after each component chose its nearest neighbour."""
     return merged(ids, choose(neighbor_distances(neighbors, metric), float("inf")))

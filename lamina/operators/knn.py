@@ -1,4 +1,4 @@
-"""Nearest neighbours: exact in blocks, and by cells of centroids; every row starts with the point itself."""
+"""Nearest neighbours: exact in blocks, by cells of centroids (of whole or coded vectors), and by descent over a graph; every row starts with the point itself."""
 
 from __future__ import annotations
 
@@ -17,11 +17,21 @@ from lamina.settings import METRICS, one_of
 BLOCK = 4096
 SAMPLE_PER_CELL = 64
 MOST_CELLS = 16_384
+SAMPLE_BYTES = 256 << 20
+#: Neighbours, either way round, that a point hands on in a round of descent.
+LINKS = 24
+
+
+#: Parts of a vector and centroids of each in a product code, and vectors that codes are fitted on.
+PARTS, LETTERS = 16, 256
+CODE_SAMPLE = 16_384
+#: Neighbours found by codes for each one wanted, before their distances are taken exactly.
+SPARE = 4
 
 
 def choose_index(n: int) -> str:
-    """How to search n points: exact to 10,000, by cells beyond. Graph and product-quantised indexes have no counterpart here."""
-    return "BruteForce" if n <= 10_000 else "IVFFlat"
+    """How to search n points: exactly to 10,000, then by cells, then by a graph, then by one over vectors of 8 bits a number, then by cells of product codes."""
+    return next(name for most, name in ((10_000, "BruteForce"), (100_000, "IVFFlat"), (25_000_000, "HNSW"), (50_000_000, "HNSWSQ"), (math.inf, "HNSW_IVFPQ")) if n <= most)
 
 
 def _dist(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
@@ -70,8 +80,8 @@ def nearest(ids: np.ndarray, a: np.ndarray, others: np.ndarray, b: np.ndarray, k
     limit = np.partition(d, k - 1, axis=1)[:, k - 1 : k] if k < d.shape[1] else np.full((len(a), 1), np.inf)
     rows, cols = np.nonzero((d <= limit + slack) & np.isfinite(d))
     out = []
-    cuts = np.searchsorted(rows, np.unique(rows[np.searchsorted(rows, rows[::PAIRS])])) if len(rows) else []
-    for s, e in zip(cuts, [*cuts[1:], len(rows)], strict=True):
+    cuts = np.append(np.searchsorted(rows, np.unique(rows[::PAIRS])), len(rows))  # whole rows
+    for s, e in zip(cuts[:-1], cuts[1:], strict=True):
         r, c = rows[s:e], cols[s:e]
         true = np.concatenate([_exact(a[r[i : i + PAIRS]], b[c[i : i + PAIRS]], metric) for i in range(0, len(r), PAIRS)])
         order = np.lexsort((others[c], true, r))
@@ -146,48 +156,101 @@ def centroids(sample: np.ndarray, cells: int, rounds: int = 8, seed: int = 1) ->
     return c
 
 
-def knn_cells(points: DataFrame, k: int, metric: str = "L2", cells: int | None = None, probes: int | None = None, seed: int = 1) -> DataFrame:
+class Coding:
+    """Vectors as bytes, and back: whole ones (float32), 8 bits a number, or a letter of a fitted alphabet for each of PARTS parts."""
+
+    def __init__(self, kind: str, sample: np.ndarray, seed: int) -> None:
+        self.kind = kind
+        if kind == "SQ":
+            self.low = sample.min(0)
+            self.step = np.maximum((sample.max(0) - self.low) / 255, 1e-30)
+        elif kind == "PQ":
+            self.cuts = np.linspace(0, sample.shape[1], min(PARTS, sample.shape[1]) + 1).astype(int)
+            self.books = [centroids(sample[:, a:b], LETTERS, seed=seed) for a, b in zip(self.cuts, self.cuts[1:], strict=False)]
+
+    def pack(self, x: np.ndarray) -> list[bytes]:
+        if self.kind == "SQ":
+            code = np.clip(np.rint((x - self.low) / self.step), 0, 255).astype(np.uint8)
+        elif self.kind == "PQ":
+            code = np.stack([_dist(x[:, a:b], book, "L2").argmin(1).astype(np.uint8) for a, b, book in zip(self.cuts, self.cuts[1:], self.books, strict=False)], axis=1)
+        else:
+            code = x.astype(np.float32)
+        return [r.tobytes() for r in code]
+
+    def unpack(self, raw: list[bytes]) -> np.ndarray:
+        if self.kind == "FLAT":
+            return np.frombuffer(b"".join(raw), np.float32).reshape(len(raw), -1).astype(np.float64)
+        code = np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), -1)
+        return self.low + code * self.step if self.kind == "SQ" else np.concatenate([book[code[:, i]] for i, book in enumerate(self.books)], axis=1)
+
+
+def _sampled(points: DataFrame, n: int, most: int, seed: int) -> np.ndarray:
+    """The vectors of a seeded sample of about `most` of n points, and no more."""
+    share = min(1.0, most / max(n, 1))
+    return _vectors(points.where(F.pmod(F.xxhash64(F.lit(seed), "point_id"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select("features").limit(most).toArrow().column("features"))
+
+
+def _again(points: DataFrame, pairs: DataFrame, k: int, metric: str) -> DataFrame:
+    """(src, dst, dist, rank): the k nearest among the pairs (src, dst), by their true distances."""
+    x = points.select("point_id", F.col("features").cast("array<float>").alias("features"))
+    met = pairs.join(x.toDF("src", "a"), "src").join(x.toDF("dst", "b"), "dst").select("src", "dst", "a", "b")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([b.column("src"), b.column("dst"), pa.array(_exact(_vectors(b.column("a")), _vectors(b.column("b")), metric))], ["src", "dst", "dist"])
+
+    return _merge(met.mapInArrow(work, "src long, dst long, dist double"), k)
+
+
+def knn_cells(points: DataFrame, k: int, metric: str = "L2", cells: int | None = None, probes: int | None = None, seed: int = 1, coding: str = "FLAT") -> DataFrame:
     """(src, dst, rank, dist): approximate k nearest, from the cells of the nearest `probes` centroids.
 
     Centroids are fitted on a bounded seeded sample; every point is in the index. A cell is met in slices of BLOCK points,
-    so a hot one is many tasks. Rows with fewer than k neighbours in their cells are searched again against all points.
+    so a hot one is many tasks. With a `coding` (SQ: 8 bits a number, PQ: product codes) the cells hold codes, SPARE times as many neighbours are found by them, and the nearest of
+    those by their true distances stay. Rows with fewer than k neighbours in their cells are searched again against all points.
     """
     one_of("metric", metric, METRICS)
+    one_of("coding", coding, ("FLAT", "SQ", "PQ"))
     n = points.count()
     cells = min(cells or max(100, int(math.sqrt(n))), MOST_CELLS, max(1, n))
     probes = min(probes or max(1, int(math.sqrt(cells))), cells)
-    most = cells * SAMPLE_PER_CELL
-    share = min(1.0, most / max(n, 1))
-    some = points.where(F.pmod(F.xxhash64(F.lit(seed), "point_id"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select("features").limit(most).toArrow()
     unit = (lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)) if metric == "COSINE" else (lambda x: x)
-    centre = points.sparkSession.sparkContext.broadcast(centroids(unit(_vectors(some.column("features"))), cells, seed=seed))
+    width = len((points.select("features").first() or [[0.0]])[0])
+    # in bytes as well as in rows
+    drawn = _sampled(points, n, max(cells, min(cells * SAMPLE_PER_CELL, SAMPLE_BYTES // (8 * width))), seed)
+    code = Coding(coding, drawn[:CODE_SAMPLE], seed)
+    centre = points.sparkSession.sparkContext.broadcast((centroids(unit(drawn), cells, seed=seed), code))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        near_, code = centre.value
         for b in batches:
             if b.num_rows:
-                d = _dist(unit(_vectors(b.column("features"))), centre.value, "L2")
-                near = np.argsort(d, axis=1)[:, :probes]
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(d) + 1) * near.shape[1], pa.int32()), pa.array(near.ravel(), pa.int64()))
-                yield pa.RecordBatch.from_arrays([b.column("point_id"), b.column("features"), lists], ["point_id", "features", "cells"])
+                x = _vectors(b.column("features"))
+                near = np.argsort(_dist(unit(x), near_, "L2"), axis=1)[:, :probes]
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * near.shape[1], pa.int32()), pa.array(near.ravel(), pa.int64()))
+                yield pa.RecordBatch.from_arrays([b.column("point_id"), pa.array(code.pack(x), pa.binary()), lists], ["point_id", "code", "cells"])
 
-    placed = cut(points.select("point_id", F.col("features").cast("array<float>").alias("features")).mapInArrow(place, "point_id long, features array<float>, cells array<long>"), "placed")
+    placed = cut(points.select("point_id", F.col("features").cast("array<float>").alias("features")).mapInArrow(place, "point_id long, code binary, cells array<long>"), "placed")
     home = F.element_at("cells", 1)
     sizes = placed.groupBy(home.alias("cell")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("slices"))
-    members = placed.select(home.alias("cell"), "point_id", "features").join(sizes, "cell").select("cell", F.pmod(F.xxhash64("point_id"), F.col("slices")).cast("int").alias("slice"), "point_id", "features")
+    members = placed.select(home.alias("cell"), "point_id", "code").join(sizes, "cell").select("cell", F.pmod(F.xxhash64("point_id"), F.col("slices")).cast("int").alias("slice"), "point_id", "code")
     again = placed.toDF(*placed.columns)
-    queries = again.select(F.explode("cells").alias("cell"), "point_id", "features").join(sizes.toDF("cell", "slices"), "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.pmod(F.xxhash64("point_id"), F.col("slices") * probes).cast("int").alias("part"), "point_id", "features")
+    queries = again.select(F.explode("cells").alias("cell"), "point_id", "code").join(sizes.toDF("cell", "slices"), "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.pmod(F.xxhash64("point_id"), F.col("slices") * probes).cast("int").alias("part"), "point_id", "code")
     parts = sizes.select("cell", F.explode(F.sequence(F.lit(0), F.col("slices") * probes - 1)).alias("part"))
     members = members.join(parts, "cell")
+    wanted = k - 1 if coding == "FLAT" else SPARE * (k - 1)
 
     def meet(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left) or not len(right):
             return pa.table({"src": pa.array([], pa.int64()), "dst": pa.array([], pa.int64()), "dist": pa.array([], pa.float64())})
-        out = nearest(left.column("point_id").to_numpy(), _vectors(left.column("features")), right.column("point_id").to_numpy(), _vectors(right.column("features")), k - 1, metric)
+        code = centre.value[1]
+        out = nearest(left.column("point_id").to_numpy(), code.unpack(left.column("code").to_pylist()), right.column("point_id").to_numpy(), code.unpack(right.column("code").to_pylist()), wanted, metric)
         return pa.table(dict(zip(("src", "dst", "dist"), map(pa.array, out), strict=True)))
 
     keys = ("cell", "slice", "part")
-    found = queries.groupBy(*keys).cogroup(members.groupBy(*keys)).applyInArrow(meet, "src long, dst long, dist double")
-    found = cut(_merge(found, k - 1), "found")
+    found = _merge(queries.groupBy(*keys).cogroup(members.groupBy(*keys)).applyInArrow(meet, "src long, dst long, dist double"), wanted)
+    found = cut(found if coding == "FLAT" else _again(points, found.select("src", "dst"), k - 1, metric), "found")
     short = points.select("point_id").join(found.groupBy("src").agg(F.count("*").alias("n")).where(F.col("n") >= min(k, n) - 1).select(F.col("src").alias("point_id")), "point_id", "left_anti")
     if n > 1 and not short.isEmpty():
         again = _against_all(points.join(short, "point_id", "left_semi"), points, k, metric)
@@ -195,6 +258,29 @@ def knn_cells(points: DataFrame, k: int, metric: str = "L2", cells: int | None =
     return _with_self(points, found, metric)
 
 
+def knn_graph(points: DataFrame, k: int, metric: str = "L2", rounds: int = 4, seed: int = 1, coding: str = "FLAT") -> DataFrame:
+    """(src, dst, rank, dist): approximate k nearest by descent over a neighbour graph.
+
+    The graph starts from the two nearest cells of each point. In a round every point meets its neighbours' neighbours, both ways round, and keeps the nearest; a point that many have
+    for a neighbour hands on LINKS of them, the nearest. Rounds end when fewer than one in a hundred neighbours change.
+    """
+    wide = max(k, 12)
+    start = knn_cells(points, wide + 1, metric, probes=2, seed=seed, coding=coding).where("src <> dst")
+    now = cut(start.select("src", "dst", "dist", "rank"), "graph")
+    for _ in range(rounds):
+        both = now.select("src", "dst", "dist").union(now.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "dist")).groupBy("src", "dst").agg(F.min("dist").alias("dist"))
+        links = cut(_merge(both, LINKS).select("src", "dst"), "links")
+        met = links.toDF("via", "src").join(links.toDF("via", "dst"), "via").where("src <> dst").select("src", "dst").distinct()
+        new = met.join(now.select("src", "dst"), ["src", "dst"], "left_anti")
+        better = _again(points, new, wide, metric).select("src", "dst", "dist")
+        after = cut(_merge(now.select("src", "dst", "dist").union(better), wide), "graph")
+        changed = after.join(now.select("src", "dst"), ["src", "dst"], "left_anti").count()
+        now = after
+        if changed * 100 < after.count():
+            break
+    return _with_self(points, now.where(F.col("rank") < k), metric)
+
+
 def _against_all(queries: DataFrame, points: DataFrame, k: int, metric: str) -> DataFrame:
     left = _blocks(queries, max(1, queries.count() // BLOCK)).select(F.col("ids").alias("a_ids"), F.col("xs").alias("a_xs"))
     right = _blocks(points, max(1, points.count() // BLOCK)).select(F.col("ids").alias("b_ids"), F.col("xs").alias("b_xs"))
@@ -210,6 +296,14 @@ def _against_all(queries: DataFrame, points: DataFrame, k: int, metric: str) ->
 
 
 def knn(points: DataFrame, k: int, metric: str = "L2", index: str = "auto") -> DataFrame:
-    """The k nearest by the index asked for: exact ones by blocks, the others by cells; `auto` goes by the number of points."""
+    """The k nearest by the index asked for; `auto` goes by the number of points."""
     index = choose_index(points.count()) if index == "auto" else index
-    return (knn_exact if index in ("BruteForce", "Flat") else knn_cells)(points, k, metric)
+    if index in ("BruteForce", "Flat"):
+        return knn_exact(points, k, metric)
+    if index == "HNSW_IVFPQ":
+        return knn_cells(points, k, metric, coding="PQ")
+    if index in ("HNSW", "HNSWSQ"):
+        return knn_graph(points, k, metric, coding="SQ" if index == "HNSWSQ" else "FLAT")
+    if index == "IVFFlat":
+        return knn_cells(points, k, metric)
+    raise ValueError(f"index: {index!r}")

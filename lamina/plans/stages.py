@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lamina.scratch import exists, get, put
 from lamina.settings import run_id
 
 VERSION = "1"
@@ -29,10 +31,16 @@ class Stages:
 
     def table(self, name: str, settings: Any, build: Callable[[], DataFrame]) -> DataFrame:
         """The stage's table: read if it was made from the same settings and data, else built and written."""
+        return self.tables(name, settings, lambda: {"rows": build()})["rows"]
+
+    def tables(self, name: str, settings: Any, build: Callable[[], dict[str, DataFrame]]) -> dict[str, DataFrame]:
+        """As `table`, for a stage of several tables by name. A file that is written last tells that all are there."""
         self.name = run_id(settings, data=f"{VERSION}/{self.name}/{name}")
-        path = f"{self.folder}/{name}-{self.name}"
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-        if self.fresh or not hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(hadoop):
+        folder = f"{self.folder}/{name}-{self.name}"
+        if self.fresh or not exists(self.spark, f"{folder}/names.json"):
             self.fresh = True
-            build().write.mode("overwrite").option("compression", "lz4").parquet(path)
-        return self.spark.read.parquet(path)
+            made = build()
+            for key, df in made.items():
+                df.write.mode("overwrite").option("compression", "lz4").parquet(f"{folder}/{key}")
+            put(self.spark, f"{folder}/names.json", json.dumps(sorted(made)).encode())
+        return {key: self.spark.read.parquet(f"{folder}/{key}") for key in json.loads(get(self.spark, f"{folder}/names.json"))}

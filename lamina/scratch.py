@@ -24,6 +24,30 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def _file(spark: SparkSession, path: str) -> tuple:
+    """A path, and the file system that it lies in."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def put(spark: SparkSession, path: str, data: bytes) -> None:
+    """Write a small file wherever Spark can write."""
+    at, system = _file(spark, path)
+    out = system.create(at, True)
+    out.write(bytearray(data))
+    out.close()
+
+
+def get(spark: SparkSession, path: str) -> bytes:
+    """Read a small file from wherever Spark can read."""
+    return bytes(spark.read.format("binaryFile").load(path).first()["content"])
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at, system = _file(spark, path)
+    return system.exists(at)
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as a table in the shared folder and read it back."""
     path = f"{shared_dir(df.sparkSession)}/lamina-scratch/{name}-{uuid.uuid4().hex}"
@@ -35,8 +59,8 @@ def clear_scratch(spark: SparkSession) -> None:
     """Delete every table in the scratch folder, and its entry in the catalog if it has one; call it when all results have been written."""
     for table in spark.catalog.listTables(pattern=f"{TABLES}*"):
         spark.sql(f"DROP TABLE IF EXISTS {table.name}")
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/lamina-scratch")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    at, system = _file(spark, f"{shared_dir(spark)}/lamina-scratch")
+    system.delete(at, True)
 
 
 def indexed(df: DataFrame, key: str, name: str) -> DataFrame:

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lamina.scratch import put
+
 # Fixed values of the TIFF format: sizes of the field types, and sample types by (format, bits).
 FIELD_BYTES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
 SAMPLES = {(1, 8): "u1", (1, 16): "u2", (1, 32): "u4", (2, 8): "i1", (2, 16): "i2", (2, 32): "i4", (3, 16): "f2", (3, 32): "f4", (3, 64): "f8"}
@@ -155,3 +157,12 @@ def level_image(membership: DataFrame, rows: int, cols: int, seed: int | None =
     if seed is not None:
         ids = np.random.default_rng(seed).permutation(int(ids.max()) + 1)[ids]
     return ids.reshape(rows, cols).astype(np.float32)
+
+
+def write_level_images(memberships: dict[int, DataFrame], rows: int, cols: int, folder: str, seed: int | None = 1) -> list[str]:
+    """A float32 TIFF of each level's components, `level-0.tif` and on, shuffled for contrast unless `seed` is None; the paths written."""
+    paths = []
+    for level, members in sorted(memberships.items()):
+        paths.append(f"{folder.rstrip('/')}/level-{level}.tif")
+        put(members.sparkSession, paths[-1], encode_tiff(level_image(members, rows, cols, seed)))
+    return paths

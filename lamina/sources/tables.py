@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamina import schema
 from lamina.operators.hierarchy import Hierarchy
+from lamina.operators.levels import distribution_stats
+from lamina.scratch import put
 
 
 def read_points(spark: SparkSession, path: str, id_col: str, vec_col: str, cols: int | None = None) -> DataFrame:
@@ -42,3 +46,10 @@ def write_hierarchy(h: Hierarchy, folder: str) -> None:
 def write_rows(df: DataFrame, path: str) -> None:
     """Nested vectors: one row an inner vector (row_id, values)."""
     df.write.mode("overwrite").option("compression", "lz4").parquet(path)
+
+
+def write_stats(h: Hierarchy, distributions: dict[int, DataFrame], path: str) -> None:
+    """Statistics of the levels and of their distributions as one JSON file."""
+    spark = h.membership[0].sparkSession
+    rows = [r.asDict() for r in distribution_stats(distributions, spark).orderBy("level").collect()]
+    put(spark, path, json.dumps({"levels": h.stats, "distributions": rows}, indent=2).encode())

@@ -188,3 +188,20 @@ def test_layouts_separate_clusters_and_single_components(spark):
         assert np.linalg.norm(y[:6].mean(0) - y[6:].mean(0)) > inside
     one = spark.createDataFrame([(3, 3, 1.0)], "row_id long, col_id long, p double")
     assert tuple(embedding.tsne(one).first()) == (3, 0, 0)
+
+
+def test_interpolated_repulsion_is_near_the_exact_one():
+    y = np.random.default_rng(5).standard_normal((3000, 2)) * [12, 5]
+    push, z = embedding._repulsion(y)
+    near, z_near = embedding._interpolated(y)
+    assert z_near == pytest.approx(z, rel=2e-2) and np.linalg.norm(near - push) <= 0.03 * np.linalg.norm(push)
+
+
+def test_the_spectral_start_by_iteration_is_that_of_the_dense_matrix(spark, monkeypatch):
+    rows = [(i, j, 1.0) for i in range(60) for j in range(60) if i != j and abs(i - j) <= 3] + [(i, (i * 7) % 60, 0.02) for i in range(60) if i != (i * 7) % 60]
+    p = spark.createDataFrame(rows, "row_id long, col_id long, p double")
+    get = lambda: np.array([(r["x"], r["y"]) for r in embedding.spectral(p).orderBy("component_id").collect()])
+    dense_ = get()
+    monkeypatch.setattr(embedding, "EXACT", 10)
+    assert np.allclose(np.abs(get()), np.abs(dense_), atol=2e-3)
+    assert embedding.tsne(p, 40).count() == 60

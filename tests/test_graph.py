@@ -175,3 +175,49 @@ def test_equal_points_and_distances_go_by_id(spark, metric):
         assert sum(d[s, t] for s, t in found) == pytest.approx(sum(d[s, t] for s, t in want), abs=1e-6)
     else:
         assert found == want
+
+
+@pytest.mark.parametrize("index", ["IVFFlat", "HNSW", "HNSWSQ", "HNSW_IVFPQ"])
+def test_approximate_indexes_find_nine_of_ten(spark, index):
+    rng = np.random.default_rng(12)
+    x = (rng.standard_normal((12, 16)) * 3)[rng.integers(0, 12, 1500)] + rng.standard_normal((1500, 16))
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "point_id long, features array<float>")
+    truth = {(r["src"], r["dst"]) for r in knn.knn_exact(points, 9).collect()}
+    found = knn.knn(points, 9, index=index).collect()
+    assert sum((r["src"], r["dst"]) in truth for r in found) >= 0.9 * len(truth) and len(found) == len(truth)
+    near = {(r["src"], r["dst"]): r["dist"] for r in found}
+    assert all(d == pytest.approx(float(np.linalg.norm(np.float32(x[s]).astype(float) - np.float32(x[t]).astype(float))), abs=1e-6) for (s, t), d in list(near.items())[:500])
+
+
+def test_indexes_are_chosen_by_the_number_of_points():
+    assert [knn.choose_index(n) for n in (10_000, 10_001, 100_001, 25_000_001, 50_000_001)] == ["BruteForce", "IVFFlat", "HNSW", "HNSWSQ", "HNSW_IVFPQ"]
+
+
+def test_paths_with_their_nodes_and_a_cache(spark):
+    points = generators.s_curve(spark, 200).select("point_id", "features")
+    e = graph.connected(points, graph.symmetric_min(knn.knn_exact(points, 6))).cache()
+    rng = random.Random(3)
+    pairs = spark.createDataFrame([(rng.randrange(200), rng.randrange(200)) for _ in range(40)] + [(7, 7), (3, 999)], "a long, b long").distinct().cache()
+    want = {(r["a"], r["b"]): r["dist"] for r in paths.shortest_paths(e, pairs).collect()}
+    weight = {(r["src"], r["dst"]): r["dist"] for r in e.collect()}
+    for places in (None, points):
+        for r in paths.path_nodes(e, pairs, places).collect():
+            if want[r["a"], r["b"]] is None:
+                assert r["dist"] is None and r["nodes"] is None
+                continue
+            assert r["dist"] == pytest.approx(want[r["a"], r["b"]], abs=1e-9) and (r["nodes"][0], r["nodes"][-1]) == (r["a"], r["b"])
+            assert sum(weight[s, t] for s, t in itertools.pairwise(r["nodes"])) == pytest.approx(r["dist"], abs=1e-9)
+    cache = paths.PathCache(e, points)
+    assert {(r["a"], r["b"]): r["dist"] and round(r["dist"], 9) for r in cache.distances(pairs).collect()} == {k: v and round(v, 9) for k, v in want.items()}
+    some = cache.known.where("a <> b and dist is not null").limit(60)
+    parts = {(r["a"], r["b"]): r["dist"] for r in some.collect()}
+    again = {(r["a"], r["b"]): r["dist"] for r in paths.shortest_paths(e, some.select("a", "b")).collect()}
+    assert parts == pytest.approx(again) and cache.known.count() > pairs.count()
+
+
+def test_the_spanning_tree_by_tables_is_the_one_in_the_driver(spark):
+    rng = np.random.default_rng(13)
+    x = np.concatenate([rng.standard_normal((30, 3)) + c for c in ([0, 0, 0], [40, 0, 0], [0, 90, 0])])
+    centres = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "point_id long, features array<double>")
+    found = {(r["a"], r["b"]) for r in graph.spanning_pairs(centres).collect()}
+    assert found == {(min(p), max(p)) for p in graph.spanning_tree(x)}

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lamina.operators import levels
-from lamina.plans import pipeline, registry
+from lamina.plans import pipeline, registry, sweep
 from lamina.settings import HierarchySettings, KnnSettings, LevelSettings, WalkSettings, from_json, run_id, to_json
 from lamina.sources import generators, images, sweeps, tables
 from lamina.streaming.iterations import Descent
@@ -196,3 +196,44 @@ def test_levels_are_measured_on_scaled_points(spark):
     _, plain = pipeline.compute(points, 4, 4, KnnSettings(k=5), settings, LevelSettings(level=1))
     rows = lambda d: sorted((r["row_id"], r["col_id"], round(r["p"], 9)) for r in d[1].collect()) if 1 in d else []
     assert rows(scaled) == rows(want) != rows(plain)
+
+
+def test_a_sweep_writes_each_run_once(spark, tmp_path):
+    points = generators.gaussians(spark, 24, [(0, 0, 0), (9, 0, 0)]).select("point_id", "features")
+    text = json.dumps({"path": "x", "scaler": ["NONE", "STANDARD"], "similarity": ["NEIGH_OVERLAP"], "k": 5, "embedding": "TSNE", "init": "PCA"})
+    names = sweep.run_sweep(points, 4, 6, sweeps.read_sweep(text), f"file://{tmp_path}", most_levels=2, pictures=True, iterations=5)
+    assert len(set(names)) == 2
+    for name in names:
+        stats = json.loads((tmp_path / name / "stats.json").read_text())
+        assert stats["levels"][0]["num_components"] == 24 and stats["distributions"][0]["rows"] == 24
+        picture = images.decode_tiff((tmp_path / name / "levels" / "level-1.tif").read_bytes())
+        assert picture.shape == (4, 6) and len(np.unique(picture)) == stats["levels"][1]["num_components"]
+        assert spark.read.parquet(f"{tmp_path}/{name}/layout").where("level = 0").count() == 24
+    before = {p: p.stat().st_mtime_ns for p in tmp_path.rglob("*.parquet")}
+    assert sweep.run_sweep(points, 4, 6, sweeps.read_sweep(text), f"file://{tmp_path}", most_levels=2, pictures=True, iterations=5) == names
+    assert {p: p.stat().st_mtime_ns for p in tmp_path.rglob("*.parquet")} == before
+
+
+def test_computed_stages_give_what_they_gave(spark, tmp_path):
+    from lamina.plans.stages import Stages
+
+    points = generators.gaussians(spark, 24, [(0, 0, 0), (9, 0, 0)]).select("point_id", "features")
+    args = (points, 4, 6, KnnSettings(k=5), HierarchySettings(max_levels=2), LevelSettings())
+    h, d = pipeline.compute(*args)
+    for _ in range(2):
+        h2, d2 = pipeline.compute(*args, stages=Stages(spark, f"file://{tmp_path}", "points"))
+        assert h2.sizes == h.sizes and d2.keys() == d.keys()
+        for level in d:
+            rows = lambda x: sorted((r["row_id"], r["col_id"], round(r["p"], 9)) for r in x.collect())
+            assert rows(d[level]) == rows(d2[level])
+        assert sorted(map(tuple, h2.membership[1].select("point_id", "component_id").collect())) == sorted(map(tuple, h.membership[1].select("point_id", "component_id").collect()))
+
+
+@pytest.mark.parametrize("init", ["RANDOM", "PCA", "SPECTRAL"])
+def test_layouts_start_from_children_or_by_name(spark, init):
+    points = generators.gaussians(spark, 48, [(0, 0, 0), (9, 0, 0)]).select("point_id", "features")
+    h, d = pipeline.compute(points, 6, 8, KnnSettings(k=7), HierarchySettings(max_levels=1), LevelSettings())
+    out = pipeline.layouts(h, d, order="children", init=init, points=points, iterations=5)
+    assert {level: out[level].count() for level in out} == {level: h.sizes[level] for level in d}
+    with pytest.raises(ValueError):
+        pipeline.layouts(h, d, order="sideways")
