@@ -27,10 +27,11 @@ UNKNOWN = "und"
 #: Languages that can be told apart, at most: a prototype is one row of DIMENSIONS numbers in the driver and in each worker.
 MOST_LANGUAGES = 2000
 #: Trigrams whose vectors a worker holds (2 KB each), and trigrams of a task's counts before they are bundled.
-HELD = 16_384
+HELD = 8192
 COUNTED = 1 << 18
-#: Cells of the table of counts of a batch, at most; sums up to EXACT are exact in single precision.
-CELLS = 1 << 22
+#: Trigrams that are multiplied at once, at most, and cells of the table of a batch's counts; sums up to EXACT are exact in single precision.
+WIDTH = 1024
+CELLS = 1 << 20
 EXACT = 1 << 24
 BITS = 21
 
@@ -38,7 +39,7 @@ BITS = 21
 @lru_cache(1)
 def letters() -> np.ndarray:
     """Of every code point the (first) code point of its lower case, 0 for anything but a letter."""
-    out = np.zeros(0x110000, np.int64)
+    out = np.zeros(0x110000, np.int32)
     for c in range(0x110000):
         if unicodedata.category(chr(c))[0] == "L":
             out[c] = ord(chr(c).lower()[0])
@@ -120,7 +121,7 @@ class Vectors:
         row = np.repeat(np.arange(len(texts)), sizes)
         every, at = np.unique(name, return_inverse=True)
         many = int(np.bincount(row, count).max())
-        width = max(1, min(HELD, CELLS // len(texts)))
+        width = max(1, min(HELD, WIDTH, CELLS // len(texts)))
         for start in range(0, len(every), width):
             vectors = self.of(every[start : start + width])
             own = (at >= start) & (at < start + width)
