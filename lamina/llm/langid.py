@@ -27,7 +27,7 @@ UNKNOWN = "und"
 #: Languages that can be told apart, at most: a prototype is one row of DIMENSIONS numbers in the driver and in each worker.
 MOST_LANGUAGES = 2000
 #: Trigrams whose vectors a worker holds (2 KB each), and trigrams of a task's counts before they are bundled.
-HELD = 8192
+HELD = 16_384
 COUNTED = 1 << 18
 #: Trigrams that are multiplied at once, at most, and cells of the table of a batch's counts; sums up to EXACT are exact in single precision.
 WIDTH = 1024

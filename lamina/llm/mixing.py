@@ -92,8 +92,10 @@ def targets(sources: DataFrame) -> DataFrame:
     whole = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     left = F.sum("source_size").over(whole) - F.coalesce(F.sum("cap").over(past), F.lit(0.0))
     weights = F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing))
-    levels = named.withColumn("level", left / weights).withColumn("capped", F.col("level") * F.col("weight") >= F.col("cap"))
-    last = levels.withColumn("final", F.min(F.when(~F.col("capped"), F.struct((F.col("cap") / F.col("weight")).alias("r"), F.col("level").alias("level")))).over(whole))
+    levels = named.withColumn("level", left / weights).withColumn("at", F.row_number().over(order)).withColumn("capped", F.col("level") * F.col("weight") >= F.col("cap"))
+    last = levels.withColumn("final", F.min(F.when(~F.col("capped"), F.struct("at", "level"))).over(whole))
+    # sources behind the first that is not capped are not either
+    last = last.withColumn("capped", F.col("final").isNull() | (F.col("at") < F.col("final.at")))
     return last.select("source", "source_size", F.when(F.col("capped"), F.col("cap")).otherwise(F.col("final.level") * F.col("weight")).alias("target"))
 
 

@@ -185,6 +185,15 @@ def test_mix_of_every_row(docs, nothing):
     assert mixing.mix(nothing).count() == 0
 
 
+def test_targets_of_sources_alike(spark):
+    rng = random.Random(41)
+    for _ in range(12):
+        sizes = {f"s{i}": rng.choice([0, 10, 10, 10, 200, 5000]) for i in range(rng.randint(1, 9))} | ({None: 10} if rng.random() < 0.5 else {})
+        found = mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()
+        want = plain_targets(sizes)
+        assert {r["source"]: r["target"] for r in found} == pytest.approx(want)
+
+
 def test_mix_meets_its_targets(spark):
     rng = random.Random(2)
     rows = [(i, " ".join(["w"] * rng.randint(1, 60)), rng.choice(["a", "a", "a", "b", "c", "d", None])) for i in range(800)] + [(9000 + i, "one two three", "e") for i in range(3)]
