@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -10,15 +12,44 @@ from pyspark.sql import functions as F
 from lamina.scratch import cut, indexed
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+#: Edges that one task labels (16 bytes each); more are labelled in rounds.
+ONE_TASK = 2000
+
+
+def joined(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The least of n rows that each row reaches over the links (a, b)."""
+    label = np.arange(n)
+    while len(a):
+        before = label.copy()
+        low = np.minimum(label[a], label[b])
+        np.minimum.at(label, a, low)
+        np.minimum.at(label, b, low)
+        label = label[label]
+        if (label == before).all():
+            break
+    return label
+
+
+def _in_one_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    ends = [(b.column("u").to_numpy(), b.column("v").to_numpy()) for b in batches]
+    if ends:
+        u, v = (np.concatenate(x) for x in zip(*ends, strict=True))
+        nodes, at = np.unique(np.concatenate((u, v)), return_inverse=True)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[joined(at[: len(u)], at[len(u) :], len(nodes))])], ["node", "component"])
+
+
+def components(edges: DataFrame, max_rounds: int = 60, one_task: int = ONE_TASK) -> DataFrame:
     """(node, component) for each node of `edges` (a, b long): component is the least node reachable either way.
 
     Alternates large-star and small-star steps: each is one grouped minimum (combined before the shuffle) and one
     join on the same key. The minima are tables, so that both sides of the join are plain exchanges, which adaptive execution splits where
     a hub is hot. Rounds are logarithmic in the longest path;
-    each ends in a table in the shared folder. Self loops make their node known. Empty edges give an empty table.
+    each ends in a table in the shared folder. Up to `one_task` edges are labelled by one task instead, with the same result. Self loops make their node known. Empty edges give an
+    empty table.
     """
     e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u is not null and v is not null").distinct(), "edges")
+    if one_task and e.count() <= one_task:
+        return e.coalesce(1).mapInArrow(_in_one_task, "node long, component long")
     nodes = e.select(F.col("u").alias("node")).union(e.select("v")).distinct()
     e = e.where("u <> v")
     before = None
@@ -110,18 +141,8 @@ def weak_components(edges: DataFrame, small: int = SMALL) -> DataFrame:
     ends = _small(edges, small)
     if ends is not None:
         nodes, at = np.unique(np.concatenate(ends), return_inverse=True)
-        a, b = at[: len(ends[0])], at[len(ends[0]) :]
-        label = np.arange(len(nodes))
-        while len(a):
-            before = label.copy()
-            low = np.minimum(label[a], label[b])
-            np.minimum.at(label, a, low)
-            np.minimum.at(label, b, low)
-            label = label[label]
-            if (label == before).all():
-                break
-        return _labels(edges, nodes, label)
-    return labelled(components(edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))))
+        return _labels(edges, nodes, joined(at[: len(ends[0])], at[len(ends[0]) :], len(nodes)))
+    return labelled(components(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")), one_task=min(small, ONE_TASK)))
 
 
 def _reach(edges: DataFrame, nodes: DataFrame, max_rounds: int) -> DataFrame:

@@ -38,7 +38,8 @@ def test_components_of_long_paths_and_nothing(spark):
     assert len(set(labels(components.strong_components(e, small=1000)).values())) == 200
 
 
-def test_components_agree_with_a_search(spark):
+@pytest.mark.parametrize("one_task", [0, 1000])
+def test_components_agree_with_a_search(spark, one_task):
     rng = random.Random(5)
     pairs = [(rng.randrange(120), rng.randrange(120)) for _ in range(90)]
     up = {}
@@ -51,7 +52,7 @@ def test_components_agree_with_a_search(spark):
     for a, b in pairs:
         a, b = find(a), find(b)
         up[max(a, b)] = min(a, b)
-    found = components.components(spark.createDataFrame(pairs, "a long, b long"))
+    found = components.components(spark.createDataFrame(pairs, "a long, b long"), one_task=one_task)
     assert {r["node"]: r["component"] for r in found.collect()} == {x: find(x) for x in up}
 
 
