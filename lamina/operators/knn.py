@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,15 +18,17 @@ BLOCK = 4096
 SAMPLE_PER_CELL = 64
 MOST_CELLS = 16_384
 SAMPLE_BYTES = 256 << 20
+#: Points that are searched exactly to tell how many cells to look in, and the share of neighbours to be found there.
+ASKED, RECALL = 256, 0.95
 #: Neighbours, either way round, that a point hands on in a round of descent.
-LINKS = 24
+LINKS, START = 24, 0.85
 
 
 #: Parts of a vector and centroids of each in a product code, and vectors that codes are fitted on.
 PARTS, LETTERS = 16, 256
 CODE_SAMPLE = 16_384
 #: Neighbours found by codes for each one wanted, before their distances are taken exactly.
-SPARE = 4
+SPARE = 8
 
 
 def choose_index(n: int) -> str:
@@ -203,8 +205,23 @@ def _again(points: DataFrame, pairs: DataFrame, k: int, metric: str) -> DataFram
     return _merge(met.mapInArrow(work, "src long, dst long, dist double"), k)
 
 
-def knn_cells(points: DataFrame, k: int, metric: str = "L2", cells: int | None = None, probes: int | None = None, seed: int = 1, coding: str = "FLAT") -> DataFrame:
-    """(src, dst, rank, dist): approximate k nearest, from the cells of the nearest `probes` centroids.
+def _probes(points: DataFrame, n: int, near: np.ndarray, unit: Callable[[np.ndarray], np.ndarray], k: int, metric: str, recall: float, seed: int) -> int:
+    """How many of the nearest cells hold so many of the true neighbours of ASKED seeded points, which are searched against all."""
+    asked = points.orderBy(F.xxhash64(F.lit(seed + 1), "point_id")).limit(ASKED)
+    asked = cut(asked.select("point_id", "features"), "asked")
+    found = _against_all(asked, points, k, metric).select("src", "dst")
+    vector = F.col("features").cast("array<double>")
+    pairs = found.join(asked.select(F.col("point_id").alias("src"), vector.alias("x")), "src").join(points.select(F.col("point_id").alias("dst"), vector.alias("y")), "dst").select("x", "y").toArrow()
+    if not pairs.num_rows:
+        return 1
+    x, y = (unit(_vectors(pairs.column(c))) for c in ("x", "y"))
+    order = np.argsort(np.argsort(_dist(x, near, "L2"), axis=1), axis=1)
+    rank = order[np.arange(len(y)), _dist(y, near, "L2").argmin(1)]
+    return int(np.quantile(rank, recall, method="higher")) + 1
+
+
+def knn_cells(points: DataFrame, k: int, metric: str = "L2", cells: int | None = None, probes: int | None = None, seed: int = 1, coding: str = "FLAT", recall: float = RECALL) -> DataFrame:
+    """(src, dst, rank, dist): approximate k nearest, from the cells of the nearest `probes` centroids; unless that is given, so many that a sample of points finds `recall` of its neighbours.
 
     Centroids are fitted on a bounded seeded sample; every point is in the index. A cell is met in slices of BLOCK points,
     so a hot one is many tasks. With a `coding` (SQ: 8 bits a number, PQ: product codes) the cells hold codes, SPARE times as many neighbours are found by them, and the nearest of
@@ -214,13 +231,14 @@ def knn_cells(points: DataFrame, k: int, metric: str = "L2", cells: int | None =
     one_of("coding", coding, ("FLAT", "SQ", "PQ"))
     n = points.count()
     cells = min(cells or max(100, int(math.sqrt(n))), MOST_CELLS, max(1, n))
-    probes = min(probes or max(1, int(math.sqrt(cells))), cells)
     unit = (lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)) if metric == "COSINE" else (lambda x: x)
     width = len((points.select("features").first() or [[0.0]])[0])
     # in bytes as well as in rows
     drawn = _sampled(points, n, max(cells, min(cells * SAMPLE_PER_CELL, SAMPLE_BYTES // (8 * width))), seed)
     code = Coding(coding, drawn[:CODE_SAMPLE], seed)
-    centre = points.sparkSession.sparkContext.broadcast((centroids(unit(drawn), cells, seed=seed), code))
+    near = centroids(unit(drawn), cells, seed=seed)
+    probes = min(probes or _probes(points, n, near, unit, k, metric, recall, seed), len(near))
+    centre = points.sparkSession.sparkContext.broadcast((near, code))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         near_, code = centre.value
@@ -258,14 +276,14 @@ def knn_cells(points: DataFrame, k: int, metric: str = "L2", cells: int | None =
     return _with_self(points, found, metric)
 
 
-def knn_graph(points: DataFrame, k: int, metric: str = "L2", rounds: int = 4, seed: int = 1, coding: str = "FLAT") -> DataFrame:
+def knn_graph(points: DataFrame, k: int, metric: str = "L2", rounds: int = 3, seed: int = 1, coding: str = "FLAT") -> DataFrame:
     """(src, dst, rank, dist): approximate k nearest by descent over a neighbour graph.
 
-    The graph starts from the two nearest cells of each point. In a round every point meets its neighbours' neighbours, both ways round, and keeps the nearest; a point that many have
+    The graph starts from cells that hold START of the neighbours of a sample. In a round every point meets its neighbours' neighbours, both ways round, and keeps the nearest; a point that many have
     for a neighbour hands on LINKS of them, the nearest. Rounds end when fewer than one in a hundred neighbours change.
     """
     wide = max(k, 12)
-    start = knn_cells(points, wide + 1, metric, probes=2, seed=seed, coding=coding).where("src <> dst")
+    start = knn_cells(points, wide + 1, metric, seed=seed, coding=coding, recall=START).where("src <> dst")
     now = cut(start.select("src", "dst", "dist", "rank"), "graph")
     for _ in range(rounds):
         both = now.select("src", "dst", "dist").union(now.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "dist")).groupBy("src", "dst").agg(F.min("dist").alias("dist"))

@@ -207,6 +207,21 @@ def knn_ivf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _knn(knn.knn_cells(points(spark, sf_dir), K))
 
 
+INDEXES = ("IVFFlat", "HNSW", "HNSWSQ", "HNSW_IVFPQ")
+
+
+@query(f"SELECT unnest([{', '.join(repr(i) for i in INDEXES)}]) AS index, (SELECT count(*) FROM embeddings) * {K} AS rows, true AS most_found, true AS all_true")
+def knn_index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each approximate index the rows it returns, whether nine of ten of the exact neighbours are among them, and whether their distances are those of the exact search where that has them."""
+    exact = cut(knn.knn_exact(points(spark, sf_dir), K), "exact").select("src", "dst", F.col("dist").alias("true_dist"))
+    out = None
+    for index in INDEXES:
+        found = cut(knn.knn(points(spark, sf_dir), K, index=index), "found").join(exact, ["src", "dst"], "left")
+        row = found.agg(F.lit(index).alias("index"), F.count("*").alias("rows"), (F.count("true_dist") >= 0.9 * F.count("*")).alias("most_found"), F.bool_and(F.abs(F.col("dist") - F.col("true_dist")) < 1e-6).alias("all_true"))
+        out = row if out is None else out.union(row)
+    return out
+
+
 # graphs
 
 
@@ -337,12 +352,32 @@ def geodesic_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shortest_paths(e, near.select(F.col("point_id").alias("a"), F.col("neighbor_id").alias("b"))).withColumn("dist", r6("dist"))
 
 
-@query()
+def spanning_sql(rounds: int = 8) -> str:
+    """The least spanning tree of the components' centroids, grown round by round: every part takes its shortest way out. Eight rounds join 256 components."""
+    parts = [f"""WITH RECURSIVE {knn_sql(2)}, sym AS MATERIALIZED (SELECT src, dst, min(dist) AS dist FROM (SELECT src, dst, dist FROM edges UNION ALL SELECT dst, src, dist FROM edges) GROUP BY ALL),
+reach AS (SELECT src AS a, dst AS b FROM sym UNION SELECT reach.a, sym.dst FROM reach JOIN sym ON reach.b = sym.src),
+lab AS MATERIALIZED (SELECT a AS point_id, dense_rank() OVER (ORDER BY min(b)) - 1 AS label FROM reach GROUP BY a),
+cen AS (SELECT label, list(x ORDER BY i) AS v FROM (SELECT label, i, avg(v[i]) AS x FROM pts JOIN lab USING (point_id), range(1, {DIM + 1}) t(i) GROUP BY label, i) GROUP BY label),
+far AS MATERIALIZED (SELECT x.label AS a, y.label AS b, list_distance(x.v, y.v) AS d FROM cen x JOIN cen y ON x.label <> y.label),
+g0 AS (SELECT label, label AS part FROM cen)"""]
+    for k in range(rounds):
+        parts.append(f"""out{k} AS MATERIALIZED (SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM (SELECT x.part, arg_min(far.a, (d, least(far.a, far.b), greatest(far.a, far.b))) AS a, arg_min(far.b, (d, least(far.a, far.b), greatest(far.a, far.b))) AS b FROM far JOIN g{k} x ON x.label = far.a JOIN g{k} y ON y.label = far.b WHERE x.part <> y.part GROUP BY x.part)),
+tree{k} AS MATERIALIZED (SELECT a, b FROM out{k}{f' UNION SELECT a, b FROM tree{k - 1}' if k else ''}),
+way{k} AS (SELECT a, b FROM tree{k} UNION SELECT b, a FROM tree{k}),
+hop{k} AS (SELECT label AS a, label AS b FROM cen UNION SELECT hop{k}.a, w.b FROM hop{k} JOIN way{k} w ON hop{k}.b = w.a),
+g{k + 1} AS MATERIALIZED (SELECT a AS label, min(b) AS part FROM hop{k} GROUP BY a)""")
+    return f"""{", ".join(parts)},
+near AS (SELECT t.a, t.b, p.point_id AS src, q.point_id AS dst, list_distance(p.v, q.v) AS dist FROM tree{rounds - 1} t JOIN lab x ON x.label = t.a JOIN lab y ON y.label = t.b JOIN pts p ON p.point_id = x.point_id JOIN pts q ON q.point_id = y.point_id),
+joins AS (SELECT a, b, arg_min(src, (dist, src, dst)) AS src, arg_min(dst, (dist, src, dst)) AS dst, min(dist) AS dist FROM near GROUP BY a, b),
+every AS (SELECT src, dst, dist FROM sym UNION ALL SELECT src, dst, dist FROM joins UNION ALL SELECT dst, src, dist FROM joins)
+SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY (src <> dst)::INT, dist, dst) - 1 AS rank, round(dist, 6) AS dist FROM every"""
+
+
+@query(spanning_sql())
 def connected_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _knn(graph.connected(points(spark, sf_dir), graph.symmetric_min(edges(spark, sf_dir, 2))))
 
 
-
 # distances between components
 
 
