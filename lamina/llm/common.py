@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lamina.scratch import TABLES, clear_scratch, cut, shared_dir
 
-__all__ = ["TABLES", "WORD", "bound_batches", "clear_scratch", "cut", "read", "runs", "shared_dir", "shingles", "slices", "unused"]
+__all__ = ["TABLES", "WORD", "bound_batches", "clear_scratch", "cut", "joined", "read", "runs", "shared_dir", "shingles", "slices", "unused"]
 
 #: A word is a run of anything but ASCII white space; `bytes.split()` uses just this set.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -80,3 +80,20 @@ def runs(keys: np.ndarray) -> np.ndarray:
     if len(keys) == 0:
         return np.zeros(1, np.int64)
     return np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]))
+
+
+def joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """`label` (the least row that each row reaches) after the links (a, b)."""
+    while True:
+        x, y = label[a], label[b]
+        apart = x != y
+        if not apart.any():
+            return label
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        label = label.copy()
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while True:
+            further = label[label]
+            if (further == label).all():
+                break
+            label = further

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamina.llm import jaccard
-from lamina.llm.common import bound_batches, cut, read, runs, shingles, slices
+from lamina.llm.common import bound_batches, cut, joined, read, runs, shingles, slices
 from lamina.operators.components import components
 
 FRONTIER = 1 << 18  # (query, node) pairs that a search holds at once, about
@@ -216,23 +216,6 @@ class Trees:
         return label
 
 
-def joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """`label` (the least row that each row reaches) after the links (a, b)."""
-    while True:
-        x, y = label[a], label[b]
-        apart = x != y
-        if not apart.any():
-            return label
-        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
-        label = label.copy()
-        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
-        while True:
-            further = label[label]
-            if (further == label).all():
-                break
-            label = further
-
-
 def _links_of(raw: list[bytes], root: np.ndarray) -> pa.RecordBatch:
     rows = np.flatnonzero(root != np.arange(len(raw))).tolist()
     return pa.RecordBatch.from_arrays([pa.array([raw[i] for i in rows], pa.binary()), pa.array([raw[i] for i in root[rows].tolist()], pa.binary())], ["a", "b"])
@@ -409,7 +392,7 @@ def near_duplicates(docs: DataFrame, k: int = 4, radius: int = 4, most: int = 40
     return rows.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
-def similar_texts(docs: DataFrame, k: int = 5, threshold: float = 0.8, bits: int = 256, radius: int = 64, most: int = 4096, block: int = jaccard.BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_texts(docs: DataFrame, k: int = 5, threshold: float = 0.8, bits: int = 256, radius: int = 64, most: int = 4096, block: int = jaccard.BLOCK, crowd: int = jaccard.CROWD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, component_id): texts whose sets of distinct shingles have a Jaccard similarity of `threshold` or more, and through
     them others, share a component, named by its least doc_id.
 
@@ -429,7 +412,7 @@ def similar_texts(docs: DataFrame, k: int = 5, threshold: float = 0.8, bits: int
     shared = nodes.groupBy("place").agg(F.count("*").alias("n")).where("n > 1").select(F.col("place").alias("a"), F.col("place").alias("b"))
     label = components(proposed.union(shared)).withColumnRenamed("node", "place")
     member = nodes.select("place", "node", "digest", "bytes").join(label, "place").select("node", "digest", "bytes", F.col("component").alias("cluster"))
-    edges = jaccard.in_clusters(rows, cut(member, "clusters"), threshold, block)
+    edges = jaccard.in_clusters(rows, cut(member, "clusters"), threshold, block, crowd)
     label = cut(components(edges), "labels")
     linked = nodes.select("node", "digest", "least").join(label, "node")
     least = linked.groupBy("component").agg(F.min("least").alias("first"))

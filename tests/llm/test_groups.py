@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lamina.llm import bpe, counts, flac, forest, kdtree, mixing, simhash, substrings
+from lamina.llm import bpe, common, counts, flac, forest, kdtree, mixing, simhash, substrings
 
 # SimHash
 
@@ -79,7 +79,7 @@ def test_crowded_groups_are_joined_as_all_pairs_would(spark, monkeypatch):
         monkeypatch.setattr(simhash, "PIVOTS", 8)
         found = simhash.links(table, 4, simhash.pigeonhole(64, 4, 10), most=60).collect()
         ends = np.array([(place[bytes(r["a"])], place[bytes(r["b"])]) for r in found]).T
-        assert simhash.joined(np.arange(len(fps)), *ends).tolist() == want
+        assert common.joined(np.arange(len(fps)), *ends).tolist() == want
     assert len(set(want)) > 3
 
 

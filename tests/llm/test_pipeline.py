@@ -90,8 +90,21 @@ def test_near_duplicates_link_at_the_contracted_similarity(spark):
     want = {i for i, r in zip(ids, root, strict=True) if ids[r] == i}
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert {r["doc_id"] for r in pipeline.near_duplicates(spark, docs, "").collect()} == want
-    small = simhash.similar_texts(docs, block=8, most=30)
-    assert {r["doc_id"] for r in small.where("doc_id = component_id").collect()} == want
+    for crowd in (1000, 3):
+        small = simhash.similar_texts(docs, block=8, most=30, crowd=crowd)
+        assert {r["doc_id"] for r in small.where("doc_id = component_id").collect()} == want
+
+
+def test_a_crowd_of_near_copies_and_what_lies_around_it(spark):
+    rng = random.Random(18)
+    base = [f"b{rng.randrange(10**9)}" for _ in range(304)]
+    rows = [(i, " ".join(_changed(rng, base, rng.choice([0, 1, 2, 3])))) for i in range(300)]
+    rows += [(1000 + i, " ".join(_changed(rng, base, rng.choice([5, 6, 7, 9])))) for i in range(150)]
+    sets = {i: set(zip(*[t.split()[j:] for j in range(5)], strict=False)) for i, t in rows}
+    ids = sorted(sets)
+    want = dict(zip(ids, [ids[r] for r in brute.linked(ids, lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))], strict=True))
+    found = simhash.similar_texts(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), block=32, crowd=64)
+    assert {r["doc_id"]: r["component_id"] for r in found.collect()} == want and len(set(want.values())) > 1
 
 
 def test_similar_links_all_pairs_of_exactly_the_threshold():

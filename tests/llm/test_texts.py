@@ -38,9 +38,14 @@ def test_flac_features_of_every_row(docs):
     def plain(t):
         b = (t or "").encode()
         p = b + bytes(-len(b) % 64 or (0 if b else 64))
-        return len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:])
-
-    assert keyed(docs, found, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32") == want(docs, plain)
+        s = [x - 128 for x in p]
+        crossings = sum((x < 0) != (y < 0) for x, y in zip(s, s[1:], strict=False))
+        feature = f"blocks={-(-len(p) // 1024)};sum={sum(s)};energy={sum(x * x for x in s)};peak={max(map(abs, s))};crossings={crossings}"
+        return len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), feature
+
+    assert keyed(docs, found, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "feature") == want(docs, plain)
+    stored = {r["doc_id"]: r["media"] for r in flac.write_media(docs.where("doc_id in (7, 9)")).collect()}
+    assert {r["doc_id"]: (r["media_bytes"], r["media_sha256"]) for r in found.where("doc_id in (7, 9)").collect()} == {i: (len(m), hashlib.sha256(m).hexdigest()) for i, m in stored.items()}
     same = found.groupBy("payload_sha256").agg(F.count_distinct("media_sha256").alias("m"), F.count_distinct("feature").alias("f"))
     assert same.where("m > 1 or f > 1").isEmpty()
 
