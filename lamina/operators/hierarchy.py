@@ -157,6 +157,17 @@ def metric_of(h: Hierarchy, level: int, points: DataFrame, edges: DataFrame, set
     return METRICS[settings.similarity](h, level, points, edges, settings)
 
 
+def similarities(pairs: DataFrame, metric: Metric, kind: str) -> DataFrame:
+    """(a, b, similarity) of pairs (a, b) under the distance `kind` that `metric` measures, from 0 to 1; 1 for a component and itself.
+
+    Distances between sets of points become 1 / (1 + dist), 0 where no path leads across; the others lie between 0 and 1 and are taken from 1.
+    """
+    asked = pairs.select("a", "b").distinct()
+    other = F.coalesce(1 / (1 + F.col("dist")), F.lit(0.0)) if kind in ("EUCLID_CENTROID", "GEO_CENTROID", "GEO_WALKS") else 1 - F.col("dist")
+    found = metric(cut(asked.where("a <> b"), "pairs"))
+    return found.select("a", "b", other.alias("similarity")).union(asked.where("a = b").select("a", "b", F.lit(1.0)))
+
+
 def build(points: DataFrame, edges: DataFrame, rows: int, cols: int, settings: HierarchySettings) -> Hierarchy:
     """The hierarchy over points (point_id, features) on a grid, with the neighbour graph edges (src, dst, rank, dist).
 

@@ -420,6 +420,24 @@ def geodesic_hausdorff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.geodesic(pairs, members, e).withColumn("dist", r6("dist"))
 
 
+@query(f"""{HALVES}, u AS (SELECT a, b, max(m) AS u FROM (SELECT a, b, i, min(d) AS m FROM d GROUP BY ALL) GROUP BY ALL),
+t AS (SELECT a, b, max(m) AS t FROM (SELECT a, b, j, min(d) AS m FROM d GROUP BY ALL) GROUP BY ALL)
+SELECT a, b, round(1 / (1 + greatest(u, t)), 6) AS similarity FROM u JOIN t USING (a, b) UNION ALL SELECT DISTINCT component_id, component_id, 1 FROM m""")
+def component_similarity_euclid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members, pairs = _fours(spark, sf_dir)
+    own = members.select(F.col("component_id").alias("a"), F.col("component_id").alias("b"))
+    p = points(spark, sf_dir)
+    return hierarchy.similarities(pairs.union(own), lambda asked: similarity.euclid(asked, members, p), "EUCLID_CENTROID").withColumn("similarity", r6("similarity"))
+
+
+@query(f"WITH {OVERLAP} SELECT point_id AS a, neighbor_id AS b, round(1 - dist, 6) AS similarity FROM measured")
+def component_similarity_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, e = points(spark, sf_dir), edges(spark, sf_dir)
+    pairs = scalar.pixel_neighbors(p, *shape(spark, sf_dir)).select(F.col("point_id").alias("a"), F.col("neighbor_id").alias("b"))
+    members = p.select(F.col("point_id").alias("component_id"), "point_id")
+    return hierarchy.similarities(pairs, lambda asked: similarity.overlap(asked, members, e), "NEIGH_OVERLAP").withColumn("similarity", r6("similarity"))
+
+
 PAIRS4 = f"{LINEAR}, {adjacency_sql()}, pairs AS (SELECT point_id AS a, neighbor_id AS b FROM adjacency WHERE point_id < neighbor_id)"
 
 
