@@ -27,7 +27,7 @@ UNKNOWN = "und"
 #: Languages that can be told apart, at most: a prototype is one row of DIMENSIONS numbers in the driver and in each worker.
 MOST_LANGUAGES = 2000
 #: Trigrams whose vectors a worker holds (2 KB each), and trigrams of a task's counts before they are bundled.
-HELD = 16_384
+HELD = 8192
 COUNTED = 1 << 18
 #: Trigrams that are multiplied at once, at most, and cells of the table of a batch's counts; sums up to EXACT are exact in single precision.
 WIDTH = 1024
@@ -131,11 +131,6 @@ class Vectors:
         return out
 
 
-@lru_cache(4)
-def vectors(dimensions: int, seed: int) -> Vectors:
-    return Vectors(dimensions, seed)
-
-
 def _some(texts: list[tuple[np.ndarray, np.ndarray]], most: int = 128) -> Iterator[list[tuple[np.ndarray, np.ndarray]]]:
     """Texts that are bundled together: the more trigrams they have, the fewer."""
     held, n = [], 0
@@ -157,7 +152,7 @@ def learn(docs: DataFrame, train: Column, text_col: str = "text", lang_col: str
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = vectors(dimensions, seed)
+        own = Vectors(dimensions, seed)  # a task's own: a worker holds nothing of it afterwards
         sums: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
         sizes: dict[str, int] = {}
 
@@ -202,7 +197,7 @@ def predict(docs: DataFrame, langs: list[str], protos: np.ndarray, text_col: str
     own = text_col if text_col in keep else "__text"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        space = vectors(dimensions, seed)
+        space = Vectors(dimensions, seed)
         for whole in batches:
             for b in slices(whole, own):
                 names, scores, sizes = [], [], []
