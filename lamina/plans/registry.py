@@ -5,6 +5,7 @@ The vectors of `embeddings` play an image: point_id = vec_id on the grid of `lam
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 
@@ -925,25 +926,64 @@ def umap_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # generators
 
+# The primes of XXH64.
+PRIMES = (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261)
 
-@query()
+
+def draws_sql(n: int, seeds: list[int]) -> str:
+    """u (point_id, seed, u): the draws from 0 to 1 of n points, from the XXH64 of (seed, point_id) in 64-bit arithmetic on numbers of 128."""
+    p1, p2, p3, p4, p5 = (f"{p}::UHUGEINT" for p in PRIMES)
+    m = f"{1 << 64}::UHUGEINT"
+    turned = lambda x, r: f"(({x} * {1 << r}::UHUGEINT) % {m} + {x} // {1 << 64 - r}::UHUGEINT)"
+    out = f"SELECT point_id, seed, 42::UHUGEINT AS h FROM range({n}) p(point_id), (SELECT unnest({seeds}) AS seed)"
+    for x in ("seed", "point_id"):
+        out = f"SELECT point_id, seed, (h + {p5} + 8::UHUGEINT) % {m} AS h, ({x}::UHUGEINT * {p2}) % {m} AS k FROM ({out})"
+        out = f"SELECT point_id, seed, xor(h, ({turned('k', 31)} * {p1}) % {m}) AS h FROM ({out})"
+        out = f"SELECT point_id, seed, ({turned('h', 27)} * {p1} + {p4}) % {m} AS h FROM ({out})"
+        for r, by in ((33, p2), (29, p3), (32, None)):
+            mixed = f"xor(h, h // {1 << r}::UHUGEINT)"
+            out = f"SELECT point_id, seed, {mixed if by is None else f'({mixed} * {by}) % {m}'} AS h FROM ({out})"
+    return f"u AS MATERIALIZED (SELECT point_id, seed::BIGINT AS seed, (h % {1 << 52}::UHUGEINT)::DOUBLE / {1 << 52}::DOUBLE AS u FROM ({out}))"
+
+
+def _axes(df: DataFrame, *more: str) -> DataFrame:
+    return df.select("point_id", *more, F.posexplode("features").alias("axis", "value")).select("point_id", *more, F.col("axis").cast("long").alias("axis"), F.round(F.col("value").cast("double"), 4).alias("value"))
+
+
+def _cloud_sql(axes: list[str], seeds: list[int], more: str = "") -> str:
+    """Rows of a cloud of 2,000 points from formulas over the draws u1, u2, ... and the normal ones n1, n2, ..., named by seed."""
+    normal = sorted({int(x) for axis in axes for x in re.findall(r"\bn(\d+)", axis)})
+    every = sorted({*seeds, *normal, *[x + 7919 for x in normal]})
+    wide = ", ".join(f"max(u) FILTER (seed = {x}) AS u{x}" for x in every)
+    bells = "".join(f", sqrt(-2 * ln(1 - u{x})) * cos(2 * pi() * u{x + 7919}) AS n{x}" for x in normal)
+    rows = " UNION ALL ".join(f"SELECT point_id{more}, {i} AS axis, round(({axis})::FLOAT::DOUBLE, 4) AS value FROM d" for i, axis in enumerate(axes))
+    return f"WITH {draws_sql(2000, every)}, w AS (SELECT point_id, {wide} FROM u GROUP BY point_id), d AS (SELECT *{bells} FROM w) {rows}"
+
+
+T_ROLL, T_CURVE = "1.5 * pi() * (1 + 2 * u1)", "3 * pi() * (u1 - 0.5)"
+
+
+@query(_cloud_sql([f"{T_ROLL} * cos({T_ROLL}) + 0.1 * n101", f"{T_ROLL} * sin({T_ROLL}) + 0.1 * n102", "21 * u2 + 0.1 * n103"], [1, 2]))
 def generate_swiss_roll(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return generators.swiss_roll(spark, 2000, 0.1)
+    return _axes(generators.swiss_roll(spark, 2000, 0.1))
 
 
-@query()
+@query(_cloud_sql([f"sin({T_CURVE}) + 0.1 * n101", f"sign({T_CURVE}) * (cos({T_CURVE}) - 1) + 0.1 * n102", "2 * u2 + 0.1 * n103"], [1, 2]))
 def generate_s_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return generators.s_curve(spark, 2000, 0.1)
+    return _axes(generators.s_curve(spark, 2000, 0.1))
 
 
-@query()
+LABEL = "least(point_id // 666, 2)"
+
+
+@query(_cloud_sql([f"CASE WHEN {LABEL} = 1 THEN 9 ELSE 0 END + n1", f"CASE WHEN {LABEL} = 2 THEN 9 ELSE 0 END + n2", "n3"], [], f", {LABEL}::INT AS label"))
 def generate_gaussians(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return generators.gaussians(spark, 2000, [(0, 0, 0), (9, 0, 0), (0, 9, 0)])
+    return _axes(generators.gaussians(spark, 2000, [(0, 0, 0), (9, 0, 0), (0, 9, 0)]), "label")
 
 
-@query()
+@query(_cloud_sql([f"u{1 + i}" for i in range(8)], list(range(1, 9))))
 def generate_uniform(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return generators.uniform_points(spark, 2000, 8)
+    return _axes(generators.uniform_points(spark, 2000, 8))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
