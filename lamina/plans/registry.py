@@ -794,7 +794,36 @@ def step_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "weighting string, step long, weight double")
 
 
-@query()
+# The primes of XXH64.
+PRIMES = (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261)
+
+
+def drawn_sql(rows: str, *key: str) -> str:
+    """The rows with u, a draw from 0 to 1: the XXH64 of whole numbers (columns, not negative) in 64-bit arithmetic on numbers of 128."""
+    p1, p2, p3, p4, p5 = (f"{p}::UHUGEINT" for p in PRIMES)
+    m, names = f"{1 << 64}::UHUGEINT", ", ".join(key)
+    turned = lambda x, r: f"(({x} * {1 << r}::UHUGEINT) % {m} + {x} // {1 << 64 - r}::UHUGEINT)"
+    out = f"SELECT {names}, 42::UHUGEINT AS h FROM ({rows})"
+    for x in key:
+        out = f"SELECT {names}, (h + {p5} + 8::UHUGEINT) % {m} AS h, ({x}::UHUGEINT * {p2}) % {m} AS k FROM ({out})"
+        out = f"SELECT {names}, xor(h, ({turned('k', 31)} * {p1}) % {m}) AS h FROM ({out})"
+        out = f"SELECT {names}, ({turned('h', 27)} * {p1} + {p4}) % {m} AS h FROM ({out})"
+        for r, by in ((33, p2), (29, p3), (32, None)):
+            mixed = f"xor(h, h // {1 << r}::UHUGEINT)"
+            out = f"SELECT {names}, {mixed if by is None else f'({mixed} * {by}) % {m}'} AS h FROM ({out})"
+    return f"SELECT {names}, (h % {1 << 52}::UHUGEINT)::DOUBLE / {1 << 52}::DOUBLE AS u FROM ({out})"
+
+
+WALK_ROWS = "SELECT 1 AS seed, point_id AS start, w AS walk, s AS step FROM pts, range(50) a(w), range(10) b(s)"
+
+
+@query(f"""WITH RECURSIVE {LINEAR}, cum AS MATERIALIZED (SELECT row_id, col_id, sum(p) OVER (PARTITION BY row_id ORDER BY col_id) AS upto FROM lin),
+draws AS MATERIALIZED ({drawn_sql(WALK_ROWS, 'seed', 'start', 'walk', 'step')}),
+places AS (SELECT DISTINCT start, walk, 0::BIGINT AS step, start AS node FROM draws UNION ALL
+  SELECT a.start, a.walk, a.step + 1, coalesce(min(c.col_id), any_value(a.node)) FROM places a JOIN draws d ON d.start = a.start AND d.walk = a.walk AND d.step = a.step LEFT JOIN cum c ON c.row_id = a.node AND c.upto > d.u GROUP BY a.start, a.walk, a.step),
+seen AS (SELECT start AS row_id, node AS col_id, count(*) AS n FROM places WHERE step > 0 GROUP BY 1, 2),
+kept AS (SELECT * FROM seen QUALIFY row_id <> col_id OR count(*) OVER (PARTITION BY row_id) = 1)
+SELECT row_id, col_id, round(n / sum(n) OVER (PARTITION BY row_id), 6) AS value FROM kept""")
 def random_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
     steps = linear_walks(spark, sf_dir).withColumnRenamed("value", "p")
     return walks.random_walks(steps, WalkSettings(num_walks=50, length=10)).withColumn("value", r6("value"))
@@ -926,24 +955,10 @@ def umap_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # generators
 
-# The primes of XXH64.
-PRIMES = (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261)
-
-
 def draws_sql(n: int, seeds: list[int]) -> str:
-    """u (point_id, seed, u): the draws from 0 to 1 of n points, from the XXH64 of (seed, point_id) in 64-bit arithmetic on numbers of 128."""
-    p1, p2, p3, p4, p5 = (f"{p}::UHUGEINT" for p in PRIMES)
-    m = f"{1 << 64}::UHUGEINT"
-    turned = lambda x, r: f"(({x} * {1 << r}::UHUGEINT) % {m} + {x} // {1 << 64 - r}::UHUGEINT)"
-    out = f"SELECT point_id, seed, 42::UHUGEINT AS h FROM range({n}) p(point_id), (SELECT unnest({seeds}) AS seed)"
-    for x in ("seed", "point_id"):
-        out = f"SELECT point_id, seed, (h + {p5} + 8::UHUGEINT) % {m} AS h, ({x}::UHUGEINT * {p2}) % {m} AS k FROM ({out})"
-        out = f"SELECT point_id, seed, xor(h, ({turned('k', 31)} * {p1}) % {m}) AS h FROM ({out})"
-        out = f"SELECT point_id, seed, ({turned('h', 27)} * {p1} + {p4}) % {m} AS h FROM ({out})"
-        for r, by in ((33, p2), (29, p3), (32, None)):
-            mixed = f"xor(h, h // {1 << r}::UHUGEINT)"
-            out = f"SELECT point_id, seed, {mixed if by is None else f'({mixed} * {by}) % {m}'} AS h FROM ({out})"
-    return f"u AS MATERIALIZED (SELECT point_id, seed::BIGINT AS seed, (h % {1 << 52}::UHUGEINT)::DOUBLE / {1 << 52}::DOUBLE AS u FROM ({out}))"
+    """u (point_id, seed, u): the draws from 0 to 1 of n points."""
+    base = f"SELECT point_id, seed FROM range({n}) p(point_id), (SELECT unnest({seeds}) AS seed)"
+    return f"u AS MATERIALIZED (SELECT point_id, seed::BIGINT AS seed, u FROM ({drawn_sql(base, 'seed', 'point_id')}))"
 
 
 def _axes(df: DataFrame, *more: str) -> DataFrame:
