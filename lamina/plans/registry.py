@@ -932,7 +932,22 @@ def _graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kernels.symmetric_mean(kernels.gaussian(edges(spark, sf_dir).toDF("row_id", "col_id", "rank", "dist")))
 
 
-@query()
+def pca_sql(squarings: int = 22) -> str:
+    """Two principal axes: of the covariance, and of what is left of it without the first, as columns of a matrix that was squared again and again."""
+    parts = [f"""{G}, x AS (SELECT point_id, i, v[i] AS x FROM pts, range(1, {DIM + 1}) t(i)), z AS MATERIALIZED (SELECT point_id, i, x - avg(x) OVER (PARTITION BY i) AS z FROM x),
+c0 AS MATERIALIZED (SELECT a.i AS i, b.i AS j, avg(a.z * b.z) AS c FROM z a JOIN z b USING (point_id) GROUP BY 1, 2)"""]
+    for axis in range(2):
+        before = f"c{axis}"
+        for k in range(squarings):
+            parts.append(f"s{axis}_{k} AS MATERIALIZED (SELECT a.i AS i, b.j AS j, sum(a.c * b.c) AS c FROM {before} a JOIN {before} b ON a.j = b.i GROUP BY 1, 2), q{axis}_{k} AS MATERIALIZED (SELECT i, j, c / (SELECT max(abs(c)) FROM s{axis}_{k}) AS c FROM s{axis}_{k})")
+            before = f"q{axis}_{k}"
+        parts.append(f"""col{axis} AS (SELECT i, c FROM {before} WHERE j = (SELECT arg_max(i, c) FROM {before} WHERE i = j)),
+e{axis} AS MATERIALIZED (SELECT i, c / sqrt((SELECT sum(c * c) FROM col{axis})) * sign((SELECT arg_max(c, abs(c)) FROM col{axis})) AS e FROM col{axis}),
+c{axis + 1} AS MATERIALIZED (SELECT m.i, m.j, m.c - (SELECT sum(y.c * p.e * q.e) FROM c{axis} y JOIN e{axis} p ON p.i = y.i JOIN e{axis} q ON q.i = y.j) * a.e * b.e AS c FROM c{axis} m JOIN e{axis} a ON a.i = m.i JOIN e{axis} b ON b.i = m.j)""")
+    return f"WITH {', '.join(parts)} SELECT point_id, round(sum(z * e0.e), 6) AS x, round(sum(z * e1.e), 6) AS y FROM z JOIN e0 USING (i) JOIN e1 USING (i) GROUP BY point_id"
+
+
+@query(pca_sql())
 def pca_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding.pca(points(spark, sf_dir)).select("point_id", r6("x").alias("x"), r6("y").alias("y"))
 
