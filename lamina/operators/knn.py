@@ -254,8 +254,11 @@ def knn_cells(points: DataFrame, k: int, metric: str = "L2", cells: int | None =
     sizes = placed.groupBy(home.alias("cell")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("slices"))
     members = placed.select(home.alias("cell"), "point_id", "code").join(sizes, "cell").select("cell", F.pmod(F.xxhash64("point_id"), F.col("slices")).cast("int").alias("slice"), "point_id", "code")
     again = placed.toDF(*placed.columns)
-    queries = again.select(F.explode("cells").alias("cell"), "point_id", "code").join(sizes.toDF("cell", "slices"), "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.pmod(F.xxhash64("point_id"), F.col("slices") * probes).cast("int").alias("part"), "point_id", "code")
-    parts = sizes.select("cell", F.explode(F.sequence(F.lit(0), F.col("slices") * probes - 1)).alias("part"))
+    asked = again.select(F.explode("cells").alias("cell"), "point_id", "code")
+    # as many parts as the queries of a cell fill blocks: every part meets the members anew
+    parts = asked.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")).join(sizes, "cell")
+    queries = asked.join(parts, "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.pmod(F.xxhash64("point_id"), F.col("parts")).cast("int").alias("part"), "point_id", "code")
+    parts = parts.select("cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     members = members.join(parts, "cell")
     wanted = k - 1 if coding == "FLAT" else SPARE * (k - 1)
 
