@@ -18,6 +18,7 @@ from lamina.llm.mixing import op3_mixing
 from lamina.llm.secrets import op10_secrets
 from lamina.llm.simhash import op2_simhash
 from lamina.llm.substrings import op4_substring_dedup
+from lamina.llm.turns import op11_turns
 
 QUERIES = {
     "op1_flac": op1_flac,
@@ -30,6 +31,7 @@ QUERIES = {
     "op8_langid": op8_langid,
     "op9_sharding": op9_sharding,
     "op10_secrets": op10_secrets,
+    "op11_turns": op11_turns,
 }
 
 
@@ -196,11 +198,41 @@ c AS (SELECT a, min(least) AS component_id FROM reach JOIN u ON u.f = reach.b GR
 SELECT doc_id, fingerprint, component_id FROM f JOIN c ON f.f = c.a"""
 
 
+#: Damage, faults, and the cheapest audits as strings, state by state ('' at the start, else the last initial) and row by row.
+_TURNS = rf"""WITH RECURSIVE {_CRC_TABLE},
+c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, hex(encode(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))) AS h FROM conversations),
+d AS (SELECT conv_id, turn, role, text, {_crc(_bytes('h'))} % 20 AS harm FROM c, crc_table),
+r AS (SELECT conv_id, turn, CASE WHEN harm = 4 THEN 'user' ELSE role END AS role, CASE harm WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+  unnest(range(CASE harm WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM d),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS i, substr(role, 1, 1) AS ini FROM r),
+f AS MATERIALIZED (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+  WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE 'none' END AS fault, lag(ini) OVER (PARTITION BY conv_id ORDER BY i) AS prior FROM n),
+step(x, ini, y) AS (VALUES ('', 's', 's'), ('', 'u', 'u'), ('s', 'u', 'u'), ('a', 'u', 'u'), ('u', 'a', 'a')),
+ins(x, n, y, lines) AS (VALUES ('', 0, '', ''), ('s', 0, 's', ''), ('u', 0, 'u', ''), ('a', 0, 'a', ''), ('', 1, 'u', E'user:\n'), ('s', 1, 'u', E'user:\n'), ('a', 1, 'u', E'user:\n'), ('u', 1, 'a', E'assistant:\n'),
+  ('', 2, 'a', E'user:\nassistant:\n'), ('s', 2, 'a', E'user:\nassistant:\n'), ('a', 2, 'a', E'user:\nassistant:\n'), ('u', 2, 'u', E'assistant:\nuser:\n')),
+macro AS (SELECT ins.x, 'D' AS edit, NULL::VARCHAR AS ini, ins.y, n, lines, NULL::VARCHAR AS name FROM ins
+  UNION ALL SELECT ins.x, 'K', step.ini, step.y, n, lines, NULL FROM ins JOIN step ON ins.y = step.x
+  UNION ALL SELECT ins.x, 'R', NULL, step.y, n, lines, CASE step.ini WHEN 'u' THEN 'user' ELSE 'assistant' END FROM ins JOIN step ON ins.y = step.x AND step.ini <> 's'),
+dp(conv_id, i, x, best) AS (SELECT DISTINCT conv_id, 0::BIGINT, '', {{'cost': 0::BIGINT, 'audit': '', 'lines': ''}} FROM conversations
+  UNION ALL SELECT dp.conv_id, dp.i + 1, m.y, min({{'cost': best.cost + 5 * m.n + CASE WHEN edit = 'D' THEN 2 ELSE (edit = 'R')::INT + 5 * (fault = 'truncated')::INT END,
+    'audit': best.audit || repeat('I', m.n) || edit, 'lines': best.lines || m.lines || CASE WHEN edit = 'D' THEN '' ELSE coalesce(m.name, f.role) || ':' || text || chr(10) END}})
+  FROM dp JOIN f ON f.conv_id IS NOT DISTINCT FROM dp.conv_id AND f.i = dp.i + 1 JOIN macro m ON m.x = dp.x AND (edit = 'D' OR (fault NOT IN ('blank', 'duplicate') AND (edit = 'R' OR m.ini = f.ini)))
+  GROUP BY dp.conv_id, dp.i, m.y),
+z AS (SELECT conv_id, count(*) AS n, CASE WHEN count(turn) > 0 THEN max(turn) - min(turn) + 1 - count(DISTINCT turn) ELSE 0 END AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+  count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (i > 1 AND prior || ini NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id),
+ids AS (SELECT DISTINCT conv_id FROM conversations),
+last AS (SELECT ids.conv_id, min({{'cost': best.cost + 5 * ins.n, 'audit': best.audit || repeat('I', ins.n), 'lines': best.lines || ins.lines}}) AS b FROM ids LEFT JOIN z ON ids.conv_id IS NOT DISTINCT FROM z.conv_id
+  JOIN dp ON dp.conv_id IS NOT DISTINCT FROM ids.conv_id AND dp.i = coalesce(z.n, 0) JOIN ins ON dp.x = ins.x AND ins.y IN ('', 'a') GROUP BY ids.conv_id)
+SELECT last.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+  b.cost AS cost, b.audit AS audit, sha256(CASE WHEN b.lines = '' THEN '' ELSE left(b.lines, length(b.lines) - 1) END) AS repaired_sha256 FROM last LEFT JOIN z ON last.conv_id IS NOT DISTINCT FROM z.conv_id"""
+
+
 ORACLES: dict[str, str] = {
     "op2_simhash": _simhash_sql(),
     "op4_substring_dedup": _SUBSTRINGS.strip(),
     "op7_embedding_dedup": _EMBEDDINGS.strip(),
     "op10_secrets": _spans_sql(),
+    "op11_turns": _TURNS,
     "flac_payloads": _PAYLOADS,
     "mix_targets": _TARGETS,
     "language_folds": _FOLDS,
