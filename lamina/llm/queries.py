@@ -15,6 +15,7 @@ from lamina.llm.forest import op7_embedding_dedup
 from lamina.llm.kdtree import op9_sharding
 from lamina.llm.langid import op8_langid
 from lamina.llm.mixing import op3_mixing
+from lamina.llm.negatives import op12_negatives
 from lamina.llm.secrets import op10_secrets
 from lamina.llm.simhash import op2_simhash
 from lamina.llm.substrings import op4_substring_dedup
@@ -32,6 +33,7 @@ QUERIES = {
     "op9_sharding": op9_sharding,
     "op10_secrets": op10_secrets,
     "op11_turns": op11_turns,
+    "op12_negatives": op12_negatives,
 }
 
 
@@ -227,12 +229,23 @@ SELECT last.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGI
   b.cost AS cost, b.audit AS audit, sha256(CASE WHEN b.lines = '' THEN '' ELSE left(b.lines, length(b.lines) - 1) END) AS repaired_sha256 FROM last LEFT JOIN z ON last.conv_id IS NOT DISTINCT FROM z.conv_id"""
 
 
+_NEGATIVES = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_inner_product(a.e, b.e)::BIGINT AS score FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER w)::INT AS rank, id AS negative_id, positive_score, score AS negative_score FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) QUALIFY row_number() OVER w <= 5
+"""
+
+
 ORACLES: dict[str, str] = {
     "op2_simhash": _simhash_sql(),
     "op4_substring_dedup": _SUBSTRINGS.strip(),
     "op7_embedding_dedup": _EMBEDDINGS.strip(),
     "op10_secrets": _spans_sql(),
     "op11_turns": _TURNS,
+    "op12_negatives": _NEGATIVES.strip(),
     "flac_payloads": _PAYLOADS,
     "mix_targets": _TARGETS,
     "language_folds": _FOLDS,
