@@ -19,6 +19,7 @@ from lamina.llm.negatives import op12_negatives
 from lamina.llm.secrets import op10_secrets
 from lamina.llm.simhash import op2_simhash
 from lamina.llm.substrings import op4_substring_dedup
+from lamina.llm.suffixes import op13_suffixes
 from lamina.llm.turns import op11_turns
 
 QUERIES = {
@@ -34,6 +35,7 @@ QUERIES = {
     "op10_secrets": op10_secrets,
     "op11_turns": op11_turns,
     "op12_negatives": op12_negatives,
+    "op13_suffixes": op13_suffixes,
 }
 
 
@@ -239,6 +241,22 @@ WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_scor
 """
 
 
+#: Windows by place in the bytes; in hex a byte is two characters.
+_SUFFIXES = """
+WITH t AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+win AS MATERIALIZED (SELECT r, s, hash(substr(h, 2 * s + 1, 800)) AS a, md5_number(substr(h, 2 * s + 1, 800)) AS b FROM (SELECT r, h, unnest(range(length(h) // 2 - 399)) AS s FROM t WHERE length(h) >= 800)),
+again AS (SELECT a, b FROM win GROUP BY a, b HAVING count(*) > 1),
+hit AS (SELECT r, s FROM win JOIN again USING (a, b)),
+island AS (SELECT r, s, sum((s - coalesce(before, -1000) > 400)::INT) OVER (PARTITION BY r ORDER BY s) AS i FROM (SELECT r, s, lag(s) OVER (PARTITION BY r ORDER BY s) AS before FROM hit)),
+span AS (SELECT r, min(s) AS a, max(s) + 400 AS b FROM island GROUP BY r, i),
+gap AS (SELECT r, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS x, a AS y, a AS k FROM span UNION ALL SELECT t.r, coalesce(max(b), 0), length(any_value(h)) // 2, 1099511627776 FROM t LEFT JOIN span USING (r) GROUP BY t.r),
+kept AS (SELECT r, string_agg(substr(h, (2 * x + 1)::BIGINT, (2 * (y - x))::BIGINT), '' ORDER BY k) AS kept FROM gap JOIN t USING (r) GROUP BY r),
+sums AS (SELECT r, count(*) AS n_spans, sum(b - a)::BIGINT AS n_removed FROM span GROUP BY r)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(kept)) AS kept_sha256
+FROM t JOIN kept USING (r) LEFT JOIN sums USING (r)
+"""
+
+
 ORACLES: dict[str, str] = {
     "op2_simhash": _simhash_sql(),
     "op4_substring_dedup": _SUBSTRINGS.strip(),
@@ -246,6 +264,7 @@ ORACLES: dict[str, str] = {
     "op10_secrets": _spans_sql(),
     "op11_turns": _TURNS,
     "op12_negatives": _NEGATIVES.strip(),
+    "op13_suffixes": _SUFFIXES.strip(),
     "flac_payloads": _PAYLOADS,
     "mix_targets": _TARGETS,
     "language_folds": _FOLDS,
