@@ -3,7 +3,8 @@
 Documents are counted by (source, exact size, hash cell). Of each source the whole repeats come first; what remains of its
 budget is met by some documents once more. Small budgets, and the last words of large ones (of which every size first gives its proportional share), are a bounded
 knapsack over the counts of each size: dynamic programming over the reachable sums. Only histograms reach the knapsack, one row a distinct size. Which documents of a size are taken is
-decided by a seeded hash: cells in order, and within the cell where the count ends, by rank.
+decided by a seeded hash: cells in order, and within the cell where the count ends, by rank. Where it ends among rows alike, which have one hash, these are numbered,
+and told apart by a hash of the number in the same way.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 MOST_REPEATS = 3
 #: Words that the dynamic program covers, at most.
 TABLE = 1 << 18
+#: Rows of a plan, one a distinct size of a source, that are broadcast.
+MOST_BROADCAST = 200_000
 
 
 def fit(sizes: np.ndarray, counts: np.ndarray, budget: int, most: int = TABLE) -> np.ndarray:
@@ -112,7 +115,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     Sizes are numbers of words; a null or empty text has 0 and is taken 0 times. A null source is a source of its own, last
     in the order. Of the rows of one source and size, those with the least seeded hash of id and text get the additional copy, so
-    reruns agree; rows alike in both get it all or none of them. An empty table gives an empty result. Other columns pass
+    reruns agree; of rows alike in both as many get it as the count asks for, whichever of them. An empty table gives an empty result. Other columns pass
     through, whatever their names; those named like the four new ones are replaced.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -128,24 +131,45 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     same = lambda *names: [F.col(n).eqNullSafe(F.col(f"_{n}")) for n in names]
     renamed = lambda df: df.toDF(*[f"_{c}" for c in df.columns])
-    # the cell in which the count of a size ends, and in it the hash of the last one taken
-    before = F.sum("n").over(Window.partitionBy("source", "size").orderBy("cell")) - F.col("n")
-    ends = cells.withColumn("before", before).join(renamed(plan.where("more > 0")), same("source", "size")).where("before < _more and before + n >= _more")
-    ends = ends.select("source", "size", "cell", (F.col("_more") - F.col("before")).alias("rank"))
-    ranked = rows.join(renamed(ends), same("source", "size", "cell")).withColumn("at", F.row_number().over(Window.partitionBy("source", "size", "cell").orderBy("hash")))
-    last = ranked.where("at = _rank").select("source", "size", F.col("hash").alias("last"))
-    rule = plan.join(renamed(last), same("source", "size"), "left").select("source", "size", "repeats", F.col("_last").alias("last"))
+
+    def ends(keyed: DataFrame, wanted: DataFrame, cells: DataFrame, key: str) -> DataFrame:
+        """(source, size, last, taken, of): the key at which each count (source, size, more) ends, in order of keys, and how many rows with it are taken of how many."""
+        before = F.sum("n").over(Window.partitionBy("source", "size").orderBy("cell")) - F.col("n")
+        at = cells.withColumn("before", before).join(renamed(wanted), same("source", "size")).where("before < _more and before + n >= _more")
+        at = at.select("source", "size", "cell", (F.col("_more") - F.col("before")).alias("rank"))
+        # rows alike are added up before they are ranked
+        alike = keyed.groupBy("source", "size", "cell", key).agg(F.count("*").alias("n")).join(renamed(at), same("source", "size", "cell"))
+        upto = F.sum("n").over(Window.partitionBy("source", "size", "cell").orderBy(key))
+        found = alike.withColumn("taken", F.col("_rank") - upto + F.col("n")).where("taken between 1 and n")
+        return found.select("source", "size", F.col(key).alias("last"), "taken", F.col("n").alias("of"))
+
+    last = cut(ends(rows, plan.where("more > 0").select("source", "size", "more"), cells, "hash"), "last")
+    apart = last.where("taken < of")
+    own, at, copy = unused(docs.columns, "own", "at", "copy")
+    parted = bool(apart.head(1))
+    if parted:  # rows alike are numbered, and of each kind those with the least hash of the number are taken
+        docs = cut(docs.withColumn(copy, F.xxhash64(F.monotonically_increasing_id())), "copies")
+        named = docs.select(F.col(source_col).alias("source"), added["mix_size"].alias("size"), added["mix_hash"].alias("hash"), F.col(copy).alias("copy"))
+        alike = named.join(F.broadcast(renamed(apart)) if apart.count() <= MOST_BROADCAST else renamed(apart), [*same("source", "size"), F.col("hash") == F.col("_last")])
+        alike = cut(alike.select("source", "size", "copy", F.shiftright("copy", 54).cast("int").alias("cell")), "alike")
+        copies = ends(alike, apart.select("source", "size", F.col("taken").alias("more")), alike.groupBy("source", "size", "cell").agg(F.count("*").alias("n")), "copy")
+        ended = last.join(renamed(copies.select("source", "size", F.col("last").alias("copy"))), same("source", "size"), "left").select("source", "size", "last", "_copy")
+    else:
+        ended = last.select("source", "size", "last", F.lit(None).cast("long").alias("_copy"))
+    rule = plan.join(renamed(ended), same("source", "size"), "left").select("source", "size", "repeats", F.col("_last").alias("last"), F.col("__copy").alias("copy"))
     rule = cut(rule, "rule")
 
     # one row a distinct size of a source: broadcast while that is a few MB, shuffled beyond
     new = ("mix_size", "mix_source_size", "mix_target", "mix_copies")
-    kept = [c for c in docs.columns if c.lower() not in new]
-    row, own, at, key, size_, repeats, last_ = unused(docs.columns, "row", "own", "at", "source", "size", "repeats", "last")
+    kept = [c for c in docs.columns if c.lower() not in new and c != copy]
+    row, key, size_, repeats, last_, copy_ = unused([*docs.columns, own, at], "row", "source", "size", "repeats", "last", "last_copy")
     small = lambda df, most: F.broadcast(df) if df.count() <= most else df
-    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias(row), F.col(source_col).alias(own), added["mix_size"].alias("mix_size"), added["mix_hash"].alias(at))
+    number = F.col(copy) if parted else F.lit(None).cast("long")
+    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias(row), F.col(source_col).alias(own), added["mix_size"].alias("mix_size"), added["mix_hash"].alias(at), number.alias(copy))
     out = named.join(small(goal.toDF(key, "mix_source_size", "mix_target"), 50_000), F.col(own).eqNullSafe(F.col(key)), "left").drop(key)
-    out = out.join(small(rule.toDF(key, size_, repeats, last_), 200_000), F.col(own).eqNullSafe(F.col(key)) & (F.col("mix_size") == F.col(size_)), "left")
-    copies = F.coalesce(F.col(repeats), F.lit(0).cast("long")) + F.coalesce((F.col(at) <= F.col(last_)).cast("long"), F.lit(0).cast("long"))
+    out = out.join(small(rule.toDF(key, size_, repeats, last_, copy_), MOST_BROADCAST), F.col(own).eqNullSafe(F.col(key)) & (F.col("mix_size") == F.col(size_)), "left")
+    once = (F.col(at) < F.col(last_)) | ((F.col(at) == F.col(last_)) & (F.col(copy_).isNull() | (F.col(copy) <= F.col(copy_))))
+    copies = F.coalesce(F.col(repeats), F.lit(0).cast("long")) + F.coalesce(once.cast("long"), F.lit(0).cast("long"))
     return out.select(*[F.col(f"{row}.`{c}`").alias(c) for c in kept], "mix_size", "mix_source_size", "mix_target", copies.alias("mix_copies"))
 
 

@@ -299,21 +299,20 @@ def test_shards_have_near_equal_bytes_though_rows_are_alike(spark):
 
 
 def plain_medians(rows, plan):
-    """What lies before each node's bounds, and within, from the rows in order of (value, tie)."""
-    for node, dim, found, at, low, high, rest in plan:
+    """What lies before each node's bounds, and within, from the rows in order of (value, tie, copy)."""
+    for node, dim, found, at, tied, low, high, rest in plan:
         own = [r for r in rows if r["node"] == node]
-        value = lambda r, dim=dim: r[("d_source", "d_id")[dim - 1]]
-        key = (lambda r: (value(r), r["tie"])) if found else (lambda r: (value(r), 0))
-        bounds = ((at, low), (at, high)) if found else ((low, 0), (high, 0))
+        key = lambda r, dim=dim, found=found: (r[("d_source", "d_id")[dim - 1]], r["tie"], r["copy"])[: found + 1]
+        bounds = [((at, tied)[:found] + (x,)) for x in (low, high)]
         yield node, sum(r["size"] for r in own if key(r) < bounds[0]), [r for r in own if bounds[0] <= key(r) <= bounds[1]], rest
 
 
 def test_medians_are_found_whatever_the_spread(spark):
     rng = random.Random(5)
     ids = [*range(3000), 10**15, (1 << 62) + 1, (1 << 62) + 2, -(1 << 63), (1 << 63) - 1]
-    rows = [{"node": i % 3, "size": rng.randint(16, 900), "tie": rng.randrange(1 << 60), "d_source": rng.choice([-1, 7, 7, 7, 1 << 39]), "d_id": x} for i, x in enumerate(ids)]
-    rows += [{"node": 1, "size": 40, "tie": 12345, "d_source": 7, "d_id": 5} for _ in range(800)]  # rows alike
-    df = spark.createDataFrame([tuple(r.values()) for r in rows], "node int, size long, tie long, d_source long, d_id long")
+    rows = [{"node": i % 3, "size": rng.randint(16, 900), "tie": rng.randrange(1 << 60), "copy": rng.randrange(1 << 60), "d_source": rng.choice([-1, 7, 7, 7, 1 << 39]), "d_id": x} for i, x in enumerate(ids)]
+    rows += [{"node": 1, "size": 40, "tie": 12345, "copy": rng.randrange(1 << 60), "d_source": 7, "d_id": 5} for _ in range(800)]  # rows alike
+    df = spark.createDataFrame([tuple(r.values()) for r in rows], "node int, size long, tie long, copy long, d_source long, d_id long")
     total = [sum(r["size"] for r in rows if r["node"] == n) for n in range(3)]
     for dim, name in ((1, "d_source"), (2, "d_id")):
         for share in (0.02, 0.5, 0.9):
@@ -321,13 +320,13 @@ def test_medians_are_found_whatever_the_spread(spark):
             plan = [(n, dim, min(own[n]), max(own[n]), len(own[n]), int(total[n] * share)) for n in range(3)]
             for node, before, inside, rest in plain_medians(rows, kdtree.medians(df, plan, ("d_source", "d_id"))):
                 assert before + rest == plan[node][5] and 0 <= rest < sum(r["size"] for r in inside)
-                assert len(inside) <= 2 * kdtree.NEAR or len({(r[name], r["tie"]) for r in inside}) == 1
+                assert len(inside) <= 2 * kdtree.NEAR
 
 
 def test_a_split_parts_ids_but_for_a_few_around_the_median(spark):
     rng = random.Random(6)
     ids = [*range(4000), 10**15, (1 << 53) + 1, (1 << 53) + 2]
-    df = spark.createDataFrame([(i, rng.randint(16, 400), rng.randrange(1 << 60)) for i in ids], "d_id long, size long, tie long")
+    df = spark.createDataFrame([(i, rng.randint(16, 400), rng.randrange(1 << 60), rng.randrange(1 << 60)) for i in ids], "d_id long, size long, tie long, copy long")
     rows = kdtree.assign(df, 4, ("d_id",)).collect()
     shards = [sorted(r["d_id"] for r in rows if r["shard"] == s) for s in range(4)]
     for left, right in zip(shards, shards[1:], strict=False):
@@ -347,6 +346,33 @@ def test_shards_stay_equal_beside_a_source_of_a_third_and_odd_ids(spark):
     assert sorted((str(r["doc_id"]), r["text_crc32"]) for r in rows) == sorted((str(t[0]), zlib.crc32(t[1].encode())) for t in texts)
 
 
+@pytest.mark.parametrize("copies", [100, 1500])
+def test_shards_stay_equal_though_many_rows_are_copies_of_one(spark, copies):
+    rng = random.Random(copies)
+    rows = [(i, "x" * rng.randint(0, 120), "en", f"s{i % 5}") for i in range(3000)] + [(77, "z" * 60, "de", "s1")] * copies
+    found = kdtree.shard(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(7)).collect()
+    sizes, slots = [0] * 40, [[] for _ in range(40)]
+    for r in found:
+        sizes[r["shard"]] += r["size"]
+        slots[r["shard"]].append(r["slot"])
+    assert max(sizes) - min(sizes) <= 136 and len(found) == len(rows)
+    assert all(sorted(s) == list(range(len(s))) for s in slots)
+
+
+def test_mix_takes_as_many_of_rows_alike_as_it_needs(spark):
+    rng = random.Random(12)
+    rows = [(i, " ".join(["w"] * rng.randint(1, 60)), "a") for i in range(800)] + [(5, " ".join(["v"] * 40), "b")] * 1000 + [(6, " ".join(["u"] * 7), None)] * 900 + [(7, "u u", None)] * 3
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, source string, copy string, `last` int").repartition(6)
+    mixed = mixing.mix(docs)
+    assert mixed.columns[:5] == docs.columns
+    found = mixed.groupBy("source").agg(F.sum(F.col("mix_size") * F.col("mix_copies")).alias("taken"), F.first("mix_target").alias("target"), F.count("*").alias("n")).collect()
+    assert sum(r["n"] for r in found) == len(rows)
+    for r in found:
+        assert abs(r["taken"] - r["target"]) <= {"a": 1, "b": 40, None: 2}[r["source"]], r
+    alike = lambda df: sorted(map(str, df.select("doc_id", "text", "mix_copies").collect()))
+    assert alike(mixed) == alike(mixing.mix(docs.repartition(3)))
+
+
 def test_nothing_in_nothing_out(nothing):
     import public_tokenizers
 
