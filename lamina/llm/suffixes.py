@@ -33,6 +33,8 @@ GRAM = 32
 SHALLOW = 32
 #: Starts of windows that are looked at together; a position takes so many bits of a sort key.
 CHUNK_BITS = 19
+#: Bytes of a bucket's pieces, at least: sorting takes some ten times as much memory.
+PIECE_BYTES = 2 << 20
 #: Pieces of an anchor that one bucket compares, at most.
 HOT = 4096
 #: Documents that tell which grams are common, how much of each is looked at, and in how many of them a common gram is. Only the choice of anchors hangs on it, no result.
@@ -180,7 +182,9 @@ class BlindTrie:
 def deep_shallow(keys: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Order of the texts (at most WINDOW bytes) by key and text, and what each has in common with the one before in it (-1: another key)."""
     n = len(texts)
-    bytes_ = np.frombuffer(b"".join([t.ljust(WINDOW, b"\0") for t in texts]), np.uint8).reshape(n, WINDOW)
+    bytes_ = np.zeros((n, WINDOW), np.uint8)
+    for a in range(0, n, 1024):
+        bytes_[a : a + 1024] = np.frombuffer(b"".join([t.ljust(WINDOW, b"\0") for t in texts[a : a + 1024]]), np.uint8).reshape(-1, WINDOW)
     chars = np.concatenate((keys[:, None], bytes_[:, :SHALLOW].copy().view(">u8").astype(np.uint64)), 1)
     lens = np.fromiter(map(len, texts), np.int64, n)
     # ends that look like zero bytes come before them
@@ -211,8 +215,8 @@ def repeated(keys: np.ndarray, low: np.ndarray, high: np.ndarray, pieces: list[b
     if n < 2:
         return out
     sides = []
-    for texts in ([p[h:] for p, h in zip(pieces, high.tolist(), strict=True)], [p[:h][::-1] for p, h in zip(pieces, high.tolist(), strict=True)]):
-        order, common = deep_shallow(keys, texts)
+    for cut_ in (lambda p, h: p[h:], lambda p, h: p[:h][::-1]):  # one side's texts in memory at a time
+        order, common = deep_shallow(keys, list(map(cut_, pieces, high.tolist())))
         most = np.zeros(n, np.int64)
         most[order] = np.maximum(common, np.append(common[1:], -1))
         sides.append((order, common, most))
@@ -238,10 +242,11 @@ def _wrapped(*arrays: np.ndarray) -> bytes:
     return np.array([len(p) for p in parts], np.int64).tobytes() + b"".join(parts)
 
 
-def _unwrapped(data: bytes, *kinds: str) -> list[np.ndarray]:
+def _unwrapped(data: bytes | pa.Buffer, *kinds: str) -> list[np.ndarray]:
+    """Views of the arrays; nothing is copied."""
     lens = np.frombuffer(data, np.int64, len(kinds)).tolist()
-    ends = np.cumsum([8 * len(kinds), *lens]).tolist()
-    return [np.frombuffer(data[a:b], k) for a, b, k in zip(ends[:-1], ends[1:], kinds, strict=True)]
+    starts = np.cumsum([8 * len(kinds), *lens]).tolist()
+    return [np.frombuffer(data, k, n // np.dtype(k).itemsize, a) for a, n, k in zip(starts, lens, kinds, strict=False)]
 
 
 class Block:
@@ -353,7 +358,7 @@ class Block:
         return spans
 
 
-def _answer_marks(data: list[bytes], phase: int, hot: int) -> list[bytes]:
+def _answer_marks(data: list[pa.Buffer], phase: int, hot: int) -> list[bytes]:
     """Copies and windows: is the hash in another block too, and in one before? Anchors: is it met again, with many pieces?"""
     width = 2 if phase == ANCHORS else 3
     cuts = np.cumsum([0, *[len(d) // (8 * width) for d in data]])
@@ -375,16 +380,16 @@ def _answer_marks(data: list[bytes], phase: int, hot: int) -> list[bytes]:
     return [np.packbits(out[:, a:b].ravel()).tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
 
-def _answer_pieces(data: list[bytes]) -> list[bytes]:
+def _answer_pieces(data: list[pa.Buffer]) -> list[bytes]:
     """The starts of repeated windows, as runs, of each block."""
     parts = [_unwrapped(d, "u8", "i4", "i4", "i4", "i4", "i4", "u1") for d in data]
     seen: dict[tuple, int] = {}
     keys, low, high, pieces, total, of = [], [], [], [], [], []
     for key, a, b, times, _, _, blob in parts:
         lens = (b - a + WINDOW).tolist()
-        ends, raw, mine = np.cumsum([0, *lens]).tolist(), blob.tobytes(), []
+        ends, mine = np.cumsum([0, *lens]).tolist(), []
         for i in range(len(key)):
-            name = (int(key[i]), int(b[i]), raw[ends[i] : ends[i + 1]])
+            name = (int(key[i]), int(b[i]), blob[ends[i] : ends[i + 1]].tobytes())
             at = seen.setdefault(name, len(seen))
             if at == len(keys):
                 keys.append(name[0]), low.append(int(a[i])), high.append(name[1]), pieces.append(name[2]), total.append(0)
@@ -415,7 +420,7 @@ REPLY = "block long, phase int, bucket int, data binary, hits long"
 def _answering(most: int):
     def work(table: pa.Table) -> pa.Table:
         table = table.sort_by("block")
-        phase, data = table.column("phase")[0].as_py(), table.column("data").to_pylist()
+        phase, data = table.column("phase")[0].as_py(), [x.as_buffer() for x in table.column("data")]
         marks = _answer_pieces(data) if phase == PIECES else _answer_marks(data, phase, most)
         n = len(marks)
         hits = [0] * n
@@ -510,7 +515,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block
     for phases in ((COPIES,), (ANCHORS,), (PIECES, WINDOWS)):
         if PIECES in phases:
             hits = replies.where(F.col("phase") == ANCHORS).agg(F.sum(F.col("hits").bitwiseAND(F.lit((1 << 32) - 1))).alias("pieces"), F.sum(F.shiftright("hits", 32)).alias("hot")).first()
-            buckets[PIECES] = buckets_for(WINDOW * 3 / 2 * (hits["pieces"] or 0))
+            buckets[PIECES] = buckets_for(BUCKET_BYTES[0] / PIECE_BYTES * WINDOW * 3 / 2 * (hits["pieces"] or 0))
             buckets[WINDOWS] = buckets_for(24 * (WINDOW - GRAM) / 2 * (hits["hot"] or 0))
         asked = with_replies().mapInArrow(asking(phases, dict(buckets)), "phase int, bucket int, block long, data binary")
         answer = cut(asked.groupBy("phase", "bucket").applyInArrow(_answering(hot), REPLY), f"suffix-replies-{phases[0]}")
