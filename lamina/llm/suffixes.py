@@ -89,7 +89,9 @@ def anchors(text: bytes, common: np.ndarray | None) -> tuple[np.ndarray, ...]:
         at = (least & low).astype(np.int64)
         borders = runs(at)
         place = at[borders[:-1]]
-        out.append((h[place], place + a, borders[:-1] + a, borders[1:] - 1 + a))
+        # the least hashes are all small, so they are spread anew
+        spread = h[place] * np.uint64(BASE)
+        out.append(((spread ^ spread >> np.uint64(32)) * np.uint64(MIX), place + a, borders[:-1] + a, borders[1:] - 1 + a))
     if not out:
         return np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
