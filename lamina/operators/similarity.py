@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamina.operators.paths import shortest_paths
+from lamina.operators.paths import reversed_edges, set_distances
 from lamina.scratch import cut
 
 
@@ -99,12 +99,29 @@ def euclid(pairs: DataFrame, members: DataFrame, points: DataFrame, samples: int
 
 
 def geodesic(pairs: DataFrame, members: DataFrame, edges: DataFrame, samples: int | None = None, seed: int = 1) -> DataFrame:
-    """Symmetric Hausdorff distance over shortest paths along the graph; null where no path leads across."""
-    left, right = chosen_members(pairs, members.select("component_id", "point_id"), samples, seed)
-    met = cut(left.toDF("a", "b", "x").join(right.toDF("a", "b", "y"), ["a", "b"]), "met")
-    paths = shortest_paths(edges, met.select(F.col("x").alias("a"), F.col("y").alias("b"))).toDF("x", "y", "d")
-    known = met.join(paths, ["x", "y"]).withColumn("d", F.coalesce("d", F.lit(float("inf"))))
-    return hausdorff(known).withColumn("dist", F.when(F.col("dist") < float("inf"), F.col("dist")))
+    """Symmetric Hausdorff distance over shortest paths along the graph; null where no path leads across for one of the members.
+
+    A search from all members of a at once tells how far each member of b is from the set, one against the edges' direction from those of b the other half: |a| + |b| rows a pair,
+    and one search each way for a component, whatever its pairs. Drawn members make a set of their own for each pair.
+    """
+    members, asked = members.select("component_id", "point_id"), pairs.select("a", "b").distinct()
+    if samples is None:
+        left, right = chosen_members(asked, members, None, seed)
+        own = lambda c: members.join(asked.select(F.col(c).alias("component_id")).distinct(), "component_id").toDF("set_id", "node")
+        searched = [(own("a"), right.select("a", "b", "point_id"), "a", edges), (own("b"), left.select("a", "b", "point_id"), "b", reversed_edges(edges))]
+    else:
+        known = cut(asked.withColumn("pair", F.monotonically_increasing_id()), "pairs")
+        left, right = (cut(side.join(known, ["a", "b"]), "drawn") for side in chosen_members(known, members, samples, seed))
+        own = lambda side: side.select(F.col("pair").alias("set_id"), F.col("point_id").alias("node"))
+        searched = [(own(left), right, "pair", edges), (own(right), left, "pair", reversed_edges(edges))]
+    far = None
+    for sources, wanted, set_id, way in searched:
+        targets = wanted.select(F.col(set_id).alias("set_id"), F.col("point_id").alias("node"))
+        found = set_distances(way, sources, targets.distinct())
+        d = F.coalesce("dist", F.lit(float("inf")))
+        one = wanted.withColumn("set_id", F.col(set_id)).withColumnRenamed("point_id", "node").join(found, ["set_id", "node"], "left").groupBy("a", "b").agg(F.max(d).alias("d"))
+        far = one if far is None else far.union(one)
+    return far.groupBy("a", "b").agg(F.max("d").alias("dist")).withColumn("dist", F.when(F.col("dist") < float("inf"), F.col("dist")))
 
 
 def bhattacharyya(pairs: DataFrame, walks: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lamina.operators import components, graph, knn, paths
+from lamina.operators import components, graph, knn, paths, similarity
 from lamina.plans import registry
 from lamina.sources import generators
 
@@ -216,6 +216,60 @@ def test_paths_with_their_nodes_and_a_cache(spark):
     assert parts == pytest.approx(again) and cache.known.count() > pairs.count()
 
 
+def test_paths_by_joins_are_guided_by_landmarks(spark, monkeypatch):
+    rng = random.Random(8)
+    raw = [(rng.randrange(60), rng.randrange(60), rng.randint(1, 40) / 8) for _ in range(150)] + [(100 + i, 101 + i, 1.0) for i in range(5)] + [(200, 200, 0.0)]
+    e = spark.createDataFrame(raw, "src long, dst long, dist double")
+    both = [(a, b) for a in range(0, 60, 9) for b in range(0, 60, 7)] + [(100, 105), (105, 100), (3, 3), (999, 999), (999, 1), (100, 7)]
+    pairs = spark.createDataFrame(both, "a long, b long")
+    want = {(r["a"], r["b"]): r["dist"] for r in paths.path_nodes(e, pairs).collect()}
+    monkeypatch.setattr(paths, "MOST_EDGES", 0)
+    length = {}
+    for s, t, w in raw:
+        length[s, t] = min(w, length.get((s, t), w))
+    found = paths.path_nodes(e, pairs).collect()
+    assert {(r["a"], r["b"]): r["dist"] for r in found} == want and len(found) == len(set(both))
+    for r in found:
+        if r["dist"] is not None:
+            assert (r["nodes"][0], r["nodes"][-1]) == (r["a"], r["b"]) and sum(length[s, t] for s, t in itertools.pairwise(r["nodes"])) == r["dist"]
+    bounds = {r["node"]: (r["out"], r["back"]) for r in paths.landmarks(e, 3).collect()}
+    assert len(bounds) == len({x for s, t, _ in raw for x in (s, t)}) and all(len(o) == len(b) == 3 for o, b in bounds.values())
+
+
+@pytest.mark.parametrize("most", [paths.MOST_EDGES, 0])
+def test_geodesic_hausdorff_searches_from_sets(spark, monkeypatch, most):
+    monkeypatch.setattr(paths, "MOST_EDGES", most)
+    rng = random.Random(6)
+    raw = [(rng.randrange(40), rng.randrange(40), rng.randint(1, 30) / 4) for _ in range(130)]
+    e = spark.createDataFrame(raw, "src long, dst long, dist double")
+    members = [(i % 5, i) for i in range(43)]  # some have no edges
+    pairs = [(0, 1), (1, 2), (3, 4), (4, 0)]
+    d = {(a, b): 0.0 if a == b else shortest(raw, a, b) for a in range(43) for b in range(43)}
+    far = lambda x: float("inf") if x is None else x
+    table = spark.createDataFrame(members, "component_id long, point_id long")
+    asked = spark.createDataFrame(pairs, "a long, b long")
+    for drop in (0, 1):
+        own = {c: [i for k, i in members if k == c and (not drop or i < 35 and i not in (0,))] for c in range(5)}
+        some = table.where("point_id < 35 and point_id <> 0") if drop else table
+        found = {(r["a"], r["b"]): r["dist"] for r in similarity.geodesic(asked, some, e).collect()}
+        for a, b in pairs:
+            there = max(min(far(d[x, y]) for y in own[b]) for x in own[a])
+            back = max(min(far(d[x, y]) for x in own[a]) for y in own[b])
+            assert far(found[a, b]) == max(there, back)
+    drawn = {(r["a"], r["b"]): r["dist"] for r in similarity.geodesic(asked, table.where("point_id < 35"), e, samples=3).collect()}
+    assert drawn.keys() == set(pairs)
+
+
+def test_geodesic_hausdorff_of_thousands_of_members(spark):
+    n = 5000  # two rails with a rung at every tenth node
+    rungs = spark.range(n).select(F.col("id").alias("src"), (F.col("id") + n).alias("dst"), F.lit(2.0).alias("dist")).where("src % 10 = 0")
+    rails = spark.range(2 * n - 1).where(f"id <> {n - 1}").select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"), F.lit(1.0).alias("dist"))
+    e = rungs.union(rails)
+    e = e.union(paths.reversed_edges(e))
+    members = spark.range(2 * n).select((F.col("id") >= n).cast("long").alias("component_id"), F.col("id").alias("point_id"))
+    assert similarity.geodesic(spark.createDataFrame([(0, 1)], "a long, b long"), members, e).collect() == [(0, 1, 11.0)]
+
+
 def test_the_spanning_tree_by_tables_is_the_one_in_the_driver(spark):
     rng = np.random.default_rng(13)
     x = np.concatenate([rng.standard_normal((30, 3)) + c for c in ([0, 0, 0], [40, 0, 0], [0, 90, 0])])
