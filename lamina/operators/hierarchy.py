@@ -32,6 +32,10 @@ class Hierarchy:
     neighbors: dict[int, DataFrame] = field(default_factory=dict)
     walks: dict[int, DataFrame] = field(default_factory=dict)
     graphs: dict[int, DataFrame] = field(default_factory=dict)
+    #: (component_id, neighbor_id, dist) as measured while a level was merged; what is known there is not measured again.
+    distances: dict[int, DataFrame] = field(default_factory=dict)
+    #: The settings they were measured by, and the table of points.
+    measured_on: tuple[HierarchySettings, DataFrame] | None = None
     stats: list[dict] = field(default_factory=list)
 
     @property
@@ -175,7 +179,7 @@ def build(points: DataFrame, edges: DataFrame, rows: int, cols: int, settings: H
     that level is not added. Only counts reach the driver.
     """
     edges = cut(edges.select("src", "dst", "rank", "dist"), "graph")
-    h = Hierarchy()
+    h = Hierarchy(measured_on=(settings, points))
     h.membership[0] = cut(points.select("point_id", F.col("point_id").alias("component_id")), "membership")
     adjacency = cut(pixel_neighbors(h.membership[0], rows, cols, settings.connection), "adjacency")
     h.neighbors[0] = adjacency.toDF("component_id", "neighbor_id", "ord")
@@ -188,6 +192,7 @@ def build(points: DataFrame, edges: DataFrame, rows: int, cols: int, settings: H
     slow, level = 0, 0
     while n > settings.min_components and (settings.max_levels < 0 or level < settings.max_levels):
         distances = cut(neighbor_distances(h.neighbors[level], metric_of(h, level, points, edges, settings)), "distances")
+        h.distances[level] = distances
         choices = cut(choose(distances, threshold(distances, settings), settings.merge_multiple), "choices")
         chose = choices.select("component_id").distinct().count()
         force = 0

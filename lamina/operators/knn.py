@@ -27,6 +27,8 @@ LINKS, START = 24, 0.85
 #: Parts of a vector and centroids of each in a product code, and vectors that codes are fitted on.
 PARTS, LETTERS = 16, 256
 CODE_SAMPLE = 16_384
+#: Rows that are placed and coded at once.
+CODED_ROWS = 2048
 #: Neighbours found by codes for each one wanted, before their distances are taken exactly.
 SPARE = 8
 
@@ -150,7 +152,7 @@ def centroids(sample: np.ndarray, cells: int, rounds: int = 8, seed: int = 1) ->
     rng = np.random.default_rng(seed)
     c = sample[rng.choice(len(sample), min(cells, len(sample)), replace=False)]
     for _ in range(rounds):
-        near = np.concatenate([_dist(s, c, "L2").argmin(1) for s in np.array_split(sample, max(1, len(sample) // 4096))])
+        near = np.concatenate([_dist(s, c, "L2").argmin(1) for s in np.array_split(sample, max(1, len(sample) * len(c) // PRODUCTS))])
         sums = np.zeros_like(c)
         np.add.at(sums, near, sample)
         count = np.bincount(near, minlength=len(c))
@@ -158,6 +160,56 @@ def centroids(sample: np.ndarray, cells: int, rounds: int = 8, seed: int = 1) ->
     return c
 
 
+#: Centroids beyond which they are found through groups of them, groups looked in, and products of a batch held at once.
+GROUPED, LOOKED = 1024, 12
+PRODUCTS = 1 << 22
+
+
+class Coarse:
+    """The index over the centroids: they lie in about as many groups as a group has centroids, and a vector is compared with those of its nearest groups only.
+
+    Memory is bounded by PRODUCTS numbers, however many rows a batch has. The batch's vectors are taken group by group.
+    """
+
+    def __init__(self, near: np.ndarray, seed: int, grouped: int = GROUPED) -> None:
+        self.near, self.heads = near, None
+        if len(near) > grouped:
+            self.heads = centroids(near, math.isqrt(len(near)), seed=seed)
+            home = np.concatenate([_dist(part, self.heads, "L2").argmin(1) for part in np.array_split(near, -(-len(near) // 4096))])
+            self.order = np.argsort(home, kind="stable")
+            self.cuts = np.searchsorted(home[self.order], np.arange(len(self.heads) + 1))
+
+    def nearest(self, x: np.ndarray, k: int) -> np.ndarray:
+        """The k nearest centroids of each row, nearest first (-1: none found)."""
+        step = max(1, PRODUCTS // (len(self.near) if self.heads is None else len(self.heads) + LOOKED * self._widest(k)))
+        return np.concatenate([self._nearest(x[i : i + step], k) for i in range(0, len(x), step)])
+
+    def _widest(self, k: int) -> int:
+        return max(int(np.diff(self.cuts).max()), k)
+
+    def _nearest(self, x: np.ndarray, k: int) -> np.ndarray:
+        k = min(k, len(self.near))
+        if self.heads is None:
+            return _first(_dist(x, self.near, "L2"), k)
+        sizes = np.diff(self.cuts)
+        looked = min(len(self.heads), max(LOOKED, math.ceil(LOOKED / 4 * k / max(sizes.mean(), 1))))
+        groups = _first(_dist(x, self.heads, "L2"), looked)
+        wide = np.full((len(x), looked, int(sizes.max())), np.inf)
+        for g in np.unique(groups).tolist():
+            row, place = np.nonzero(groups == g)
+            wide[row, place, : sizes[g]] = _dist(x[row], self.near[self.order[self.cuts[g] : self.cuts[g + 1]]], "L2")
+        flat = wide.reshape(len(x), -1)
+        best = _first(flat, min(k, flat.shape[1]))
+        at = self.cuts[groups[np.arange(len(x))[:, None], best // wide.shape[2]]] + best % wide.shape[2]
+        return np.where(np.isfinite(np.take_along_axis(flat, best, 1)), self.order[np.minimum(at, len(self.order) - 1)], -1)
+
+
+def _first(d: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the k least of each row, in order; only those are sorted."""
+    part = np.argpartition(d, k - 1, axis=1)[:, :k] if k < d.shape[1] else np.broadcast_to(np.arange(d.shape[1]), d.shape)
+    return np.take_along_axis(part, np.argsort(np.take_along_axis(d, part, 1), axis=1, kind="stable"), 1)
+
+
 class Coding:
     """Vectors as bytes, and back: whole ones (float32), 8 bits a number, or a letter of a fitted alphabet for each of PARTS parts."""
 
@@ -179,6 +231,18 @@ class Coding:
             code = x.astype(np.float32)
         return [r.tobytes() for r in code]
 
+    def looked_up(self, queries: np.ndarray, raw: list[bytes], metric: str) -> np.ndarray:
+        """Distances (query, vector) to product codes, which are not decoded: a table of each query's distances to the letters of each part, added up by the codes' letters.
+
+        L2 is squared; for COSINE vectors are to have length 1, which codes have but for little, so minus the inner product ranks alike.
+        """
+        code = np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), -1)
+        out = np.zeros((len(queries), len(raw)), np.float32)
+        for part, (a, b) in enumerate(zip(self.cuts, self.cuts[1:], strict=False)):
+            table = _dist(queries[:, a:b], self.books[part], "L2" if metric == "L2" else "INNER_PRODUCT").astype(np.float32)
+            out += table[:, code[:, part]]
+        return out
+
     def unpack(self, raw: list[bytes]) -> np.ndarray:
         if self.kind == "FLAT":
             return np.frombuffer(b"".join(raw), np.float32).reshape(len(raw), -1).astype(np.float64)
@@ -186,6 +250,23 @@ class Coding:
         return self.low + code * self.step if self.kind == "SQ" else np.concatenate([book[code[:, i]] for i, book in enumerate(self.books)], axis=1)
 
 
+def _by_tables(left: pa.Table, right: pa.Table, code: Coding, k: int, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(src, dst, dist) of the k coded vectors nearest to each whole one by its tables, self apart."""
+    ids, others, raw = left.column("point_id").to_numpy(), right.column("point_id").to_numpy(), right.column("code").to_pylist()
+    x = np.frombuffer(b"".join(left.column("code").to_pylist()), np.float32).reshape(len(ids), -1).astype(np.float64)
+    out, step = [], max(1, PRODUCTS // len(others))
+    by_id = np.argsort(others)
+    raw = [raw[i] for i in by_id]
+    for i in range(0, len(ids), step):
+        d = code.looked_up(x[i : i + step], raw, metric)
+        d[ids[i : i + step, None] == others[by_id][None]] = np.inf
+        best = _first(d, min(k, d.shape[1]))
+        found = np.take_along_axis(d, best, 1)
+        keep = np.isfinite(found)
+        out.append((np.repeat(ids[i : i + step], best.shape[1])[keep.ravel()], others[by_id][best[keep]], found[keep].astype(np.float64)))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
 def _sampled(points: DataFrame, n: int, most: int, seed: int) -> np.ndarray:
     """The vectors of a seeded sample of about `most` of n points, and no more."""
     share = min(1.0, most / max(n, 1))
@@ -225,7 +306,7 @@ def knn_cells(points: DataFrame, k: int, metric: str = "L2", cells: int | None =
 
     Centroids are fitted on a bounded seeded sample; every point is in the index. A cell is met in slices of BLOCK points,
     so a hot one is many tasks. With a `coding` (SQ: 8 bits a number, PQ: product codes) the cells hold codes, SPARE times as many neighbours are found by them, and the nearest of
-    those by their true distances stay. Rows with fewer than k neighbours in their cells are searched again against all points.
+    those by their true distances stay; product codes are compared with the whole vector of who asks, by tables of its distances to the letters. Rows with fewer than k neighbours in their cells are searched again against all points.
     """
     one_of("metric", metric, METRICS)
     one_of("coding", coding, ("FLAT", "SQ", "PQ"))
@@ -235,26 +316,30 @@ def knn_cells(points: DataFrame, k: int, metric: str = "L2", cells: int | None =
     width = len((points.select("features").first() or [[0.0]])[0])
     # in bytes as well as in rows
     drawn = _sampled(points, n, max(cells, min(cells * SAMPLE_PER_CELL, SAMPLE_BYTES // (8 * width))), seed)
-    code = Coding(coding, drawn[:CODE_SAMPLE], seed)
+    code = Coding(coding, (unit(drawn) if coding == "PQ" else drawn)[:CODE_SAMPLE], seed)
     near = centroids(unit(drawn), cells, seed=seed)
     probes = min(probes or _probes(points, n, near, unit, k, metric, recall, seed), len(near))
-    centre = points.sparkSession.sparkContext.broadcast((near, code))
+    centre = points.sparkSession.sparkContext.broadcast((Coarse(near, seed), code))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        near_, code = centre.value
-        for b in batches:
-            if b.num_rows:
+        coarse, code = centre.value
+        for whole in batches:
+            for at in range(0, whole.num_rows, CODED_ROWS):
+                b = whole.slice(at, CODED_ROWS)
                 x = _vectors(b.column("features"))
-                near = np.argsort(_dist(unit(x), near_, "L2"), axis=1)[:, :probes]
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * near.shape[1], pa.int32()), pa.array(near.ravel(), pa.int64()))
-                yield pa.RecordBatch.from_arrays([b.column("point_id"), pa.array(code.pack(x), pa.binary()), lists], ["point_id", "code", "cells"])
+                near = coarse.nearest(unit(x), probes)
+                found = near >= 0
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(found.sum(1))), pa.int32()), pa.array(near[found], pa.int64()))
+                raw = pa.array([r.tobytes() for r in unit(x).astype(np.float32)] if coding == "PQ" else [None] * len(x), pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column("point_id"), pa.array(code.pack(unit(x) if coding == "PQ" else x), pa.binary()), lists, raw], ["point_id", "code", "cells", "raw"])
 
-    placed = cut(points.select("point_id", F.col("features").cast("array<float>").alias("features")).mapInArrow(place, "point_id long, code binary, cells array<long>"), "placed")
+    placed = cut(points.select("point_id", F.col("features").cast("array<float>").alias("features")).mapInArrow(place, "point_id long, code binary, cells array<long>, raw binary"), "placed")
     home = F.element_at("cells", 1)
     sizes = placed.groupBy(home.alias("cell")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("slices"))
     members = placed.select(home.alias("cell"), "point_id", "code").join(sizes, "cell").select("cell", F.pmod(F.xxhash64("point_id"), F.col("slices")).cast("int").alias("slice"), "point_id", "code")
     again = placed.toDF(*placed.columns)
-    asked = again.select(F.explode("cells").alias("cell"), "point_id", "code")
+    # codes are asked for by whole vectors, not by codes
+    asked = again.select(F.explode("cells").alias("cell"), "point_id", F.col("raw" if coding == "PQ" else "code").alias("code"))
     # as many parts as the queries of a cell fill blocks: every part meets the members anew
     parts = asked.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")).join(sizes, "cell")
     queries = asked.join(parts, "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.pmod(F.xxhash64("point_id"), F.col("parts")).cast("int").alias("part"), "point_id", "code")
@@ -266,6 +351,9 @@ def knn_cells(points: DataFrame, k: int, metric: str = "L2", cells: int | None =
         if not len(left) or not len(right):
             return pa.table({"src": pa.array([], pa.int64()), "dst": pa.array([], pa.int64()), "dist": pa.array([], pa.float64())})
         code = centre.value[1]
+        if coding == "PQ":
+            out = _by_tables(left, right, code, wanted, metric)
+            return pa.table(dict(zip(("src", "dst", "dist"), map(pa.array, out), strict=True)))
         out = nearest(left.column("point_id").to_numpy(), code.unpack(left.column("code").to_pylist()), right.column("point_id").to_numpy(), code.unpack(right.column("code").to_pylist()), wanted, metric)
         return pa.table(dict(zip(("src", "dst", "dist"), map(pa.array, out), strict=True)))
 

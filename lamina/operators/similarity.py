@@ -69,33 +69,69 @@ def chosen_members(pairs: DataFrame, members: DataFrame, samples: int | None, se
     return side("a", "na"), side("b", "nb")
 
 
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Offsets, ids and vectors of a column of lists of (point_id, features)."""
+    rows = column.flatten()
+    ends = np.append(0, np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False)))
+    x = rows.field("features").flatten().to_numpy(zero_copy_only=False)
+    return ends, rows.field("point_id").to_numpy(zero_copy_only=False), x.reshape(len(rows), -1)
+
+
+def _least(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The square of each point's distance to the nearest of the other side."""
+    d = np.stack([((y - p) ** 2).sum(1) for p in x])
+    return d.min(1), d.min(0)
+
+
 def euclid(pairs: DataFrame, members: DataFrame, points: DataFrame, samples: int | None = None, seed: int = 1) -> DataFrame:
     """Symmetric Hausdorff distance over the points' L2 distances; for single points their distance.
 
-    The members of each side meet in blocks of BLOCK points, so a pair of large components is many tasks; a block of points returns its least distances, one a point.
+    The members of each side meet in blocks of BLOCK points, so a pair of large components is many tasks. A pair of single blocks returns its distance; of others each pair of blocks
+    returns its points' least distances.
     """
-    members = members.select("component_id", "point_id")
-    left, right = chosen_members(pairs, members, samples, seed)
+    members, asked = members.select("component_id", "point_id"), pairs.select("a", "b").distinct()
     vectors = points.select("point_id", F.col("features").cast("array<double>").alias("features"))
 
-    def pack(df: DataFrame, name: str) -> DataFrame:
-        sizes = df.groupBy("a", "b").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_n"))
-        cut_ = df.join(sizes, ["a", "b"]).withColumn(f"{name}_block", F.pmod(F.xxhash64("point_id"), F.col("_n")).cast("int"))
-        return cut_.join(vectors, "point_id").groupBy("a", "b", f"{name}_block").agg(F.collect_list(F.struct("point_id", "features")).alias(name))
+    def pack(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+        sizes = df.groupBy(*keys).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(f"{name}_blocks"))
+        dealt = df.join(sizes, keys).withColumn("block", F.pmod(F.xxhash64("point_id"), F.col(f"{name}_blocks")).cast("int"))
+        return dealt.join(vectors, "point_id").groupBy(*keys, f"{name}_blocks", "block").agg(F.collect_list(F.struct("point_id", "features")).alias(name)).drop("block")
 
-    both = pack(left, "x").join(pack(right, "y"), ["a", "b"])
+    if samples is None:
+        packed = cut(pack(members, ["component_id"], "x"), "members")
+        both = asked.join(packed.toDF("a", "x_blocks", "x"), "a").join(packed.toDF("b", "y_blocks", "y"), "b")
+    else:
+        left, right = chosen_members(asked, members, samples, seed)
+        both = pack(left, ["a", "b"], "x").join(pack(right, ["a", "b"], "y"), ["a", "b"])
+    fields = {"a": pa.int64(), "b": pa.int64(), "left": pa.bool_(), "point_id": pa.int64(), "d": pa.float64()}
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                (i, x), (j, y) = ((np.array([r["point_id"] for r in row[s]], np.int64), np.array([r["features"] for r in row[s]], np.float64)) for s in ("x", "y"))
-                d = np.stack([((y - p) ** 2).sum(1) for p in x])
-                n = len(i) + len(j)
-                least = np.sqrt(np.concatenate((d.min(1), d.min(0))))
-                yield pa.RecordBatch.from_arrays([pa.array([row["a"]] * n, pa.int64()), pa.array([row["b"]] * n, pa.int64()), pa.array(np.arange(n) < len(i)), pa.array(np.concatenate((i, j))), pa.array(least)], ["a", "b", "left", "point_id", "d"])
-
-    least = both.mapInArrow(work, "a long, b long, left boolean, point_id long, d double").groupBy("a", "b", "left", "point_id").agg(F.min("d").alias("d"))
-    return least.groupBy("a", "b").agg(F.max("d").alias("dist"))
+            if not batch.num_rows:
+                continue
+            (i_ends, i, x), (j_ends, j, y) = _lists(batch.column("x")), _lists(batch.column("y"))
+            whole = (batch.column("x_blocks").to_numpy() == 1) & (batch.column("y_blocks").to_numpy() == 1)
+            single = whole & (np.diff(i_ends) == 1) & (np.diff(j_ends) == 1)
+            far = np.zeros(batch.num_rows)
+            far[single] = ((x[i_ends[:-1][single]] - y[j_ends[:-1][single]]) ** 2).sum(1)
+            parts = []
+            for row in np.flatnonzero(~single).tolist():
+                p, q = slice(*i_ends[row : row + 2]), slice(*j_ends[row : row + 2])
+                there, back = _least(x[p], y[q])
+                if whole[row]:
+                    far[row] = max(there.max(), back.max())
+                else:
+                    parts.append((row, np.arange(len(there) + len(back)) < len(there), np.concatenate((i[p], j[q])), np.concatenate((there, back))))
+            row = np.concatenate([np.flatnonzero(whole), *[np.full(len(n), r) for r, _, n, _ in parts]])
+            n = int(whole.sum())
+            ids = pa.array(np.concatenate([np.zeros(n, np.int64), *[p[2] for p in parts]]))
+            left = pa.array(np.concatenate([np.zeros(n, bool), *[p[1] for p in parts]]), mask=np.arange(len(row)) < n)
+            d = np.sqrt(np.concatenate([far[whole], *[p[3] for p in parts]]))
+            yield pa.RecordBatch.from_arrays([batch.column("a").take(pa.array(row)), batch.column("b").take(pa.array(row)), left, ids, pa.array(d)], list(fields))
+
+    found = cut(both.mapInArrow(work, "a long, b long, left boolean, point_id long, d double"), "least")
+    least = found.where("left is not null").groupBy("a", "b", "left", "point_id").agg(F.min("d").alias("d")).groupBy("a", "b").agg(F.max("d").alias("dist"))
+    return found.where("left is null").select("a", "b", F.col("d").alias("dist")).union(least)
 
 
 def geodesic(pairs: DataFrame, members: DataFrame, edges: DataFrame, samples: int | None = None, seed: int = 1) -> DataFrame:

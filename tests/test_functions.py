@@ -119,6 +119,34 @@ def test_top_entries_offsets_and_shape(spark):
     assert sorted((r["row_id"], r["col_id"]) for r in sparse.remove_diagonal(lone).collect()) == [(0, 0), (1, 2)]
 
 
+@pytest.mark.parametrize(("heavy", "rows", "log"), [(10**9, 1024, True), (12, 7, True), (0, 16, False)])
+def test_nearest_rows_are_the_best_of_the_full_product(spark, monkeypatch, heavy, rows, log):
+    monkeypatch.setattr(sparse, "ROWS", rows)
+    rng = np.random.default_rng(heavy % 97)
+    a = rng.random((40, 60)) * (rng.random((40, 60)) < 0.06)
+    a[5:30, 3] = 0.2  # a column that most rows share
+    a[38:] = 0
+    size = rng.integers(1, 9, 40)
+    entries = [(i, j, float(a[i, j])) for i, j in zip(*np.nonzero(a), strict=True)]
+    m = spark.createDataFrame([(int(i), int(j), v) for i, j, v in entries], "row_id long, col_id long, value double")
+    sizes = spark.createDataFrame([(i, int(n)) for i, n in enumerate(size)], "row_id long, size long")
+    for weights in (None, sizes):
+        whole = sparse.top_k(sparse.pair_similarity(m, 1e-3, log, weights), 4, largest=not log)
+        found = sparse.nearest_rows(m, 4, 1e-3, log, weights, heavy)
+        assert sorted((r[0], r[1], round(r[2], 9)) for r in found.collect()) == sorted((r[0], r[1], round(r[2], 9)) for r in whole.collect())
+    want = np.sqrt(a * size[:, None]) @ np.sqrt(a * size[:, None]).T
+    assert all(abs(want[r[0], r[1]] - r[2]) < 1e-9 for r in sparse.pair_similarity(m, 1e-3, False, sizes).collect())
+
+
+def test_a_column_in_every_row_is_not_one_task(spark):
+    n = 3000
+    m = spark.range(n).select(F.col("id").alias("row_id"), F.explode(F.array(F.lit(0), F.col("id") % 1500 + 1)).alias("col_id"), F.lit(0.5).alias("value"))
+    found = sparse.nearest_rows(m, 2).collect()
+    assert len(found) == 2 * n
+    best = {r["row_id"]: r for r in found if r["value"] < 1e-9}
+    assert len(best) == n and all(r["col_id"] == (i + 1500) % n for i, r in best.items())
+
+
 def test_pair_similarity_is_the_full_product(spark):
     rng = np.random.default_rng(6)
     a = rng.random((8, 8)) * (rng.random((8, 8)) < 0.5)

@@ -216,6 +216,26 @@ def test_paths_with_their_nodes_and_a_cache(spark):
     assert parts == pytest.approx(again) and cache.known.count() > pairs.count()
 
 
+def test_centroids_are_found_through_their_groups():
+    rng = np.random.default_rng(4)
+    near = rng.standard_normal((600, 8)) + 3 * rng.standard_normal((30, 8))[rng.integers(0, 30, 600)]
+    x = near[rng.integers(0, 600, 300)] + 0.2 * rng.standard_normal((300, 8))
+    want = np.argsort(((x[:, None] - near[None]) ** 2).sum(2), axis=1)[:, :5]
+    assert (knn.Coarse(near, 1).nearest(x, 5) == want).all()
+    found = knn.Coarse(near, 1, grouped=100).nearest(x, 5)
+    assert np.mean([len(set(a) & set(b)) for a, b in zip(found.tolist(), want.tolist(), strict=True)]) >= 0.97 * 5 and (found[:, 0] == want[:, 0]).mean() > 0.98
+
+
+@pytest.mark.parametrize("metric", ["L2", "INNER_PRODUCT"])
+def test_tables_of_letters_give_the_distances_of_the_codes(metric):
+    rng = np.random.default_rng(5)
+    x, q = rng.standard_normal((400, 37)), rng.standard_normal((9, 37))
+    code = knn.Coding("PQ", x, 1)
+    raw = code.pack(x)
+    assert all(len(r) == knn.PARTS for r in raw)
+    assert np.allclose(code.looked_up(q, raw, metric), knn._dist(q, code.unpack(raw), metric), atol=1e-3)
+
+
 def test_paths_by_joins_are_guided_by_landmarks(spark, monkeypatch):
     rng = random.Random(8)
     raw = [(rng.randrange(60), rng.randrange(60), rng.randint(1, 40) / 8) for _ in range(150)] + [(100 + i, 101 + i, 1.0) for i in range(5)] + [(200, 200, 0.0)]

@@ -170,9 +170,36 @@ def test_exact_levels_measure_every_pair_and_likely_ones_lose_little(spark, monk
     monkeypatch.setattr(levels, "ALL_PAIRS", 1)
     assert levels.candidates(h, 1, points, edges, "EUCLID_CENTROID", k, exact=True).count() == n * (n - 1) // 2
     measure = levels.metric_of(h, 1, points, edges, settings)
-    near = lambda exact: {(r["row_id"], r["col_id"]) for r in levels.nearest_components(measure(levels.candidates(h, 1, points, edges, "EUCLID_CENTROID", k, exact)), k + 1).collect()}
-    whole, likely = near(True), near(False)
-    assert len(whole & likely) >= 0.9 * len(whole)
+    rows = lambda d: {(r["row_id"], r["col_id"]) for r in levels.nearest_components(d, k + 1).collect()}
+    whole = rows(measure(levels.candidates(h, 1, points, edges, "EUCLID_CENTROID", k, exact=True)))
+    found = rows(levels.descended(measure, levels.candidates(h, 1, points, edges, "EUCLID_CENTROID", k), k))
+    assert len(whole & found) >= 0.97 * len(whole)
+    # from a few pairs that say nothing, by the distance alone
+    ids = sorted(r[0] for r in h.membership[1].select("component_id").distinct().collect())
+    some = spark.createDataFrame([(a, b) for i, a in enumerate(ids) for b in (ids[(i + s) % n] for s in (1, 7, 31)) if a < b], "a long, b long")
+    assert len(whole & rows(levels.descended(measure, some, k, rounds=12))) >= 0.9 * len(whole)
+
+
+def test_what_was_measured_while_merging_is_not_measured_again(spark, monkeypatch):
+    from lamina.operators import hierarchy
+
+    asked = []
+
+    def make(h, level, points, edges, s):
+        def metric(pairs):
+            asked.append(sorted(map(tuple, pairs.select("a", "b").collect())))
+            return pairs.select("a", "b", (F.abs(F.col("a") - F.col("b")) + 1).cast("double").alias("dist"))
+
+        return metric
+
+    hierarchy.add_metric("COUNTED", make)
+    points = generators.gaussians(spark, 24, [(0, 0, 0)]).select("point_id", "features")
+    settings = HierarchySettings(similarity="COUNTED", max_levels=2)
+    h, edges = pipeline.build_hierarchy(points, 4, 6, KnnSettings(k=4), settings)
+    before = {p for part in asked for p in part}
+    found = [levels.nearest_components_of(h, 1, pts, edges, settings, LevelSettings(), 3) for pts in (h.measured_on[1], points)]
+    assert sorted(found[0].collect()) == sorted(found[1].collect())
+    assert len(h.distances) == 2 and before and len(asked[-2]) < len(asked[-1])
 
 
 def test_a_distance_of_ones_own_can_be_named(spark):
