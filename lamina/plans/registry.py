@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lamina.functions import aggregates, kernels, scalar, scaling
-from lamina.operators import components, embedding, graph, hierarchy, knn, levels, similarity, sparse, walks
+from lamina.operators import components, embedding, graph, hierarchy, knn, levels, navigable, similarity, sparse, walks
 from lamina.operators.paths import shortest_paths
 from lamina.plans.pipeline import build_hierarchy
 from lamina.scratch import cut, shared_dir
@@ -236,6 +236,36 @@ def knn_index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def _apart(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Every tenth point as a query, and the others as the points of an index."""
+    p = points(spark, sf_dir).select("point_id", "features")
+    return p.where("point_id % 10 = 0").withColumnRenamed("point_id", "query_id"), p.where("point_id % 10 <> 0")
+
+
+@query(f"""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+d AS (SELECT q.vec_id AS query_id, p.vec_id AS point_id, list_distance(q.e, p.e) AS dist FROM v q JOIN v p ON q.vec_id % 10 = 0 AND p.vec_id % 10 <> 0)
+SELECT query_id, point_id, (row_number() OVER w)::INT AS rank, round(dist, 6) AS dist FROM d WINDOW w AS (PARTITION BY query_id ORDER BY dist, point_id) QUALIFY row_number() OVER w <= {K}""")
+def layered_graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries apart from the points, with a beam that holds all of them: whatever links lead to is found, so nothing is lost unless the graph falls apart."""
+    queries_, p = _apart(spark, sf_dir)
+    return navigable.LayeredGraph(p, top=64, spread=6).search(queries_, K, beam=p.count()).withColumn("dist", r6("dist"))
+
+
+@query()
+def layered_graph_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(coding, beam, recall): the share of each query's K nearest points that beams of several widths find, queries not being points."""
+    queries_, p = _apart(spark, sf_dir)
+    true = None
+    out = None
+    for coding in ("FLAT", "SQ"):
+        g = navigable.LayeredGraph(p, coding=coding, top=64, spread=6)
+        true = cut(g.search(queries_, K, beam=p.count()).select("query_id", "point_id"), "true") if true is None else true
+        for beam in (16, 32, 128):
+            row = g.search(queries_, K, beam).join(true, ["query_id", "point_id"], "left_semi").agg(F.lit(coding).alias("coding"), F.lit(beam).alias("beam"), (F.count("*") / true.count()).alias("recall"))
+            out = row if out is None else out.union(row)
+    return out
+
+
 @query()
 def level_index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(similarity, recall): the share of the components' true K nearest that descent by distance alone finds, among components of four points, from those next in order on."""
