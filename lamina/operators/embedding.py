@@ -24,16 +24,81 @@ EXACT = 4000
 #: Cells of the grid along the longer side, at least and at most, and the interpolation nodes of a cell along a side.
 GRID = 24, 160
 NODES = 3
+#: Vectors wider than this have their axes found in a sketch of so many dimensions, with so many looks at the points behind the first.
+WIDE, SKETCH, LOOKS = 512, 64, 3
+#: Rows of a sketch that are added up as one value.
+SKETCH_ROWS = 1024
 
 
 # starts
 
 
-def pca(points: DataFrame, dims: int = 2, id_col: str = "point_id") -> DataFrame:
+def _times_covariance(points: DataFrame, v: np.ndarray) -> np.ndarray:
+    """The covariance of the points times v (width, k), of which no more than rows of v ever exist: tasks add up x (x v), and parts of these sums are added up by key."""
+    shared = points.sparkSession.sparkContext.broadcast(v)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v, n, total = shared.value, 0, None
+        for b in batches:
+            for at in range(0, b.num_rows, SKETCH_ROWS):
+                some = b.column("features").slice(at, SKETCH_ROWS)
+                x = some.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(some), -1)
+                part = np.concatenate((x.T @ (x @ v), x.sum(0)[:, None]), 1)
+                n, total = n + len(x), part if total is None else total + part
+        if n:
+            for i in range(0, len(v), SKETCH_ROWS):
+                yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([n]), pa.array([total[i : i + SKETCH_ROWS].tobytes()])], ["i", "n", "part"])
+
+    def add(table: pa.Table) -> pa.Table:
+        parts = sum(np.frombuffer(x.as_buffer(), np.float64) for x in table.column("part"))
+        return pa.table({"i": table.column("i")[:1], "n": pa.array([sum(table.column("n").to_pylist())]), "part": pa.array([parts.tobytes()])})
+
+    schema = "i long, n long, part binary"
+    parted = points.select("features").mapInArrow(work, schema)
+    # first some tasks' sums together, so that no task adds up all of them
+    some = parted.withColumn("_at", F.pmod(F.spark_partition_id(), F.lit(32))).groupBy("i", "_at").applyInArrow(add, schema)
+    rows = sorted(some.groupBy("i").applyInArrow(add, schema).collect(), key=lambda r: r["i"])
+    if not rows:
+        raise ValueError("no points")
+    sums = np.concatenate([np.frombuffer(r["part"], np.float64).reshape(-1, v.shape[1] + 1) for r in rows]) / rows[0]["n"]
+    mean = sums[:, -1]
+    return np.concatenate((sums[:, :-1] - np.outer(mean, mean @ v), mean[:, None]), 1)
+
+
+def wide_axes(points: DataFrame, width: int, dims: int, sketch: int = SKETCH, looks: int = LOOKS, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and first principal axes (width, dims) from a random sketch: the range of the covariance's product with `sketch` random vectors, which each further look at the
+    points turns towards the first axes, and the axes within it. With a sketch as wide as the points they are exact.
+    """
+    q = np.linalg.qr(np.random.default_rng(seed).standard_normal((width, min(width, max(sketch, dims)))))[0]
+    for _ in range(looks):
+        q = np.linalg.qr(_times_covariance(points, q)[:, :-1])[0]
+    z = _times_covariance(points, q)
+    within = q.T @ z[:, :-1]
+    return z[:, -1], q @ np.linalg.eigh((within + within.T) / 2)[1][:, ::-1][:, :dims]
+
+
+def pca(points: DataFrame, dims: int = 2, id_col: str = "point_id", wide: int = WIDE) -> DataFrame:
     """(id, x, y, ...) on the first principal axes, each turned so that its largest loading is positive.
 
-    The moments are added up in the tasks: one matrix of dimension x dimension each reaches the driver's merge.
+    The moments are added up in the tasks: one matrix of dimension x dimension each reaches the driver's merge. Points of more than `wide` dimensions have their axes found in a sketch.
     """
+    names = ["x", "y", *[f"c{i}" for i in range(2, dims)]][:dims]
+    width = len((points.select("features").first() or [[]])[0])
+    if width > wide:
+        mean, axes = wide_axes(points, width, dims)
+        axes = axes * np.sign(axes[np.abs(axes).argmax(0), np.arange(axes.shape[1])])
+        shared = points.sparkSession.sparkContext.broadcast((mean @ axes, axes))
+
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at, axes = shared.value
+            for whole in batches:
+                for i in range(0, whole.num_rows, SKETCH_ROWS):
+                    b = whole.slice(i, SKETCH_ROWS)
+                    x = b.column("features").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1) @ axes - at
+                    yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c) for c in x.T]], [id_col, *names])
+
+        kind = points.schema[id_col].dataType.simpleString()
+        return points.select(id_col, "features").mapInArrow(place, f"`{id_col}` {kind}, {', '.join(f'{c} double' for c in names)}")
 
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, s, c = 0, 0.0, 0.0
@@ -55,7 +120,6 @@ def pca(points: DataFrame, dims: int = 2, id_col: str = "point_id") -> DataFrame
     cov = sums[size + 1 :].reshape(size, size) / n - np.outer(mean, mean)
     axes = np.linalg.eigh(cov)[1][:, ::-1][:, :dims]
     axes = axes * np.sign(axes[np.abs(axes).argmax(0), np.arange(axes.shape[1])])
-    names = ["x", "y", *[f"c{i}" for i in range(2, dims)]][:dims]
     dot = lambda v: F.aggregate(F.zip_with("features", F.array(*[F.lit(float(a)) for a in v]), lambda f, a: f.cast("double") * a), F.lit(float(-mean @ v)), lambda s, z: s + z)
     return points.select(id_col, *[dot(axes[:, i]).alias(n) for i, n in enumerate(names)])
 

@@ -144,10 +144,10 @@ def spanning_pairs(centres: DataFrame) -> DataFrame:
     return tree
 
 
-def connected(points: DataFrame, edges: DataFrame) -> DataFrame:
+def connected(points: DataFrame, edges: DataFrame, most: int = MOST_COMPONENTS) -> DataFrame:
     """The graph with edges added both ways until it is one component.
 
-    Components are spanned by a least tree of their centroids (grown in the driver up to MOST_COMPONENTS, by tables beyond); along each of its edges the closest two points are joined, at their
+    Components are spanned by a least tree of their centroids (grown in the driver up to `most`, by tables beyond); along each of its edges the closest two points are joined, at their
     true distance.
     """
     labels = cut(weak_components(edges), "labels")
@@ -155,7 +155,7 @@ def connected(points: DataFrame, edges: DataFrame) -> DataFrame:
     if not n:
         return edges
     centre = cut(centroids(points, labels).withColumnRenamed("label", "point_id"), "centres")
-    if n + 1 <= MOST_COMPONENTS:
+    if n + 1 <= most:
         rows = centre.orderBy("point_id").collect()
         tree = spanning_tree(np.array([r["features"] for r in rows]))
         pairs = points.sparkSession.createDataFrame([(rows[a]["point_id"], rows[b]["point_id"]) for a, b in tree], "a long, b long")

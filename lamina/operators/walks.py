@@ -138,17 +138,17 @@ def _by_joins(steps: DataFrame, starts: DataFrame, s: WalkSettings) -> DataFrame
     return visits.where("w > 0").groupBy(F.col("start").alias("row_id"), "col_id").agg(F.sum("w").alias("value"))
 
 
-def hits(steps: DataFrame, settings: WalkSettings, starts: DataFrame | None = None) -> DataFrame:
+def hits(steps: DataFrame, settings: WalkSettings, starts: DataFrame | None = None, most: int = MOST_ENTRIES) -> DataFrame:
     """(row_id, col_id, value): weighted visits of the walks from each start (row_id); the start itself does not count as a visit.
 
     In each step a walk moves to the first column, ascending, at which the row's running sum exceeds a draw from 0 to 1, and stays if none does.
     """
     starts = steps.select("row_id").distinct() if starts is None else starts
-    return (_by_kernel if steps.count() <= MOST_ENTRIES else _by_joins)(steps, starts, settings)
+    return (_by_kernel if steps.count() <= most else _by_joins)(steps, starts, settings)
 
 
-def random_walks(steps: DataFrame, settings: WalkSettings, starts: DataFrame | None = None) -> DataFrame:
+def random_walks(steps: DataFrame, settings: WalkSettings, starts: DataFrame | None = None, most: int = MOST_ENTRIES) -> DataFrame:
     """Visits pruned, without the diagonal unless a row has nothing else, and each row summing to 1."""
-    found = hits(steps, settings, starts)
+    found = hits(steps, settings, starts, most)
     limit = prune_limit(settings)
     return row_unit_sum(remove_diagonal(prune(found, limit) if limit > 0 else found))

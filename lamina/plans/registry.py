@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lamina.functions import aggregates, kernels, scalar, scaling
 from lamina.operators import components, embedding, graph, hierarchy, knn, levels, navigable, similarity, sparse, walks
-from lamina.operators.paths import shortest_paths
+from lamina.operators.paths import guided_paths, shortest_paths
 from lamina.plans.pipeline import build_hierarchy
 from lamina.scratch import cut, shared_dir
 from lamina.settings import HierarchySettings, KnnSettings, WalkSettings
@@ -673,6 +673,39 @@ def hierarchy_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.table("walks").withColumn("value", r6("value"))
 
 
+# the ways that larger graphs take, over the same tables
+
+
+@query(ORACLES["weak_components"])
+def weak_components_by_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return components.weak_components(edges(spark, sf_dir, 2), small=0)
+
+
+@query(ORACLES["strong_components"])
+def strong_components_by_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return components.strong_components(edges(spark, sf_dir, 2), small=0)
+
+
+@query(ORACLES["connected_graph"])
+def connected_graph_by_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _knn(graph.connected(points(spark, sf_dir), graph.symmetric_min(edges(spark, sf_dir, 2)), most=0))
+
+
+@query(ORACLES["geodesic_distance"])
+def geodesic_distance_by_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = cut(graph.symmetric_min(edges(spark, sf_dir)), "sym")
+    near = scalar.pixel_neighbors(points(spark, sf_dir), *shape(spark, sf_dir)).where("point_id < neighbor_id")
+    return shortest_paths(e, near.select(F.col("point_id").alias("a"), F.col("neighbor_id").alias("b")), most=0).withColumn("dist", r6("dist"))
+
+
+@query(ORACLES["geodesic_distance"])
+def guided_path_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths guided by landmarks, of which the nodes are left out here."""
+    e = cut(graph.symmetric_min(edges(spark, sf_dir)), "sym")
+    near = scalar.pixel_neighbors(points(spark, sf_dir), *shape(spark, sf_dir)).where("point_id < neighbor_id")
+    return guided_paths(e, near.select(F.col("point_id").alias("a"), F.col("neighbor_id").alias("b"))).select("a", "b", r6("dist").alias("dist"))
+
+
 # sparse matrices and kernels
 
 
@@ -890,6 +923,12 @@ def random_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return walks.random_walks(steps, WalkSettings(num_walks=50, length=10)).withColumn("value", r6("value"))
 
 
+@query(ORACLES["random_walks"])
+def random_walks_by_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    steps = linear_walks(spark, sf_dir).withColumnRenamed("value", "p")
+    return walks.random_walks(steps, WalkSettings(num_walks=50, length=10), most=0).withColumn("value", r6("value"))
+
+
 # aggregates
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -38,6 +39,15 @@ def put(spark: SparkSession, path: str, data: bytes) -> None:
     out.close()
 
 
+def put_parts(spark: SparkSession, path: str, parts: Iterable[bytes]) -> None:
+    """Write a file part by part wherever Spark can write; no more than a part is held."""
+    at, system = _file(spark, path)
+    out = system.create(at, True)
+    for p in parts:
+        out.write(bytearray(p))
+    out.close()
+
+
 def get(spark: SparkSession, path: str) -> bytes:
     """Read a small file from wherever Spark can read."""
     return bytes(spark.read.format("binaryFile").load(path).first()["content"])

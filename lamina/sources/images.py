@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import struct
 import zlib
 from collections.abc import Iterator
@@ -11,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.scratch import put
+from lamina.scratch import cut, indexed, put_parts
 
 # Fixed values of the TIFF format: sizes of the field types, and sample types by (format, bits).
 FIELD_BYTES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
@@ -43,13 +44,20 @@ def decode_tiff(data: bytes, flip: bool = False) -> np.ndarray:
     return out[::-1] if flip else out
 
 
+def _tiff_ends(h: int, w: int) -> tuple[bytes, bytes]:
+    """What leads and follows the pixels of a float32 TIFF of one uncompressed strip."""
+    size = 4 * h * w
+    if size >= 1 << 32:
+        raise ValueError("a TIFF file ends at 4 GB")
+    tags = [(256, 4, w), (257, 4, h), (258, 3, 32), (259, 3, 1), (262, 3, 1), (273, 4, 8), (277, 3, 1), (278, 4, h), (279, 4, size), (339, 3, 3)]
+    directory = struct.pack("<H", len(tags)) + b"".join(struct.pack("<HHII", t, k, 1, v) for t, k, v in tags) + bytes(4)
+    return b"II*\x00" + struct.pack("<I", 8 + size), directory
+
+
 def encode_tiff(image: np.ndarray) -> bytes:
     """A float32 TIFF of one uncompressed strip."""
-    raw = np.ascontiguousarray(image, "<f4").tobytes()
-    h, w = image.shape
-    tags = [(256, 4, w), (257, 4, h), (258, 3, 32), (259, 3, 1), (262, 3, 1), (273, 4, 8), (277, 3, 1), (278, 4, h), (279, 4, len(raw)), (339, 3, 3)]
-    directory = struct.pack("<H", len(tags)) + b"".join(struct.pack("<HHII", t, k, 1, v) for t, k, v in tags) + bytes(4)
-    return b"II*\x00" + struct.pack("<I", 8 + len(raw)) + raw + directory
+    head, directory = _tiff_ends(*image.shape)
+    return head + np.ascontiguousarray(image, "<f4").tobytes() + directory
 
 
 def decode_png(data: bytes) -> np.ndarray:
@@ -159,10 +167,37 @@ def level_image(membership: DataFrame, rows: int, cols: int, seed: int | None =
     return ids.reshape(rows, cols).astype(np.float32)
 
 
+#: Pixels that a task makes into a part of an image.
+STRIP = 1 << 18
+
+
+def level_strips(membership: DataFrame, seed: int | None = None) -> DataFrame:
+    """(strip, pixels, data): the components of the pixels as float32 in parts of STRIP pixels; `seed` shuffles the ids for contrast."""
+    own = membership.select("point_id", "component_id")
+    if seed is not None:
+        names = own.select("component_id").distinct().withColumn("_hash", F.xxhash64(F.lit(seed), "component_id"))
+        own = own.join(indexed(names, "_hash", "shuffled").select("component_id", "shuffled"), "component_id").select("point_id", F.col("shuffled").alias("component_id"))
+
+    def pack(table: pa.Table) -> pa.Table:
+        ids, of = table.column("point_id").to_numpy(), table.column("component_id").to_numpy()
+        data = of[np.argsort(ids)].astype("<f4").tobytes()
+        return pa.table({"strip": table.column("strip")[:1], "pixels": pa.array([len(ids)]), "data": pa.array([data])})
+
+    return own.withColumn("strip", F.floor(F.col("point_id") / STRIP).cast("long")).groupBy("strip").applyInArrow(pack, "strip long, pixels long, data binary")
+
+
 def write_level_images(memberships: dict[int, DataFrame], rows: int, cols: int, folder: str, seed: int | None = 1) -> list[str]:
-    """A float32 TIFF of each level's components, `level-0.tif` and on, shuffled for contrast unless `seed` is None; the paths written."""
+    """A float32 TIFF of each level's components, `level-0.tif` and on, shuffled for contrast unless `seed` is None; the paths written.
+
+    Tasks make the strips; they go to the file one after another, in order, and no image is ever whole in memory.
+    """
     paths = []
     for level, members in sorted(memberships.items()):
+        strips = cut(level_strips(members, seed), "strips")
+        if (strips.agg(F.sum("pixels")).first()[0] or 0) != rows * cols:
+            raise ValueError("the image has another number of pixels")
+        head, directory = _tiff_ends(rows, cols)
         paths.append(f"{folder.rstrip('/')}/level-{level}.tif")
-        put(members.sparkSession, paths[-1], encode_tiff(level_image(members, rows, cols, seed)))
+        pixels = (bytes(r["data"]) for r in strips.select("strip", "data").orderBy("strip").toLocalIterator())
+        put_parts(members.sparkSession, paths[-1], itertools.chain([head], pixels, [directory]))
     return paths

@@ -233,3 +233,19 @@ def test_the_spectral_start_by_iteration_is_that_of_the_dense_matrix(spark, monk
     monkeypatch.setattr(embedding, "EXACT", 10)
     assert np.allclose(np.abs(get()), np.abs(dense_), atol=2e-3)
     assert embedding.tsne(p, 40).count() == 60
+
+
+@pytest.mark.parametrize(("width", "dims"), [(64, 3), (2000, 2)])
+def test_pca_of_wide_vectors(spark, width, dims):
+    rng = np.random.default_rng(width)
+    axes = np.linalg.qr(rng.standard_normal((width, 4)))[0]
+    x = rng.standard_normal((300, 4)) * [9, 6, 3, 1] @ axes.T + 0.01 * rng.standard_normal((300, width)) + 5
+    p = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "point_id long, features array<double>").repartition(5)
+    got = np.array([r[1:] for r in embedding.pca(p, dims, wide=10).orderBy("point_id").collect()])
+    c = x - x.mean(0)
+    want = np.linalg.svd(c, full_matrices=False)[2][:dims].T
+    want = c @ (want * np.sign(want[np.abs(want).argmax(0), np.arange(dims)]))
+    assert np.abs(got - want).max() < 1e-6
+    if width == 64:
+        other = np.array([r[1:] for r in embedding.pca(p, dims).orderBy("point_id").collect()])
+        assert np.abs(got - other).max() < 1e-6

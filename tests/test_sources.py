@@ -202,6 +202,19 @@ def test_what_was_measured_while_merging_is_not_measured_again(spark, monkeypatc
     assert len(h.distances) == 2 and before and len(asked[-2]) < len(asked[-1])
 
 
+def test_level_images_are_written_in_strips(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(images, "STRIP", 7)
+    members = spark.createDataFrame([(i, (i * 5) % 4) for i in range(30)], "point_id long, component_id long").repartition(4)
+    for seed in (None, 3):
+        paths = images.write_level_images({0: members}, 5, 6, f"file://{tmp_path}/{seed}", seed)
+        image = images.decode_tiff(open(paths[0].removeprefix("file://"), "rb").read())
+        assert image.shape == (5, 6)
+        pairs = {(i * 5 % 4, float(v)) for i, v in enumerate(image.ravel())}
+        assert len(pairs) == 4 and {v for _, v in pairs} == {0.0, 1.0, 2.0, 3.0} and (seed is not None or all(a == b for a, b in pairs))
+    with pytest.raises(ValueError):
+        images.write_level_images({0: members}, 5, 7, f"file://{tmp_path}/x")
+
+
 def test_a_distance_of_ones_own_can_be_named(spark):
     from lamina.operators import hierarchy
 
