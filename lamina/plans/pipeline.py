@@ -55,7 +55,7 @@ def compute(
     scaled = scaled_points(points, scaler)
     if stages is None:
         h, edges = build_hierarchy(scaled, rows, cols, k, settings)
-        return h, levels.level_similarities(h, scaled, edges, settings, level_settings, k.k)
+        return h, levels.level_similarities(h, h.measured_on[1], edges, settings, level_settings, k.k)
     if settings.similarity.startswith("GEO") and not k.connect:
         k = replace(k, connect=True)
     edges = stages.table(f"knn-{scaler}", k, lambda: neighbor_graph(scaled, k))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from lamina.functions import aggregates, kernels, scalar, scaling
 from lamina.operators import components, embedding, graph, hierarchy, knn, levels, navigable, similarity, sparse, walks
 from lamina.operators.paths import guided_paths, shortest_paths
-from lamina.plans.pipeline import build_hierarchy
+from lamina.plans.pipeline import build_hierarchy, component_labels, neighbor_graph
 from lamina.scratch import cut, shared_dir
 from lamina.settings import HierarchySettings, KnnSettings, WalkSettings
 from lamina.sources import generators, tables
@@ -929,6 +929,71 @@ def random_walks_by_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return walks.random_walks(steps, WalkSettings(num_walks=50, length=10), most=0).withColumn("value", r6("value"))
 
 
+#: The first arrivals of walks, from the places they are at after each step.
+WALKED = ORACLES["random_walks"].partition("seen AS")[0]
+
+
+@query(f"""{WALKED} first AS (SELECT start, walk, node, min(step) AS s FROM places WHERE step > 0 AND node <> start GROUP BY ALL),
+m AS (SELECT start AS row_id, node AS col_id, greatest(10 - avg(s), 0) / 9 AS v FROM first GROUP BY ALL)
+SELECT row_id, col_id, round(v / sum(v) OVER (PARTITION BY row_id), 6) AS value FROM m""")
+def first_visit_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    steps = linear_walks(spark, sf_dir).withColumnRenamed("value", "p")
+    return walks.random_walks(steps, WalkSettings(num_walks=50, length=10, weighting="FIRST_VISIT")).withColumn("value", r6("value"))
+
+
+@query(f"""{WALKED} seen AS (SELECT start AS row_id, node AS col_id, count(*) AS n FROM places WHERE step > 0 GROUP BY 1, 2 HAVING count(*) > 3),
+kept AS (SELECT * FROM seen QUALIFY row_id <> col_id OR count(*) OVER (PARTITION BY row_id) = 1)
+SELECT row_id, col_id, round(n / sum(n) OVER (PARTITION BY row_id), 6) AS value FROM kept""")
+def pruned_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visits of three or fewer are dropped."""
+    steps = linear_walks(spark, sf_dir).withColumnRenamed("value", "p")
+    return walks.random_walks(steps, WalkSettings(num_walks=50, length=10, prune_value=3.0)).withColumn("value", r6("value"))
+
+
+@query(f"""WITH {G}, draws AS ({drawn_sql("SELECT 7 AS seed, point_id FROM pts", "seed", "point_id")})
+SELECT point_id, round(u, 6) AS u, round(3 * sqrt(u) * cos(2 * pi() * v), 6) AS x, round(3 * sqrt(u) * sin(2 * pi() * v), 6) AS y FROM draws JOIN (SELECT point_id, u AS v FROM ({drawn_sql("SELECT 8 AS seed, point_id FROM pts", "seed", "point_id")})) USING (point_id)""")
+def seeded_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A seeded number and a seeded place in a disc for each point."""
+    x, y = scalar.in_disc(3.0, 7, F.col("point_id"))
+    return points(spark, sf_dir).select("point_id", r6(scalar.uniform(7, F.col("point_id"))).alias("u"), r6(x).alias("x"), r6(y).alias("y"))
+
+
+# dispatchers: what a setting's name stands for
+
+
+@query(" UNION ALL ".join(f"SELECT '{name}' AS name, row_id, col_id, p FROM ({ORACLES[kernel]})" for name, kernel in (("LINEAR", "linear_kernel"), ("TSNE", "gaussian_kernel"))))
+def kernels_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = edges(spark, sf_dir).toDF("row_id", "col_id", "rank", "dist")
+    one = lambda name: kernels.normalized(e, name).select(F.lit(name).alias("name"), "row_id", "col_id", r6("p").alias("p"))
+    return one("LINEAR").union(one("TSNE"))
+
+
+@query(f"SELECT 'plain' AS kind, src, dst, rank, dist FROM ({ORACLES['knn_l2']}) UNION ALL SELECT 'connected', src, dst, rank, dist FROM ({ORACLES['connected_graph']})")
+def neighbor_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The graphs that settings ask for: neighbours as they are, and of two each made symmetric and connected."""
+    p = points(spark, sf_dir)
+    plain, joined = neighbor_graph(p, KnnSettings(k=K, index="BruteForce")), neighbor_graph(p, KnnSettings(k=2, index="BruteForce", connect=True))
+    return _knn(plain).withColumn("kind", F.lit("plain")).union(_knn(joined).withColumn("kind", F.lit("connected"))).select("kind", "src", "dst", "rank", "dist")
+
+
+@query(f"SELECT 'strong' AS kind, node, label FROM ({ORACLES['strong_components']}) UNION ALL SELECT 'weak', node, label FROM ({ORACLES['weak_components']})")
+def graph_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = edges(spark, sf_dir, 2)
+    return component_labels(e, False).select(F.lit("strong").alias("kind"), "node", "label").union(component_labels(e, True).select(F.lit("weak"), "node", "label"))
+
+
+@query(f"""WITH {knn_sql()}, {adjacency_sql()}, v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)
+SELECT 'NEIGH_OVERLAP' AS similarity, a, b, dist FROM ({ORACLES['overlap_similarity']}) UNION ALL
+SELECT 'EUCLID_CENTROID', point_id, neighbor_id, round(list_distance(x.e, y.e), 6) FROM adjacency JOIN v x ON x.vec_id = point_id JOIN v y ON y.vec_id = neighbor_id WHERE point_id < neighbor_id""")
+def metrics_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distances between neighbouring single points under two names."""
+    p, e = points(spark, sf_dir), edges(spark, sf_dir)
+    h = hierarchy.Hierarchy(membership={0: p.select("point_id", F.col("point_id").alias("component_id"))})
+    pairs = scalar.pixel_neighbors(p, *shape(spark, sf_dir)).where("point_id < neighbor_id").select(F.col("point_id").alias("a"), F.col("neighbor_id").alias("b"))
+    one = lambda name: hierarchy.metric_of(h, 0, p, e, HierarchySettings(similarity=name))(pairs).select(F.lit(name).alias("similarity"), "a", "b", r6("dist").alias("dist"))
+    return one("NEIGH_OVERLAP").union(one("EUCLID_CENTROID"))
+
+
 # aggregates
 
 
