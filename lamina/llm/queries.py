@@ -64,10 +64,10 @@ def shard_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shard_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shards, rows, and slots that are not as they would be if each shard numbered its rows from 0 without a gap."""
-    rows = op9_sharding(spark, sf_dir).groupBy("shard").agg(F.count("*").alias("n"), F.count_distinct("slot").alias("slots"), F.max("slot").alias("last"), F.min("slot").alias("first"))
+    """Shards, rows, slots that are not as they would be if each shard numbered its rows from 0 without a gap, and whether the shards' bytes are no more than the largest row apart."""
+    rows = op9_sharding(spark, sf_dir).groupBy("shard").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.max("size").alias("largest"), F.count_distinct("slot").alias("slots"), F.max("slot").alias("last"), F.min("slot").alias("first"))
     wrong = (F.col("slots") != F.col("n")) | (F.col("last") != F.col("n") - 1) | (F.col("first") != 0)
-    return rows.agg(F.count("*").alias("shards"), F.sum("n").alias("rows"), F.count_if(wrong).alias("wrong"))
+    return rows.agg(F.count("*").alias("shards"), F.sum("n").alias("rows"), F.count_if(wrong).alias("wrong"), (F.max("bytes") - F.min("bytes") <= F.max("largest")).alias("even"))
 
 
 VIEWS: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (flac_payloads, mix_targets, language_folds, shard_rows, shard_numbers)}
@@ -244,9 +244,9 @@ WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_scor
 #: Windows by place in the bytes; in hex a byte is two characters.
 _SUFFIXES = """
 WITH t AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-win AS MATERIALIZED (SELECT r, s, hash(substr(h, 2 * s + 1, 800)) AS a, md5_number(substr(h, 2 * s + 1, 800)) AS b FROM (SELECT r, h, unnest(range(length(h) // 2 - 399)) AS s FROM t WHERE length(h) >= 800)),
-again AS (SELECT a, b FROM win GROUP BY a, b HAVING count(*) > 1),
-hit AS (SELECT r, s FROM win JOIN again USING (a, b)),
+win AS MATERIALIZED (SELECT r, s, md5_number(substr(h, 2 * s + 1, 800)) AS a FROM (SELECT r, h, unnest(range(length(h) // 2 - 399)) AS s FROM t WHERE length(h) >= 800)),
+again AS (SELECT a FROM win GROUP BY a HAVING count(*) > 1),
+hit AS (SELECT r, s FROM win JOIN again USING (a)),
 island AS (SELECT r, s, sum((s - coalesce(before, -1000) > 400)::INT) OVER (PARTITION BY r ORDER BY s) AS i FROM (SELECT r, s, lag(s) OVER (PARTITION BY r ORDER BY s) AS before FROM hit)),
 span AS (SELECT r, min(s) AS a, max(s) + 400 AS b FROM island GROUP BY r, i),
 gap AS (SELECT r, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS x, a AS y, a AS k FROM span UNION ALL SELECT t.r, coalesce(max(b), 0), length(any_value(h)) // 2, 1099511627776 FROM t LEFT JOIN span USING (r) GROUP BY t.r),
@@ -269,5 +269,5 @@ ORACLES: dict[str, str] = {
     "mix_targets": _TARGETS,
     "language_folds": _FOLDS,
     "shard_rows": _SHARD_ROWS,
-    "shard_numbers": "SELECT least(40, count(*)) AS shards, count(*) AS rows, 0 AS wrong FROM documents",
+    "shard_numbers": "SELECT least(40, count(*)) AS shards, count(*) AS rows, 0 AS wrong, true AS even FROM documents",
 }
