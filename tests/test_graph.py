@@ -1,6 +1,7 @@
 import heapq
 import itertools
 import random
+import tracemalloc
 
 import fixtures
 import numpy as np
@@ -296,3 +297,67 @@ def test_the_spanning_tree_by_tables_is_the_one_in_the_driver(spark):
     centres = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "point_id long, features array<double>")
     found = {(r["a"], r["b"]) for r in graph.spanning_pairs(centres).collect()}
     assert found == {(min(p), max(p)) for p in graph.spanning_tree(x)}
+
+
+def test_neighbours_take_memory_with_the_points_not_with_their_pairs():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(4096, 16))
+    ids = np.arange(4096)
+    tracemalloc.start()
+    src, dst, dist = knn.nearest(ids, x, ids, x, 3, "L2")
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 8 * 4096 * 4096 / 4
+    for i in (0, 1000, 4095):
+        d = np.sqrt(((x - x[i]) ** 2).sum(1))
+        d[i] = np.inf
+        assert dst[src == i].tolist() == np.argsort(d)[:3].tolist()
+        assert dist[src == i] == pytest.approx(np.sort(d)[:3])
+
+
+@pytest.mark.parametrize("metric", ["L2", "COSINE", "INNER_PRODUCT"])
+@pytest.mark.parametrize("kind", ["outliers", "far", "missing", "tied"])
+def test_neighbours_of_odd_vectors_are_exact(kind, metric):
+    rng = np.random.default_rng(6)
+    x = np.floor(rng.normal(size=(1500, 2)) * 4) if kind == "tied" else rng.normal(size=(1500, 5)) + (1e5 if kind == "far" else 0)
+    if kind == "outliers":
+        x[3], x[900] = 1e7, -1e9
+    if kind == "missing":
+        x[3], x[900, 1] = np.nan, np.nan
+    ids = rng.permutation(1500)
+    src, dst, _ = knn.nearest(ids[:50], x[:50], ids, x, 7, metric)
+    for i in range(50):
+        d = knn._exact(np.broadcast_to(x[i], x.shape), x, metric)
+        ok = np.flatnonzero(np.isfinite(d) & (ids != ids[i]))
+        assert dst[src == ids[i]].tolist() == ids[ok[np.lexsort((ids[ok], d[ok]))[:7]]].tolist()
+
+
+def test_equal_points_ask_once(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    x = rng.integers(0, 3, size=(400, 2)).astype(float)
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "point_id long, features array<double>")
+    asked = []
+    whole = knn._all_pairs
+    monkeypatch.setattr(knn, "_all_pairs", lambda queries, *rest, **more: (asked.append(queries.count()), whole(queries, *rest, **more))[1])
+    got = {}
+    for r in knn.knn_exact(points, 6, block=64).orderBy("src", "rank").collect():
+        got.setdefault(r["src"], []).append(r["dst"])
+    assert asked == [9]
+    for i in range(400):
+        d = ((x - x[i]) ** 2).sum(1)
+        d[i] = -1
+        assert got[i] == np.lexsort((np.arange(400), d))[:6].tolist()
+
+
+def test_closest_pairs_of_components_of_many_slices(spark, monkeypatch):
+    monkeypatch.setattr(graph, "SLICE", 8)
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, 40, size=(900, 2)).astype(float)
+    label = rng.integers(0, 3, 900)
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "point_id long, features array<double>")
+    labels = spark.createDataFrame([(i, int(v)) for i, v in enumerate(label)], "node long, label long")
+    pairs = spark.createDataFrame([(0, 1), (0, 2), (1, 2)], "a long, b long")
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    got = {(r["a"], r["b"]): (r["dist"], r["src"], r["dst"]) for r in graph.closest_pairs(points, labels, pairs).collect()}
+    for a, b in ((0, 1), (0, 2), (1, 2)):
+        assert got[a, b] == min((d[i, j], i, j) for i in np.flatnonzero(label == a) for j in np.flatnonzero(label == b))
