@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamina.operators.components import weak_components
+from lamina.operators.knn import ASKING, RUN, TASKS, knn_exact, nearest, packed, precision, unpacked
 from lamina.scratch import cut
 
 #: Components whose centroids the driver holds at most to span them by a tree.
@@ -97,34 +96,39 @@ def spanning_tree(centres: np.ndarray) -> list[tuple[int, int]]:
 def closest_pairs(points: DataFrame, labels: DataFrame, pairs: DataFrame) -> DataFrame:
     """(a, b, src, dst, dist): of each pair of components (a, b) the two closest points, src in a and dst in b; ties by ids.
 
-    Components meet in slices, so a large one is many tasks; each pair of slices returns one row.
+    Components meet in slices, so a large one is many tasks; some slices of either side meet in a task, which returns one row.
     """
-    own = points.join(labels, points["point_id"] == labels["node"]).select("label", "point_id", "features")
+    own = points.join(labels, points["point_id"] == labels["node"]).select(F.col("label").cast("long").alias("label"), "point_id", "features")
     parts = own.groupBy("label").agg(F.ceil(F.count("*") / SLICE).alias("slices"))
     dealt = own.join(parts, "label").withColumn("slice", F.pmod(F.xxhash64("point_id"), F.col("slices")))
-    packed = cut(dealt.groupBy("label", "slice").agg(F.collect_list(F.struct("point_id", "features")).alias("rows")), "slices")
-    met = pairs.join(packed.select(F.col("label").alias("a"), F.col("rows").alias("left")), "a").join(packed.select(F.col("label").alias("b"), F.col("rows").alias("right")), "b").select("a", "b", "left", "right")
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                (i, x), (j, y) = (([r["point_id"] for r in row[s]], np.array([r["features"] for r in row[s]], np.float64)) for s in ("left", "right"))
-                d = ((x[:, None, :] - y[None]) ** 2).sum(2) if x.size * len(y) < 1 << 24 else np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T, 0)
-                close = np.argwhere(d <= d.min() * (1 + 1e-12))
-                s, t = min((i[p], j[q]) for p, q in close)
-                out.append((row["a"], row["b"], s, t, float(np.sqrt(((x[i.index(s)] - y[j.index(t)]) ** 2).sum()))))
-            yield pa.RecordBatch.from_pylist([dict(zip(("a", "b", "src", "dst", "dist"), o, strict=True)) for o in out], pa.schema([("a", pa.int64()), ("b", pa.int64()), ("src", pa.int64()), ("dst", pa.int64()), ("dist", pa.float64())]))
-
-    found = met.mapInArrow(work, "a long, b long, src long, dst long, dist double")
+    kind = precision(points)
+    whole = cut(packed(dealt, ("label", "slices", "slice"), kind), "slices")
+    last = lambda many, each: F.floor((F.col(many) - 1) / each).cast("long")
+    sizes = cut(pairs.join(parts.toDF("a", "na"), "a").join(parts.toDF("b", "nb"), "b"), "sizes")
+    left = sizes.join(whole.select(F.col("label").alias("a"), F.floor(F.col("slice") / ASKING).cast("long").alias("asks"), "ids", "xs"), "a")
+    left = left.select("a", "b", "asks", F.explode(F.sequence(F.lit(0).cast("long"), last("nb", RUN))).alias("run"), "ids", "xs")
+    right = sizes.join(whole.select(F.col("label").alias("b"), F.floor(F.col("slice") / RUN).cast("long").alias("run"), "ids", "xs"), "b")
+    right = right.select("a", "b", F.explode(F.sequence(F.lit(0).cast("long"), last("na", ASKING))).alias("asks"), "run", "ids", "xs")
+    keys = ("a", "b", "asks", "run")
+    many = max(4 * TASKS, int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def work(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = {"a": [], "b": [], "src": [], "dst": [], "dist": []}
+        if len(left) and len(right):
+            src, dst, dist = nearest(*unpacked(left, kind), *unpacked(right, kind), 1, "L2", apart=False)
+            if len(src):
+                best = np.lexsort((dst, src, dist))[0]
+                out = {"a": left.column("a")[:1], "b": left.column("b")[:1], "src": src[[best]], "dst": dst[[best]], "dist": dist[[best]]}
+        return pa.table(out, pa.schema([("a", pa.int64()), ("b", pa.int64()), ("src", pa.int64()), ("dst", pa.int64()), ("dist", pa.float64())]))
+
+    left, right = (x.toDF(*keys, "ids", "xs").repartition(many, *keys).groupBy(*keys) for x in (left, right))
+    found = left.cogroup(right).applyInArrow(work, "a long, b long, src long, dst long, dist double")
     least = F.min(F.struct("dist", "src", "dst"))
     return found.groupBy("a", "b").agg(least.alias("m")).select("a", "b", "m.src", "m.dst", "m.dist")
 
 
 def spanning_pairs(centres: DataFrame) -> DataFrame:
     """(a, b): the edges of the least spanning tree of all centres (point_id, features), found by tables: in each round every tree so far takes its shortest edge to another."""
-    from lamina.operators.knn import knn_exact
-
     n = centres.count()
     tree = centres.sparkSession.createDataFrame([], "a long, b long")
     group, k = cut(centres.select("point_id", F.col("point_id").alias("group")), "groups"), 2
