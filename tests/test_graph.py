@@ -361,3 +361,33 @@ def test_closest_pairs_of_components_of_many_slices(spark, monkeypatch):
     got = {(r["a"], r["b"]): (r["dist"], r["src"], r["dst"]) for r in graph.closest_pairs(points, labels, pairs).collect()}
     for a, b in ((0, 1), (0, 2), (1, 2)):
         assert got[a, b] == min((d[i, j], i, j) for i in np.flatnonzero(label == a) for j in np.flatnonzero(label == b))
+
+
+@pytest.mark.parametrize("weights", ["any", "whole", "one"])
+def test_searches_from_both_ends_meet_part_of_the_graph(weights, monkeypatch):
+    rng = np.random.default_rng(10)
+    n = 6000
+    src, dst = np.repeat(np.arange(n), 6), rng.integers(0, n, 6 * n)
+    dst[: 6 * 20] = rng.integers(0, 20, 120)  # a part that the others are not reached from
+    w = {"any": rng.random(6 * n) + 0.1, "whole": rng.integers(0, 3, 6 * n).astype(float), "one": np.ones(6 * n)}[weights]
+    search = paths.TwoWay((np.arange(n), np.arange(0, 6 * n, 6), dst, w))
+    settled = []
+    for _ in range(12):
+        sources, wanted = rng.integers(0, n, 3), rng.integers(0, n, 4)
+        best, heap = dict.fromkeys(sources.tolist(), 0.0), [(0.0, int(i)) for i in sources]
+        while heap:
+            d, i = heapq.heappop(heap)
+            if d > best[i]:
+                continue
+            for j, x in zip(dst[6 * i : 6 * i + 6].tolist(), w[6 * i : 6 * i + 6].tolist(), strict=True):
+                if d + x < best.get(j, np.inf):
+                    best[j] = d + x
+                    heapq.heappush(heap, (d + x, j))
+        want = [best.get(t, np.inf) for t in wanted.tolist()]
+        assert search.search(sources, wanted) == pytest.approx(want)
+        settled.append((search.ahead.dist < search.ahead.radius).sum())
+        with monkeypatch.context() as m:
+            m.setattr(paths, "MANY_TARGETS", 0)
+            assert search.search(sources, wanted) == pytest.approx(want)
+    assert weights != "any" or np.median(settled) < n / 4
+    assert search.search(np.array([1, 2]), np.array([n - 1, n - 2])).tolist() == [np.inf, np.inf]
