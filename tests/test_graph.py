@@ -391,3 +391,36 @@ def test_searches_from_both_ends_meet_part_of_the_graph(weights, monkeypatch):
             assert search.search(sources, wanted) == pytest.approx(want)
     assert weights != "any" or np.median(settled) < n / 4
     assert search.search(np.array([1, 2]), np.array([n - 1, n - 2])).tolist() == [np.inf, np.inf]
+
+
+@pytest.mark.parametrize("metric", ["L2", "COSINE", "INNER_PRODUCT"])
+def test_descent_meets_links_where_they_share_a_point(spark, metric):
+    rng = np.random.default_rng(3)
+    x = np.float32(rng.standard_normal((40, 5))).astype(float)
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "point_id long, features array<float>")
+    now = [(i, (i + s) % 40) for i in range(40) for s in (1, 2, 3)]
+    d = {(i, j): float(knn._exact(x[[i]], x[[j]], metric)[0]) for i in range(40) for j in range(40)}
+    graph_now = spark.createDataFrame([(i, j, d[i, j]) for i, j in now], "src long, dst long, dist double")
+    links = spark.createDataFrame(now, "src long, dst long")
+    bound = {i: max(d[p] for p in now if p[0] == i) for i in range(40)}
+    want = {(i, j) for v in range(40) for _, i in [p for p in now if p[0] == v] for _, j in [p for p in now if p[0] == v] if i != j and d[i, j] <= bound[i]}
+    found = {(r["src"], r["dst"]): r["dist"] for r in knn._met_through(points, links, None, graph_now, 3, metric).collect()}
+    assert found.keys() == want and all(abs(found[p] - d[p]) < 1e-6 for p in want)
+    # links that were all there a round before were met then
+    assert knn._met_through(points, links, links, graph_now, 3, metric).isEmpty()
+
+
+@pytest.mark.parametrize("coding", ["FLAT", "SQ", "PQ"])
+def test_cells_in_buckets_send_a_query_once_a_bucket(spark, monkeypatch, coding):
+    rng = np.random.default_rng(5)
+    x = np.concatenate((rng.standard_normal((300, 6)), np.zeros((150, 6)) + 0.3 * rng.standard_normal((150, 6))))
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "point_id long, features array<double>")
+    monkeypatch.setattr(knn, "BUCKET_BYTES", 8 * 6 * 60)
+    asked = []
+    real = knn.cut
+    monkeypatch.setattr(knn, "cut", lambda df, name: (asked.append(df) if name == "asked-in" else None, real(df, name))[1])
+    found = knn.knn_cells(points, 6, cells=20, probes=20, coding=coding).where("rank > 0").collect()
+    want = {(r["src"], r["dst"]) for r in knn.knn_exact(points, 6).where("rank > 0").collect()}
+    assert len({(r["src"], r["dst"]) for r in found} & want) >= (0.9 if coding == "PQ" else 0.99) * len(want)
+    n, rows = asked[0].selectExpr("count(distinct bucket)", "count(*)").first()
+    assert n >= 8 and rows <= 450 * n and asked[0].groupBy("bucket", "point_id").count().where("count > 1").isEmpty()
