@@ -424,3 +424,17 @@ def test_cells_in_buckets_send_a_query_once_a_bucket(spark, monkeypatch, coding)
     assert len({(r["src"], r["dst"]) for r in found} & want) >= (0.9 if coding == "PQ" else 0.99) * len(want)
     n, rows = asked[0].selectExpr("count(distinct bucket)", "count(*)").first()
     assert n >= 8 and rows <= 450 * n and asked[0].groupBy("bucket", "point_id").count().where("count > 1").isEmpty()
+
+
+def test_searches_by_joins_meet_from_both_ends(spark, monkeypatch):
+    rng = random.Random(4)
+    raw = list({(i, rng.randrange(600)): rng.randint(8, 16) / 8 for i in range(600) for _ in range(4)}.items())
+    raw = [(s, t, w) for (s, t), w in raw]
+    e = spark.createDataFrame(raw, "src long, dst long, dist double")
+    pairs = [(i, 599 - i) for i in range(40)]
+    held = []
+    real = paths.cut
+    monkeypatch.setattr(paths, "cut", lambda df, name: (lambda out: (held.append(out.count()) if name in ("ends", "known") else None, out)[1])(real(df, name)))
+    found = {(r["a"], r["b"]): r["dist"] for r in paths.shortest_paths(e, spark.createDataFrame(pairs, "a long, b long"), most=0).collect()}
+    assert found == {p: shortest(raw, *p) for p in pairs}
+    assert max(held) < 40 * 600 / 2  # from one end nearly all nodes are met
