@@ -438,3 +438,29 @@ def test_searches_by_joins_meet_from_both_ends(spark, monkeypatch):
     found = {(r["a"], r["b"]): r["dist"] for r in paths.shortest_paths(e, spark.createDataFrame(pairs, "a long, b long"), most=0).collect()}
     assert found == {p: shortest(raw, *p) for p in pairs}
     assert max(held) < 40 * 600 / 2  # from one end nearly all nodes are met
+
+
+def test_many_pairs_of_small_components_meet_at_once(spark, monkeypatch):
+    for name, value in (("BUCKET_PAIRS", 20), ("FEW", 6), ("SMALL_BYTES", 8 * 3 * 4), ("NUMBERS", 64)):
+        monkeypatch.setattr(similarity, name, value)
+    rng = np.random.default_rng(3)
+    x, of = rng.standard_normal((60, 3)), np.repeat(np.arange(20), [1, 2, 3, 4, 5] * 4)  # five points are too many for SMALL_BYTES
+    members = spark.createDataFrame([(int(c), i) for i, c in enumerate(of)], "component_id long, point_id long")
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "point_id long, features array<double>")
+    pairs = [(a, b) for a in range(20) for b in range(20) if a != 7] + [(3, 99)]
+    found = {(r["a"], r["b"]): r["dist"] for r in similarity.euclid(spark.createDataFrame(pairs, "a long, b long"), members, points).collect()}
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    part = lambda a, b: d[np.ix_(of == a, of == b)]
+    assert found == pytest.approx({(a, b): max(part(a, b).min(1).max(), part(a, b).min(0).max()) for a, b in pairs if b != 99})
+
+
+@pytest.mark.parametrize("at_once", [0, 20_000])
+def test_groups_are_one_row_a_pair(spark, monkeypatch, at_once):
+    monkeypatch.setattr(paths, "ROUND_EDGES", at_once)
+    e = spark.createDataFrame([(0, 1, 1.0), (1, 2, 2.0), (2, 3, 4.0), (3, 0, 8.0), (8, 9, 1.0)], "src long, dst long, dist double")
+    members = spark.createDataFrame([(0, 0), (0, 1), (1, 2), (1, 3), (2, 8), (3, 50), (3, 0), (None, 1)], "component_id long, point_id long")
+    pairs = spark.createDataFrame([(0, 1), (1, 0), (0, 2), (0, 0), (3, 3), (3, 1), (0, 77), (77, 0)], "a long, b long")
+    for most in (None, 0):
+        found = {(r["a"], r["b"]): r["dist"] for r in paths.group_distances(e, members, pairs, most).collect()}
+        assert {k: v for k, v in found.items() if 77 not in k} == {(0, 1): 6.0, (1, 0): 9.0, (0, 2): float("inf"), (0, 0): 0.0, (3, 3): 0.0, (3, 1): 7.0}
+        assert (0, 77) not in found and found.get((77, 0), float("inf")) == float("inf")
