@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamina.operators.components import weak_components
-from lamina.operators.knn import ASKING, RUN, TASKS, knn_exact, nearest, packed, precision, unpacked
+from lamina.operators.knn import ASKING, PAIRS, RUN, TASKS, _exact, _vectors, nearest, nearest_of_others, packed, precision, unpacked
 from lamina.scratch import cut
 
 #: Components whose centroids the driver holds at most to span them by a tree.
 MOST_COMPONENTS = 4096
 SLICE = 4096
+#: Bytes of two components at most that are met with others in one batch.
+SMALL_BYTES = 16 << 10
 
 
 def ranked(edges: DataFrame) -> DataFrame:
@@ -93,18 +97,43 @@ def spanning_tree(centres: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def _closest_of_small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """As `closest_pairs`, of rows (a, b, x, y) with the points of both sides."""
+    for batch in batches:
+        (ends, ids, x), (ends_y, others, y) = ((np.append(0, np.cumsum(c.value_lengths().to_numpy())), c.flatten().field("point_id").to_numpy(), _vectors(c.flatten().field("features"))) for c in (batch.column("x"), batch.column("y")))
+        many = np.diff(ends) * np.diff(ends_y)
+        for rows in np.split(np.arange(len(many)), np.flatnonzero(np.diff(np.cumsum(many) // PAIRS)) + 1):
+            row = np.repeat(rows, many[rows])
+            at = np.arange(len(row)) - np.repeat(np.cumsum(many[rows]) - many[rows], many[rows])
+            i, j = ends[row] + at // np.diff(ends_y)[row], ends_y[row] + at % np.diff(ends_y)[row]
+            dist = _exact(x[i], y[j], "L2")
+            order = np.lexsort((others[j], ids[i], dist, row))
+            order = order[np.isfinite(dist[order])]
+            best = order[np.unique(row[order], return_index=True)[1]]
+            yield pa.RecordBatch.from_arrays([batch.column("a").take(pa.array(row[best])), batch.column("b").take(pa.array(row[best])), pa.array(ids[i[best]]), pa.array(others[j[best]]), pa.array(dist[best])], ["a", "b", "src", "dst", "dist"])
+
+
 def closest_pairs(points: DataFrame, labels: DataFrame, pairs: DataFrame) -> DataFrame:
     """(a, b, src, dst, dist): of each pair of components (a, b) the two closest points, src in a and dst in b; ties by ids.
 
-    Components meet in slices, so a large one is many tasks; some slices of either side meet in a task, which returns one row.
+    Components meet in slices, so a large one is many tasks; some slices of either side meet in a task, which returns one row. Pairs of SMALL_BYTES at most are rows, many of which meet in a batch.
     """
     own = points.join(labels, points["point_id"] == labels["node"]).select(F.col("label").cast("long").alias("label"), "point_id", "features")
-    parts = own.groupBy("label").agg(F.ceil(F.count("*") / SLICE).alias("slices"))
-    dealt = own.join(parts, "label").withColumn("slice", F.pmod(F.xxhash64("point_id"), F.col("slices")))
+    parts = own.groupBy("label").agg(F.ceil(F.count("*") / SLICE).alias("slices"), F.count("*").alias("points"))
+    dealt = own.join(parts.drop("points"), "label").withColumn("slice", F.pmod(F.xxhash64("point_id"), F.col("slices")))
     kind = precision(points)
-    whole = cut(packed(dealt, ("label", "slices", "slice"), kind), "slices")
+    width = points.agg(F.coalesce(F.max(F.size("features")), F.lit(1))).first()[0]
+    asked = pairs.join(parts.toDF("a", "na", "ma"), "a").join(parts.toDF("b", "nb", "mb"), "b")
+    asked = cut(asked.withColumn("small", (F.col("ma") + F.col("mb")) * 8 * width <= SMALL_BYTES).drop("ma", "mb"), "sizes")
+    few, sizes = asked.where("small").select("a", "b"), asked.where("not small").drop("small")
+    lists = own.join(parts.where(F.col("points") * 8 * width <= SMALL_BYTES).select("label"), "label", "left_semi").groupBy("label").agg(F.collect_list(F.struct("point_id", "features")).alias("x"))
+    lists = cut(lists, "small")
+    near = few.join(lists.toDF("a", "x"), "a").join(lists.toDF("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(_closest_of_small, "a long, b long, src long, dst long, dist double")
+    if sizes.isEmpty():
+        return near
+    met = sizes.select(F.col("a").alias("label")).union(sizes.select("b")).distinct()
+    whole = cut(packed(dealt.join(met, "label", "left_semi"), ("label", "slices", "slice"), kind), "slices")
     last = lambda many, each: F.floor((F.col(many) - 1) / each).cast("long")
-    sizes = cut(pairs.join(parts.toDF("a", "na"), "a").join(parts.toDF("b", "nb"), "b"), "sizes")
     left = sizes.join(whole.select(F.col("label").alias("a"), F.floor(F.col("slice") / ASKING).cast("long").alias("asks"), "ids", "xs"), "a")
     left = left.select("a", "b", "asks", F.explode(F.sequence(F.lit(0).cast("long"), last("nb", RUN))).alias("run"), "ids", "xs")
     right = sizes.join(whole.select(F.col("label").alias("b"), F.floor(F.col("slice") / RUN).cast("long").alias("run"), "ids", "xs"), "b")
@@ -124,28 +153,35 @@ def closest_pairs(points: DataFrame, labels: DataFrame, pairs: DataFrame) -> Dat
     left, right = (x.toDF(*keys, "ids", "xs").repartition(many, *keys).groupBy(*keys) for x in (left, right))
     found = left.cogroup(right).applyInArrow(work, "a long, b long, src long, dst long, dist double")
     least = F.min(F.struct("dist", "src", "dst"))
-    return found.groupBy("a", "b").agg(least.alias("m")).select("a", "b", "m.src", "m.dst", "m.dist")
+    return near.unionByName(found.groupBy("a", "b").agg(least.alias("m")).select("a", "b", "m.src", "m.dst", "m.dist"))
 
 
 def spanning_pairs(centres: DataFrame) -> DataFrame:
-    """(a, b): the edges of the least spanning tree of all centres (point_id, features), found by tables: in each round every tree so far takes its shortest edge to another."""
-    n = centres.count()
+    """(a, b): the edges of the least spanning tree of all centres (point_id, features), found by tables: in each round every tree so far takes its shortest edge to another.
+
+    What a centre found nearest outside its tree holds until both are in one tree, and is a least distance from then on: only centres whose tree may have a shorter edge through them ask again.
+    """
     tree = centres.sparkSession.createDataFrame([], "a long, b long")
-    group, k = cut(centres.select("point_id", F.col("point_id").alias("group")), "groups"), 2
-    while n and group.select("group").distinct().count() > 1:
-        near = cut(knn_exact(centres, min(k, n)).where("src <> dst").join(group.toDF("src", "ga"), "src").join(group.toDF("dst", "gb"), "dst"), "near")
-        edge = F.struct("dist", F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
-        own = near.groupBy("src", "ga").agg(F.min(F.when(F.col("ga") != F.col("gb"), edge)).alias("e"), F.max("dist").alias("reach"))
-        best = cut(own.groupBy("ga").agg(F.min("e").alias("best")), "best")
-        # a point that saw only its own tree may still have a shorter edge out of it
-        unseen = own.join(best, "ga").where("e is null and (best is null or reach <= best.dist)")
-        if k < n and not unseen.isEmpty():
-            k *= 4
-            continue
+    placed = cut(centres.select("point_id", "features", F.col("point_id").alias("group")), "placed")
+    if placed.limit(2).count() < 2:
+        return tree
+    near = cut(nearest_of_others(placed, placed), "near")
+    edge = F.struct("dist", F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), F.col("gb").alias("to"))
+    while True:
+        group = placed.select("point_id", "group")
+        own = near.join(group.toDF("src", "ga"), "src").join(group.toDF("dst", "gb"), "dst")
+        known = cut(own.withColumn("limit", F.min(F.when(F.col("ga") != F.col("gb"), F.col("dist"))).over(Window.partitionBy("ga"))), "known")
+        stale = F.col("ga") == F.col("gb")
+        asks = known.where(stale & (F.col("limit").isNull() | (F.col("dist") <= F.col("limit")))).select(F.col("src").alias("point_id"))
+        again = cut(nearest_of_others(placed.join(asks, "point_id", "left_semi"), placed), "again")
+        near = cut(near.join(again.select("src"), "src", "left_anti").unionByName(again), "near")
+        fresh = again.join(group.toDF("src", "ga"), "src").join(group.toDF("dst", "gb"), "dst")
+        best = cut(known.where(~stale).select("src", "dst", "dist", "ga", "gb").unionByName(fresh.select("src", "dst", "dist", "ga", "gb")).groupBy("ga").agg(F.min(edge).alias("best")), "best")
         tree = cut(tree.union(best.select("best.a", "best.b")).distinct(), "tree")
-        loops = centres.select(F.col("point_id").alias("src"), F.col("point_id").alias("dst"))
-        group = cut(weak_components(tree.toDF("src", "dst").union(loops)).toDF("point_id", "group"), "groups")
-    return tree
+        joined = cut(weak_components(best.select(F.col("ga").alias("src"), F.col("best.to").alias("dst"))), "joined")
+        if joined.agg(F.max("label")).first()[0] == 0:
+            return tree
+        placed = cut(placed.join(joined.toDF("group", "label"), "group").select("point_id", "features", F.col("label").alias("group")), "placed")
 
 
 def connected(points: DataFrame, edges: DataFrame, most: int = MOST_COMPONENTS) -> DataFrame:

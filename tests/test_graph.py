@@ -299,6 +299,57 @@ def test_the_spanning_tree_by_tables_is_the_one_in_the_driver(spark):
     assert found == {(min(p), max(p)) for p in graph.spanning_tree(x)}
 
 
+def test_the_spanning_tree_by_tables_asks_for_no_lists_of_neighbours(spark, monkeypatch):
+    """Near groups far apart had lists of neighbours grow until they were as long as a group."""
+    asked, whole = [], graph.nearest_of_others
+    monkeypatch.setattr(graph, "nearest_of_others", lambda queries, points: asked.append(queries.count()) or whole(queries, points))
+    rng = np.random.default_rng(4)
+    x = np.concatenate([np.round(rng.standard_normal((40, 2)), 1) + [c * 1000.0, 0] for c in range(4)] + [np.full((30, 2), 7e5)])
+    centres = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "point_id long, features array<double>")
+    found = [(r["a"], r["b"]) for r in graph.spanning_pairs(centres).collect()]
+    assert len(found) == len(set(found)) == len(x) - 1
+    length = lambda pairs: sum(float(np.linalg.norm(x[a] - x[b])) for a, b in pairs)
+    assert length(found) == pytest.approx(length(graph.spanning_tree(x)))
+    assert asked[0] == len(x) and sum(asked) < 4 * len(x)
+    e = table(spark, found)
+    assert set(labels(components.weak_components(e)).values()) == {0}
+
+
+def test_small_components_meet_in_batches_as_in_slices(spark, monkeypatch):
+    """Each pair of components, of two points even, was a group of its own that a Python function was called for."""
+    rng = np.random.default_rng(8)
+    x = np.round(rng.normal(size=(90, 2)), 1)
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "point_id long, features array<double>")
+    own = spark.createDataFrame([(i, 40 if i < 30 else i // 3) for i in range(90)], "node long, label long")
+    pairs = spark.createDataFrame([(i, i + 1) for i in range(10, 29)] + [(12, 40), (29, 40)], "a long, b long")
+    monkeypatch.setattr(graph, "SMALL_BYTES", 8 * 2 * 20)
+    found = {tuple(r) for r in graph.closest_pairs(points, own, pairs).collect()}
+    label = np.array([40 if i < 30 else i // 3 for i in range(90)])
+    for a, b, src, dst, dist in found:
+        d = np.sqrt(((x[label == a][:, None] - x[label == b]) ** 2).sum(2))
+        i, j = np.unravel_index(d.argmin(), d.shape)
+        assert (src, dst, dist) == (np.flatnonzero(label == a)[i], np.flatnonzero(label == b)[j], d.min())
+    assert len(found) == 21
+    called = []
+    monkeypatch.setattr(graph, "packed", lambda df, *rest: called.append(df.select("label").distinct().count()) or knn.packed(df, *rest))
+    assert {tuple(r) for r in graph.closest_pairs(points, own, pairs).collect()} == found
+    assert called == [3]
+
+
+def test_the_nearest_of_another_group_are_exact():
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.normal(size=(900, 3)), np.repeat(rng.normal(size=(3, 3)), 300, axis=0)])
+    ids, group = rng.permutation(len(x)), rng.integers(0, 5, len(x))
+    group[900:1150] = 9
+    src, dst, dist = knn.nearest(ids, x, ids, x, 1, "L2", groups=(group, group))
+    assert src.tolist() == ids.tolist()
+    for i in range(0, len(x), 37):
+        d = np.sqrt(((x - x[i]) ** 2).sum(1))
+        d[group == group[i]] = np.inf
+        best = np.lexsort((ids, d))[0]
+        assert (dst[i], dist[i]) == (ids[best], d[best])
+
+
 def test_neighbours_take_memory_with_the_points_not_with_their_pairs():
     rng = np.random.default_rng(5)
     x = rng.normal(size=(4096, 16))
