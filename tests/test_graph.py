@@ -515,3 +515,37 @@ def test_groups_are_one_row_a_pair(spark, monkeypatch, at_once):
         found = {(r["a"], r["b"]): r["dist"] for r in paths.group_distances(e, members, pairs, most).collect()}
         assert {k: v for k, v in found.items() if 77 not in k} == {(0, 1): 6.0, (1, 0): 9.0, (0, 2): float("inf"), (0, 0): 0.0, (3, 3): 0.0, (3, 1): 7.0}
         assert (0, 77) not in found and found.get((77, 0), float("inf")) == float("inf")
+
+
+def test_undirected_graphs_are_held_once_for_both_sides(spark):
+    rng = random.Random(7)
+    raw = {}
+    for i in range(300):
+        for _ in range(3):
+            j, w = rng.randrange(300), rng.randint(4, 12) / 4
+            if i != j:
+                raw[i, j] = raw[j, i] = min(w, raw.get((i, j), w))
+    e = spark.createDataFrame([(s, t, w) for (s, t), w in raw.items()], "src long, dst long, dist double")
+    for edges_, shared in ((e, True), (e.where("src < dst or src > 20"), False)):
+        g = paths._csr(edges_)
+        search = paths.TwoWay(g)
+        assert (search.ahead.to is search.back.to) == shared and g[2].dtype == np.int32
+        some = [(r["src"], r["dst"], r["dist"]) for r in edges_.collect()]
+        for a, b in ((0, 299), (5, 17), (250, 3)):
+            at = np.searchsorted(g[0], [a, b])
+            assert search.search(at[:1], at[1:])[0] == (shortest(some, a, b) or np.inf)
+
+
+def test_index_rows_measure_every_distance(spark, tmp_path, monkeypatch):
+    from lamina.plans import registry
+
+    rng = np.random.default_rng(11)
+    x = np.float32(rng.standard_normal((60, 64)))
+    spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    monkeypatch.setattr(registry, "INDEXES", ("IVFFlat",))
+    monkeypatch.setattr(knn, "knn_exact", lambda *a, **k: pytest.fail("all pairs are not asked for"))
+    assert registry.knn_index_rows(spark, str(tmp_path)).collect() == [("IVFFlat", 600, 660, True)]
+    real = knn.knn
+    # a row that the exact search would not have is told too
+    monkeypatch.setattr(knn, "knn", lambda *a, **k: real(*a, **k).withColumn("dist", F.when((F.col("src") == 3) & (F.col("rank") == 10), F.col("dist") + 1).otherwise(F.col("dist"))))
+    assert registry.knn_index_rows(spark, str(tmp_path)).collect() == [("IVFFlat", 600, 660, False)]
